@@ -11,7 +11,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 #: A longer piece is encoded each time it occurs.
 LONGEST_CACHED = 64
 
