@@ -36,6 +36,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), 35, texts=False).drop("kept")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,5 +61,5 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns))
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_token_files": op4_token_files, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
+QUERIES = {"op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
