@@ -27,6 +27,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), 400, texts=False).drop("kept_text")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,5 +67,5 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns))
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
+QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
