@@ -58,6 +58,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_back
 
@@ -67,5 +73,5 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns))
 
 
-QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
+QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op5_jaccard": op5_jaccard, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
