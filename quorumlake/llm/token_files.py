@@ -21,7 +21,9 @@ from .packing import tokenised
 from .storage import fit_partitions, new_path, small_batches, written
 
 BLOCK_IDS = 200_000
-#: Ids from which counts are broadcast to the encoders: a vocabulary's size, not the corpus's.
+#: Blocks in an Arrow batch.
+BATCH_BLOCKS = 8
+#: Distinct ids, of which a table goes to the encoders: a vocabulary's size, not the corpus's.
 MOST_IDS = 5_000_000
 
 _CODES = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
@@ -58,34 +60,33 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "b
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(fit_partitions(docs), *order).sortWithinPartitions(*order)
-    runs = written(rows.select("doc_id", "text").mapInArrow(_blocks(tokenizer, kind, end_id), "part int, block int, doc_ids array<long>, counts array<int>, total long, ids binary").sortWithinPartitions("part", "block"), "ids")
+    runs = written(rows.select("doc_id", "text").mapInArrow(_blocks(tokenizer, kind, end_id), "part int, block int, before long, doc_ids array<long>, counts array<int>, total long, width int, ids binary"), "ids")
+    small_batches(spark, BATCH_BLOCKS)
     ranks = written(_ranks(runs), "ranks")
     ranks.write.option("compression", "none").parquet(f"{path}/ranks")
     n = ranks.count()
     if n > MOST_IDS:
         raise ValueError(f"{n} distinct ids: more than a vocabulary has")
-    by_id = ranks.orderBy("id").select("id", "rank").toArrow()  # a vocabulary's size
-    table = spark.sparkContext.broadcast((by_id.column("id").to_numpy(), by_id.column("rank").to_numpy().astype(np.uint32)))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = runs.groupBy("part").agg(F.sum("total").alias("t"), F.count("*").alias("b"))  # one row for each partition
-    firsts = firsts.select(F.col("part").alias("of"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("first_block"))
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = runs.select(F.col("part").alias("of_part"), F.col("block").alias("of_block"), F.coalesce(F.sum("total").over(inside), F.lit(0)).alias("within"))
-    heads = heads.join(firsts, F.col("of_part") == F.col("of")).select("of_part", "of_block", (F.col("within") + F.col("first")).alias("start"), (F.col("first_block") + F.col("of_block")).alias("number"))
-    placed = runs.join(heads, (F.col("part") == F.col("of_part")) & (F.col("block") == F.col("of_block")))
+    by_id = ranks.select("id", "rank").toArrow()  # a vocabulary's size
+    rank_of = np.zeros(int(by_id.column("id").to_numpy().max(initial=0)) + 1, np.uint32)
+    rank_of[by_id.column("id").to_numpy()] = by_id.column("rank").to_numpy()
+    ranks_ = spark.sparkContext.broadcast(rank_of)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = runs.groupBy("part").agg(F.sum("total").alias("t"), F.count("*").alias("b"))
+    firsts = firsts.select(F.col("part").alias("of"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("first"), F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("first_block"))
+    # one row for each partition, of 20 bytes: broadcast, the ids stay where they are
+    placed = runs.join(F.broadcast(firsts), F.col("part") == F.col("of")).withColumn("number", F.col("first_block") + F.col("block")).withColumn("start", F.col("first") + F.col("before"))
 
     def encode(batches):
-        ids_, ranks_ = table.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                ids = np.frombuffer(row.column("ids")[0].as_buffer(), "<u4")
-                control, data = encode_ranks(ranks_[np.searchsorted(ids_, ids)])
+                control, data = encode_ranks(ranks_.value[_ids(row)])
                 counts = row.column("counts").flatten().to_numpy()
                 starts = row.column("start")[0].as_py() + np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays([row.column("number"), row.column("doc_ids"), pa.array([starts.tolist()], pa.list_(pa.int64())), row.column("counts"), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=["block", "doc_ids", "starts", "counts", "control", "data"])
 
-    out = placed.select("number", "doc_ids", "counts", "start", "ids").mapInArrow(encode, "block long, doc_ids array<long>, starts array<long>, counts array<int>, control binary, data binary")
+    out = placed.select("number", "doc_ids", "counts", "start", "width", "ids").mapInArrow(encode, "block long, doc_ids array<long>, starts array<long>, counts array<int>, control binary, data binary")
     out.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -95,18 +96,19 @@ def _blocks(tokenizer: str, kind: str, end_id: int):
 
         part, block = TaskContext.get().partitionId(), 0
         doc_ids, counts, ids = [], [], []
-        total = 0
+        total = before = 0
 
         def flush():
             one = np.concatenate(ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([total], pa.int64()), pa.array([one.tobytes()], pa.binary())], names=["part", "block", "doc_ids", "counts", "total", "ids"])
+            one = one.astype("<u2") if one.max() < 1 << 16 else one
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([total], pa.int64()), pa.array([one.itemsize], pa.int32()), pa.array([one.tobytes()], pa.binary())], names=["part", "block", "before", "doc_ids", "counts", "total", "width", "ids"])
 
         for cut, got, n in tokenised(batches, tokenizer, kind, end_id):
             firsts = np.concatenate([[0], np.cumsum(n)])
             for i, doc_id in enumerate(cut.column("doc_id").to_pylist()):
                 if total and total + n[i] > BLOCK_IDS:
                     yield flush()
-                    block, total = block + 1, 0
+                    block, before, total = block + 1, before + total, 0
                     doc_ids, counts, ids = [], [], []
                 doc_ids.append(doc_id)
                 counts.append(int(n[i]))
@@ -118,21 +120,26 @@ def _blocks(tokenizer: str, kind: str, end_id: int):
     return blocks
 
 
+def _ids(row: pa.RecordBatch) -> np.ndarray:
+    """The ids of a stored block, in two or four bytes each."""
+    return np.frombuffer(row.column("ids")[0].as_buffer(), f"<u{row.column('width')[0].as_py()}")
+
+
 def _ranks(runs: DataFrame) -> DataFrame:
     """rank, id and n of each id that occurs; the most frequent has rank 0, equal counts go by id."""
 
     def count(batches):
         sums = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for one in batch.column("ids"):
-                got = np.bincount(np.frombuffer(one.as_buffer(), "<u4"))
+            for i in range(batch.num_rows):
+                got = np.bincount(_ids(batch.slice(i, 1)))
                 if len(got) > len(sums):
                     sums = np.concatenate([sums, np.zeros(len(got) - len(sums), np.int64)])
                 sums[: len(got)] += got
         seen = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(sums[seen])], names=["id", "n"])
 
-    counts = runs.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = runs.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "id")  # a row for each id of the vocabulary
     return counts.select((F.row_number().over(by_rank) - 1).alias("rank"), "id", "n")
 
@@ -141,7 +148,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (little-endian unsigned 32-bit) of each document."""
     by_rank = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").limit(MOST_IDS).toArrow()  # a vocabulary's size
     ids_of = spark.sparkContext.broadcast(by_rank.column("id").to_numpy().astype(np.uint32))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a block a row
+    small_batches(spark, BATCH_BLOCKS)
 
     def decode(batches):
         for batch in batches:

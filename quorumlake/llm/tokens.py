@@ -1,22 +1,25 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once.
 
 Both families of tokenizer files split a text before they merge anything, so that the ids of a text are those of its
-pieces on end: "words" tokenizers drop white space, so pieces are runs of other bytes; "bytes" tokenizers start a new
-pre-token at a single space between other characters, so pieces begin at such spaces. Python workers keep the ids of
-pieces they have met, up to a bound.
+pieces on end. "words" tokenizers drop white space and fold case: pieces are runs of other bytes, in ASCII lower case.
+"bytes" tokenizers keep white space, and a space belongs to what follows it: where no two white space characters stand
+together, pieces are line ends and words with the space before them; in other texts they begin at single spaces. A full
+stop or comma after a letter or digit is a pre-token of its own, so that a piece that ends so is made of two known ones.
+Python workers keep the ids of pieces they have met, up to a bound.
 """
 
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
 #: A longer piece is encoded each time it occurs.
 LONGEST_CACHED = 64
 
-#: White space next to a space: there, pieces by single spaces would differ from pre-tokens.
-_IRREGULAR = re.compile(r"\s | \s|^ | $")
+_IRREGULAR = re.compile(r"\s\s")
+_REGULAR_PIECE = re.compile(r"\n| ?[^ \n]+| ")
 _PIECE_START = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -28,6 +31,7 @@ class PieceEncoder:
 
         assert kind in ("words", "bytes"), kind
         self.kind = kind
+        self.marks = (b".", b",") if kind == "words" else (".", ",")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a control token's string in a text is text
         self._forget()
@@ -38,48 +42,70 @@ class PieceEncoder:
         self.ends = np.zeros(1 << 14, np.int64)
         self.used = self.pieces = 0
 
-    def _learn(self, new: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = [x.ids for x in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
+    def _append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.pieces + len(new) + 1 > len(self.ends):
+        while self.pieces + len(sizes) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.ends[self.pieces + 1 : self.pieces + 1 + len(new)] = self.used + np.cumsum(sizes)
-        self.used += total
-        self.pieces += len(new)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.ends[self.pieces + 1 : self.pieces + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += len(flat)
+        self.pieces += len(sizes)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known pieces on end, and how many each has."""
+        sizes = self.ends[at + 1] - self.ends[at]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.arange(int(sizes.sum())) + np.repeat(self.ends[at] - before, sizes)], sizes
+
+    def _encode_new(self, new: list) -> None:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8") if isinstance(x, bytes) else x for x in new], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = self.pieces
+        self._append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        self.known.update(zip(new, range(first, self.pieces), strict=True))
+
+    def _parts(self, piece) -> tuple | None:
+        """What stands before a last full stop or comma, and that; None for other pieces."""
+        if piece[-1:] not in self.marks or len(piece) < 2:
+            return None
+        head = piece[:-1]
+        before = head.decode("utf-8")[-1] if isinstance(head, bytes) else head[-1]
+        return (head, piece[-1:]) if before.isalnum() else None
+
+    def _learn(self, new: list) -> None:
+        parts = [(p, x) for p in new if (x := self._parts(p))]
+        made = {p for p, _ in parts}
+        simple = {p for p in new if p not in made}.union(y for _, x in parts for y in x).difference(self.known)
+        if simple:
+            self._encode_new(list(simple))
+        if parts:
+            both = np.fromiter((self.known[y] for _, x in parts for y in x), np.int64, 2 * len(parts))
+            flat, sizes = self._gather(both)
+            first = self.pieces
+            self._append(flat, sizes.reshape(-1, 2).sum(1))
+            self.known.update(zip((p for p, _ in parts), range(first, self.pieces), strict=True))
 
     def _split(self, text: str) -> list:
         if self.kind == "words":
-            return text.encode("utf-8", "replace").split()
-        if _IRREGULAR.search(text):
-            return _PIECE_START.split(text) if text else []
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head or rest else []
+            return text.encode("utf-8", "replace").lower().split()
+        return [x for x in _PIECE_START.split(text) if x] if _IRREGULAR.search(text) else _REGULAR_PIECE.findall(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.pieces > CACHE_PIECES:
             self._forget()
-        known = self.known
         split = [self._split(x) for x in texts]
-        new = {p for pieces in split for p in pieces if p not in known}
+        new = set(chain.from_iterable(split)).difference(self.known)
         if new:
-            new = list(new)
-            self._learn([x.decode("utf-8") if isinstance(x, bytes) else x for x in new])
-            first = self.pieces - len(new)
-            known.update(zip(new, range(first, self.pieces), strict=True))
+            self._learn(list(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((known[p] for pieces in split for p in pieces), np.int64, int(counts.sum()))
-        for p in [p for p in new if len(p) > LONGEST_CACHED] if new else []:
-            del known[p]
-        lengths = self.ends[at + 1] - self.ends[at]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.arange(before[-1]) + np.repeat(self.ends[at] - before[:-1], lengths)
-        bounds = before[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[source], np.diff(bounds)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        for p in new:
+            if len(p) > LONGEST_CACHED:
+                del self.known[p]
+        ids, sizes = self._gather(at)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(bounds)
 
 
 _ENCODERS: dict = {}
