@@ -38,7 +38,9 @@ GRAM = 64
 #: Distinct pieces of an anchor, over all blocks, from which its windows go by themselves.
 MANY_PIECES = 4000
 #: Bytes of text for each bucket of pieces.
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 8_000_000
+#: Suffixes that are sorted at a time, whole anchors together.
+SORT_SUFFIXES = 300_000
 
 SENT = "kind int, slice int, block int, a binary, b binary, c binary, d binary, marks binary"
 _TYPES = {"kind": pa.int32(), "slice": pa.int32(), "block": pa.int32(), **{k: pa.binary() for k in ("a", "b", "c", "d", "marks")}}
@@ -117,7 +119,7 @@ def common_extension(h: Prefixes, i: np.ndarray, j: np.ndarray, most: int) -> np
     return low
 
 
-def same_bytes(data: np.ndarray, i: np.ndarray, j: np.ndarray, length: np.ndarray | int, step: int = 4_000_000) -> np.ndarray:
+def same_bytes(data: np.ndarray, i: np.ndarray, j: np.ndarray, length: np.ndarray | int, step: int = 1_000_000) -> np.ndarray:
     """Whether data[i:i + length] equals data[j:j + length], for many i and j."""
     length = np.broadcast_to(np.asarray(length, np.int64), i.shape)
     out = np.ones(len(i), bool)
@@ -211,25 +213,26 @@ def repeated_in_bucket(data: np.ndarray, start: np.ndarray, count: np.ndarray, o
     # suffixes of the distinct pieces of anchors that have more than one
     by_anchor, group = np.unique(anchor[head], return_inverse=True)
     several = np.flatnonzero(np.bincount(group, minlength=len(by_anchor))[group] > 1)
-    hit = np.zeros(0, np.int64)
-    owner = np.zeros(0, np.int64)
-    if len(several):
-        h = Prefixes(data.astype(np.uint64) + np.uint64(1), BYTE_BASES[0])
-        p = head[several]
-        suffix = spans(start[p], start[p] + count[p] - 1)
-        owner = np.repeat(several, count[p])
-        window = suffix - start[head[owner]]
-        # equal windows have their anchor at the same place
-        key = group[owner] * (1 << 20) + (offset[head[owner]] - window)
-        sorted_ = sort_suffixes(data, h, suffix, key, length)
-        a, b = sorted_[:-1], sorted_[1:]
-        near = np.flatnonzero(key[a] == key[b])
-        near = near[common_extension(h, suffix[a[near]], suffix[b[near]], length) == length]
-        near = near[same_bytes(data, suffix[a[near]], suffix[b[near]], length)]
-        equal = np.zeros(len(suffix), bool)
-        equal[a[near]] = equal[b[near]] = True
-        equal &= ~whole[owner]
-        hit, owner = window[equal], owner[equal]
+    hits, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    several = several[np.argsort(group[several], kind="stable")]
+    starts = np.flatnonzero(np.append(True, group[several][1:] != group[several][:-1])) if len(several) else np.zeros(0, np.int64)
+    ahead = np.append(0, np.cumsum(count[head[several]]))
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ahead[starts], ahead[starts[i]] + SORT_SUFFIXES, "right")) - 1) if i + 1 < len(starts) else i + 1
+        some = several[starts[i] : starts[j] if j < len(starts) else len(several)]
+        p = head[some]
+        size = count[p] + length - 1
+        own = data[spans(start[p], start[p] + size - 1)]
+        at = np.cumsum(size) - size
+        suffix, of = spans(at, at + count[p] - 1), np.repeat(np.arange(len(p)), count[p])
+        window = suffix - at[of]
+        found = repeated_suffixes(own, suffix, group[some][of] * (1 << 20) + (offset[p][of] - window), length)  # equal windows have their anchor at the same place
+        found &= ~whole[some][of]
+        hits.append(window[found])
+        owners.append(some[of[found]])
+        i = j
+    hit, owner = np.concatenate(hits), np.concatenate(owners)
     piece = np.concatenate([np.flatnonzero(whole), owner])
     first = np.concatenate([np.zeros(int(whole.sum()), np.int64), hit])
     last = np.concatenate([count[head[whole]] - 1, hit])
@@ -245,6 +248,19 @@ def repeated_in_bucket(data: np.ndarray, start: np.ndarray, count: np.ndarray, o
     return np.repeat(np.arange(len(which)), hi - lo), first[each], last[each]
 
 
+def repeated_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes share their first length bytes with another one of their group."""
+    h = Prefixes(data.astype(np.uint64) + np.uint64(1), BYTE_BASES[0])
+    order = sort_suffixes(data, h, suffix, group, length)
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero(group[a] == group[b])
+    near = near[common_extension(h, suffix[a[near]], suffix[b[near]], length) == length]
+    near = near[same_bytes(data, suffix[a[near]], suffix[b[near]], length)]
+    out = np.zeros(len(suffix), bool)
+    out[a[near]] = out[b[near]] = True
+    return out
+
+
 def _raw(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x).astype(kind).tobytes()
 
