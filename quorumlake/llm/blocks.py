@@ -19,11 +19,11 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
 
 
-def deal(docs: DataFrame, total: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_id, text) of all rows. A plan that uses it more than once shuffles the texts once."""
+def deal(docs: DataFrame, total: int, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """(block, doc_id, text) of all rows, and the columns named in keep as _x0, _x1 and so on. A plan that uses it more than once shuffles the texts once."""
     blocks = max(1, -(-total // block_bytes))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int").alias("block"), doc_id.alias("doc_id"), "text")
+    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int").alias("block"), doc_id.alias("doc_id"), "text", *[F.col(x).alias(f"_x{i}") for i, x in enumerate(keep or [])])
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,75 @@
-"""The stages of corpus_pipeline.py."""
+"""The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir) and returns documents, the last one pieces."""
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .storage import written
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _text_key() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. A row's verdict depends on its host and text alone, and finds it by doc_id, host and text."""
+    from .quality import quality_rules
+
+    same = docs.withColumn("text_key", _text_key())
+    judged = quality_rules(same.select("doc_id", "text", "source", "text_key"), extra=["source", "text_key"])
+    good = judged.filter("kept").select("doc_id", "source", "text_key").distinct()
+    on = same.doc_id.eqNullSafe(good.doc_id) & same.source.eqNullSafe(good.source) & (same.text_key == good.text_key)
+    return same.join(good, on, "left_semi").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that n-gram Jaccard links (five words, 0.8) join: that of the least doc_id. Documents without words stay."""
+    from .jaccard import jaccard_join
+
+    found = jaccard_join(docs, 5, 80)
+    stays = found.filter((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(stays, docs.doc_id.eqNullSafe(stays.doc_id), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of strings of 400 bytes that occur more than once."""
+    from .suffixes import remove_repeats
+
+    return remove_repeats(docs, 400, keep=[c for c in docs.columns if c not in ("doc_id", "text")]).select(
+        "doc_id", F.col("kept_text").alias("text"), *[F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    ).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix to target weights has it."""
+    from .mixing import mix_sources
+
+    copies = written(mix_sources(docs).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").cast("int").alias("rows")), "copies")
+    # rows of one doc_id share its copies; doc_ids are unique as a rule, and then this is the document's number
+    each = F.ceil(F.col("copies") / F.col("rows")).cast("int")
+    mixed = docs.join(copies.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).filter("copies > 0")
+    return mixed.withColumn("turn", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces, as packing makes them."""
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "words", 2, 4096)
+
+
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_strings), ("mixing to target weights", mixing), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage returns for the documents table; each stage's result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, name.replace(" ", "-"))
+    return docs

@@ -99,27 +99,32 @@ def text_stats(t: Texts) -> dict[str, object]:
     }
 
 
-def _stats(batches):
-    for batch in batches:
-        for t in steps(batch.column("text")):
-            cut = batch.slice(t.rows.start, t.count)
-            found = text_stats(t)
-            yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("host"), *map(lambda x: x if isinstance(x, pa.Array) else pa.array(x), found.values())], names=["doc_id", "host", *found])
+def document_stats(docs: DataFrame, host: str = "source", extra: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs (doc_id, text and the host's column), as in STATS, with columns of docs named in extra."""
+    small_batches(docs.sparkSession)
+    extra = extra or []
 
+    def stats(batches):
+        for batch in batches:
+            for t in steps(batch.column("text")):
+                cut = batch.slice(t.rows.start, t.count)
+                found = text_stats(t)
+                yield pa.RecordBatch.from_arrays(
+                    [cut.column("doc_id"), cut.column("host"), *[x if isinstance(x, pa.Array) else pa.array(x) for x in found.values()], *[cut.column(f"_x{i}") for i in range(len(extra))]],
+                    names=["doc_id", "host", *found, *[f"_x{i}" for i in range(len(extra))]],
+                )
 
-def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row for each row of docs (doc_id, text and the host's column), as in STATS."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text").mapInArrow(_stats, STATS)
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text", *[F.col(x).alias(f"_x{i}") for i, x in enumerate(extra)])
+    return taken.mapInArrow(stats, STATS + "".join(f", _x{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(extra)))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
-    """Each row's counts, base_failed, words in boilerplate lines (n_boilerplate_words) and verdict (kept).
+def quality_rules(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
+    """Each row's counts, base_failed, words in boilerplate lines (n_boilerplate_words) and verdict (kept); extra: columns of docs to pass on.
 
     A host's frequent lines are at most 1 / share times the mean number of lines of its documents, so that each host's
     list is small whatever the input; it goes to the host's documents by a join that Spark may split where a host is hot.
     """
-    stats = written(document_stats(docs, host), "quality")  # read more than once below
+    stats = written(document_stats(docs, host, extra), "quality")  # read more than once below
     texts = stats.groupBy("host", "text_hash").agg(F.count("*").alias("copies"))
     hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
     lines = stats.select("host", "text_hash", F.explode("lines.line").alias("line")).distinct()
@@ -136,4 +141,5 @@ def quality_rules(docs: DataFrame, host: str = "source", share: float = LINE_SHA
     return judged.select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         F.coalesce(removed, F.lit(0)).alias("n_boilerplate_words"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= least_left * F.col("n_words")) )
+        *[F.col(f"_x{i}").alias(x) for i, x in enumerate(extra or [])],
+    ).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= least_left * F.col("n_words")))

@@ -79,5 +79,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, 10)
 
 
-QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op5_jaccard": op5_jaccard, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_neighbours": op10_neighbours}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op5_jaccard": op5_jaccard, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_neighbours": op10_neighbours, "pipeline": pipeline}
 ORACLE_SQL: dict[str, str] = {}

@@ -269,13 +269,14 @@ def _from(raw: bytes | None, kind: str) -> np.ndarray:
     return np.frombuffer(raw or b"", kind)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gram: int = GRAM, many: int = MANY_PIECES) -> DataFrame:
-    """RESULT of each row; kept_text is null if texts is false. Each byte of a string of length bytes that starts anywhere else too is removed, at all its places."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gram: int = GRAM, many: int = MANY_PIECES, keep: list[str] | None = None) -> DataFrame:
+    """RESULT of each row, and the columns of docs named in keep; kept_text is null if texts is false. Each byte of a string of length bytes that starts anywhere else too is removed, at all its places."""
     small_batches(docs.sparkSession)
     total = text_bytes(docs)
     slices = max(1, -(-total // (100 * RANGE_HASHES)))
     buckets = max(1, -(-total // BUCKET_BYTES))
-    dealt = deal(docs, total)
+    keep = keep or []
+    dealt = deal(docs, total, keep=keep)
 
     def anchors(t: pa.Table) -> pa.Table:
         block, found = column(t, "block")[0], []
@@ -422,8 +423,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gr
             done += x.count
         names = [f.split()[0] for f in RESULT.split(", ")]
         types = [pa.int64()] * 4 + [pa.string()] * 2
-        return pa.table({k: pa.array([r[i] for r in rows], types[i]) for i, k in enumerate(names)})
+        kept = {f"_x{i}": left.column(f"_x{i}") for i in range(len(keep))} if left.num_rows else {}
+        return pa.table({k: pa.array([r[i] for r in rows], types[i]) for i, k in enumerate(names)} | kept)
 
+    if keep:
+        result = RESULT + "".join(f", _x{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(keep))
+        out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, result)
+        return out.select(*[f.split()[0] for f in RESULT.split(", ")], *[F.col(f"_x{i}").alias(x) for i, x in enumerate(keep)])
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, RESULT)
 
 
