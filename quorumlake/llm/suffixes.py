@@ -81,7 +81,7 @@ class Pieces:
         self.first = start[new]
         self.last = start[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
         self.place = at[new]
-        self.anchor = hashes[self.place]
+        self.anchor = mix(~hashes[self.place])  # least hashes lie close together; these are spread evenly
 
     def digests(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.two is None:
