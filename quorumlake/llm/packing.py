@@ -36,7 +36,7 @@ def tokenised(batches, path: str, kind: str, end_id: int, step_bytes: int = 1_00
     for batch in batches:
         for t in steps(batch.column("text"), step_bytes):
             cut = batch.slice(t.rows.start, t.count)
-            ids, counts = encoder(path, kind).encode([x or "" for x in cut.column("text").to_pylist()])
+            ids, counts = encoder(path, kind).encode(t)
             ends = np.cumsum(counts)
             yield cut, np.insert(ids, ends, end_id).astype("<u4"), counts + 1
 

@@ -1,26 +1,97 @@
-"""Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once.
-
-Both families of tokenizer files split a text before they merge anything, so that the ids of a text are those of its
-pieces on end. "words" tokenizers drop white space and fold case: pieces are runs of other bytes, in ASCII lower case.
-"bytes" tokenizers keep white space, and a space belongs to what follows it: where no two white space characters stand
-together, pieces are line ends and words with the space before them; in other texts they begin at single spaces. A full
-stop or comma after a letter or digit is a pre-token of its own, so that a piece that ends so is made of two known ones.
-Python workers keep the ids of pieces they have met, up to a bound.
-"""
+"""Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once by a worker.
 
-import re
-from itertools import chain
+Both families of tokenizer files split a text into pre-tokens before they merge anything, and no pre-token holds a letter
+or digit followed by an ASCII character of another class, nor anything followed by white space. A text may be cut at such
+places, and its ids are those of the parts on end. "words" tokenizers drop white space and fold case, so that parts lie
+between white space and are looked up in ASCII lower case; "bytes" tokenizers keep it, and a part has the white space
+before it, but that a single line end is a part of its own. Next to characters that may be white space beyond ASCII no cut
+is made.
 
-import numpy as np
+Parts are found, hashed and looked up with numpy; only parts that a worker has not met go to the tokenizer. A known part
+is told by 64 bits of hash and by its length and first eight bytes.
+"""
 
-#: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 1_500_000
-#: A longer piece is encoded each time it occurs.
-LONGEST_CACHED = 64
+import numpy as np
 
-_IRREGULAR = re.compile(r"\s\s")
-_REGULAR_PIECE = re.compile(r"\n| ?[^ \n]+| ")
-_PIECE_START = re.compile(r"(?<=\S)(?= \S)")
+from .textkernel import BYTE_BASES, LOWER, SPACE, Prefixes, Texts, mix
+
+#: Parts that a worker remembers, in a table of twice as many places of 24 bytes; beyond that it starts anew.
+CACHE_PARTS = 2_000_000
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[range(48, 58)] = True
+_ASCII = np.arange(256) < 128
+#: First bytes of characters among which there is white space.
+_DOUBT = np.zeros(256, bool)
+_DOUBT[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def part_ends(t: Texts, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each part of some texts."""
+    d, n = t.data, len(t.data)
+    cut = np.zeros(n + 1, bool)  # a cut before a place
+    cut[t.offsets] = True
+    if n > 1:
+        a, b = d[:-1], d[1:]
+        cut[1:-1] |= (_LETTER[a] & _ASCII[b] & ~_LETTER[b]) | (_DIGIT[a] & _ASCII[b] & ~_DIGIT[b])
+        if kind == "words":
+            cut[1:-1] |= SPACE[a] != SPACE[b]
+        else:
+            # before white space, if what stands there is surely none; of characters beyond ASCII, those of two bytes from C3 on
+            sure = _ASCII[a] & ~SPACE[a]
+            sure[1:] |= d[:-2] == 0xC3
+            cut[1:-1] |= sure & SPACE[b]
+            # after a single line end, if what follows is surely no white space
+            line = (a == 10) & ~SPACE[b] & ~_DOUBT[b]
+            line[1:] &= (_ASCII[d[:-2]] & ~SPACE[d[:-2]]) | cut[1:-2]
+            cut[1:-1] |= line
+    at = np.flatnonzero(cut)
+    start, end = at[:-1], at[1:]
+    if kind == "words" and len(start):
+        full = ~SPACE[d[start]]
+        start, end = start[full], end[full]
+    return start, end
+
+
+class PartTable:
+    """Places of known parts, found by hash: open addressing in numpy arrays."""
+
+    def __init__(self, parts: int):
+        self.bits = max(4, (2 * parts - 1).bit_length())
+        n = 1 << self.bits
+        self.keys, self.checks, self.values = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for those not in the table."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, open_ = self._slots(keys), np.arange(len(keys))
+        while len(open_):
+            s = slot[open_]
+            value = self.values[s]
+            hit = (self.keys[s] == keys[open_]) & (self.checks[s] == checks[open_]) & (value >= 0)
+            out[open_[hit]] = value[hit]
+            open_ = open_[(value >= 0) & ~hit]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, values: np.ndarray) -> None:
+        """Put in distinct entries that are not there."""
+        slot, open_ = self._slots(keys), np.arange(len(keys))
+        while len(open_):
+            s = slot[open_]
+            free = self.values[s] < 0
+            mine = open_[free]
+            self.values[s[free]] = values[mine]
+            won = self.values[s] == values[open_]
+            w = open_[won]
+            self.keys[slot[w]], self.checks[slot[w]] = keys[w], checks[w]
+            open_ = open_[~won]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
 
 
 class PieceEncoder:
@@ -31,81 +102,63 @@ class PieceEncoder:
 
         assert kind in ("words", "bytes"), kind
         self.kind = kind
-        self.marks = (b".", b",") if kind == "words" else (".", ",")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a control token's string in a text is text
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict = {}
+        self.table = PartTable(CACHE_PARTS)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
-        self.used = self.pieces = 0
+        self.used = self.parts = 0
 
-    def _append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.flat):
+    def _learn(self, new: list[str]) -> None:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.pieces + len(sizes) + 1 > len(self.ends):
+        while self.parts + len(new) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.ends[self.pieces + 1 : self.pieces + 1 + len(sizes)] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.pieces += len(sizes)
-
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known pieces on end, and how many each has."""
-        sizes = self.ends[at + 1] - self.ends[at]
-        before = np.cumsum(sizes) - sizes
-        return self.flat[np.arange(int(sizes.sum())) + np.repeat(self.ends[at] - before, sizes)], sizes
-
-    def _encode_new(self, new: list) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8") if isinstance(x, bytes) else x for x in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = self.pieces
-        self._append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
-        self.known.update(zip(new, range(first, self.pieces), strict=True))
-
-    def _parts(self, piece) -> tuple | None:
-        """What stands before a last full stop or comma, and that; None for other pieces."""
-        if piece[-1:] not in self.marks or len(piece) < 2:
-            return None
-        head = piece[:-1]
-        before = head.decode("utf-8")[-1] if isinstance(head, bytes) else head[-1]
-        return (head, piece[-1:]) if before.isalnum() else None
-
-    def _learn(self, new: list) -> None:
-        parts = [(p, x) for p in new if (x := self._parts(p))]
-        made = {p for p, _ in parts}
-        simple = {p for p in new if p not in made}.union(y for _, x in parts for y in x).difference(self.known)
-        if simple:
-            self._encode_new(list(simple))
-        if parts:
-            both = np.fromiter((self.known[y] for _, x in parts for y in x), np.int64, 2 * len(parts))
-            flat, sizes = self._gather(both)
-            first = self.pieces
-            self._append(flat, sizes.reshape(-1, 2).sum(1))
-            self.known.update(zip((p for p, _ in parts), range(first, self.pieces), strict=True))
-
-    def _split(self, text: str) -> list:
-        if self.kind == "words":
-            return text.encode("utf-8", "replace").lower().split()
-        return [x for x in _PIECE_START.split(text) if x] if _IRREGULAR.search(text) else _REGULAR_PIECE.findall(text)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.pieces > CACHE_PIECES:
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.ends[self.parts + 1 : self.parts + 1 + len(new)] = self.used + np.cumsum(sizes)
+        self.used += total
+        self.parts += len(new)
+
+    def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts > CACHE_PARTS:
             self._forget()
-        split = [self._split(x) for x in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if new:
-            self._learn(list(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        for p in new:
-            if len(p) > LONGEST_CACHED:
-                del self.known[p]
-        ids, sizes = self._gather(at)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
+        seen = t if self.kind == "bytes" else Texts(LOWER[t.data], t.offsets, t.rows)
+        start, end = part_ends(seen, self.kind)
+        size = end - start
+        keys = mix(Prefixes(seen.data.astype(np.uint64) + np.uint64(1), BYTE_BASES[0]).of(start, end) + size.astype(np.uint64))
+        checks = _heads(seen.data, start, size)
+        at = self.table.find(keys, checks)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            _, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            some = new[first]
+            odd = np.flatnonzero(checks[some][which] != checks[new])  # another part of equal hash: a place of its own, not kept
+            raw = seen.data.tobytes()
+            own = np.concatenate([some, new[odd]])
+            base = self.parts
+            self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+            self.table.add(keys[some], checks[some], base + np.arange(len(some)))
+            at[new] = base + which
+            at[new[odd]] = base + len(some) + np.arange(len(odd))
+        n = self.ends[at + 1] - self.ends[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.arange(before[-1]) + np.repeat(self.ends[at] - before[:-1], n)]
+        return ids, np.diff(before[np.searchsorted(start, t.offsets)])
+
+
+def _heads(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each part, with its length in what is left over or above them."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[start].view("<u8").reshape(-1)
+    keep = np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
+    mask = np.where(keep == 64, ~np.uint64(0), (np.uint64(1) << (keep % np.uint64(64))) - np.uint64(1))
+    return (words & mask) + (size.astype(np.uint64) << np.uint64(56))
 
 
 _ENCODERS: dict = {}
