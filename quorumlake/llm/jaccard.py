@@ -13,7 +13,7 @@ dealing takes all partitions. No pair is lost.
 
 Equal sets are one vertex from the start. Of the sets that share a signature, all are compared exactly with one of them;
 those that have not joined the others' component go on to another pivot, and what is still apart after some rounds is
-compared pair by pair. So a group of copies costs about its size, and components are exact.
+compared pair by pair. Sets too many of whose shingles no other candidate has are left out before. So a group of copies costs about its size, and components are exact.
 
 Defined results: a null text or one without words has an empty set and links with nothing. Fewer words than a shingle make
 one shingle of all. Equal texts link. Rows of equal doc_id are judged by their texts. An empty table gives no rows; further
@@ -34,7 +34,7 @@ from .textkernel import LOWER, Texts, in_doc, mix, steps, windows
 
 LIGHT = 2
 DEALINGS = 6
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 3
 _K1, _K2, _K3 = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -194,13 +194,6 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
         places, block = cut(keys, slices), column(left, "block")[0]
         return _sent([(i, block, packed(keys[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
 
-    def meet(t: pa.Table) -> pa.Table:
-        blocks_, part = column(t, "block"), column(t, "slice")[0]
-        keys = [unpacked(x) for x in column(t, "keys")]
-        marks = [unflagged(x, len(k)) for x, k in zip(column(t, "marks"), keys, strict=True)]
-        shared = twice(np.concatenate(keys), np.concatenate(marks))
-        return _sent([(part, b, packed(k[member(shared, k)]), None) for b, k in zip(blocks_, keys, strict=True) if member(shared, k).any()])
-
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
@@ -217,15 +210,63 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
                     a, b = np.searchsorted(owner, [i, i + 1])
                     c, d = np.searchsorted(of, [i, i + 1])
                     out.append((int(digest[i]), int(n[i]), np.unique(sign[a:b]).view(np.int64), keys[c:d].tobytes()))
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.table({k: pa.array([r[i] for r in out], types[i]) for i, k in enumerate(("vertex", "n", "signs", "shingles"))})
+        return _sets(out)
 
-    answers = dealt.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, SENT).groupBy("slice").applyInArrow(meet, SENT)
+    answers = dealt.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, SENT).groupBy("slice").applyInArrow(_meet, SENT)
     none = F.lit(None).cast("long")
     told = chosen.unionByName(answers.select("slice", "block", none.alias("doc_id"), none.alias("vertex"), "keys"))
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(emit, SETS)
 
 
+def plausible_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """Those of sets (SETS) that may have a similar one among the others, with the number of shingles that others have too (common).
+
+    A similar set holds percent / 100 of a set's shingles at least, and no shingle that only this one has. Copies with
+    changes of their own, too many to be similar, share signatures with each other; this lets them go before they are
+    compared.
+    """
+    total = int(sets.agg(F.sum(F.octet_length("shingles").cast("long"))).first()[0] or 0)
+    slices, blocks = max(1, -(-total // (8 * RANGE_HASHES))), max(1, -(-total // BLOCK_BYTES))
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("vertex"), F.lit(blocks)).cast("int"))
+
+    def send(t: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in column(t, "shingles")]))
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        marks, keys = np.diff(np.append(at, len(keys))) > 1, keys[at]
+        places, block = cut(keys, slices), column(t, "block")[0]
+        return _sent([(i, block, packed(keys[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            answers = sorted(zip(column(right, "slice"), column(right, "keys"), strict=True))
+            shared = np.concatenate([unpacked(k) for _, k in answers])
+            for row in zip(*[column(left, x) for x in ("vertex", "n", "signs", "shingles")], strict=True):
+                common = int(member(shared, np.frombuffer(row[3], np.uint64)).sum())
+                if 100 * common >= percent * row[1]:
+                    out.append((*row, common))
+        return _sets(out, True)
+
+    answers = dealt.groupBy("block").applyInArrow(send, SENT).groupBy("slice").applyInArrow(_meet, SENT)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, SETS + ", common long")
+
+
+def _sets(rows: list[tuple], judged: bool = False) -> pa.Table:
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+    names = ("vertex", "n", "signs", "shingles", "common")[: 5 if judged else 4]
+    return pa.table({k: pa.array([r[i] for r in rows], types[i]) for i, k in enumerate(names)})
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """To each block, those of the hashes that it sent which occur twice or more in all."""
+    blocks, part = column(t, "block"), column(t, "slice")[0]
+    keys = [unpacked(x) for x in column(t, "keys")]
+    marks = [unflagged(x, len(k)) for x, k in zip(column(t, "marks"), keys, strict=True)]
+    shared = twice(np.concatenate(keys), np.concatenate(marks))
+    own = [k[member(shared, k)] for k in keys]
+    return _sent([(part, b, packed(k), None) for b, k in zip(blocks, own, strict=True) if len(k)])
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar, by their exact intersection."""
 
@@ -251,7 +292,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     rows = written(document_sets(docs, width), "jaccard-rows")
     firsts = written(rows.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "jaccard-firsts")
     sets = written(candidate_sets(docs, firsts, width, percent), "jaccard-sets")
-    members = written(sets.select(F.explode("signs").alias("sign"), "vertex", "n"), "jaccard-members")
+    sets = written(plausible_sets(sets, percent), "jaccard-plausible")
+    members = written(sets.select(F.explode("signs").alias("sign"), "vertex", "n", "common"), "jaccard-members")
     links = link_members(members, sets, percent)
     labels = components(links)
     joined = firsts.join(labels, firsts.vertex == labels.v, "left").select("vertex", "doc_id", F.coalesce("comp", "vertex").alias("comp"))
@@ -261,20 +303,28 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
 
 def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all similar sets among those that share a signature; members: (sign, vertex, n)."""
-    fits = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
+    """Links (a, b) that join all similar sets among those that share a signature; members: (sign, vertex, n, common).
+
+    An intersection holds no more than what either set has in common with others. The first pivot of a signature is the set
+    with the fewest shingles of its own: of changed copies, that nearest to what they are copies of.
+    """
+    own = ["vertex", "n", "common", "comp"]
+    fits = (100 + percent) * F.least("common", "p.common") >= percent * (F.col("n") + F.col("p.n"))
     links = tested = None
     groups = members.withColumn("comp", F.col("vertex"))
     for turn in range(PIVOT_ROUNDS + 1):
         if turn == PIVOT_ROUNDS:
-            # what is still apart, pair by pair: few sets, or none
-            other = groups.select(F.col("sign").alias("of"), F.col("vertex").alias("pivot"), F.col("n").alias("pivot_n"), F.col("comp").alias("pivot_comp"))
-            pairs = groups.join(other, (groups.sign == other.of) & (groups.vertex > other.pivot)).filter("comp <> pivot_comp")
+            # what is still apart, pair by pair, each at the least signature that both have
+            signs = groups.groupBy(F.col("vertex").alias("v")).agg(F.sort_array(F.collect_set("sign")).alias("signs"))
+            listed = written(groups.join(signs, groups.vertex == signs.v).drop("v"), "jaccard-apart")
+            other = listed.select(F.col("sign").alias("of"), F.struct(*own, "signs").alias("p"))
+            apart = (F.col("vertex") > F.col("p.vertex")) & (F.col("comp") != F.col("p.comp")) & fits
+            pairs = listed.join(other, (listed.sign == other.of) & apart & (F.array_min(F.array_intersect("signs", "p.signs")) == F.col("sign")))
         else:
-            least = F.min(F.struct((F.xxhash64("vertex", F.lit(turn)) if turn else F.col("vertex")).alias("turn"), F.col("vertex"), F.col("n"), F.col("comp"))).alias("p")
-            pivots = groups.groupBy(F.col("sign").alias("of")).agg(least).select("of", F.col("p.vertex").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"))
-            pairs = groups.join(pivots, groups.sign == pivots.of).filter("vertex <> pivot and comp <> pivot_comp")
-        pairs = pairs.filter(fits).select(F.greatest("vertex", "pivot").alias("a"), F.least("vertex", "pivot").alias("b")).distinct()
+            first = F.col("n") - F.col("common") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
+            pivots = groups.groupBy(F.col("sign").alias("of")).agg(F.min(F.struct(first.alias("turn"), *own)).alias("p"))
+            pairs = groups.join(pivots, (groups.sign == pivots.of) & (F.col("comp") != F.col("p.comp")) & fits)
+        pairs = pairs.select(F.greatest("vertex", "p.vertex").alias("a"), F.least("vertex", "p.vertex").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
@@ -284,7 +334,8 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         if turn == PIVOT_ROUNDS:
             return links
         labels = components(links)
-        named = members.join(labels, members.vertex == labels.v, "left").select("sign", "vertex", "n", F.coalesce("comp", "vertex").alias("comp"))
+        named = members.join(labels, members.vertex == labels.v, "left").select("sign", "vertex", "n", "common", F.coalesce("comp", "vertex").alias("comp"))
+        # signatures whose members are not all joined yet, and of those the members that could link with one of another component
         apart = named.groupBy(F.col("sign").alias("s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
         groups = written(named.join(apart, named.sign == apart.s, "left_semi"), "jaccard-groups")
         if not groups.limit(1).count():
