@@ -34,7 +34,7 @@ from .textkernel import LOWER, Texts, in_doc, mix, steps, windows
 
 LIGHT = 2
 DEALINGS = 6
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 _K1, _K2, _K3 = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -335,9 +335,11 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             return links
         labels = components(links)
         named = members.join(labels, members.vertex == labels.v, "left").select("sign", "vertex", "n", "common", F.coalesce("comp", "vertex").alias("comp"))
-        # signatures whose members are not all joined yet, and of those the members that could link with one of another component
-        apart = named.groupBy(F.col("sign").alias("s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
-        groups = written(named.join(apart, named.sign == apart.s, "left_semi"), "jaccard-groups")
+        # members that could link with a member as small as their signature's least, and signatures of which two components are left
+        stats = lambda df: df.groupBy(F.col("sign").alias("s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo <> hi")
+        could = named.join(stats(named), F.col("sign") == F.col("s")).filter((100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least")))
+        could = written(could.select(*named.columns), "jaccard-could")
+        groups = written(could.join(stats(could).select("s"), F.col("sign") == F.col("s"), "left_semi"), "jaccard-groups")
         if not groups.limit(1).count():
             return links
     return links
