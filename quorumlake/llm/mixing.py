@@ -39,14 +39,13 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: float = CA
     ranked = written(ranked.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size")), "weights")
     total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
     # a source is full if its share per weight is over most / weight; the level only rises, so each round fills more or ends
-    level = -1.0
+    level, filled = 0.0, -1
     while True:
         full = F.col("most") < level * F.col("weight")
-        row = ranked.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        after = (total - float(row[0] or 0)) / float(row[1]) if row[1] else level
-        if after <= level * (1 + 1e-15):
+        count, taken, weight = ranked.agg(F.count_if(full), F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if count == filled or not weight:
             break
-        level = after
+        level, filled = (total - taken) / weight, count
     return ranked.select("source", "source_size", F.least(F.col("most"), F.lit(level) * F.col("weight")).alias("target"))
 
 
