@@ -12,8 +12,8 @@ of its sets have more light ones than that; such sets give signatures by a secon
 dealing takes all partitions. No pair is lost.
 
 Equal sets are one vertex from the start. Of the sets that share a signature, all are compared exactly with one of them;
-those that have not joined the others' component go on to another pivot, and what is still apart after some rounds is
-compared pair by pair. Sets too many of whose shingles no other candidate has are left out before. So a group of copies costs about its size, and components are exact.
+those that have not joined the others' component go on to another pivot, and what is still apart after that is compared
+in chunks of bounded size. Sets too many of whose shingles no other candidate has are left out before. So a group of copies costs about its size, and components are exact.
 
 Defined results: a null text or one without words has an empty set and links with nothing. Fewer words than a shingle make
 one shingle of all. Equal texts link. Rows of equal doc_id are judged by their texts. An empty table gives no rows; further
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, RANGE_HASHES, column, cut, deal, flags, member, packed, text_bytes, twice, unflagged, unpacked
+from .blocks import BLOCK_BYTES, RANGE_HASHES, column, cut, deal, distinct, flags, member, packed, text_bytes, twice, unflagged, unpacked
 from .components import components
 from .storage import small_batches, written
 from .textkernel import LOWER, Texts, in_doc, mix, steps, windows
@@ -35,6 +35,8 @@ from .textkernel import LOWER, Texts, in_doc, mix, steps, windows
 LIGHT = 2
 DEALINGS = 6
 PIVOT_ROUNDS = 2
+#: Members of a cluster in a chunk, on average.
+CHUNK = 200
 _K1, _K2, _K3 = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -133,7 +135,7 @@ def signatures(of: np.ndarray, keys: np.ndarray, size: np.ndarray, bands: Bands)
 
 _SENT = {"slice": pa.int32(), "block": pa.int32(), "keys": pa.binary(), "marks": pa.binary()}
 SENT = "slice int, block int, keys binary, marks binary"
-SETS = "vertex long, n long, signs array<long>, shingles binary"
+SETS = "vertex long, n long, signs array<long>, shingles binary, common long"
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
@@ -155,7 +157,14 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
-    """SETS of each vertex that shares a signature with another one: those signatures, and its shingles. firsts: (vertex, doc_id), a row for each vertex."""
+    """SETS of each vertex that shares a signature with another one and may be similar to one.
+
+    signs: the signatures that others share; common: the shingles that other candidates have too, or a few more. A similar
+    set holds percent / 100 of a set's shingles at least, and no shingle that only this one has. Copies with changes of
+    their own, too many to be similar, and documents that share a passage, share signatures with each other; counting the
+    candidates' shingles in a sketch, which may overestimate, lets them go before they are compared. firsts: (vertex,
+    doc_id), a row for each vertex.
+    """
     total = text_bytes(docs)
     slices = max(1, -(-total // (10 * RANGE_HASHES)))
     dealt = deal(docs, total)
@@ -194,66 +203,57 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
         places, block = cut(keys, slices), column(left, "block")[0]
         return _sent([(i, block, packed(keys[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
 
+    bits = min(60, max(16, (total // 6).bit_length() + 5))
+
+    def candidates(left: pa.Table, right: pa.Table):
+        """For each step: the chosen sets that share a signature: owners, shingles, sizes, vertices, and their shared signatures by owner."""
+        bands = Bands(percent)
+        answers = sorted((s, k) for s, k in zip(column(right, "slice"), column(right, "keys"), strict=True) if 0 <= s < slices)
+        shared = np.concatenate([np.zeros(0, np.uint64), *[unpacked(k) for _, k in answers]])
+        for of, keys, n, digest in own_sets(left, right) if len(shared) else ():
+            owner, sign = signatures(of, keys, n, bands)
+            hit = member(shared, sign)
+            owner, sign = owner[hit], sign[hit]
+            order = np.argsort(owner, kind="stable")
+            yield of, keys, n, digest, owner[order], sign[order]
+
+    def sketch(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _sent([])
+        found = [np.zeros(0, np.uint64)]
+        for of, keys, n, _, owner, _ in candidates(left, right):
+            some = np.zeros(len(n), bool)
+            some[owner] = True
+            found.append(keys[some[of]] >> np.uint64(64 - bits))
+        cells, marks = distinct(np.concatenate(found))
+        places, block = cut(cells, slices, bits), column(left, "block")[0]
+        return _sent([(slices + i, block, packed(cells[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
+
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            bands = Bands(percent)
-            answers = sorted((s, k) for s, k in zip(column(right, "slice"), column(right, "keys"), strict=True) if s >= 0)
-            shared = np.concatenate([np.zeros(0, np.uint64), *[unpacked(k) for _, k in answers]])
-            for of, keys, n, digest in own_sets(left, right) if len(shared) else ():
-                owner, sign = signatures(of, keys, n, bands)
-                hit = member(shared, sign)
-                owner, sign = owner[hit], sign[hit]
-                order = np.argsort(owner, kind="stable")
-                owner, sign = owner[order], sign[order]
-                for i in np.unique(owner).tolist():
-                    a, b = np.searchsorted(owner, [i, i + 1])
-                    c, d = np.searchsorted(of, [i, i + 1])
-                    out.append((int(digest[i]), int(n[i]), np.unique(sign[a:b]).view(np.int64), keys[c:d].tobytes()))
+            answers = sorted((s, k) for s, k in zip(column(right, "slice"), column(right, "keys"), strict=True) if s >= slices)
+            cells = np.concatenate([np.zeros(0, np.uint64), *[unpacked(k) for _, k in answers]])
+            for of, keys, n, digest, owner, sign in candidates(left, right) if len(cells) else ():
+                common = np.bincount(of[member(cells, keys >> np.uint64(64 - bits))], minlength=len(n))
+                ends = np.searchsorted(of, np.arange(len(n) + 1))
+                signs = np.searchsorted(owner, np.arange(len(n) + 1))
+                for i in np.flatnonzero((100 * common >= percent * n) & (np.diff(signs) > 0)).tolist():
+                    out.append((int(digest[i]), int(n[i]), np.unique(sign[signs[i] : signs[i + 1]]).view(np.int64), keys[ends[i] : ends[i + 1]].tobytes(), int(common[i])))
         return _sets(out)
 
-    answers = dealt.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, SENT).groupBy("slice").applyInArrow(_meet, SENT)
     none = F.lit(None).cast("long")
-    told = chosen.unionByName(answers.select("slice", "block", none.alias("doc_id"), none.alias("vertex"), "keys"))
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(emit, SETS)
+    full = lambda df: df.select("slice", "block", none.alias("doc_id"), none.alias("vertex"), "keys")
+    pairs = lambda told: dealt.groupBy("block").cogroup(told.groupBy("block"))
+    met = lambda df: df.groupBy("slice").applyInArrow(_meet, SENT)
+    told = chosen.unionByName(full(met(pairs(chosen).applyInArrow(send, SENT))))
+    told = told.unionByName(full(met(pairs(told).applyInArrow(sketch, SENT))))
+    return pairs(told).applyInArrow(emit, SETS)
 
 
-def plausible_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """Those of sets (SETS) that may have a similar one among the others, with the number of shingles that others have too (common).
-
-    A similar set holds percent / 100 of a set's shingles at least, and no shingle that only this one has. Copies with
-    changes of their own, too many to be similar, share signatures with each other; this lets them go before they are
-    compared.
-    """
-    total = int(sets.agg(F.sum(F.octet_length("shingles").cast("long"))).first()[0] or 0)
-    slices, blocks = max(1, -(-total // (8 * RANGE_HASHES))), max(1, -(-total // BLOCK_BYTES))
-    dealt = sets.withColumn("block", F.pmod(F.xxhash64("vertex"), F.lit(blocks)).cast("int"))
-
-    def send(t: pa.Table) -> pa.Table:
-        keys = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in column(t, "shingles")]))
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        marks, keys = np.diff(np.append(at, len(keys))) > 1, keys[at]
-        places, block = cut(keys, slices), column(t, "block")[0]
-        return _sent([(i, block, packed(keys[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
-
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            answers = sorted(zip(column(right, "slice"), column(right, "keys"), strict=True))
-            shared = np.concatenate([unpacked(k) for _, k in answers])
-            for row in zip(*[column(left, x) for x in ("vertex", "n", "signs", "shingles")], strict=True):
-                common = int(member(shared, np.frombuffer(row[3], np.uint64)).sum())
-                if 100 * common >= percent * row[1]:
-                    out.append((*row, common))
-        return _sets(out, True)
-
-    answers = dealt.groupBy("block").applyInArrow(send, SENT).groupBy("slice").applyInArrow(_meet, SENT)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, SETS + ", common long")
-
-
-def _sets(rows: list[tuple], judged: bool = False) -> pa.Table:
+def _sets(rows: list[tuple]) -> pa.Table:
     types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
-    names = ("vertex", "n", "signs", "shingles", "common")[: 5 if judged else 4]
+    names = ("vertex", "n", "signs", "shingles", "common")
     return pa.table({k: pa.array([r[i] for r in rows], types[i]) for i, k in enumerate(names)})
 
 
@@ -292,7 +292,6 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     rows = written(document_sets(docs, width), "jaccard-rows")
     firsts = written(rows.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "jaccard-firsts")
     sets = written(candidate_sets(docs, firsts, width, percent), "jaccard-sets")
-    sets = written(plausible_sets(sets, percent), "jaccard-plausible")
     members = written(sets.select(F.explode("signs").alias("sign"), "vertex", "n", "common"), "jaccard-members")
     links = link_members(members, sets, percent)
     labels = components(links)
@@ -312,18 +311,10 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     fits = (100 + percent) * F.least("common", "p.common") >= percent * (F.col("n") + F.col("p.n"))
     links = tested = None
     groups = members.withColumn("comp", F.col("vertex"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn == PIVOT_ROUNDS:
-            # what is still apart, pair by pair, each at the least signature that both have
-            signs = groups.groupBy(F.col("vertex").alias("v")).agg(F.sort_array(F.collect_set("sign")).alias("signs"))
-            listed = written(groups.join(signs, groups.vertex == signs.v).drop("v"), "jaccard-apart")
-            other = listed.select(F.col("sign").alias("of"), F.struct(*own, "signs").alias("p"))
-            apart = (F.col("vertex") > F.col("p.vertex")) & (F.col("comp") != F.col("p.comp")) & fits
-            pairs = listed.join(other, (listed.sign == other.of) & apart & (F.array_min(F.array_intersect("signs", "p.signs")) == F.col("sign")))
-        else:
-            first = F.col("n") - F.col("common") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
-            pivots = groups.groupBy(F.col("sign").alias("of")).agg(F.min(F.struct(first.alias("turn"), *own)).alias("p"))
-            pairs = groups.join(pivots, (groups.sign == pivots.of) & (F.col("comp") != F.col("p.comp")) & fits)
+    for turn in range(PIVOT_ROUNDS):
+        first = F.col("n") - F.col("common") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
+        pivots = groups.groupBy(F.col("sign").alias("of")).agg(F.min(F.struct(first.alias("turn"), *own)).alias("p"))
+        pairs = groups.join(pivots, (groups.sign == pivots.of) & (F.col("comp") != F.col("p.comp")) & fits)
         pairs = pairs.select(F.greatest("vertex", "p.vertex").alias("a"), F.least("vertex", "p.vertex").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -331,8 +322,6 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = written(similar(pairs, sets, percent), "jaccard-links")
         links = more if links is None else links.unionByName(more)
-        if turn == PIVOT_ROUNDS:
-            return links
         labels = components(links)
         named = members.join(labels, members.vertex == labels.v, "left").select("sign", "vertex", "n", "common", F.coalesce("comp", "vertex").alias("comp"))
         # members that could link with a member as small as their signature's least, and signatures of which two components are left
@@ -342,4 +331,40 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         groups = written(could.join(stats(could).select("s"), F.col("sign") == F.col("s"), "left_semi"), "jaccard-groups")
         if not groups.limit(1).count():
             return links
-    return links
+    return links.unionByName(written(link_apart(groups, sets, percent), "jaccard-links"))
+
+
+def link_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components that share a signature, directly or by way of others.
+
+    Such members make clusters, and a cluster is dealt to chunks; every two chunks of it are compared within one task,
+    which returns links only. A task holds two chunks, whatever a cluster's size.
+    """
+    least = groups.groupBy(F.col("sign").alias("s")).agg(F.min("vertex").alias("b"))
+    ties = groups.join(least, F.col("sign") == F.col("s")).select(F.col("vertex").alias("a"), "b").filter("a <> b").distinct()
+    labels = components(ties).withColumnRenamed("comp", "cluster")
+    sizes = labels.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    rows = groups.select("vertex", "common", "comp").distinct().join(labels, F.col("vertex") == F.col("v")).join(sizes, F.col("cluster") == F.col("c"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"))
+    rows = rows.join(sets.select(F.col("vertex").alias("of"), "shingles"), F.col("vertex") == F.col("of"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vertex", "common", "comp", "shingles")
+
+    def compare(t: pa.Table) -> pa.Table:
+        sets_ = [np.frombuffer(x, np.uint64) for x in column(t, "shingles")]
+        n = np.array([len(x) for x in sets_])
+        vertex, common, comp, chunk = (t.column(c).to_numpy() for c in ("vertex", "common", "comp", "chunk"))
+        i, j = column(t, "i")[0], column(t, "j")[0]
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        out = []
+        for a in left.tolist():
+            b = right[comp[right] != comp[a]]
+            b = b[vertex[b] > vertex[a]] if i == j else b
+            b = b[(100 + percent) * np.minimum(common[b], common[a]) >= percent * (n[b] + n[a])]
+            if len(b):
+                both = np.add.reduceat(member(sets_[a], np.concatenate([sets_[k] for k in b.tolist()])).astype(np.int64), np.cumsum(n[b]) - n[b])
+                hit = b[100 * both >= percent * (n[a] + n[b] - both)]
+                out += [(int(vertex[a]), int(v)) for v in vertex[hit]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")

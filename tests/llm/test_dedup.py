@@ -25,6 +25,7 @@ def small_blocks(monkeypatch):
         monkeypatch.setattr(module, "RANGE_HASHES", 800)
     monkeypatch.setattr(blocks.deal, "__defaults__", (9000, None))
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 20000)
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
 
 
 def covered_words(docs, width):
