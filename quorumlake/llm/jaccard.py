@@ -35,6 +35,8 @@ from .textkernel import LOWER, Texts, in_doc, mix, steps, windows
 LIGHT = 2
 DEALINGS = 6
 PIVOT_ROUNDS = 2
+#: The first round looks at one signature in so many.
+FIRST_OF = 8
 #: Members of a cluster in a chunk, on average.
 CHUNK = 200
 _K1, _K2, _K3 = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -292,7 +294,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     rows = written(document_sets(docs, width), "jaccard-rows")
     firsts = written(rows.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "jaccard-firsts")
     sets = written(candidate_sets(docs, firsts, width, percent), "jaccard-sets")
-    members = written(sets.select(F.explode("signs").alias("sign"), "vertex", "n", "common"), "jaccard-members")
+    members = sets.select(F.explode("signs").alias("sign"), "vertex", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"))
     links = link_members(members, sets, percent)
     labels = components(links)
     joined = firsts.join(labels, firsts.vertex == labels.v, "left").select("vertex", "doc_id", F.coalesce("comp", "vertex").alias("comp"))
@@ -310,7 +312,9 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     own = ["vertex", "n", "common", "comp"]
     fits = (100 + percent) * F.least("common", "p.common") >= percent * (F.col("n") + F.col("p.n"))
     links = tested = None
-    groups = members.withColumn("comp", F.col("vertex"))
+    left = members
+    # the first round needs few signatures to join most copies; all that are left have their turn after it
+    groups = members.filter(F.pmod("sign", F.lit(FIRST_OF)) == 0).withColumn("comp", F.col("vertex"))
     for turn in range(PIVOT_ROUNDS):
         first = F.col("n") - F.col("common") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
         pivots = groups.groupBy(F.col("sign").alias("of")).agg(F.min(F.struct(first.alias("turn"), *own)).alias("p"))
@@ -323,7 +327,7 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         more = written(similar(pairs, sets, percent), "jaccard-links")
         links = more if links is None else links.unionByName(more)
         labels = components(links)
-        named = members.join(labels, members.vertex == labels.v, "left").select("sign", "vertex", "n", "common", F.coalesce("comp", "vertex").alias("comp"))
+        named = left.join(labels, left.vertex == labels.v, "left").select("sign", "vertex", "n", "common", F.coalesce("comp", "vertex").alias("comp"))
         # members that could link with a member as small as their signature's least, and signatures of which two components are left
         stats = lambda df: df.groupBy(F.col("sign").alias("s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo <> hi")
         could = named.join(stats(named), F.col("sign") == F.col("s")).filter((100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least")))
@@ -331,6 +335,7 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         groups = written(could.join(stats(could).select("s"), F.col("sign") == F.col("s"), "left_semi"), "jaccard-groups")
         if not groups.limit(1).count():
             return links
+        left = groups.drop("comp")  # components only grow: what has been dropped stays so
     return links.unionByName(written(link_apart(groups, sets, percent), "jaccard-links"))
 
 
