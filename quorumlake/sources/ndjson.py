@@ -44,24 +44,29 @@ def read_summaries(spark: SparkSession, root: str) -> DataFrame:
     return _parsed(lines(spark, root, SUMMARIES).filter(F.trim("line") != ""), schemas.SUMMARY_LINE)
 
 
-def markers(spark: SparkSession, root: str, name: str = COMPLETE) -> DataFrame:
-    """year, code and the marker's fields; imported is false where the marker is malformed or says nothing.
-
-    Spark's readers pass over underscored names, so that markers are found through the file system that holds root.
-    """
+def _listed(spark: SparkSession, root: str, name: str) -> list[tuple[str, str, object]]:
+    """year, code and file status of every file of that name, by the file system that holds root; Spark's readers pass over empty and underscored files."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(base, f"[12][0-9][0-9][0-9]/*/{name}")) or []
-    rows = []
-    for status in found:
-        stream = fs.open(status.getPath())
+    return [(*status.getPath().toString().split("/")[-3:-1], status) for status in found]
+
+
+def present(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """year and code of the folders that have such a file, if only an empty one."""
+    return spark.createDataFrame([(y, c) for y, c, _ in _listed(spark, root, name)], "year string, code string")
+
+
+def markers(spark: SparkSession, root: str, name: str = COMPLETE) -> DataFrame:
+    """year, code and the marker's fields; imported is false where the marker is malformed or says nothing."""
+    jvm, rows = spark.sparkContext._jvm, []
+    for year, code, status in _listed(spark, root, name):
+        stream = status.getPath().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(status.getPath())
         try:
-            body = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            rows.append((year, code, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
         finally:
             stream.close()
-        parts = status.getPath().toString().split("/")
-        rows.append((parts[-3], parts[-2], body))
     df = spark.createDataFrame(rows, "year string, code string, body string")
     return df.withColumn("m", F.from_json("body", schemas.MARKER)).select("year", "code", F.coalesce("m.imported", F.lit(False)).alias("imported"), "m.completedAt", "m.meetings", "m.statements")
 
@@ -97,8 +102,8 @@ def integrity(spark: SparkSession, root: str) -> DataFrame:
     s = lines(spark, root, STATEMENTS).filter(F.trim("line") != "").withColumn("r", F.from_json("line", "meetingId string"))
     key = ["year", "code"]
     bad = lambda field: F.min(F.when(F.coalesce(F.col(f"r.{field}"), F.lit("")) == "", F.col("line_no")))
-    has_m = _files(spark, root, MEETINGS).select(*key).distinct().withColumn("has_m", F.lit(True))
-    has_s = _files(spark, root, STATEMENTS).select(*key).distinct().withColumn("has_s", F.lit(True))
+    has_m = present(spark, root, MEETINGS).withColumn("has_m", F.lit(True))
+    has_s = present(spark, root, STATEMENTS).withColumn("has_s", F.lit(True))
     done = markers(spark, root).select(*key).distinct().withColumn("done", F.lit(True))
     ids = m.select(*key, F.col("r.id").alias("id")).filter("id <> ''")
     said = s.select(*key, F.col("r.meetingId").alias("id")).filter("id <> ''").distinct()
