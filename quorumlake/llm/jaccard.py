@@ -6,7 +6,7 @@ For each band, a hash deals the domain of shingles to n > k partitions. Two sets
 at least n - k whole partitions: each subset of one partition gives a signature, the hash of what the set has there, and
 similar sets share one.
 
-Partitions in which a set has fewer than LIGHT shingles say little, and sets that have nothing in common share them. They
+Partitions in which a set has none or few shingles (Bands.light) say little, and sets that have nothing in common share them. They
 give no signature. n leaves room for them: n - k - 1 may be light. If all agreeing partitions of a pair are light, then both
 of its sets have more light ones than that; such sets give signatures by a second dealing too, and so on; the last
 dealing takes all partitions. No pair is lost.
@@ -32,7 +32,6 @@ from .components import components
 from .storage import small_batches, written
 from .textkernel import LOWER, Texts, in_doc, mix, steps, windows
 
-LIGHT = 2
 DEALINGS = 6
 PIVOT_ROUNDS = 2
 #: The first round looks at one signature in so many.
@@ -47,6 +46,10 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent, self.lows = percent, [1]
+        # shingles in a partition, at least, of a band's smallest sets; where they are few, single ones must count
+        crowd = (percent / 100) ** 2 * (100 + percent) / (2 * max(1, 100 - percent))
+        #: A partition with fewer shingles is light.
+        self.light = 2 if crowd >= 4 else 1
 
     def until(self, size: int) -> np.ndarray:
         while self.lows[-1] <= size:
@@ -125,7 +128,7 @@ def signatures(of: np.ndarray, keys: np.ndarray, size: np.ndarray, bands: Bands)
             owner = np.repeat(np.arange(n), np.diff(base))
             number = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
             sign = mix(sums + mix(seed[owner] + number))
-            heavy = held >= LIGHT
+            heavy = held >= bands.light
             if dealing == DEALINGS - 1:
                 heavy[:] = True
             owners.append(owner[heavy])
