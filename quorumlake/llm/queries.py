@@ -86,4 +86,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op5_jaccard": op5_jaccard, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_neighbours": op10_neighbours, "pipeline": pipeline}
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for DuckDB. The other operators need checksums, tokenizers or iterations that it lacks; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality": """
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, host, text, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS line FROM d),
+n AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS k,
+  translate(array_to_string(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm FROM l),
+hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
+common AS (SELECT n.host, norm FROM n JOIN hosts ON n.host IS NOT DISTINCT FROM hosts.host GROUP BY n.host, norm, texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.25 * texts),
+gone AS (SELECT doc_id, sum(k) AS removed FROM n JOIN common ON n.host IS NOT DISTINCT FROM common.host AND n.norm = common.norm GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+u AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 2], ' ')) AS k FROM u),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) v(j) WHERE k > 1 GROUP BY doc_id),
+s AS (SELECT d.doc_id, len(words)::bigint AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols, coalesce(n_dup_lines, 0)::bigint AS n_dup_lines, coalesce(n_repeat_words, 0)::bigint AS n_repeat_words,
+  coalesce(removed, 0)::bigint AS n_boilerplate_words FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= 0.3 * n_words AS kept FROM s""",
+}
