@@ -16,7 +16,7 @@ WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that one step holds expanded; a longer document makes a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
