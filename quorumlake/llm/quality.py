@@ -118,28 +118,31 @@ def document_stats(docs: DataFrame, host: str = "source", extra: list[str] | Non
     return taken.mapInArrow(stats, STATS + "".join(f", _x{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(extra)))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
-    """Each row's counts, base_failed, words in boilerplate lines (n_boilerplate_words) and verdict (kept); extra: columns of docs to pass on.
+def judged_rows(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
+    """quality_rules, with gone: the hashes of a row's boilerplate lines, null where it has none.
 
-    A host's frequent lines are at most 1 / share times the mean number of lines of its documents, so that each host's
-    list is small whatever the input; it goes to the host's documents by a join that Spark may split where a host is hot.
+    A line counts in a host with more than least_docs distinct documents that hold it, and more than share of the host's.
+    Lines meet the frequent ones by host and line, so that no host's list is held in one row: without a share it grows with the host.
     """
     stats = written(document_stats(docs, host, extra), "quality")  # read more than once below
-    texts = stats.groupBy("host", "text_hash").agg(F.count("*").alias("copies"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    lines = stats.select("host", "text_hash", F.explode("lines.line").alias("line")).distinct()
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
-    common = (
-        counts.join(hosts, counts.host.eqNullSafe(hosts.host))
-        .filter(F.col("n") > share * F.col("docs"))
-        .groupBy(counts.host.alias("of_host"))
-        .agg(F.collect_set("line").alias("common"))
-    )
-    judged = stats.join(common, stats.host.eqNullSafe(common.of_host), "left")
-    removed = F.aggregate(F.filter("lines", lambda x: F.array_contains(F.col("common"), x.line)), F.lit(0).cast("long"), lambda n, x: n + x.words)
+    lines = stats.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line", "l.words")
+    counts = lines.select("host", "text_hash", "line").distinct().groupBy(F.col("host").alias("of_host"), F.col("line").alias("of_line")).agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
+    if share > 0:
+        texts = stats.select("host", "text_hash").distinct()
+        hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
+        counts = counts.join(hosts, counts.of_host.eqNullSafe(hosts.host)).filter(F.col("n") > share * F.col("docs"))
+    common = written(counts.select("of_host", "of_line"), "quality-lines")
+    found = lines.join(common, lines.host.eqNullSafe(common.of_host) & (lines.line == common.of_line)).select("host", "text_hash", "line", "words").distinct()
+    found = found.groupBy(F.col("host").alias("in_host"), F.col("text_hash").alias("in_text")).agg(F.sum("words").cast("long").alias("removed"), F.collect_set("line").alias("gone"))
+    judged = stats.join(found, stats.host.eqNullSafe(found.in_host) & (stats.text_hash == found.in_text), "left")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
-        F.coalesce(removed, F.lit(0)).alias("n_boilerplate_words"),
-        *[F.col(f"_x{i}").alias(x) for i, x in enumerate(extra or [])],
+        F.coalesce("removed", F.lit(0).cast("long")).alias("n_boilerplate_words"),
+        *[F.col(f"_x{i}").alias(x) for i, x in enumerate(extra or [])], "gone",
     ).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= least_left * F.col("n_words")))
+
+
+def quality_rules(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
+    """Each row's counts, base_failed, words in boilerplate lines (n_boilerplate_words) and verdict (kept); extra: columns of docs to pass on."""
+    return judged_rows(docs, host, share, least_docs, least_left, extra).drop("gone")

@@ -65,6 +65,23 @@ def test_boilerplate_lines(spark):
     assert all(got[300 + i].kept for i in range(5))
 
 
+def letters(n: int) -> str:
+    """A word for a number, without digits, which lines take as one class."""
+    return "".join(chr(97 + int(c)) for c in str(n))
+
+
+def test_boilerplate_limit_is_a_number_of_documents(spark, tmp_path):
+    """A line of 21 of a host's 200 distinct texts is boilerplate in the pipeline's stage, one of 20 is not."""
+    own = lambda i, n: " ".join(letters(1000 * i + k) for k in range(n))
+    often, seldom = " ".join("m" + letters(k) for k in range(50)), " ".join("s" + letters(k) for k in range(50))
+    rows = [(i, f"{often}\n{own(i, 10)}", "en", None, 0, 0, "", "") for i in range(21)]
+    rows += [(100 + i, f"{seldom}\n{own(100 + i, 10)}", "en", None, 0, 0, "", "") for i in range(20)]
+    rows += [(200 + i, own(200 + i, 60), "en", None, 0, 0, "", "") for i in range(159)]
+    got = {x.doc_id: x.n_boilerplate_words for x in quality.quality_rules(frame(spark, rows), share=0.0).collect()}
+    assert got == {r[0]: 50 if r[0] < 100 else 0 for r in rows}
+    assert {r.doc_id for r in pipeline.quality(spark, frame(spark, rows), str(tmp_path)).collect()} == {r[0] for r in rows if r[0] >= 100}
+
+
 # sharding
 
 def test_shards(spark):
