@@ -13,17 +13,13 @@ def _text_key() -> F.Column:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. A row's verdict depends on its host and text alone, and finds it by doc_id, host and text.
+    """Documents that the quality rules keep, without their hosts' boilerplate lines.
 
     The limit of lines is a number of documents alone, the same at every size of a host.
     """
-    from .quality import quality_rules
+    from .quality import clean_documents
 
-    same = docs.withColumn("text_key", _text_key())
-    judged = quality_rules(same.select("doc_id", "text", "source", "text_key"), share=0.0, extra=["source", "text_key"])
-    good = judged.filter("kept").select("doc_id", "source", "text_key").distinct()
-    on = same.doc_id.eqNullSafe(good.doc_id) & same.source.eqNullSafe(good.source) & (same.text_key == good.text_key)
-    return same.join(good, on, "left_semi").select(*docs.columns)
+    return clean_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,29 @@ def _repeats(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lines(t: Texts) -> tuple[np.ndarray, ...]:
+    """Start, end, text, first word and end of words of each line that has words."""
+    start, end, _ = t.words()
+    # lines: from a text's start or after a newline, to the next newline or the text's end
+    breaks = np.flatnonzero(t.data == 10)
+    first = np.concatenate([t.offsets[:-1], breaks + 1])
+    last = np.concatenate([breaks, t.offsets[1:]])
+    line_doc = np.concatenate([np.arange(t.count), t.doc_of(breaks) if len(breaks) else np.zeros(0, np.int64)])
+    order = np.lexsort((first, line_doc))
+    first, line_doc = first[order], line_doc[order]
+    # ends in order: those of a text are its newlines, then its own end
+    end_doc = np.concatenate([t.doc_of(breaks) if len(breaks) else np.zeros(0, np.int64), np.arange(t.count)])
+    last = last[np.lexsort((last, end_doc))]
+    w0, w1 = np.searchsorted(start, first), np.searchsorted(start, last)
+    full = w1 > w0
+    return tuple(x[full] for x in (first, last, line_doc, w0, w1))
+
+
+def _normal(t: Texts, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """Hashes of lines in their normalised form."""
+    return mix(Prefixes(t.word_hashes(0, _NORMAL), 0xC2B2AE3D27D4EB4F).of(w0, w1) + (w1 - w0).astype(np.uint64))
+
+
 def text_stats(t: Texts) -> dict[str, object]:
     """Counts of each text, and its distinct normalised lines with their words."""
     start, end, doc = t.words()
@@ -64,26 +87,14 @@ def text_stats(t: Texts) -> dict[str, object]:
     at, keys = windows(t.word_hashes(), doc, 3)
     repeated = covered(len(doc), at[_repeats(in_doc(keys, doc[at]))], 3)
 
-    # lines: from a text's start or after a newline, to the next newline or the text's end
-    breaks = np.flatnonzero(t.data == 10)
-    first = np.concatenate([t.offsets[:-1], breaks + 1])
-    last = np.concatenate([breaks, t.offsets[1:]])
-    line_doc = np.concatenate([np.arange(t.count), t.doc_of(breaks) if len(breaks) else np.zeros(0, np.int64)])
-    order = np.lexsort((first, line_doc))
-    first, line_doc = first[order], line_doc[order]
-    # ends in order: those of a text are its newlines, then its own end
-    end_doc = np.concatenate([t.doc_of(breaks) if len(breaks) else np.zeros(0, np.int64), np.arange(t.count)])
-    last = last[np.lexsort((last, end_doc))]
-    w0, w1 = np.searchsorted(start, first), np.searchsorted(start, last)
-    full = w1 > w0
-    first, last, line_doc, w0, w1 = (x[full] for x in (first, last, line_doc, w0, w1))
+    first, last, line_doc, w0, w1 = _lines(t)
     raw = Prefixes(t.data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15).of(first, last) + (last - first).astype(np.uint64)
     keys = in_doc(mix(raw), line_doc)
     _, seen = np.unique(keys, return_index=True)
     later = np.ones(len(keys), bool)
     later[seen] = False
 
-    normal = mix(Prefixes(t.word_hashes(0, _NORMAL), 0xC2B2AE3D27D4EB4F).of(w0, w1) + (w1 - w0).astype(np.uint64))
+    normal = _normal(t, w0, w1)
     # distinct lines of each text, with the words of all their occurrences
     keys = in_doc(normal, line_doc)
     _, seen, which = np.unique(keys, return_index=True, return_inverse=True)
@@ -146,3 +157,47 @@ def judged_rows(docs: DataFrame, host: str = "source", share: float = LINE_SHARE
 def quality_rules(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
     """Each row's counts, base_failed, words in boilerplate lines (n_boilerplate_words) and verdict (kept); extra: columns of docs to pass on."""
     return judged_rows(docs, host, share, least_docs, least_left, extra).drop("gone")
+
+
+def without_lines(t: Texts, gone: list[list[int] | None]) -> list[str]:
+    """The texts without the lines whose hashes are given for each."""
+    out = [t.data[a:b].tobytes() for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True)]
+    first, _, line_doc, w0, w1 = _lines(t)
+    ends = np.searchsorted(line_doc, np.arange(t.count + 1))
+    hashes = _normal(t, w0, w1).view(np.int64)
+    for i, mine in enumerate(gone):
+        if mine:
+            at = slice(ends[i], ends[i + 1])
+            drop = set((first[at][np.isin(hashes[at], np.array(mine, np.int64))] - t.offsets[i]).tolist())
+            kept, place = [], 0
+            for line in out[i].split(b"\n"):
+                if place not in drop:
+                    kept.append(line)
+                place += len(line) + 1
+            out[i] = b"\n".join(kept)
+    return [x.decode("utf-8", "replace") for x in out]
+
+
+def clean_documents(docs: DataFrame, host: str = "source", share: float = 0.0, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The rows of docs that the rules keep, all columns, their texts without boilerplate lines; other lines stay byte by byte.
+
+    A row's verdict depends on its host and text alone, and finds it by doc_id, host and text.
+    """
+    same = docs.withColumn("_host", F.col(host).cast("string")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    judged = judged_rows(same.select("doc_id", "text", "_host", "_key"), "_host", share, least_docs, least_left, ["_host", "_key"])
+    good = judged.filter("kept").select(F.col("doc_id").alias("_id"), F.col("_host").alias("_of"), F.col("_key").alias("_text"), F.col("gone").alias("_gone")).dropDuplicates(["_id", "_of", "_text"])
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_host").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_text"))
+    names = docs.columns
+    kept = same.join(good, on).select(*names, "_gone")
+
+    def strip(batches):
+        for batch in batches:
+            for t in steps(batch.column("text")):
+                cut = batch.slice(t.rows.start, t.count)
+                gone = cut.column("_gone").to_pylist()
+                columns = {c: cut.column(c) for c in names}
+                if any(gone):
+                    columns["text"] = pa.array(without_lines(t, gone), cut.schema.field("text").type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return kept.mapInArrow(strip, docs.schema)

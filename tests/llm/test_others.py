@@ -82,6 +82,27 @@ def test_boilerplate_limit_is_a_number_of_documents(spark, tmp_path):
     assert {r.doc_id for r in pipeline.quality(spark, frame(spark, rows), str(tmp_path)).collect()} == {r[0] for r in rows if r[0] >= 100}
 
 
+def test_pipeline_quality_removes_boilerplate_lines(spark, tmp_path):
+    """A host's frequent lines go from first, middle and last place; all other bytes stay, n_chars follows."""
+    own = lambda i, n: " ".join(letters(1000 * i + k) for k in range(n))
+    rows = []
+    for i in range(25):
+        lines = [f"Menu  HOME {i % 10}", own(i, 60), "", "é " + own(100 + i, 5), " menu home 7"]
+        if i == 0:
+            lines = ["x", "MENU home 1", own(0, 55), "menu HOME 2", "menu home 3\r"]
+        rows.append((i if i % 6 else None, "\n".join(lines), "en", "h", 0))
+    rows += [(50, "menu home 1\n" + own(900, 60), "en", "other", 0), (51, "menu home", "en", "h", 0)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    gone = re.compile(r"\s*menu\s+home \d+\s*", re.IGNORECASE)
+    plain = lambda r: r[1] if r[3] == "other" else "\n".join(x for x in r[1].split("\n") if not gone.fullmatch(x))
+    got = pipeline.quality(spark, docs, str(tmp_path)).collect()
+    want = [(r[0], plain(r)) for r in rows if r[0] != 51]
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
+    assert all(r.n_chars == len(r.text) for r in got) and any(len(a[1]) < len(b[1]) for a, b in zip(want, rows, strict=False))
+
+
 # sharding
 
 def test_shards(spark):
