@@ -9,8 +9,13 @@ is made.
 
 Parts are found, hashed and looked up with numpy; only parts that a worker has not met go to the tokenizer. A known part
 is told by 64 bits of hash and by its length and first eight bytes.
+
+The library takes the strings of added tokens out before anything else, and what stands between them is a text of its own;
+so each is a part. No other part holds one: what case folding makes look like one is cut after its letters.
 """
 
+import re
+
 import numpy as np
 
 from .textkernel import BYTE_BASES, LOWER, SPACE, Prefixes, Texts, mix
@@ -28,8 +33,8 @@ _DOUBT = np.zeros(256, bool)
 _DOUBT[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def part_ends(t: Texts, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each part of some texts."""
+def part_ends(t: Texts, kind: str, whole: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each part of some texts; whole: places that are parts of their own."""
     d, n = t.data, len(t.data)
     cut = np.zeros(n + 1, bool)  # a cut before a place
     cut[t.offsets] = True
@@ -47,6 +52,9 @@ def part_ends(t: Texts, kind: str) -> tuple[np.ndarray, np.ndarray]:
             line = (a == 10) & ~SPACE[b] & ~_DOUBT[b]
             line[1:] &= (_ASCII[d[:-2]] & ~SPACE[d[:-2]]) | cut[1:-2]
             cut[1:-1] |= line
+    for first, last in whole or []:
+        cut[first : last + 1] = False
+        cut[[first, last]] = True
     at = np.flatnonzero(cut)
     start, end = at[:-1], at[1:]
     if kind == "words" and len(start):
@@ -95,15 +103,24 @@ class PartTable:
 
 
 class PieceEncoder:
-    """encode(texts) -> ids of all texts on end (uint32) and the number of ids of each text."""
+    """encode(texts) -> ids of all texts on end (uint32) and the number of ids of each text.
+
+    added: a string of one of the file's added tokens in a text is that token, as in the library's plain call; else it is text.
+    """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, added: bool = False):
         from tokenizers import Tokenizer
 
         assert kind in ("words", "bytes"), kind
         self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a control token's string in a text is text
+        self.added: list[bytes] = []
+        if added:
+            tokens = self.tokenizer.get_added_tokens_decoder().values()
+            assert not any(x.single_word or x.lstrip or x.rstrip or x.normalized for x in tokens), path
+            self.added = sorted((x.content.encode() for x in tokens), key=len, reverse=True)
+        else:
+            self.tokenizer.encode_special_tokens = True
         self._forget()
 
     def _forget(self) -> None:
@@ -125,11 +142,19 @@ class PieceEncoder:
         self.used += total
         self.parts += len(new)
 
+    def _whole(self, t: Texts) -> list[tuple[int, int]]:
+        """Places of added tokens, found before any folding of case and never over a text's end."""
+        raw = t.data.tobytes() if self.added else b""
+        if not any(x in raw for x in self.added):
+            return []
+        found = re.compile(b"|".join(map(re.escape, self.added)))
+        return [m.span() for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True) for m in found.finditer(raw, a, b)]
+
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         if self.parts > CACHE_PARTS:
             self._forget()
         seen = t if self.kind == "bytes" else Texts(LOWER[t.data], t.offsets, t.rows)
-        start, end = part_ends(seen, self.kind)
+        start, end = part_ends(seen, self.kind, self._whole(t))
         size = end - start
         keys = mix(Prefixes(seen.data.astype(np.uint64) + np.uint64(1), BYTE_BASES[0]).of(start, end) + size.astype(np.uint64))
         checks = _heads(seen.data, start, size)
@@ -167,5 +192,5 @@ _ENCODERS: dict = {}
 def encoder(path: str, kind: str) -> PieceEncoder:
     """The worker's encoder for a tokenizer file, made once."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = PieceEncoder(path, kind)
+        _ENCODERS[path, kind] = PieceEncoder(path, kind, added=True)
     return _ENCODERS[path, kind]

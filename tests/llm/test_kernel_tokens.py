@@ -56,6 +56,26 @@ def test_parts_give_the_ids_of_whole_texts(kind):
     assert [g.tolist() for g in got] == [ids_of(x) for x in texts]
 
 
+@pytest.mark.parametrize("kind", FILES)
+def test_added_tokens_as_in_the_plain_call(spark, kind):
+    """Against an untouched tokenizer: strings of added tokens in texts, in other case, cut short and over a text's end."""
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(P.path(FILES[kind])), random.Random(5)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", " ", "\n", "a", "É", "e\u0301", "\u0301", "'s", "7", "\u3000", "<|endo\nftext|>"]
+    texts = ["a <|endoftext|> b", "<|endo", "ftext|>", None, "", "<|endoftext|>"] + ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    want = [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+    own, got = PieceEncoder(P.path(FILES[kind]), kind, added=True), []
+    for t in steps(pa.array(texts), 2000):
+        ids, counts = own.encode(t)
+        got += np.split(ids, np.cumsum(counts)[:-1])
+    assert [g.tolist() for g in got] == want
+    rows = [(i, x, "en", "s", 0, 0, "", "") for i, x in enumerate(texts[:40])]
+    packed = {(p.doc_id, p.start): list(np.frombuffer(p.ids, "<u4")) for p in pack_documents(spark.createDataFrame(rows, SCHEMA), P.path(FILES[kind]), kind, 2, 4096).collect()}
+    for i, ids in enumerate(want[:40]):
+        assert sum((packed[k] for k in sorted(packed) if k[0] == i), []) == [*ids, 2]
+
+
 def test_part_table_holds_what_was_added():
     rng = np.random.default_rng(3)
     table, keys = PartTable(1000), rng.integers(0, 1 << 60, 1000, dtype=np.uint64) << np.uint64(4)
