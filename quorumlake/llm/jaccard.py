@@ -147,18 +147,21 @@ def _sent(rows: list[tuple]) -> pa.Table:
     return pa.table({k: pa.array([r[i] for r in rows], _SENT[k]) for i, k in enumerate(_SENT)})
 
 
-def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and vertex (the set's hash; null for an empty set) of each row."""
+def document_sets(docs: DataFrame, width: int, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles and vertex (the set's hash; null for an empty set) of each row; extra: columns of docs to pass on."""
     small_batches(docs.sparkSession)
+    extra = extra or []
 
     def sets(batches):
         for batch in batches:
             for t in steps(batch.column("text")):
                 n, digest = set_digests(*shingle_sets(t, width), t.count)
                 vertex = pa.array(digest.view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.slice(t.rows.start, t.count).column("doc_id"), pa.array(n.astype(np.int64)), vertex], names=["doc_id", "n_shingles", "vertex"])
+                own = batch.slice(t.rows.start, t.count)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(n.astype(np.int64)), vertex, *[own.column(x) for x in extra]], names=["doc_id", "n_shingles", "vertex", *extra])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, vertex long")
+    schema = "doc_id long, n_shingles long, vertex long" + "".join(f", `{x}` {docs.schema[x].dataType.simpleString()}" for x in extra)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(sets, schema)
 
 
 def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -294,7 +297,12 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id that links reach) of each row; links are pairs of similarity percent / 100 or more."""
-    rows = written(document_sets(docs, width), "jaccard-rows")
+    return jaccard_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80, extra: list[str] | None = None) -> DataFrame:
+    """jaccard_join's rows with component, which is told by vertices and so for rows without a doc_id too (null for an empty set), and columns of docs."""
+    rows = written(document_sets(docs, width, extra), "jaccard-rows")
     firsts = written(rows.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "jaccard-firsts")
     sets = written(candidate_sets(docs, firsts, width, percent), "jaccard-sets")
     members = sets.select(F.explode("signs").alias("sign"), "vertex", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"))
@@ -302,8 +310,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     labels = components(links)
     joined = firsts.join(labels, firsts.vertex == labels.v, "left").select("vertex", "doc_id", F.coalesce("comp", "vertex").alias("comp"))
     least = joined.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("component_id"))
-    of_vertex = joined.join(least, joined.comp == least.c).select(F.col("vertex").alias("of"), "component_id")
-    return rows.join(of_vertex, rows.vertex == of_vertex.of, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_vertex = joined.join(least, joined.comp == least.c).select(F.col("vertex").alias("of"), "component_id", F.col("comp").alias("component"))
+    return rows.join(of_vertex, rows.vertex == of_vertex.of, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *(extra or []))
 
 
 def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

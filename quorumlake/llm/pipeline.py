@@ -23,13 +23,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram Jaccard links (five words, 0.8) join: that of the least doc_id. Documents without words stay."""
-    from .jaccard import jaccard_join
+    """One document of each group that n-gram Jaccard links (five words, 0.8) join. Documents without words stay.
 
-    found = jaccard_join(docs, 5, 80)
-    stays = found.filter((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stays, docs.doc_id.eqNullSafe(stays.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    It is that of the least doc_id, nulls last, then of the least hash of its text; doc_id and hash together find it again,
+    so that rows without a doc_id or with that of another text are judged by themselves.
+    """
+    from .jaccard import jaccard_rows
+
+    keyed = docs.withColumn("text_key", _text_key())
+    found = written(jaccard_rows(keyed, 5, 80, ["text_key"]), "jaccard-found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    stays = found.filter("component is not null").groupBy("component").agg(first).select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_text"))
+    stays = stays.unionByName(found.filter("component is null").select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"))).distinct()
+    kept = keyed.join(stays, keyed.doc_id.eqNullSafe(stays.of) & (keyed.text_key == stays.of_text), "left_semi")
+    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,6 +311,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert last.agg(F.max("length")).first()[0] <= 4096
 
 
+def test_near_duplicates_without_or_with_equal_doc_ids(spark, tmp_path):
+    """Of each group one row stays, whatever its doc_id: brute-force groups of the rows, with nulls and ids of several texts among them."""
+    from .test_dedup import groups
+
+    rows = [(r[0] if r[0] is None or i % 3 else None if i % 2 else 7, *r[1:5]) for i, r in enumerate(repeated(documents(n=80)))]
+    rows += [(None, "alone without an id in its group", "en", "s", 0), (None, "  ", "en", "s", 0), (7, "alone under an id of other texts", "en", "s", 0)]
+    component = [g[2] for g in groups([(i, *r[1:]) for i, r in enumerate(rows)], 5, 80)]
+    empty = {i for i, r in enumerate(rows) if not WORD.search(r[1] or "")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    kept = Counter()
+    for r in got:
+        if WORD.search(r.text or ""):
+            kept[component[next(i for i, x in enumerate(rows) if x[:2] == (r.doc_id, r.text))]] += 1
+    assert kept == {component[i]: 1 for i in range(len(rows)) if i not in empty}
+    least = {}
+    for i, r in enumerate(rows):
+        least[component[i]] = min(least.get(component[i], (True, 0)), (r[0] is None, r[0] or 0))
+    at = {component[i]: x.doc_id for x in got for i, r in enumerate(rows) if r[:2] == (x.doc_id, x.text) and i not in empty}
+    assert all(at[c] == (None if none else i) for c, (none, i) in least.items() if c in at)
+    assert {(r.doc_id, r.text) for r in got if not WORD.search(r.text or "")} == {rows[i][:2] for i in empty}
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
