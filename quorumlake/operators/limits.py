@@ -1,7 +1,9 @@
 """Sliding-log rate limits over an event log: demand and admission."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 
 def micros(ts: str) -> Column:
@@ -19,18 +21,33 @@ def demand(df: DataFrame, key: str, ts: str, window_s: int) -> DataFrame:
 def admission(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int) -> DataFrame:
     """admitted and remaining of each event, in order of time (ties by order); rejected events are not recorded and take no place.
 
-    A fold over each key's ordered times that holds the last admitted ones only, `most` at most.
+    After a gap of a window or more the log is empty, so that a key's events fall into islands that do not bear on each
+    other. Sorted islands stream through the tasks, which hold the last admitted times only, `most` at most.
     """
-    window = window_s * 1_000_000
-    start = F.struct(F.array().cast("array<bigint>").alias("log"), F.array().cast("array<struct<admitted:boolean,remaining:int,retry_us:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        recent = F.filter(a["log"], lambda t: t > x["us"] - window)
-        ok = F.size(recent) < most
-        verdict = F.struct(ok.alias("admitted"), F.when(ok, most - F.size(recent) - 1).otherwise(0).cast("int").alias("remaining"), F.when(~ok, F.greatest(F.lit(0), F.coalesce(F.try_element_at(recent, F.lit(1)), x["us"] - window) + window - x["us"])).cast("bigint").alias("retry_us"))
-        return F.struct(F.when(ok, F.array_append(recent, x["us"])).otherwise(recent).alias("log"), F.array_append(a["out"], verdict).alias("out"))
-
-    rows = df.select(F.col(key).alias("_key"), F.struct(micros(ts).alias("us"), F.col(order).alias("o"), F.struct(*df.columns).alias("row")).alias("e"))
-    folded = rows.groupBy("_key").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    both = folded.select(F.explode(F.arrays_zip(F.transform("es", lambda x: x["row"]).alias("row"), F.aggregate("es", start, step, lambda a: a["out"]).alias("v"))).alias("z"))
-    return both.select("z.row.*", "z.v.admitted", "z.v.remaining", "z.v.retry_us")
+    window, names = window_s * 1_000_000, df.columns
+    line = [F.col("_us"), F.col(order), *[F.col(c) for c in names]]
+    us = df.withColumn("_us", micros(ts))
+    w = Window.partitionBy(key).orderBy(*line)
+    before = F.lag("_us").over(w)
+    marked = us.withColumn("_first", (before.isNull() | (F.col("_us") - before >= window)).cast("int"))
+    islands = marked.withColumn("_island", F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = islands.repartition(key, "_island").sortWithinPartitions(key, "_island", *line, F.desc("_first"))
+
+    def stream(batches):
+        log: list[int] = []
+        for batch in batches:
+            admitted, remaining, retry = [], [], []
+            for x, first in zip(batch.column("_us").to_pylist(), batch.column("_first").to_pylist(), strict=True):
+                if first:
+                    log = []
+                recent = [t for t in log if t > x - window] if x is not None else []
+                ok = len(recent) < most
+                admitted.append(ok)
+                remaining.append(most - len(recent) - 1 if ok else 0)
+                retry.append(None if ok else max(0, recent[0] + window - x) if recent else 0)
+                log = [*recent, x] if ok and x is not None else recent
+            found = [pa.array(admitted, pa.bool_()), pa.array(remaining, pa.int32()), pa.array(retry, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *found], names=[*names, "admitted", "remaining", "retry_us"])
+
+    schema = StructType([*df.schema.fields, StructField("admitted", BooleanType()), StructField("remaining", IntegerType()), StructField("retry_us", LongType())])
+    return dealt.mapInArrow(stream, schema)

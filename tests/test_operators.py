@@ -289,3 +289,22 @@ def test_clusters(spark, domain):
     assert {(r.canonical_name, tuple(r.aliases)) for r in t.collect()} == {("防災", ("防災計画",)), ("予算", ("防災計画",))}
     assert {(r.meeting_id, r.canonical_name) for r in links.collect()} == {("m1", "防災"), ("m2", "防災"), ("m2", "予算")}
     assert topics.normalising_clusterer(pd.DataFrame({"index": [0, 1], "topic": ["a x", "b x"], "digest_preview": ["", ""]}))["canonical_name"].tolist() == ["x", "x"]
+
+
+def test_admission_islands_of_a_hot_key(spark):
+    """One key with many events, in bursts and gaps around the window; no collected arrays in the plan."""
+    rng = random.Random(4)
+    t, rows = 1_700_000_000_000_000, []
+    for i in range(4000):
+        t += rng.choice([0, 1, 1_000_000, 59_999_999, 60_000_000, 60_000_001, 200_000_000])
+        rows.append((i, "hot", t))
+    df = spark.createDataFrame(rows, "id long, key string, us long").select("id", "key", F.timestamp_micros("us").alias("ts")).repartition(3)
+    found = limits.admission(df, "key", "ts", "id", 60, 2)
+    log, want = [], {}
+    for i, _, x in rows:
+        log = [y for y in log if y > x - 60_000_000]
+        want[i] = (len(log) < 2, max(0, 1 - len(log)), None if len(log) < 2 else log[0] + 60_000_000 - x)
+        if len(log) < 2:
+            log.append(x)
+    assert {r.id: (r.admitted, r.remaining, r.retry_us) for r in found.collect()} == want
+    assert "collect_list" not in found._jdf.queryExecution().toString()
