@@ -17,7 +17,8 @@ in chunks of bounded size. Sets too many of whose shingles no other candidate ha
 
 Defined results: a null text or one without words has an empty set and links with nothing. Fewer words than a shingle make
 one shingle of all. Equal texts link. Rows of equal doc_id are judged by their texts. An empty table gives no rows; further
-columns do not matter. Shingles and sets are told apart by 64-bit hashes.
+columns do not matter. Shingles are told apart within a comparison by 64-bit hashes, sets by 128 bits, the second half
+from hashes of their own; a vertex is the first half, or a hash of both where sets of different second halves have the same.
 """
 
 from fractions import Fraction
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK_BYTES, RANGE_HASHES, column, cut, deal, distinct, flags, member, packed, text_bytes, twice, unflagged, unpacked
 from .components import components
 from .storage import small_batches, written
-from .textkernel import LOWER, Texts, in_doc, mix, steps, windows
+from .textkernel import LOWER, Texts, mix, steps, windows
 
 DEALINGS = 6
 PIVOT_ROUNDS = 2
@@ -63,37 +64,44 @@ class Bands:
         return 2 * top * part.numerator // part.denominator
 
 
-def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of all texts, by text and then by hash, and the text of each."""
+def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of all texts, by text and then by hash: text, hash, and a second, independent hash of each."""
     doc = t.words()[2]
-    hashes = t.word_hashes(0, LOWER)
-    at, keys = windows(hashes, doc, width)
     n = np.bincount(doc, minlength=t.count)
     short = np.flatnonzero((n > 0) & (n < width))
-    if len(short):
-        first = np.searchsorted(doc, short)
-        size = n[short]
-        for k in range(1, width):
-            some = size == k
-            if some.any():
-                begin = first[some]
+    both = []
+    for which in (0, 1):
+        hashes = t.word_hashes(which, LOWER)
+        at, keys = windows(hashes, doc, width)
+        places = [at]
+        if len(short):
+            first, size = np.searchsorted(doc, short), n[short]
+            for k in range(1, width):
+                begin = first[size == k]
                 whole = np.zeros(len(begin), np.uint64)
                 for j in range(k):
-                    whole = mix(whole * _K1 + hashes[begin + j] + np.uint64(k))
-                at, keys = np.concatenate([at, begin]), np.concatenate([keys, whole])
-    of = doc[at]
-    _, seen = np.unique(in_doc(keys, of), return_index=True)
-    of, keys = of[seen], keys[seen]
+                    whole = mix(mix(whole * _K1 + np.uint64(k)) ^ hashes[begin + j])
+                places.append(begin)
+                keys = np.concatenate([keys, whole])
+        both.append(keys)
+    keys, more = both
+    of = doc[np.concatenate(places)]
     order = np.lexsort((keys, of))
-    return of[order], keys[order]
+    of, keys, more = of[order], keys[order], more[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
+    return of[new], keys[new], more[new]
 
 
-def set_digests(of: np.ndarray, keys: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and hash of each text's set."""
-    sums = np.zeros(count, np.uint64)
-    np.add.at(sums, of, mix(keys ^ _K2))
+def set_digests(of: np.ndarray, keys: np.ndarray, more: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two hashes of each text's set."""
     n = np.bincount(of, minlength=count)
-    return n, mix(sums + n.astype(np.uint64) * _K3)
+    out = []
+    for values in (keys, more):
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, of, mix(values ^ _K2))
+        out.append(mix(sums + n.astype(np.uint64) * _K3).view(np.int64))
+    return n, out[0], out[1]
 
 
 def signatures(of: np.ndarray, keys: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -148,20 +156,29 @@ def _sent(rows: list[tuple]) -> pa.Table:
 
 
 def document_sets(docs: DataFrame, width: int, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, n_shingles and vertex (the set's hash; null for an empty set) of each row; extra: columns of docs to pass on."""
+    """doc_id, n_shingles, and h and h2 (hashes of the set; null for an empty one) of each row; extra: columns of docs to pass on, as _x0, _x1 and so on."""
     small_batches(docs.sparkSession)
     extra = extra or []
 
     def sets(batches):
         for batch in batches:
             for t in steps(batch.column("text")):
-                n, digest = set_digests(*shingle_sets(t, width), t.count)
-                vertex = pa.array(digest.view(np.int64), mask=n == 0)
+                n, one, two = set_digests(*shingle_sets(t, width), t.count)
                 own = batch.slice(t.rows.start, t.count)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(n.astype(np.int64)), vertex, *[own.column(x) for x in extra]], names=["doc_id", "n_shingles", "vertex", *extra])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one, mask=n == 0), pa.array(two, mask=n == 0), *[own.column(x) for x in names]], names=["doc_id", "n_shingles", "h", "h2", *names])
 
-    schema = "doc_id long, n_shingles long, vertex long" + "".join(f", `{x}` {docs.schema[x].dataType.simpleString()}" for x in extra)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(sets, schema)
+    names = [f"_x{i}" for i in range(len(extra))]
+    schema = "doc_id long, n_shingles long, h long, h2 long" + "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for x, c in zip(names, extra, strict=True))
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(x) for x, c in zip(names, extra, strict=True)])
+    return taken.mapInArrow(sets, schema)
+
+
+def vertices(rows: DataFrame) -> DataFrame:
+    """(h, h2, vertex, doc_id) of each distinct set in rows, with the least doc_id that has it."""
+    firsts = written(rows.filter("h is not null").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id")), "jaccard-sets")
+    shared = firsts.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("k")).filter("k > 1")  # of 10**10 sets, one or two
+    joined = firsts.join(shared, firsts.h == shared.of, "left")
+    return joined.select("h", "h2", F.when(F.col("k").isNull(), F.col("h")).otherwise(F.xxhash64("h", "h2")).alias("vertex"), "doc_id")
 
 
 def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -170,33 +187,31 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
     signs: the signatures that others share; common: the shingles that other candidates have too, or a few more. A similar
     set holds percent / 100 of a set's shingles at least, and no shingle that only this one has. Copies with changes of
     their own, too many to be similar, and documents that share a passage, share signatures with each other; counting the
-    candidates' shingles in a sketch, which may overestimate, lets them go before they are compared. firsts: (vertex,
-    doc_id), a row for each vertex.
+    candidates' shingles in a sketch, which may overestimate, lets them go before they are compared. firsts: as vertices().
     """
     total = text_bytes(docs)
     slices = max(1, -(-total // (10 * RANGE_HASHES)))
     dealt = deal(docs, total)
     blocks = max(1, -(-total // BLOCK_BYTES))
-    chosen = firsts.select(F.lit(-1).alias("slice"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id"), F.col("vertex"), F.lit(None).cast("binary").alias("keys"))
+    chosen = firsts.select(F.lit(-1).alias("slice"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id"), F.col("h"), F.col("h2"), F.col("vertex"), F.lit(None).cast("binary").alias("keys"))
 
     def own_sets(left: pa.Table, right: pa.Table):
         """For each step: sets of the block's chosen rows, as owners, shingles, sizes and vertices."""
-        rows = {(a, b) for a, b, s in zip(*[column(right, x) for x in ("doc_id", "vertex", "slice")], strict=True) if s == -1}
+        rows = {x[:3]: x[3] for x in zip(*[column(right, x) for x in ("doc_id", "h", "h2", "vertex", "slice")], strict=True) if x[4] == -1}
         doc_ids, done = column(left, "doc_id"), 0
         for t in steps(left.column("text")):
-            of, keys = shingle_sets(t, width)
-            n, digest = set_digests(of, keys, t.count)
-            digest = digest.view(np.int64)
-            mine = np.zeros(t.count, bool)
-            for i, pair in enumerate(zip(doc_ids[done : done + t.count], digest.tolist(), strict=True)):
-                if pair in rows:
-                    rows.discard(pair)  # a repeated row is the same vertex
+            of, keys, more = shingle_sets(t, width)
+            n, one, two = set_digests(of, keys, more, t.count)
+            mine, vertex = np.zeros(t.count, bool), np.zeros(t.count, np.int64)
+            for i, own in enumerate(zip(doc_ids[done : done + t.count], one.tolist(), two.tolist(), strict=True)):
+                if own in rows:
+                    vertex[i] = rows.pop(own)  # a repeated row is the same vertex
                     mine[i] = True
             done += t.count
             new = np.cumsum(mine) - 1
             some = mine[of]
             if mine.any():
-                yield new[of[some]], keys[some], n[mine], digest[mine]
+                yield new[of[some]], keys[some], n[mine], vertex[mine]
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -251,7 +266,7 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
         return _sets(out)
 
     none = F.lit(None).cast("long")
-    full = lambda df: df.select("slice", "block", none.alias("doc_id"), none.alias("vertex"), "keys")
+    full = lambda df: df.select("slice", "block", *[none.alias(x) for x in ("doc_id", "h", "h2", "vertex")], "keys")
     pairs = lambda told: dealt.groupBy("block").cogroup(told.groupBy("block"))
     met = lambda df: df.groupBy("slice").applyInArrow(_meet, SENT)
     told = chosen.unionByName(full(met(pairs(chosen).applyInArrow(send, SENT))))
@@ -302,16 +317,18 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
 def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80, extra: list[str] | None = None) -> DataFrame:
     """jaccard_join's rows with component, which is told by vertices and so for rows without a doc_id too (null for an empty set), and columns of docs."""
+    extra = extra or []
     rows = written(document_sets(docs, width, extra), "jaccard-rows")
-    firsts = written(rows.filter("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "jaccard-firsts")
+    firsts = written(vertices(rows), "jaccard-firsts")
     sets = written(candidate_sets(docs, firsts, width, percent), "jaccard-sets")
     members = sets.select(F.explode("signs").alias("sign"), "vertex", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"))
     links = link_members(members, sets, percent)
     labels = components(links)
-    joined = firsts.join(labels, firsts.vertex == labels.v, "left").select("vertex", "doc_id", F.coalesce("comp", "vertex").alias("comp"))
+    joined = firsts.join(labels, firsts.vertex == labels.v, "left").select("h", "h2", "doc_id", F.coalesce("comp", "vertex").alias("comp"))
     least = joined.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("component_id"))
-    of_vertex = joined.join(least, joined.comp == least.c).select(F.col("vertex").alias("of"), "component_id", F.col("comp").alias("component"))
-    return rows.join(of_vertex, rows.vertex == of_vertex.of, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *(extra or []))
+    of_set = joined.join(least, joined.comp == least.c).select(F.col("h").alias("of"), F.col("h2").alias("of2"), "component_id", F.col("comp").alias("component"))
+    found = rows.join(of_set, (rows.h == of_set.of) & (rows.h2 == of_set.of2), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *[F.col(f"_x{i}").alias(x) for i, x in enumerate(extra)])
 
 
 def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

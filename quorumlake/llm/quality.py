@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import small_batches, written
-from .textkernel import SPACE, Prefixes, Texts, covered, in_doc, mix, steps, windows
+from .textkernel import SPACE, WORD_BASES, Prefixes, Texts, covered, in_doc, mix, slice_hashes, steps, windows
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -70,7 +70,7 @@ def _lines(t: Texts) -> tuple[np.ndarray, ...]:
 
 def _normal(t: Texts, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
     """Hashes of lines in their normalised form."""
-    return mix(Prefixes(t.word_hashes(0, _NORMAL), 0xC2B2AE3D27D4EB4F).of(w0, w1) + (w1 - w0).astype(np.uint64))
+    return mix(Prefixes(t.word_hashes(0, _NORMAL), WORD_BASES[0]).of(w0, w1) + (w1 - w0).astype(np.uint64))
 
 
 def text_stats(t: Texts) -> dict[str, object]:
@@ -88,8 +88,7 @@ def text_stats(t: Texts) -> dict[str, object]:
     repeated = covered(len(doc), at[_repeats(in_doc(keys, doc[at]))], 3)
 
     first, last, line_doc, w0, w1 = _lines(t)
-    raw = Prefixes(t.data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15).of(first, last) + (last - first).astype(np.uint64)
-    keys = in_doc(mix(raw), line_doc)
+    keys = in_doc(slice_hashes(t.data, first, last), line_doc)
     _, seen = np.unique(keys, return_index=True)
     later = np.ones(len(keys), bool)
     later[seen] = False
@@ -102,7 +101,7 @@ def text_stats(t: Texts) -> dict[str, object]:
     by_doc = np.lexsort((seen, line_doc[seen]))
     seen, words = seen[by_doc], words[by_doc]
     offsets = np.concatenate([[0], np.cumsum(np.bincount(line_doc[seen], minlength=t.count))]).astype(np.int32)
-    whole = mix(Prefixes(t.data.astype(np.uint64) + np.uint64(1), 0xD6E8FEB86659FD93).of(t.offsets[:-1], t.offsets[1:]) + np.diff(t.offsets).astype(np.uint64))
+    whole = slice_hashes(t.data, t.offsets[:-1], t.offsets[1:])
     items = pa.StructArray.from_arrays([pa.array(normal[seen].view(np.int64)), pa.array(words)], names=["line", "words"])
     return {
         "text_hash": whole.view(np.int64), "n_words": n_words, "word_chars": by_text(inside), "n_symbols": by_text(symbols),

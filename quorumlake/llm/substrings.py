@@ -39,8 +39,8 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def _hashes(t: Texts, width: int, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     doc = t.words()[2]
-    at, one = windows(t.word_hashes(0), doc, width, 0)
-    return at, one, windows(t.word_hashes(1), doc, width, 1)[1] if second else None
+    at, one = windows(t.word_hashes(0), doc, width)
+    return at, one, windows(t.word_hashes(1), doc, width)[1] if second else None
 
 
 def _no(rows: list) -> pa.Table:

@@ -13,8 +13,11 @@ least hash is the window's anchor. Equal windows have equal anchors at equal pla
    repeated; their bytes are compared before that counts.
 3. Each block learns which windows of its pieces are repeated, and removes the bytes that they cover.
 
-An anchor with very many distinct pieces (the rim of a passage that a great many documents share) would make its bucket
-large. Its windows go by themselves, under 128 bits of hash, each block sending each distinct window once.
+An anchor with many distinct pieces (the rim of a passage that many documents share) would make its bucket large. Its pieces
+are cut into cells of CELL windows by the anchor's place in the window, and a cell goes to the bucket of its anchor, its
+number and the bytes that all of its windows have. Equal windows are in equal cells; pieces whose bytes differ outside the
+rim of a cell part ways. Cells are sorted and compared like other pieces: the number MANY_PIECES decides how much meets in a
+bucket, not what is found.
 
 Defined results: a null or empty text, and one shorter than the length, loses nothing. Equal rows repeat each other.
 Strings never cross documents. Bytes that are left may end inside a character of UTF-8; kept_text drops the remains of such
@@ -31,12 +34,15 @@ from pyspark.sql import functions as F
 
 from .blocks import RANGE_HASHES, column, cut, deal, flags, member, packed, text_bytes, twice, unflagged, unpacked
 from .storage import small_batches
-from .textkernel import BYTE_BASES, Prefixes, Texts, mix, steps
+from .textkernel import BYTE_BASES, Prefixes, Rolling, Texts, mix, spans, steps
 
 LENGTH = 400
 GRAM = 64
-#: Distinct pieces of an anchor, over all blocks, from which its windows go by themselves.
-MANY_PIECES = 4000
+#: Distinct pieces of an anchor, over all blocks, beyond which they are cut into cells, and windows in a cell.
+MANY_PIECES = 300
+CELL = 32
+#: Bits of a place in a text; the rest of 64 are those of a gram's hash, the same for every text.
+PLACE_BITS = 36
 #: Bytes of text for each bucket of pieces.
 BUCKET_BYTES = 8_000_000
 #: Suffixes that are sorted at a time, whole anchors together.
@@ -52,23 +58,20 @@ def _sent(rows: list[tuple]) -> pa.Table:
 
 
 class Pieces:
-    """The pieces of some texts: first and last window start (last included), anchor's place and hash, 128 bits of piece hash."""
+    """The pieces of some texts: first and last window start (last included), anchor's place, and key, by which pieces meet."""
 
     def __init__(self, t: Texts, length: int, gram: int):
         self.t, self.length = t, length
-        values = t.data.astype(np.uint64) + np.uint64(1)
-        self.one, self.two = Prefixes(values, BYTE_BASES[0]), None
-        self.values = values
         n, width = len(t.data), length - gram + 1
         none = np.zeros(0, np.int64)
         self.first = self.last = self.place = none
-        self.anchor = np.zeros(0, np.uint64)
+        self.key = np.zeros(0, np.uint64)
         if n < length:
             return
-        grams = np.arange(n - gram + 1)
-        hashes = mix(self.one.of(grams, grams + gram))
-        low = np.uint64((1 << max(22, n.bit_length())) - 1)
-        best = _sliding_min((hashes & ~low) | grams.astype(np.uint64), width)
+        self.rolling = Rolling(t.data)
+        hashes = self.rolling.grams(gram)
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        best = _sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), width)
         where = (best & low).astype(np.int64)
         doc_end = np.repeat(t.offsets[1:], np.diff(t.offsets))[: len(where)]
         start = np.flatnonzero(np.arange(len(where)) + length <= doc_end)
@@ -81,13 +84,41 @@ class Pieces:
         self.first = start[new]
         self.last = start[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
         self.place = at[new]
-        self.anchor = mix(~hashes[self.place])  # least hashes lie close together; these are spread evenly
-
-    def digests(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.two is None:
-            self.two = Prefixes(self.values, BYTE_BASES[1])
-        size = (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-        return mix(self.one.of(start, end) + size), mix(self.two.of(start, end) ^ size)
+        self.key = mix(~hashes[self.place])  # least hashes lie close together; these are spread evenly
+
+    def kinds(self) -> np.ndarray:
+        """A number for each piece, nearly always the same for the same bytes only: to count them."""
+        return self.rolling.of(self.first, self.last + self.length) if len(self.first) else self.key
+
+    def only(self, repeated: np.ndarray, hot: np.ndarray) -> list[bytes]:
+        """Leaves pieces of repeated anchors, cut into cells where their anchor is hot. Returns their bytes."""
+        mine = np.flatnonzero(member(repeated, self.key))
+        cut_ = member(hot, self.key[mine])
+        whole, some = mine[~cut_], mine[cut_]
+        first, last, place, key = (x[whole] for x in (self.first, self.last, self.place, self.key))
+        raw = self.t.data.tobytes()
+        if len(some):
+            # windows from the first to the last have their anchor at places from high down to low
+            low, high = (self.place[some] - self.last[some]) // CELL, (self.place[some] - self.first[some]) // CELL
+            cell, of = spans(low, high), np.repeat(some, high - low + 1)
+            upper = self.place[of] - cell * CELL  # the last window of a whole cell
+            keys = [_digest(raw[b : b + self.length - CELL + 1] + k.to_bytes(8, "little") + c.to_bytes(8, "little"))[0] for b, k, c in zip(upper.tolist(), self.key[of].tolist(), cell.tolist(), strict=True)]
+            first = np.append(first, np.maximum(self.first[of], upper - CELL + 1))
+            last = np.append(last, np.minimum(self.last[of], upper))
+            place, key = np.append(place, self.place[of]), np.append(key, np.array(keys, np.uint64))
+        self.first, self.last, self.place, self.key = first, last, place, key
+        return [raw[a:b] for a, b in zip(first.tolist(), (last + self.length).tolist(), strict=True)]
+
+
+def _digest(raw: bytes) -> tuple[int, int]:
+    """128 bits of hash."""
+    x = int.from_bytes(hashlib.blake2b(raw, digest_size=16).digest(), "little")
+    return x & (1 << 64) - 1, x >> 64
+
+
+def _digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in pieces), "<u8").reshape(-1, 2)
+    return x[:, 0], x[:, 1]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -102,13 +133,6 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """All integers of the ranges first..last (last included), one range after the other."""
-    n = last - first + 1
-    before = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-    return np.arange(int(n.sum())) + np.repeat(first - before, n)
-
-
 def common_extension(h: Prefixes, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
     """Length of the longest common start of the suffixes i and j, up to most, by binary search over prefix hashes."""
     low, high = np.zeros(len(i), np.int64), np.full(len(i), most, np.int64)
@@ -250,7 +274,7 @@ def repeated_in_bucket(data: np.ndarray, start: np.ndarray, count: np.ndarray, o
 
 def repeated_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """Which suffixes share their first length bytes with another one of their group."""
-    h = Prefixes(data.astype(np.uint64) + np.uint64(1), BYTE_BASES[0])
+    h = Prefixes(data, BYTE_BASES[0])
     order = sort_suffixes(data, h, suffix, group, length)
     a, b = order[:-1], order[1:]
     near = np.flatnonzero(group[a] == group[b])
@@ -282,12 +306,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gr
         block, found = column(t, "block")[0], []
         for x in steps(t.column("text")):
             p = Pieces(x, length, gram)
-            if len(p.first):
-                one, _ = p.digests(p.first, p.last + length)
-                found.append(np.stack([p.anchor, one]))
-        if not found:
-            return _sent([])
+            found.append(np.stack([p.key, p.kinds()]))
         keys, one = np.concatenate(found, axis=1)
+        if not len(keys):
+            return _sent([])
         order, new = _rank_rows(keys, one)
         keys = keys[order]
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -316,102 +338,72 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gr
 
     common = dealt.groupBy("block").applyInArrow(anchors, SENT).groupBy("slice").applyInArrow(meet, SENT)
 
-    def candidates(x: Texts, repeated: np.ndarray, hot: np.ndarray):
-        p = Pieces(x, length, gram)
-        mine = np.flatnonzero(member(repeated, p.anchor))
-        alone = member(hot, p.anchor[mine])
-        return p, mine[~alone], mine[alone]
-
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _sent([])
         block, (repeated, hot) = column(left, "block")[0], _anchors(right)
         seen: dict[tuple, int] = {}
-        rows, texts_, windows = [], [], []
+        rows, texts_ = [], []
         for x in steps(left.column("text")):
-            p, some, single = candidates(x, repeated, hot)
-            one, two = p.digests(p.first[some], p.last[some] + length)
-            raw = x.data.tobytes()
-            for i, a, b in zip(some.tolist(), one.tolist(), two.tolist(), strict=True):
-                if (at := seen.get((a, b))) is None:
-                    seen[a, b] = len(rows)
-                    rows.append([int(p.anchor[i]), a, b, int(p.last[i] - p.first[i] + 1), int(p.place[i] - p.first[i]), False])
-                    texts_.append(raw[p.first[i] : p.last[i] + length])
+            p = Pieces(x, length, gram)
+            own = p.only(repeated, hot)
+            for raw, key, count, offset in zip(own, p.key.tolist(), (p.last - p.first + 1).tolist(), (p.place - p.first).tolist(), strict=True):
+                one, two = _digest(raw)
+                if (at := seen.get((one, two, key))) is None:
+                    seen[one, two, key] = len(rows)
+                    rows.append([key, one, two, count, offset, False])
+                    texts_.append(raw)
                 else:
                     rows[at][5] = True
-            if len(single):
-                start = spans(p.first[single], p.last[single])
-                windows.append(np.stack(p.digests(start, start + length)))
         out = []
         if rows:
-            anchor, one, two, count, offset, marks = (np.array(c, k) for c, k in zip(zip(*rows, strict=True), ("u8", "u8", "u8", "i4", "i4", "?"), strict=True))
-            order = np.argsort(anchor, kind="stable")
-            places = cut(anchor[order], buckets)
+            key, one, two, count, offset, marks = (np.array(c, k) for c, k in zip(zip(*rows, strict=True), ("u8", "u8", "u8", "i4", "i4", "?"), strict=True))
+            order = np.argsort(key, kind="stable")
+            places = cut(key[order], buckets)
             for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)):
                 if b > a:
                     o = order[a:b]
-                    out.append((1, i, block, _raw(np.stack([anchor[o], one[o], two[o]]), "<u8"), _raw(np.stack([count[o], offset[o]]), "<i4"), b"".join(texts_[j] for j in o.tolist()), None, flags(marks[o])))
-        if windows:
-            one, two = np.concatenate(windows, axis=1)
-            order, new = _rank_rows(one, two)
-            at = np.flatnonzero(new)
-            one, two, marks = one[order][at], two[order][at], np.diff(np.append(at, len(order))) > 1
-            places = cut(one, buckets)
-            out += [(2, i, block, _raw(np.stack([one[a:b], two[a:b]]), "<u8"), None, None, None, flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a]
+                    out.append((1, i, block, _raw(np.stack([key[o], one[o], two[o]]), "<u8"), _raw(np.stack([count[o], offset[o]]), "<i4"), b"".join(texts_[j] for j in o.tolist()), None, flags(marks[o])))
         return _sent(out)
 
     def bucket(t: pa.Table) -> pa.Table:
         blocks, part = column(t, "block"), column(t, "slice")[0]
-        keys = [_from(x, "<u8").reshape(3 if kind == 1 else 2, -1) for kind, x in zip(column(t, "kind"), column(t, "a"), strict=True)]
+        keys = [_from(x, "<u8").reshape(3, -1) for x in column(t, "a")]
         marks = np.concatenate([unflagged(x, k.shape[1]) for x, k in zip(column(t, "marks"), keys, strict=True)])
         of = np.repeat(np.array(blocks), [k.shape[1] for k in keys])
-        out = []
-        if column(t, "kind")[0] == 2:
-            one, two = np.concatenate(keys, axis=1)
-            order, new = _rank_rows(one, two)
-            group = np.cumsum(new) - 1
-            again = order[np.bincount(group, 1 + marks[order])[group] > 1]
-            for b in np.unique(of[again]).tolist():
-                mine = again[of[again] == b]
-                out.append((2, part, b, _raw(np.stack([one[mine], two[mine]]), "<u8"), None, None, None, None))
-            return _sent(out)
-        anchor, one, two = np.concatenate(keys, axis=1)
+        key, one, two = np.concatenate(keys, axis=1)
         count, offset = np.concatenate([_from(x, "<i4").reshape(2, -1) for x in column(t, "b")], axis=1).astype(np.int64)
         data = np.frombuffer(b"".join(column(t, "c")), np.uint8)
         size = count + length - 1
         start = np.cumsum(size) - size
-        piece, first, last = repeated_in_bucket(data, start, count, offset, anchor, one, two, marks, length)
+        piece, first, last = repeated_in_bucket(data, start, count, offset, key, one, two, marks, length)
         order = np.argsort(of[piece], kind="stable")
         piece, first, last = piece[order], first[order], last[order]
         places = np.append(np.flatnonzero(np.append(True, of[piece][1:] != of[piece][:-1])), len(piece)) if len(piece) else [0]
+        out = []
         for a, b in zip(places[:-1], places[1:], strict=True):
             out.append((1, part, int(of[piece[a]]), _raw(np.stack([one[piece[a:b]], two[piece[a:b]]]), "<u8"), _raw(np.stack([first[a:b], last[a:b]]), "<i4"), None, None, None))
         return _sent(out)
 
     sent = dealt.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(pieces, SENT)
-    answers = common.unionByName(sent.groupBy("kind", "slice").applyInArrow(bucket, SENT))
+    answers = common.unionByName(sent.groupBy("slice").applyInArrow(bucket, SENT))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, done = [], 0
         ids = column(left, "doc_id") if left.num_rows else []
-        (repeated, hot), found, alone = _anchors(right), *_repeated(right)
+        (repeated, hot), found = _anchors(right), _repeated(right)
         for x in steps(left.column("text")) if left.num_rows else ():
             gone = np.zeros(len(x.data) + 1, np.int32)
             if len(repeated):
-                p, some, single = candidates(x, repeated, hot)
-                one, two = p.digests(p.first[some], p.last[some] + length)
+                p = Pieces(x, length, gram)
+                one, two = _digests(p.only(repeated, hot))
                 lo, hi = np.searchsorted(found[0], one), np.searchsorted(found[0], one, "right")
-                each, owner = spans(lo, hi - 1), np.repeat(np.arange(len(some)), hi - lo)
+                each, owner = spans(lo, hi - 1), np.repeat(np.arange(len(one)), hi - lo)
                 right_ = found[1][each] == two[owner]
                 each, owner = each[right_], owner[right_]
-                base = p.first[some][owner]
+                base = p.first[owner]
                 np.add.at(gone, base + found[2][each], 1)
                 np.add.at(gone, base + found[3][each] + length, -1)
-                if len(single):
-                    start = spans(p.first[single], p.last[single])
-                    hit = start[_pairs_in(alone, *p.digests(start, start + length))]
-                    np.add.at(gone, hit, 1)
-                    np.add.at(gone, hit + length, -1)
             lost = np.cumsum(gone[:-1]) > 0
             for i in range(x.count):
                 a, b = x.offsets[i], x.offsets[i + 1]
@@ -440,22 +432,10 @@ def _anchors(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *[unpacked(a) for _, a, _ in rows]]), np.concatenate([none, *[unpacked(b) for _, _, b in rows]])
 
 
-def _repeated(answers: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    """A block's repeated runs of windows in pieces (piece hashes, first, last), by hash, and repeated single windows."""
+def _repeated(answers: pa.Table) -> list[np.ndarray]:
+    """A block's repeated runs of windows in pieces (piece hashes, first, last), by hash."""
     rows = list(zip(*[column(answers, c) for c in ("kind", "a", "b")], strict=True))
     keys = np.concatenate([np.zeros((2, 0), np.uint64), *[_from(a, "<u8").reshape(2, -1) for k, a, _ in rows if k == 1]], axis=1)
     runs = np.concatenate([np.zeros((2, 0), np.int64), *[_from(b, "<i4").reshape(2, -1) for k, _, b in rows if k == 1]], axis=1)
     order = np.argsort(keys[0], kind="stable")
-    alone = np.concatenate([np.zeros((2, 0), np.uint64), *[_from(a, "<u8").reshape(2, -1) for k, a, _ in rows if k == 2]], axis=1)
-    return [keys[0][order], keys[1][order], runs[0][order], runs[1][order]], alone[:, np.lexsort(alone[::-1])]
-
-
-def _pairs_in(pairs: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Which (one, two) stand among pairs, sorted by both."""
-    if not pairs.shape[1]:
-        return np.zeros(len(one), bool)
-    lo, hi = np.searchsorted(pairs[0], one), np.searchsorted(pairs[0], one, "right")
-    out = np.zeros(len(one), bool)
-    owner = np.repeat(np.arange(len(one)), hi - lo)
-    out[owner[pairs[1][spans(lo, hi - 1)] == two[owner]]] = True
-    return out
+    return [keys[0][order], keys[1][order], runs[0][order], runs[1][order]]

@@ -8,7 +8,8 @@ before it, but that a single line end is a part of its own. Next to characters t
 is made.
 
 Parts are found, hashed and looked up with numpy; only parts that a worker has not met go to the tokenizer. A known part
-is told by 64 bits of hash and by its length and first eight bytes.
+is found by 64 bits of hash with its length and first eight bytes, and all bytes of longer parts are compared with those
+kept. Parts of more than LONGEST_KEPT bytes go to the tokenizer each time.
 
 The library takes the strings of added tokens out before anything else, and what stands between them is a text of its own;
 so each is a part. No other part holds one: what case folding makes look like one is cut after its letters.
@@ -18,10 +19,11 @@ import re
 
 import numpy as np
 
-from .textkernel import BYTE_BASES, LOWER, SPACE, Prefixes, Texts, mix
+from .textkernel import LOWER, SPACE, Texts, eights, slice_hashes, spans
 
-#: Parts that a worker remembers, in a table of twice as many places of 24 bytes; beyond that it starts anew.
-CACHE_PARTS = 2_000_000
+#: Parts that a worker remembers, in a table of twice as many places of 24 bytes; beyond that it starts anew. Longer parts are not kept.
+CACHE_PARTS = 400_000
+LONGEST_KEPT = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -127,20 +129,22 @@ class PieceEncoder:
         self.table = PartTable(CACHE_PARTS)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
+        self.bytes, self.byte_ends = np.zeros(1 << 16, np.uint8), np.zeros(1 << 14, np.int64)
         self.used = self.parts = 0
 
-    def _learn(self, new: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _learn(self, new: list[bytes]) -> None:
+        """Keeps the ids and the bytes of parts, numbered on from self.parts."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.parts + len(new) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        total, first = int(sizes.sum()), self.parts
+        self.parts += len(new)
+        self.flat, self.bytes = _room(self.flat, self.used + total), _room(self.bytes, int(self.byte_ends[first]) + sum(map(len, new)))
+        self.ends, self.byte_ends = _room(self.ends, self.parts + 1), _room(self.byte_ends, self.parts + 1)
         self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.ends[self.parts + 1 : self.parts + 1 + len(new)] = self.used + np.cumsum(sizes)
+        self.ends[first + 1 : self.parts + 1] = self.used + np.cumsum(sizes)
+        self.byte_ends[first + 1 : self.parts + 1] = self.byte_ends[first] + np.cumsum([len(x) for x in new])
+        self.bytes[self.byte_ends[first] : self.byte_ends[self.parts]] = np.frombuffer(b"".join(new), np.uint8)
         self.used += total
-        self.parts += len(new)
 
     def _whole(self, t: Texts) -> list[tuple[int, int]]:
         """Places of added tokens, found before any folding of case and never over a text's end."""
@@ -151,36 +155,55 @@ class PieceEncoder:
         return [m.span() for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True) for m in found.finditer(raw, a, b)]
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        if self.parts > CACHE_PARTS:
+        if self.parts > CACHE_PARTS or self.used > 16 * CACHE_PARTS:
             self._forget()
         seen = t if self.kind == "bytes" else Texts(LOWER[t.data], t.offsets, t.rows)
         start, end = part_ends(seen, self.kind, self._whole(t))
         size = end - start
-        keys = mix(Prefixes(seen.data.astype(np.uint64) + np.uint64(1), BYTE_BASES[0]).of(start, end) + size.astype(np.uint64))
-        checks = _heads(seen.data, start, size)
+        keys, checks = slice_hashes(seen.data, start, end), _heads(seen.data, start, size)
         at = self.table.find(keys, checks)
+        found = np.flatnonzero(at >= 0)
+        kept = self.byte_ends[at[found]]
+        same = self.byte_ends[at[found] + 1] - kept == size[found]
+        long = np.flatnonzero(same & (size[found] > 8))  # shorter ones are told by checks alone
+        same[long] = _equal(seen.data, start[found[long]], self.bytes, kept[long], size[found[long]])
+        other = found[~same]
+        at[other] = -1
         new = np.flatnonzero(at < 0)
         if len(new):
-            _, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
-            some = new[first]
-            odd = np.flatnonzero(checks[some][which] != checks[new])  # another part of equal hash: a place of its own, not kept
-            raw = seen.data.tobytes()
-            own = np.concatenate([some, new[odd]])
-            base = self.parts
-            self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
-            self.table.add(keys[some], checks[some], base + np.arange(len(some)))
-            at[new] = base + which
-            at[new[odd]] = base + len(some) + np.arange(len(odd))
+            raw, base = seen.data.tobytes(), self.parts
+            distinct: dict[bytes, int] = {}
+            at[new] = [base + distinct.setdefault(raw[a:b], len(distinct)) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            self._learn(list(distinct))
+            # into the table go parts that are not too long and whose hash no other part has
+            apart = np.zeros(len(start), bool)
+            apart[other] = True
+            some = new[(size[new] <= LONGEST_KEPT) & ~apart[new]]
+            _, first = np.unique(keys[some], return_index=True)
+            some = some[first]
+            self.table.add(keys[some], checks[some], at[some])
         n = self.ends[at + 1] - self.ends[at]
         before = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.arange(before[-1]) + np.repeat(self.ends[at] - before[:-1], n)]
         return ids, np.diff(before[np.searchsorted(start, t.offsets)])
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x with places for n entries at least."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at:at + size] equals b[bt:bt + size], for many places."""
+    same = a[spans(at, at + size - 1)] == b[spans(bt, bt + size - 1)]
+    out = np.ones(len(at), bool)
+    out[np.repeat(np.arange(len(at)), size)[~same]] = False
+    return out
+
+
 def _heads(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The first eight bytes of each part, with its length in what is left over or above them."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[start].view("<u8").reshape(-1)
+    words = eights(data)[start]
     keep = np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
     mask = np.where(keep == 64, ~np.uint64(0), (np.uint64(1) << (keep % np.uint64(64))) - np.uint64(1))
     return (words & mask) + (size.astype(np.uint64) << np.uint64(56))

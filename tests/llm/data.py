@@ -5,6 +5,12 @@ import random
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block long, vertex string, size string"
 
 
+def alike(bits: int) -> tuple[str, str]:
+    """Two words of 2**bits letters, first the other's complement, that sums of powers of any odd base confuse modulo 2**64."""
+    first = "".join("ab"[i.bit_count() % 2] for i in range(1 << bits))
+    return first, first.translate({97: 98, 98: 97})
+
+
 def documents(seed: int = 7, n: int = 60) -> list[tuple]:
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)] + ["été", "ñu", "#a", "x|y", "Über", "<b>"]
@@ -25,6 +31,10 @@ def documents(seed: int = 7, n: int = 60) -> list[tuple]:
         v = list(w)
         v[rng.randrange(len(v))] = f"edit{k}"
         texts.append(" ".join(v))
+    lead = texts[20].split()[:17]
+    for bits in (10, 11):
+        for x in alike(bits):
+            texts += [x, "c" * 8 + x, " ".join([*[f"k{bits}x{j}" for j in range(17)], x, *[f"z{bits}x{j}" for j in range(17)]]), " ".join(lead) + "\n" + " ".join({"a": "la", "b": "le"}[c] for c in x)]
     sources = ["s1", "s1", "s1", "b", "a", None, "é", ""]
     rows = [(i, t, "en", sources[i % len(sources)], len(t or ""), i % 3, "v", "s") for i, t in enumerate(texts)]
     rng.shuffle(rows)

@@ -8,11 +8,11 @@ import pytest
 
 from quorumlake.llm import token_files
 from quorumlake.llm.packing import binary_lengths, pack_documents
-from quorumlake.llm.textkernel import steps, windows
+from quorumlake.llm.textkernel import BYTE_BASES, PRIME, WORD_BASES, Prefixes, slice_hashes, steps, times, windows
 from quorumlake.llm.token_files import decode_ranks, encode_ranks, read_token_files, token_file_path, write_token_files
 from quorumlake.llm.tokens import PartTable, PieceEncoder
 
-from .data import SCHEMA, documents, repeated
+from .data import SCHEMA, alike, documents, repeated
 
 P = pytest.importorskip("public_tokenizers")
 FILES = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
@@ -42,12 +42,41 @@ def test_windows_equal_only_for_equal_words():
     assert len(by_key) == 4 and len(at) == 5
 
 
+def test_prefix_hashes_against_plain_integers():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, PRIME, 500, dtype=np.uint64), rng.integers(0, PRIME, 500, dtype=np.uint64)
+    a[:3], b[:3] = PRIME - 1, [0, 1, PRIME - 1]
+    assert times(a, b).tolist() == [x * y % PRIME for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    for values, base in ((rng.integers(0, 256, 3000).astype(np.uint8), BYTE_BASES[0]), (rng.integers(0, 1 << 64, 3000, dtype=np.uint64), WORD_BASES[1])):
+        plain = [int(v) + (values.dtype == np.uint8) for v in values]
+        start, end = np.array([0, 5, 5, 17, 2999]), np.array([3000, 5, 6, 2000, 3000])
+        want = [sum(v * pow(base, i, PRIME) for i, v in enumerate(plain[s:e])) % PRIME for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        assert Prefixes(values, base).of(start, end).tolist() == want
+    many = rng.integers(0, 256, (1 << 22) + 9).astype(np.uint8)  # beyond what the quick way for bytes takes
+    h = Prefixes(many, BYTE_BASES[0])
+    assert h.of(np.array([len(many) - 9]), np.array([len(many)])) == Prefixes(many[-9:], BYTE_BASES[0]).of(np.array([0]), np.array([9]))
+
+
+def test_words_that_sums_of_powers_confuse():
+    for bits in (6, 10, 11, 12):
+        raw = "".join(alike(bits)).encode()
+        data, n = np.frombuffer(raw, np.uint8), 1 << bits
+        for which in (0, 1):
+            a, b = slice_hashes(data, np.array([0, n]), np.array([n, 2 * n]), which)
+            assert a != b
+        a, b = Prefixes(data, BYTE_BASES[0]).of(np.array([0, n]), np.array([n, 2 * n]))
+        assert a != b
+        words = np.where(data == 97, np.uint64(0x123456789ABCDEF1), np.uint64(0xFEDCBA987654321F))
+        assert len(set(windows(words, np.zeros(len(words), np.int64), n)[1][[0, n]].tolist())) == 2
+
+
 @pytest.mark.parametrize("kind", FILES)
 def test_parts_give_the_ids_of_whole_texts(kind):
     rng = random.Random(11)
     alphabet = " \n\t'.,aB1é　  ñ漢_sSt́Tİİ-\x1c\x85😀"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
     texts += ["a  b", "  x", "it's 'll 12.5,3", "<|endoftext|> a", "\n", "x\n\ny\n z", " a .b", "rock'n'roll.. ...", "ΑΣ ΣΑΣ."]
+    texts += ["c" * 8 + x for bits in (4, 7, 11) for x in alike(bits)] * 2 + ["d" * k + "e" for k in (254, 255, 256, 300)] * 2
     own, ids_of = PieceEncoder(P.path(FILES[kind]), kind), reference(kind)
     got = []
     for t in steps(pa.array(texts), 2000):
