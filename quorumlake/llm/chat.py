@@ -140,7 +140,9 @@ class _Reader:
 
 
 def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
-    """DIGESTS of each conversation, from its segments alone (those of one in order within a partition)."""
+    """DIGESTS of each conversation, from its segments alone, in whatever order they come."""
+    small_batches(segments.sparkSession)
+    segments = segments.repartition(fit_partitions(segments), "conv_id").sortWithinPartitions("conv_id", "segment")
 
     def digests(batches):
         reader, types = None, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string()]

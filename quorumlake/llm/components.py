@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,6 +19,8 @@ def components(links: DataFrame) -> DataFrame:
         one = written(labels.join(near, labels.v == near.of).select("v", F.col("comp").alias("was"), F.least("comp", "least").alias("comp")), "labels")
         up = one.select(F.col("v").alias("at"), F.col("comp").alias("above"))
         jumped = written(one.join(up, one.comp == up.at).select("v", "was", F.least("comp", "above").alias("comp")), "labels")
-        labels = jumped.select("v", "comp")
+        dropped(labels, one)
+        labels = jumped
         if not jumped.filter("was <> comp").limit(1).count():
-            return labels
+            dropped(both)
+            return labels.select("v", "comp")

@@ -13,7 +13,9 @@ dealing takes all partitions. No pair is lost.
 
 Equal sets are one vertex from the start. Of the sets that share a signature, all are compared exactly with one of them;
 those that have not joined the others' component go on to another pivot, and what is still apart after that is compared
-in chunks of bounded size. Sets too many of whose shingles no other candidate has are left out before. So a group of copies costs about its size, and components are exact.
+within bands of sizes, in chunks of bounded bytes. Sets too many of whose shingles no other candidate has are left out
+before. So a group of copies costs about its size, and components are exact. A signature that many sets share meets its
+pivot by a broadcast of such signatures' pivots, of which there are HOT_SIGNS at most, so that no task gets all its members.
 
 Defined results: a null text or one without words has an empty set and links with nothing. Fewer words than a shingle make
 one shingle of all. Equal texts link. Rows of equal doc_id are judged by their texts. An empty table gives no rows; further
@@ -30,15 +32,17 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, RANGE_HASHES, column, cut, deal, distinct, flags, member, packed, text_bytes, twice, unflagged, unpacked
 from .components import components
-from .storage import small_batches, written
+from .storage import batch_rows, dropped, small_batches, written
 from .textkernel import LOWER, Texts, mix, steps, windows
 
 DEALINGS = 6
 PIVOT_ROUNDS = 2
 #: The first round looks at one signature in so many.
 FIRST_OF = 8
-#: Members of a cluster in a chunk, on average.
-CHUNK = 200
+#: Bytes of shingles in a chunk of what is left apart.
+CHUNK_BYTES = 1_000_000
+#: A signature is hot if one in so many members has it; so there are no more of them.
+HOT_SIGNS = 500
 _K1, _K2, _K3 = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -303,7 +307,6 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good[i] = 100 * both >= percent * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
-    small_batches(pairs.sparkSession, 500)
     one = sets.select(F.col("vertex").alias("va"), F.col("shingles").alias("left"))
     two = sets.select(F.col("vertex").alias("vb"), F.col("shingles").alias("right"))
     joined = pairs.join(two, pairs.b == two.vb).join(one, F.col("a") == one.va)
@@ -322,8 +325,9 @@ def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80, extra: list
     firsts = written(vertices(rows), "jaccard-firsts")
     sets = written(candidate_sets(docs, firsts, width, percent), "jaccard-sets")
     members = sets.select(F.explode("signs").alias("sign"), "vertex", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"))
-    links = link_members(members, sets, percent)
+    links, made = link_members(members, sets, percent)
     labels = components(links)
+    dropped(sets, *made)
     joined = firsts.join(labels, firsts.vertex == labels.v, "left").select("h", "h2", "doc_id", F.coalesce("comp", "vertex").alias("comp"))
     least = joined.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("component_id"))
     of_set = joined.join(least, joined.comp == least.c).select(F.col("h").alias("of"), F.col("h2").alias("of2"), "component_id", F.col("comp").alias("component"))
@@ -331,68 +335,99 @@ def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80, extra: list
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *[F.col(f"_x{i}").alias(x) for i, x in enumerate(extra)])
 
 
-def link_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all similar sets among those that share a signature; members: (sign, vertex, n, common).
+def _with_sign(members: DataFrame, told: DataFrame, total: int, on=None) -> DataFrame:
+    """members joined with what is told of their signature: told has a row for each (s), and held, its number of members."""
+    hot = F.broadcast(told.filter(F.col("held") * HOT_SIGNS > total))  # HOT_SIGNS rows at most
+    rest = told.filter(F.col("held") * HOT_SIGNS <= total)
+    same = F.col("sign") == F.col("s")
+    same = same if on is None else same & on
+    cold = members.join(hot.select(F.col("s").alias("hot_sign")), F.col("sign") == F.col("hot_sign"), "left_anti")
+    return members.join(hot, same).unionByName(cold.join(rest, same))
+
+
+def link_members(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that join all similar sets among those that share a signature, and the tables that hold them; members: (sign, vertex, n, common).
 
     An intersection holds no more than what either set has in common with others. The first pivot of a signature is the set
     with the fewest shingles of its own: of changed copies, that nearest to what they are copies of.
     """
     own = ["vertex", "n", "common", "comp"]
     fits = (100 + percent) * F.least("common", "p.common") >= percent * (F.col("n") + F.col("p.n"))
-    links = tested = None
-    left = members
+    links = tested = labels = None
+    left, made = members, []
+    spark = members.sparkSession
     # the first round needs few signatures to join most copies; all that are left have their turn after it
     groups = members.filter(F.pmod("sign", F.lit(FIRST_OF)) == 0).withColumn("comp", F.col("vertex"))
     for turn in range(PIVOT_ROUNDS):
         first = F.col("n") - F.col("common") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
-        pivots = groups.groupBy(F.col("sign").alias("of")).agg(F.min(F.struct(first.alias("turn"), *own)).alias("p"))
-        pairs = groups.join(pivots, (groups.sign == pivots.of) & (F.col("comp") != F.col("p.comp")) & fits)
+        pivots = groups.groupBy(F.col("sign").alias("s")).agg(F.min(F.struct(first.alias("turn"), *own)).alias("p"), F.count("*").alias("held"))
+        pairs = _with_sign(groups, pivots, groups.count(), (F.col("comp") != F.col("p.comp")) & fits)
         pairs = pairs.select(F.greatest("vertex", "p.vertex").alias("a"), F.least("vertex", "p.vertex").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = written(similar(pairs, sets, percent), "jaccard-links")
+        with batch_rows(spark, 200):
+            more = written(similar(pairs, sets, percent), "jaccard-links")
+        made += [pairs, more]
         links = more if links is None else links.unionByName(more)
         labels = components(links)
         named = left.join(labels, left.vertex == labels.v, "left").select("sign", "vertex", "n", "common", F.coalesce("comp", "vertex").alias("comp"))
         # members that could link with a member as small as their signature's least, and signatures of which two components are left
-        stats = lambda df: df.groupBy(F.col("sign").alias("s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo <> hi")
-        could = named.join(stats(named), F.col("sign") == F.col("s")).filter((100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least")))
+        stats = lambda df: df.groupBy(F.col("sign").alias("s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.count("*").alias("held")).filter("lo <> hi")
+        could = _with_sign(named, stats(named).select("s", "least", "held"), left.count(), (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least")))
         could = written(could.select(*named.columns), "jaccard-could")
-        groups = written(could.join(stats(could).select("s"), F.col("sign") == F.col("s"), "left_semi"), "jaccard-groups")
+        groups = written(_with_sign(could, stats(could).select("s", "held"), could.count()).select(*named.columns), "jaccard-groups")
+        dropped(could)
+        made.append(groups)
         if not groups.limit(1).count():
-            return links
+            return links, made
         left = groups.drop("comp")  # components only grow: what has been dropped stays so
-    return links.unionByName(written(link_apart(groups, sets, percent), "jaccard-links"))
+    apart = written(link_apart(groups, sets, percent), "jaccard-links")
+    return links.unionByName(apart), [*made, apart]
 
 
 def link_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components that share a signature, directly or by way of others.
 
-    Such members make clusters, and a cluster is dealt to chunks; every two chunks of it are compared within one task,
-    which returns links only. A task holds two chunks, whatever a cluster's size.
+    Such members make clusters. Similar sets of a cluster are in one band of sizes or in adjacent ones; a band's members are
+    dealt to chunks of CHUNK_BYTES, and two chunks of one or of adjacent bands are compared within one task, which returns
+    links only. A task holds two chunks, whatever a cluster's size.
     """
     least = groups.groupBy(F.col("sign").alias("s")).agg(F.min("vertex").alias("b"))
     ties = groups.join(least, F.col("sign") == F.col("s")).select(F.col("vertex").alias("a"), "b").filter("a <> b").distinct()
     labels = components(ties).withColumnRenamed("comp", "cluster")
-    sizes = labels.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    rows = groups.select("vertex", "common", "comp").distinct().join(labels, F.col("vertex") == F.col("v")).join(sizes, F.col("cluster") == F.col("c"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"))
+    lows = F.array(*[F.lit(int(x)) for x in Bands(percent).until(1 << 40)])
+    band = F.size(F.filter(lows, lambda low: low <= F.col("n").cast("long")))
+    rows = groups.select("vertex", "n", "common", "comp").distinct().join(labels, F.col("vertex") == F.col("v")).withColumn("band", band)
+    rows = written(rows.select("vertex", "n", "common", "comp", "cluster", "band"), "jaccard-apart")
+    sizes = rows.groupBy(F.col("cluster").alias("c"), F.col("band").alias("in_band")).agg(F.ceil(F.sum("n") * 8 / CHUNK_BYTES).cast("int").alias("chunks"))
+    held = lambda shift, name: sizes.select(F.col("c").alias(f"{name}_c"), (F.col("in_band") + shift).alias(f"{name}_band"), F.col("chunks").alias(name))
+    for shift, name in ((0, "own"), (-1, "above"), (1, "below")):
+        told = held(shift, name)
+        rows = rows.join(told, (rows.cluster == told[f"{name}_c"]) & (rows.band == told[f"{name}_band"]), "left").drop(f"{name}_c", f"{name}_band")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("own")).cast("int"))
     rows = rows.join(sets.select(F.col("vertex").alias("of"), "shingles"), F.col("vertex") == F.col("of"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vertex", "common", "comp", "shingles")
+    upto = lambda name: F.when(F.col(name).isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.col(name) - 1))
+    task = lambda lower, i, j, side: F.struct(lower.alias("lower"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    chunk = F.col("chunk")
+    tasks = F.concat(
+        F.transform(upto("own"), lambda x: task(F.col("band"), F.least(chunk, x), F.greatest(chunk, x), 0)),
+        F.transform(upto("above"), lambda x: task(F.col("band"), chunk, x, 1)),
+        F.transform(upto("below"), lambda x: task(F.col("band") - 1, x, chunk, 1)),
+    )
+    rows = rows.withColumn("t", F.explode(tasks)).select("cluster", "t.*", "band", "chunk", "vertex", "common", "comp", "shingles")
 
     def compare(t: pa.Table) -> pa.Table:
         sets_ = [np.frombuffer(x, np.uint64) for x in column(t, "shingles")]
         n = np.array([len(x) for x in sets_])
-        vertex, common, comp, chunk = (t.column(c).to_numpy() for c in ("vertex", "common", "comp", "chunk"))
-        i, j = column(t, "i")[0], column(t, "j")[0]
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        vertex, common, comp, chunk, band = (t.column(c).to_numpy() for c in ("vertex", "common", "comp", "chunk", "band"))
+        lower, i, j, side = (column(t, c)[0] for c in ("lower", "i", "j", "side"))
+        left, right = np.flatnonzero((chunk == i) & (band == lower)), np.flatnonzero((chunk == j) & (band == lower + side))
         out = []
         for a in left.tolist():
             b = right[comp[right] != comp[a]]
-            b = b[vertex[b] > vertex[a]] if i == j else b
+            b = b[vertex[b] > vertex[a]] if not side and i == j else b
             b = b[(100 + percent) * np.minimum(common[b], common[a]) >= percent * (n[b] + n[a])]
             if len(b):
                 both = np.add.reduceat(member(sets_[a], np.concatenate([sets_[k] for k in b.tolist()])).astype(np.int64), np.cumsum(n[b]) - n[b])
@@ -400,4 +435,4 @@ def link_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out += [(int(vertex[a]), int(v)) for v in vertex[hit]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("cluster", "lower", "side", "i", "j").applyInArrow(compare, "a long, b long")

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import small_batches
-from .textkernel import steps
+from .textkernel import STEP_BYTES, steps
 from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Ids that leave in one Arrow batch.
-BATCH_IDS = 1_000_000
+BATCH_IDS = 250_000
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -31,7 +31,7 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if n >> k & 1]
 
 
-def tokenised(batches, path: str, kind: str, end_id: int, step_bytes: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def tokenised(batches, path: str, kind: str, end_id: int, step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts of the batches with the ids of their texts on end, each text's with end_id, and the number of ids of each."""
     for batch in batches:
         for t in steps(batch.column("text"), step_bytes):

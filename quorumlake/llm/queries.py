@@ -66,11 +66,12 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_back
+    from .storage import written
 
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return read_back(format_conversations(turns))
+    return read_back(written(format_conversations(turns), "chat"))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packing import tokenised
-from .storage import fit_partitions, new_path, small_batches, written
+from .storage import dropped, fit_partitions, new_path, small_batches, written
 
-BLOCK_IDS = 200_000
-#: Blocks in an Arrow batch.
-BATCH_BLOCKS = 8
+BLOCK_IDS = 20_000
 #: Distinct ids, of which a table goes to the encoders: a vocabulary's size, not the corpus's.
 MOST_IDS = 5_000_000
 
@@ -61,7 +59,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "b
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(fit_partitions(docs), *order).sortWithinPartitions(*order)
     runs = written(rows.select("doc_id", "text").mapInArrow(_blocks(tokenizer, kind, end_id), "part int, block int, before long, doc_ids array<long>, counts array<int>, total long, width int, ids binary"), "ids")
-    small_batches(spark, BATCH_BLOCKS)
     ranks = written(_ranks(runs), "ranks")
     ranks.write.option("compression", "none").parquet(f"{path}/ranks")
     n = ranks.count()
@@ -88,6 +85,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "b
 
     out = placed.select("number", "doc_ids", "counts", "start", "width", "ids").mapInArrow(encode, "block long, doc_ids array<long>, starts array<long>, counts array<int>, control binary, data binary")
     out.write.option("compression", "none").parquet(f"{path}/blocks")
+    dropped(runs, ranks)
 
 
 def _blocks(tokenizer: str, kind: str, end_id: int):
@@ -146,9 +144,9 @@ def _ranks(runs: DataFrame) -> DataFrame:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (little-endian unsigned 32-bit) of each document."""
-    by_rank = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").limit(MOST_IDS).toArrow()  # a vocabulary's size
+    by_rank = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").toArrow()  # a vocabulary's size
     ids_of = spark.sparkContext.broadcast(by_rank.column("id").to_numpy().astype(np.uint32))
-    small_batches(spark, BATCH_BLOCKS)
+    small_batches(spark)
 
     def decode(batches):
         for batch in batches:
