@@ -1,5 +1,7 @@
 """Classification of meetings, speakers and utterances by rule tables."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,12 +83,16 @@ def normal_role(c: Column | str) -> Column:
     return F.when(_col(c).rlike(SEAT_NUMBER), "議員").otherwise(role_suffix(c))
 
 
+#: Marks of the chair and of the agenda, marks that stand before short answers too, their lengths, and how an action is recorded.
+CHAIR_MARKS, ANSWER_MARKS, SHORT_ANSWER, SHORT_ACTION, RECORDED_ACTION = ("○", "△"), ("◆", "◎"), 20, 50, "～[^～]{1,30}～"
+
+
 def is_procedural(c: Column | str, length: Column | None = None) -> Column:
     """Chair's and agenda marks always; short answers and recorded actions under the marks ◆ and ◎."""
     c = _col(c)
     n = F.length(c) if length is None else length
-    marked = c.startswith("◆") | c.startswith("◎")
-    return c.startswith("○") | c.startswith("△") | (marked & ((n < 20) | ((n < 50) & c.rlike("～[^～]{1,30}～"))))
+    starts = lambda marks: reduce(lambda a, b: a | b, [c.startswith(m) for m in marks])
+    return starts(CHAIR_MARKS) | (starts(ANSWER_MARKS) & ((n < SHORT_ANSWER) | ((n < SHORT_ACTION) & c.rlike(RECORDED_ACTION))))
 
 
 def is_too_short(c: Column | str, least: int = 5) -> Column:

@@ -68,23 +68,32 @@ def sitting_date(c: Column | str) -> Column:
     and day there; the same with kanji month and day; any western date.
     """
     c = half_width_digits(F.regexp_replace(F.regexp_replace(_col(c), "<[^>]+>", ""), "(?i)&[a-z]+;", " "))
-    day, kanji_day = "(\\d{1,2})月(\\d{1,2})日", f"([{KANJI}十]+)月([{KANJI}十]+)日"
-    g = lambda p, i: F.regexp_extract(c, p, i)
+    # the text is made once, and bound; each rule's pattern runs once to find its match, whose parts are then taken from it
+    return F.element_at(F.transform(F.array(c), _sitting_rules), 1)
+
+
+def _sitting_rules(c: Column) -> Column:
+    day, kanji_day, none = "(\\d{1,2})月(\\d{1,2})日", f"([{KANJI}十]+)月([{KANJI}十]+)日", F.lit(None).cast("string")
+
+    def first(pattern: str, made, era: str | None = None) -> Column:
+        """made(parts) of the first match; texts without the era's name are passed over at once."""
+        parts = F.transform(F.filter(F.array(F.regexp_extract(c, pattern, 0)), lambda m: m != ""), lambda m: made(lambda i: F.regexp_extract(m, pattern, i)))
+        found = F.get(parts, F.lit(0))
+        return found if era is None else F.when(c.contains(era), found).otherwise(none)
+
     tries: list[Column] = []
     for era, base in ERAS:
-        p = f"{era}\\s*(\\d+)年\\s*(\\d{{1,2}})月\\s*(\\d{{1,2}})日"
-        tries.append(F.when(c.rlike(p), _iso(g(p, 1).try_cast("int") + base, g(p, 2), g(p, 3))))
+        tries.append(first(f"{era}\\s*(\\d+)年\\s*(\\d{{1,2}})月\\s*(\\d{{1,2}})日", lambda g, base=base: _iso(g(1).try_cast("int") + base, g(2), g(3)), era))
     for p in (f"(\\d{{4}})年\\s*[（(][^）)]+[）)]\\s*{day}", f"[（(](\\d{{4}})年[）)]\\s*{day}"):
-        tries.append(F.when(c.rlike(p), _iso(g(p, 1), g(p, 2), g(p, 3))))
+        tries.append(first(p, lambda g: _iso(g(1), g(2), g(3))))
     for era, base in ERAS:
-        p = f"{era}([{KANJI}十]+)年([{KANJI}十]+)月([{KANJI}十]+)日"
-        tries.append(F.when(c.rlike(p), _iso(kanji_number(g(p, 1)) + base, kanji_number(g(p, 2)), kanji_number(g(p, 3)))))
+        tries.append(first(f"{era}([{KANJI}十]+)年([{KANJI}十]+)月([{KANJI}十]+)日", lambda g, base=base: _iso(kanji_number(g(1)) + base, kanji_number(g(2)), kanji_number(g(3))), era))
     for era, base in ERAS:
-        y = f"{era}\\s*(\\d+)年"
-        tries.append(F.when(c.rlike(y) & c.rlike(day), _iso(g(y, 1).try_cast("int") + base, g(day, 1), g(day, 2))))
+        year = first(f"{era}\\s*(\\d+)年", lambda g, base=base: (g(1).try_cast("int") + base).cast("string"), era)
+        tries.append(first(day, lambda g, year=year: _iso(year, g(1), g(2)), era))
     for era, base in ERAS:
-        y = f"{era}\\s*(\\d+)年"
-        tries.append(F.when(c.rlike(y) & c.rlike(kanji_day), _iso(g(y, 1).try_cast("int") + base, kanji_number(g(kanji_day, 1)), kanji_number(g(kanji_day, 2)))))
+        year = first(f"{era}\\s*(\\d+)年", lambda g, base=base: (g(1).try_cast("int") + base).cast("string"), era)
+        tries.append(first(kanji_day, lambda g, year=year: _iso(year, kanji_number(g(1)), kanji_number(g(2))), era))
     return F.coalesce(*tries, western_date(c))
 
 

@@ -1,10 +1,16 @@
 """String functions on columns: whitespace, digits, markup, hashes, hosts and links."""
 
+import math
+import re
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: white space as ECMAScript has it, which includes U+3000.
 SPACE = "[\\s\\x0B\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+#: What of it is not ASCII.
+RARE_SPACE = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Digits in both widths.
 FULL_DIGITS, HALF_DIGITS = "０１２３４５６７８９", "0123456789"
 #: Marks that stand before an utterance.
@@ -23,14 +29,19 @@ def trim_all(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
 
 
+def _plain_space(c: Column | str) -> Column:
+    """Rare kinds of white space as spaces, so that the patterns that follow see ASCII ones only."""
+    return F.translate(_col(c), RARE_SPACE, " " * len(RARE_SPACE))
+
+
 def squeeze(c: Column | str) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(_col(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(_plain_space(c), "\\s+", " "))
 
 
 def tokens(c: Column | str) -> Column:
     """Search tokens: split at white space, none empty. An all-blank text has none."""
-    return F.filter(F.split(_col(c), f"{SPACE}+"), lambda x: x != "")
+    return F.filter(F.split(_plain_space(c), "\\s+"), lambda x: x != "")
 
 
 def half_width_digits(c: Column | str) -> Column:
@@ -168,11 +179,20 @@ def timestamp_label(c: Column | str) -> Column:
     return F.date_format(_col(c), "yyyyMMdd-HHmmss")
 
 
+#: The forms in which services say how long to wait, and their unit in milliseconds; the first that is found holds.
+RETRY_FORMS = (('"retryDelay"\\s*:\\s*"([0-9.]+)s"', 1000), ("Please retry in ([0-9.]+)ms", 1), ("Please retry in ([0-9.]+)s", 1000))
+
+
 def retry_delay_ms(c: Column | str) -> Column:
-    """Milliseconds, rounded up, that an error message asks to wait; the first of three forms wins, null without any."""
+    """Milliseconds, rounded up, that an error message asks to wait, null without any."""
     c = _col(c)
-    forms = (('"retryDelay"\\s*:\\s*"([0-9.]+)s"', 1000), ("Please retry in ([0-9.]+)ms", 1), ("Please retry in ([0-9.]+)s", 1000))
-    return F.coalesce(*[F.when(c.rlike(p), F.ceil(F.regexp_extract(c, p, 1).try_cast("decimal(20,9)") * scale)) for p, scale in forms]).cast("long")
+    return F.coalesce(*[F.when(c.rlike(p), F.ceil(F.regexp_extract(c, p, 1).try_cast("decimal(20,9)") * scale)) for p, scale in RETRY_FORMS]).cast("long")
+
+
+def retry_delay_ms_of(message: str) -> int | None:
+    """retry_delay_ms of one message, for what calls a service."""
+    found = next(((m[1], scale) for p, scale in RETRY_FORMS if (m := re.search(p, message))), None)
+    return None if found is None else math.ceil(Decimal(found[0]) * found[1])
 
 
 def jsonp_body(c: Column | str) -> Column:

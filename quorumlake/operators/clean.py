@@ -1,8 +1,12 @@
 """Dedupe, validation, upsert and keyed update of tables."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order. Null keys are a key."""
@@ -18,47 +22,41 @@ def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 
 
 def insert_ignore(new: DataFrame, target: DataFrame | None, keys: list[list[str]], order: list[Column]) -> DataFrame:
-    """Rows of new that an insert which ignores conflicts would add; a key with a null in it never conflicts.
+    """Rows of new that an insert which ignores conflicts would add, row by row in order; a key with a null in it never conflicts.
 
-    Each unique key is taken in turn: the first row in order stays, rows that the target has already go. A row that an
-    earlier key drops does not block others under a later key.
+    A row goes if any of its keys is in the target or is that of a row that was added before it; a row that goes blocks
+    none. Rounds find the same: a row that comes first under all of its keys is added, and the rows that share a key with
+    it go; then the next ones come first. Each round is an aggregation by key, so that no key's rows meet in one task, and
+    there are as many rounds as the longest chain of rows of which each one's going lets the next stay.
     """
-    out = new
-    for key in keys:
-        whole = F.lit(True)
-        for k in key:
-            whole = whole & F.col(k).isNotNull()
-        # rows without the key go past; a random part keeps them from meeting in one group
-        part = [F.when(whole, F.col(k)) for k in key]
-        spread = F.when(~whole, F.monotonically_increasing_id())
-        w = Window.partitionBy(*part, spread).orderBy(*order)
-        out = out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-        if target is not None:
-            out = out.join(target.select(*key).distinct(), key, "left_anti").select(*new.columns)
-    return out
+    names = new.columns
+    whole = [reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]) for key in keys]
+    left = new
+    for key in keys if target is not None else ():
+        left = left.join(target.select(*key).distinct(), key, "left_anti").select(*names)
+    # rows equal in order get places of their own, fixed by the cut
+    left = cut(left.withColumn("_at", F.struct(*order, F.monotonically_increasing_id())))
+    added = None
+    while not left.isEmpty():
+        marked = left
+        for i, (key, full) in enumerate(zip(keys, whole, strict=True)):
+            firsts = left.filter(full).groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)]).agg(F.min("_at").alias(f"_f{i}"))
+            same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{j}") for j, k in enumerate(key)])
+            marked = marked.join(firsts, same, "left").drop(*[f"_k{j}" for j in range(len(key))])
+        first = [F.col(f"_f{i}").isNull() | (F.col("_at") == F.col(f"_f{i}")) for i in range(len(keys))]
+        marked = cut(marked.withColumn("_stays", reduce(lambda a, b: a & b, first)))
+        stays = marked.filter("_stays").select(*names)
+        added = stays if added is None else added.unionByName(stays)
+        left = marked.filter("not _stays").select(*names, "_at")
+        for key, full in zip(keys, whole, strict=True):
+            left = left.join(stays.filter(full).select(*key), key, "left_anti")
+        left = cut(left.select(*names, "_at"))
+    return new.limit(0) if added is None else added
 
 
 def insert_ignore_exact(new: DataFrame, keys: list[list[str]], group: str, order: list[Column]) -> DataFrame:
-    """Row by row in order, as a database inserts: a row goes if any key is taken by a row that stayed. Keys must not cross groups.
-
-    A fold over each group's rows, for the rare groups in which two keys interact; the groups' size is the caller's to bound.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*new.columns).alias("row"))))
-    seen = lambda a, x, i, key: F.array_contains(a[f"k{i}"], F.to_json(F.struct(*[x["row"][k] for k in key])))
-
-    def step(a: Column, x: Column) -> Column:
-        clash = F.lit(False)
-        for i, key in enumerate(keys):
-            filled = F.lit(True)
-            for k in key:
-                filled = filled & x["row"][k].isNotNull()
-            clash = clash | (filled & seen(a, x, i, key))
-        added = [F.when(clash, a[f"k{i}"]).otherwise(F.array_append(a[f"k{i}"], F.to_json(F.struct(*[x["row"][k] for k in key])))).alias(f"k{i}") for i, key in enumerate(keys)]
-        return F.struct(*added, F.when(clash, a["rows"]).otherwise(F.array_append(a["rows"], x["row"])).alias("rows"))
-
-    kind = new.schema.simpleString()
-    start = F.struct(*[F.array().cast("array<string>").alias(f"k{i}") for i in range(len(keys))], F.array().cast(f"array<{kind}>").alias("rows"))
-    return new.groupBy(F.col(group).alias("_g")).agg(F.aggregate(ordered, start, step, lambda a: a["rows"]).alias("rows")).select(F.inline("rows"))
+    """insert_ignore under keys that hold within a group only; rows without a group never conflict."""
+    return insert_ignore(new, None, [[group, *key] for key in keys], order)
 
 
 def upsert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

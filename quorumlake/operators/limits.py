@@ -1,5 +1,7 @@
 """Sliding-log rate limits over an event log: demand and admission."""
 
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,31 +23,29 @@ def demand(df: DataFrame, key: str, ts: str, window_s: int) -> DataFrame:
 def admission(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int) -> DataFrame:
     """admitted and remaining of each event, in order of time (ties by order); rejected events are not recorded and take no place.
 
-    After a gap of a window or more the log is empty, so that a key's events fall into islands that do not bear on each
-    other. Sorted islands stream through the tasks, which hold the last admitted times only, `most` at most.
+    One shuffle brings a key's events together, sorted; they stream through a task that holds the key's last admitted times
+    only, `most` at most, however many events there are. A null time counts for nothing and comes first.
     """
     window, names = window_s * 1_000_000, df.columns
-    line = [F.col("_us"), F.col(order), *[F.col(c) for c in names]]
-    us = df.withColumn("_us", micros(ts))
-    w = Window.partitionBy(key).orderBy(*line)
-    before = F.lag("_us").over(w)
-    marked = us.withColumn("_first", (before.isNull() | (F.col("_us") - before >= window)).cast("int"))
-    islands = marked.withColumn("_island", F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    dealt = islands.repartition(key, "_island").sortWithinPartitions(key, "_island", *line, F.desc("_first"))
+    us = df.withColumn("_us", micros(ts)).withColumn("_key", F.col(key))
+    dealt = us.repartition("_key").sortWithinPartitions("_key", "_us", order, *[c for c in names if c != order])
 
     def stream(batches):
-        log: list[int] = []
+        log, now = deque(), object()
         for batch in batches:
             admitted, remaining, retry = [], [], []
-            for x, first in zip(batch.column("_us").to_pylist(), batch.column("_first").to_pylist(), strict=True):
-                if first:
-                    log = []
-                recent = [t for t in log if t > x - window] if x is not None else []
-                ok = len(recent) < most
+            for x, of in zip(batch.column("_us").to_pylist(), batch.column("_key").to_pylist(), strict=True):
+                if of != now:
+                    log, now = deque(), of
+                while log and x is not None and log[0] <= x - window:
+                    log.popleft()
+                held = len(log) if x is not None else 0
+                ok = held < most
                 admitted.append(ok)
-                remaining.append(most - len(recent) - 1 if ok else 0)
-                retry.append(None if ok else max(0, recent[0] + window - x) if recent else 0)
-                log = [*recent, x] if ok and x is not None else recent
+                remaining.append(most - held - 1 if ok else 0)
+                retry.append(None if ok else max(0, log[0] + window - x) if log else 0)
+                if ok and x is not None:
+                    log.append(x)
             found = [pa.array(admitted, pa.bool_()), pa.array(remaining, pa.int32()), pa.array(retry, pa.int64())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *found], names=[*names, "admitted", "remaining", "retry_us"])
 

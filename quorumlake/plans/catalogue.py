@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, speakers, text
-from ..operators import chunk, clean, limits, topics
+from ..operators import chunk, clean, limits, runs, topics
 from . import fixtures as fx
 from . import search
 
@@ -205,9 +205,8 @@ def carry_speaker(spark, d):
 
 @query
 def content_order(spark, d):
-    rows = fx.statements(spark, d)
-    w = Window.partitionBy("meeting_id").orderBy(F.asc_nulls_last("start"), "position")
-    return rows.withColumn("start", F.when(F.col("position") % 3 != 1, F.length("content"))).select("meeting_id", "position", F.row_number().over(w).alias("place"))
+    rows = fx.statements(spark, d).withColumn("start", F.when(F.col("position") % 3 != 1, F.length("content")))
+    return runs.statement_order(rows, start="start", tie="position").select("meeting_id", "position", "place")
 
 
 @query
@@ -231,9 +230,11 @@ def last_wins(spark, d):
 
 @query
 def insert_ignore(spark, d):
-    e = fx.table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 100).alias("external_id"))
-    target = e.filter("id % 50 = 1")
-    return clean.insert_ignore(e, target, [["id"], ["user_id", "external_id"]], [F.col("id")])
+    """Two keys that interact: (user, hour) and (user, k of the event's properties, null for clicks); purchases are there already."""
+    k = F.when(F.col("event_type") != "click", F.get_json_object("props", "$.k").cast("int"))
+    e = fx.table(spark, d, "events").select("event_id", "event_type", "user_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), k.alias("k"))
+    new, target = e.filter("event_type <> 'purchase'").drop("event_type"), e.filter("event_type = 'purchase'")
+    return clean.insert_ignore(new, target, [["user_id", "hour"], ["user_id", "k"]], [F.col("event_id")])
 
 
 @query
@@ -290,21 +291,14 @@ def calendar_year(spark, d):
 
 @query
 def truncated_lists(spark, d):
-    w = Window.partitionBy("municipality_code")
-    m = fx.meetings(spark, d).select("municipality_code", "id", F.row_number().over(w.orderBy("id")).alias("n"), F.count("*").over(w).alias("total"))
-    return m.filter("n <= 5").select("municipality_code", "id", (F.col("total") > 5).alias("truncated"))
+    m = fx.meetings(spark, d).select("municipality_code", "id")
+    return runs.first_k(m, ["municipality_code"], [F.col("id")], 5)
 
 
 @query
 def failures_by_system(spark, d):
-    p = fx.table(spark, d, "pages").withColumn("system", text.adapter_key("url", F.lit("custom")))
-    return p.groupBy("system").agg(F.count("*").alias("pages"), F.count_if(F.col("page_id") % 7 == 0).alias("failed"))
-
-
-@query
-def import_targets(spark, d):
-    docs = fx.table(spark, d, "documents").select(F.concat(F.lit("root/"), (F.col("doc_id") % 40 + 1990).cast("string"), F.lit("/"), F.lpad((F.col("doc_id") % 7).cast("string"), 6, "0")).alias("path")).distinct()
-    return docs.filter(F.col("path").rlike("/(19|20)\\d{2}/")).select(F.regexp_extract("path", "/(\\d{4})/(\\d+)$", 1).alias("year"), F.regexp_extract("path", "/(\\d{4})/(\\d+)$", 2).alias("code")).filter(F.col("code").isin("000001", "000003"))
+    p = fx.table(spark, d, "pages").withColumn("failed", F.col("page_id") % 7 == 0)
+    return runs.failures_by_system(p, code=F.lit("custom")).withColumnRenamed("attempts", "pages")
 
 
 # limits

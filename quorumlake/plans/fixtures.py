@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cuts import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,13 +42,26 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+_NESTED: dict[tuple[str, str], str] = {}
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meetings with topic_digests as an array of structs, null where there is none."""
     order = ["line", "part", "supplier", "price"]
     rows = digests(spark, sf_dir).select("meeting_id", F.struct(*order, F.struct("topic", "relevance", "digest", "speakers").alias("d")).alias("r"))
-    nested = rows.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["d"]).alias("topic_digests"))
+    grouped = rows.groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["d"]).alias("topic_digests"))
     m = meetings(spark, sf_dir)
-    return m.join(nested, m.id == nested.meeting_id, "left").drop("meeting_id")
+    return m.join(grouped, m.id == grouped.meeting_id, "left").drop("meeting_id")
+
+
+def with_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nested(), written once for the session as the table that a service keeps: ranges of dates in each file, so that a date filter reads few of them."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _NESTED:
+        path = new_folder(spark, "meetings")
+        nested(spark, sf_dir).repartitionByRange("held_on").sortWithinPartitions("held_on", "id").write.parquet(path)
+        _NESTED[at] = path
+    return spark.read.parquet(_NESTED[at])
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,20 @@ ORACLE: dict[str, str] = {
     "noise_flags": f"WITH {_STMT}, c AS (SELECT meeting_id, position, ['○','◆','△','','◎',''][(position % 6 + 1)::int] || left(content, 25) AS content FROM stmt) SELECT meeting_id, position, content LIKE '○%' OR content LIKE '△%' OR ((content LIKE '◆%' OR content LIKE '◎%') AND (length(content) < 20 OR (length(content) < 50 AND regexp_matches(content, '～[^～]{{1,30}}～')))) AS procedural, length(trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(12288) || chr(160))) < 12 AS short FROM c",
     "first_wins": "SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
     "last_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
-    "insert_ignore": "WITH e AS (SELECT event_id AS id, user_id, CASE WHEN event_id % 4 <> 0 THEN event_id % 100 END AS external_id FROM events), t AS (SELECT * FROM e WHERE id % 50 = 1), a AS (SELECT * FROM e WHERE id NOT IN (SELECT id FROM t)), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, external_id ORDER BY id) AS n FROM a) SELECT id, user_id, external_id FROM b WHERE (external_id IS NULL OR n = 1) AND NOT EXISTS (SELECT 1 FROM t WHERE t.user_id = b.user_id AND t.external_id = b.external_id)",
+    "insert_ignore": """WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, strftime(ts, '%Y-%m-%d %H') AS hour, CASE WHEN event_type <> 'click' THEN (props->>'k')::int END AS k FROM events),
+      t AS (SELECT * FROM e WHERE event_type = 'purchase'), n AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM e WHERE event_type <> 'purchase'
+        AND NOT EXISTS (SELECT 1 FROM t WHERE t.user_id = e.user_id AND t.hour = e.hour) AND NOT EXISTS (SELECT 1 FROM t WHERE t.user_id = e.user_id AND t.k = e.k)),
+      walk AS (SELECT event_id, user_id, i, true AS stays, [hour] AS hours, CASE WHEN k IS NULL THEN []::int[] ELSE [k] END AS ks FROM n WHERE i = 1 UNION ALL
+        SELECT n.event_id, n.user_id, n.i, NOT (list_contains(hours, n.hour) OR coalesce(list_contains(ks, n.k), false)),
+          CASE WHEN list_contains(hours, n.hour) OR coalesce(list_contains(ks, n.k), false) THEN hours ELSE list_append(hours, n.hour) END,
+          CASE WHEN n.k IS NULL OR list_contains(hours, n.hour) OR coalesce(list_contains(ks, n.k), false) THEN ks ELSE list_append(ks, n.k) END FROM walk w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
+      SELECT n.event_id, n.user_id, n.hour, n.k FROM n JOIN walk w ON n.event_id = w.event_id WHERE stays""",
+    "insert_ignore_exact": """WITH RECURSIVE n AS (SELECT event_id AS id, user_id, event_id % 300 AS a, CASE WHEN event_id % 5 <> 0 THEN floor(event_id / 7)::bigint % 200 END AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+      walk AS (SELECT id, user_id, i, true AS stays, [a] AS seen_a, CASE WHEN b IS NULL THEN []::bigint[] ELSE [b] END AS seen_b FROM n WHERE i = 1 UNION ALL
+        SELECT n.id, n.user_id, n.i, NOT (list_contains(seen_a, n.a) OR coalesce(list_contains(seen_b, n.b), false)),
+          CASE WHEN list_contains(seen_a, n.a) OR coalesce(list_contains(seen_b, n.b), false) THEN seen_a ELSE list_append(seen_a, n.a) END,
+          CASE WHEN n.b IS NULL OR list_contains(seen_a, n.a) OR coalesce(list_contains(seen_b, n.b), false) THEN seen_b ELSE list_append(seen_b, n.b) END FROM walk w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
+      SELECT n.id, n.user_id, n.a, n.b FROM n JOIN walk w ON n.id = w.id WHERE stays""",
     "upsert_topics": "WITH old AS (SELECT p_brand, p_name, count(*) AS n, max(p_type) AS description FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2), new AS (SELECT p_brand, p_name, count(*) * 10 AS n, min(p_type) AS description FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2) SELECT p_brand, p_name, n, description FROM new UNION ALL SELECT p_brand, p_name, n, description FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.p_brand = old.p_brand AND new.p_name = old.p_name)",
     "keyed_update": f"WITH {_MEET} SELECT id, CASE WHEN id LIKE '%7' THEN upper(summary) ELSE summary END AS summary, CASE WHEN id LIKE '%7' THEN 'x' ELSE meeting_type END AS meeting_type FROM meet",
     "orphans_anti": "SELECT lpad(o_orderkey::varchar, 12, '0') AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey)",
@@ -93,7 +106,6 @@ ORACLE: dict[str, str] = {
     "calendar_year": f"WITH {_MEET} SELECT id, held_on FROM meet WHERE year(held_on) = 1997",
     "truncated_lists": f"WITH {_MEET} SELECT municipality_code, id, total > 5 AS truncated FROM (SELECT municipality_code, id, row_number() OVER (PARTITION BY municipality_code ORDER BY id) AS n, count(*) OVER (PARTITION BY municipality_code) AS total FROM meet) WHERE n <= 5",
     "failures_by_system": "SELECT CASE WHEN contains(url, 'ssp.kaigiroku.net') OR regexp_matches(url, '/tenant/[^/]+/') THEN 'discussnet_ssp' WHEN contains(url, 'dbsr.jp') THEN 'dbsearch' WHEN contains(url, 'kensakusystem.jp') AND NOT contains(url, '-vod/') THEN 'kensakusystem' WHEN contains(url, 'gijiroku.com') OR regexp_matches(url, '(?i)/VOICES/') OR regexp_matches(url, '(?i)g0[78]v_search\\.asp') THEN 'gijiroku_com' ELSE 'custom' END AS system, count(*) AS pages, count(*) FILTER (page_id % 7 = 0) AS failed FROM pages GROUP BY 1",
-    "import_targets": "SELECT DISTINCT (doc_id % 40 + 1990)::varchar AS year, lpad((doc_id % 7)::varchar, 6, '0') AS code FROM documents WHERE doc_id % 7 IN (1, 3)",
     "rate_demand": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window FROM events",
     "rate_admission": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
       walk AS (SELECT event_id, user_id, k, [us] AS log, true AS admitted, 1 AS remaining FROM e WHERE k = 1 UNION ALL

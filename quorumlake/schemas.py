@@ -21,7 +21,7 @@ MEETING_TOPICS = T.StructType(_s("meeting_id", "municipality_code", "canonical_n
 MEETING_LINE = T.StructType(_s("id", "municipalityCode", "title", "meetingType", "heldOn", "sourceUrl", "externalId", "status", "scrapedAt"))
 STATEMENT_LINE = T.StructType([*_s("id", "meetingId", "kind", "speakerName", "speakerRole", "content", "contentHash"), T.StructField("startOffset", T.IntegerType()), T.StructField("endOffset", T.IntegerType())])
 SUMMARY_LINE = T.StructType([*_s("meetingId", "municipalityCode", "heldOn", "summary"), T.StructField("topicDigests", T.ArrayType(DIGEST)), *_s("summaryModel", "summaryGeneratedAt")])
-MARKER = T.StructType([*_s("completedAt"), T.StructField("meetings", T.IntegerType()), T.StructField("statements", T.IntegerType()), T.StructField("imported", T.BooleanType()), *_s("importedAt")])
+MARKER = T.StructType([*_s("completedAt"), T.StructField("meetings", T.IntegerType()), T.StructField("statements", T.IntegerType()), T.StructField("imported", T.BooleanType()), *_s("importedAt"), T.StructField("summariesImported", T.BooleanType())])
 CLUSTERS = T.StructType([T.StructField("clusters", T.ArrayType(T.StructType([*_s("canonical_name", "description"), T.StructField("member_indices", T.ArrayType(T.LongType()))])))])
-SUMMARY_REPLY = T.StructType([*_s("summary"), T.StructField("topics", T.ArrayType(DIGEST))])
+SUMMARY_REPLY = T.StructType([*_s("summary"), T.StructField("topic_digests", T.ArrayType(DIGEST))])
 USAGE = T.StructType([*_s("key"), T.StructField("ts", T.TimestampNTZType())])

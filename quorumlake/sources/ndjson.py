@@ -4,10 +4,16 @@ Readers keep line numbers, which splits of a file lose: a file is one row of tex
 folder are some megabytes; folders spread over tasks.
 """
 
+import json
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import clean
 
 MEETINGS, STATEMENTS, SUMMARIES = "meetings.ndjson", "statements.ndjson", "summaries.ndjson"
 COMPLETE, SUMMARIES_COMPLETE = "_complete", "_summaries_complete"
@@ -59,16 +65,86 @@ def present(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def markers(spark: SparkSession, root: str, name: str = COMPLETE) -> DataFrame:
-    """year, code and the marker's fields; imported is false where the marker is malformed or says nothing."""
-    jvm, rows = spark.sparkContext._jvm, []
-    for year, code, status in _listed(spark, root, name):
-        stream = status.getPath().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(status.getPath())
-        try:
-            rows.append((year, code, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
-    df = spark.createDataFrame(rows, "year string, code string, body string")
-    return df.withColumn("m", F.from_json("body", schemas.MARKER)).select("year", "code", F.coalesce("m.imported", F.lit(False)).alias("imported"), "m.completedAt", "m.meetings", "m.statements")
+    """year, code and the marker's fields; imported is false where the marker is malformed or says nothing.
+
+    Markers are a line each, one for a folder; Spark's readers pass over underscored names, so that the driver opens them,
+    many at a time.
+    """
+    listed = _listed(spark, root, name)
+    with ThreadPoolExecutor(16) as pool:
+        bodies = list(pool.map(lambda x: _read(spark, x[2].getPath()), listed))
+    df = spark.createDataFrame([(y, c, body) for (y, c, _), body in zip(listed, bodies, strict=True)], "year string, code string, body string")
+    said = F.col("m.summariesImported") if name == SUMMARIES_COMPLETE else F.col("m.imported")
+    return df.withColumn("m", F.from_json("body", schemas.MARKER)).select("year", "code", F.coalesce(said, F.lit(False)).alias("imported"), "m.completedAt", "m.meetings", "m.statements")
+
+
+def _read(spark: SparkSession, path) -> str:
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _write(spark: SparkSession, path: str, body: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(body.encode()))
+    finally:
+        stream.close()
+
+
+def _write_all(spark: SparkSession, files: list[tuple[str, str]]) -> None:
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda x: _write(spark, *x), files))
+
+
+def _now() -> str:
+    return datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
+def mark_complete(root: str, folders: DataFrame) -> None:
+    """Writes the completion marker of each folder (year, code, meetings, statements, truncated) that was not truncated."""
+    done = folders.filter("not truncated").select("year", "code", "meetings", "statements").collect()  # a row for a folder
+    _write_all(folders.sparkSession, [(f"{root}/{r.year}/{r.code}/{COMPLETE}", json.dumps({"completedAt": _now(), "meetings": r.meetings, "statements": r.statements}) + "\n") for r in done])
+
+
+def mark_imported(root: str, folders: DataFrame) -> None:
+    """Adds imported and importedAt to the markers of folders (year, code); other fields stay."""
+    spark = folders.sparkSession
+    held = {(y, c): status for y, c, status in _listed(spark, root, COMPLETE)}
+    out = []
+    for r in folders.select("year", "code").collect():
+        body = json.loads(_read(spark, held[r.year, r.code].getPath()))
+        out.append((f"{root}/{r.year}/{r.code}/{COMPLETE}", json.dumps(body | {"imported": True, "importedAt": _now()}) + "\n"))
+    _write_all(spark, out)
+
+
+def mark_summaries_imported(root: str, folders: DataFrame) -> None:
+    _write_all(folders.sparkSession, [(f"{root}/{r.year}/{r.code}/{SUMMARIES_COMPLETE}", json.dumps({"summariesImported": True, "importedAt": _now()}) + "\n") for r in folders.select("year", "code").collect()])
+
+
+def land(rows: DataFrame, root: str, name: str) -> None:
+    """Writes the lines of rows (year, code, place, line) as {root}/{year}/{code}/{name}, in order of place, one file a folder.
+
+    Spark writes a part for each folder; the parts then get their names, which moves no data.
+    """
+    spark, staged = rows.sparkSession, f"{root}/_staged-{uuid.uuid4().hex}"
+    dealt = rows.repartition("year", "code").sortWithinPartitions("year", "code", "place")
+    dealt.select("year", "code", "line").write.partitionBy("year", "code").text(staged)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def move(status) -> None:
+        year, code = (x.split("=", 1)[1] for x in status.getPath().toString().split("/")[-3:-1])
+        fs.mkdirs(path(f"{root}/{year}/{code}"))
+        fs.rename(status.getPath(), path(f"{root}/{year}/{code}/{name}"))
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, fs.globStatus(path(f"{staged}/year=*/code=*/part-*")) or []))
+    fs.delete(path(staged), True)
 
 
 def import_targets(spark: SparkSession, root: str, codes: list[str] | None = None, skip_imported: bool = True) -> DataFrame:
@@ -87,6 +163,37 @@ def summary_targets(spark: SparkSession, root: str, codes: list[str] | None = No
     return (rows.filter(~F.coalesce("imported", F.lit(False))) if skip_imported else rows).select("year", "code")
 
 
+def import_meetings(spark: SparkSession, root: str, target: DataFrame | None = None, codes: list[str] | None = None, skip_imported: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows that an import of complete folders adds to target, and (year, code, ok) of each folder.
+
+    A folder with a line that does not parse, or without heldOn, fails as a whole. Rows go in by folder and line; one whose
+    id, or municipality and external id, is taken is left out.
+    """
+    targets = import_targets(spark, root, codes, skip_imported)
+    rows = read_meetings(spark, root).join(targets, ["year", "code"], "left_semi")
+    key = F.concat_ws("/", "year", "code")
+    good = clean.passing_groups(rows.withColumn("dir", key), "dir", clean.meeting_line_valid())
+    named = good.select("year", "code", "line_no", "id", F.col("municipalityCode").alias("municipality_code"), "title", F.col("meetingType").alias("meeting_type"), F.col("heldOn").cast("date").alias("held_on"), F.col("sourceUrl").alias("source_url"), F.col("externalId").alias("external_id"))
+    added = clean.insert_ignore(named, target, [["id"], ["municipality_code", "external_id"]], [F.col("year"), F.col("code"), F.col("line_no")]).drop("year", "code", "line_no")
+    verdict = rows.groupBy("year", "code").agg(F.bool_and(F.coalesce(clean.meeting_line_valid(), F.lit(False))).alias("ok"))
+    return added, verdict
+
+
+def import_summaries(spark: SparkSession, root: str, meetings: DataFrame, codes: list[str] | None = None, skip_imported: bool = True) -> tuple[DataFrame, DataFrame]:
+    """meetings with summary, topic_digests, summary_generated_at and summary_model from the folders' summaries, and (year, code, ok).
+
+    Of several lines for a meeting in a folder the last one holds, and of several folders the last; a folder with an invalid line fails as a whole.
+    """
+    targets = summary_targets(spark, root, codes, skip_imported)
+    rows = read_summaries(spark, root).join(targets, ["year", "code"], "left_semi").withColumn("dir", F.concat_ws("/", "year", "code"))
+    parsed = rows.filter(F.from_json("line", "struct<meetingId:string>").isNotNull())
+    good = clean.passing_groups(parsed, "dir", clean.summary_line_valid())
+    last = clean.last_wins(good.select("meetingId", F.struct("dir", "line_no").alias("place"), "summary", F.col("topicDigests").alias("topic_digests"), F.col("summaryGeneratedAt").cast("timestamp_ntz").alias("summary_generated_at"), F.col("summaryModel").alias("summary_model")), ["meetingId"], "place")
+    columns = ["summary", "topic_digests", "summary_generated_at", "summary_model"]
+    updated = clean.keyed_update(meetings, last.withColumnRenamed("meetingId", "id"), "id", columns)
+    return updated, parsed.groupBy("year", "code").agg(F.bool_and(F.coalesce(clean.summary_line_valid(), F.lit(False))).alias("ok"))
+
+
 def statements_of(spark: SparkSession, root: str, meeting_id: str, year: int) -> DataFrame:
     """A meeting's statements from the year it was held in, else from the first other year's folder that has any; by offset, null offsets last."""
     rows = read_statements(spark, root).filter(F.col("meetingId") == meeting_id)
@@ -123,15 +230,16 @@ def integrity(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(*key, reason.isNull().alias("complete"), reason.alias("reason"))
 
 
-def write_scrape(meetings: DataFrame, root: str) -> None:
-    """Meetings (with an array of statements) as two sets of JSON lines under year=/code= folders; ids follow from natural keys, so that a rerun writes the same."""
+def write_scrape(meetings: DataFrame, root: str, by: str = "code") -> None:
+    """Meetings (with an array of statements) as two sets of JSON lines under year=/code= folders (by "year": year= ones alone, for very many councils); ids follow from natural keys, so that a rerun writes the same."""
     key = F.concat_ws("|", "municipality_code", "external_id", "held_on", "title")
     m = meetings.withColumn("id", F.sha2(key, 256)).withColumn("year", F.substring(F.col("held_on").cast("string"), 1, 4)).withColumn("code", F.col("municipality_code"))
     head = m.select("year", "code", "id", F.col("municipality_code").alias("municipalityCode"), "title", F.col("meeting_type").alias("meetingType"), F.col("held_on").cast("string").alias("heldOn"), F.col("source_url").alias("sourceUrl"), F.col("external_id").alias("externalId"), F.lit("processed").alias("status"))
     said = m.select("year", "code", F.col("id").alias("meetingId"), F.posexplode("statements").alias("pos", "s"))
     said = said.select("year", "code", F.sha2(F.concat_ws("|", "meetingId", F.col("pos").cast("string")), 256).alias("id"), "meetingId", "s.kind", F.col("s.speaker_name").alias("speakerName"), F.col("s.speaker_role").alias("speakerRole"), "s.content", F.col("s.content_hash").alias("contentHash"), F.col("s.start_offset").alias("startOffset"), F.col("s.end_offset").alias("endOffset"))
-    head.write.mode("append").partitionBy("year", "code").json(f"{root}/meetings")
-    said.write.mode("append").partitionBy("year", "code").json(f"{root}/statements")
+    folders = ["year", "code"] if by == "code" else ["year"]
+    for rows, name in ((head, "meetings"), (said, "statements")):
+        (rows if by == "code" else rows.drop("code")).write.mode("append").partitionBy(*folders).json(f"{root}/{name}")
 
 
 def append_summaries(summaries: DataFrame, root: str) -> None:
