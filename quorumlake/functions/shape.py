@@ -5,10 +5,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, _entities, strip_tags, trim_all
+from .text import SPACE, _col, _entities, strip_tags, trim_all
 
 #: Fixed value: the words after which proceedings begin.
-PROCEEDINGS = "議\\s*事\\s*の\\s*経\\s*過"
+PROCEEDINGS = f"議{SPACE}*事{SPACE}*の{SPACE}*経{SPACE}*過"
 #: What tells a link to a file that is no minutes, and one that is, in its text and in its address.
 NO_MINUTES = {"label": ("【表紙】", "【議事日程】"), "href": ("frontcover", "hyoushi", "agenda", "nittei")}
 MINUTES = {"label": ("【会議録】", "一般質問", "委員会"), "href": ("minutes", "kaigiroku")}

@@ -102,7 +102,7 @@ def run_log(runs: DataFrame, iterations: DataFrame) -> DataFrame:
     rows = runs.join(steps, F.col("run_id") == F.col("_r"), "left")
     item = lambda name, c: F.concat(F.lit(f"- **{name}**: "), c)
     head = F.concat_ws("\n", item("Preset", F.col("preset")), item("Model", F.col("model")), item("Municipality", F.coalesce("municipality_code", F.lit("(unspecified)"))), item("End reason", F.col("end_reason")), F.when(F.col("error").isNotNull() & (F.col("error") != ""), item("Error", F.col("error"))))
-    cost = F.coalesce(F.concat(F.lit("- Estimated cost: $"), F.format_string("%.6f", "cost"), F.lit(" ("), "model", F.lit(" pricing)")), F.concat(F.lit("- Estimated cost: n/a (unknown pricing for "), "model", F.lit(")")))
+    cost = F.when(F.col("cost").isNotNull(), F.concat(F.lit("- Estimated cost: $"), F.format_string("%.6f", "cost"), F.lit(" ("), "model", F.lit(" pricing)"))).otherwise(F.concat(F.lit("- Estimated cost: n/a (unknown pricing for "), "model", F.lit(")")))
     usage = F.concat_ws("\n", *[F.concat(F.lit(f"- {n}: "), F.col(c).cast("string")) for n, c in (("Input tokens", "input_tokens"), ("Output tokens", "output_tokens"), ("API calls", "api_calls"))], cost)
     title = F.concat(F.lit("# Agent Run — "), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     body = F.concat_ws("\n\n", title, head, F.lit("## Question"), "question", F.array_join(F.coalesce("parts", F.array().cast("array<string>")), "\n\n"), F.lit("## Usage"), usage)

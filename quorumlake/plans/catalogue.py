@@ -133,8 +133,8 @@ def topic_index(spark, d):
 
 def _members(spark, d):
     refs = topics.topic_index(fx.with_digests(spark, d))
-    members = refs.filter(F.col("index") % 11 != 5).select("municipality_code", F.element_at(F.split("topic", " "), -1).alias("canonical_name"), F.lit("").alias("description"), F.lit(0).cast("long").alias("position"), F.col("index").alias("member_index"))
-    twice = refs.filter(F.col("index") % 13 == 3).select("municipality_code", F.lit("extra").alias("canonical_name"), F.lit("").alias("description"), F.lit(1).cast("long").alias("position"), F.col("index").alias("member_index"))
+    members = refs.filter(F.col("relevance") == "primary").select("municipality_code", F.element_at(F.split("topic", " "), -1).alias("canonical_name"), F.lit("").alias("description"), F.lit(0).cast("long").alias("position"), F.col("index").alias("member_index"))
+    twice = refs.filter(F.col("topic").startswith("small")).select("municipality_code", F.lit("extra").alias("canonical_name"), F.lit("").alias("description"), F.lit(1).cast("long").alias("position"), F.col("index").alias("member_index"))
     return refs, members.unionByName(twice)
 
 
@@ -181,8 +181,7 @@ def statement_offsets(spark, d):
 
 @query
 def speaker_runs(spark, d):
-    rows = fx.statements(spark, d).filter(F.length("content") >= 200)
-    return chunk.speaker_runs(rows, "meeting_id", ["position"]).select("meeting_id", "position", "run")
+    return chunk.speaker_runs(fx.statements(spark, d), "meeting_id", ["position"]).select("meeting_id", "position", "run")
 
 
 @query
@@ -212,7 +211,7 @@ def content_order(spark, d):
 @query
 def noise_flags(spark, d):
     c = F.col("content")
-    rows = fx.statements(spark, d).withColumn("content", F.concat(F.element_at(F.array(F.lit("○"), F.lit("◆"), F.lit("△"), F.lit(""), F.lit("◎"), F.lit("")), (F.col("position") % 6 + 1).cast("int")), F.substring("content", 1, 25)))
+    rows = fx.statements(spark, d).withColumn("content", F.concat(F.element_at(F.array(F.lit("○"), F.lit("◆"), F.lit("△"), F.lit(""), F.lit("◎"), F.lit("")), (F.col("position") % 6 + 1).cast("int")), "content"))
     return rows.select("meeting_id", "position", classify.is_procedural(c).alias("procedural"), classify.is_too_short(c, 12).alias("short"))
 
 
@@ -246,15 +245,15 @@ def insert_ignore_exact(spark, d):
 @query
 def upsert_topics(spark, d):
     p = fx.table(spark, d, "part")
-    old = p.filter("p_partkey % 3 <> 0").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"), F.max("p_type").alias("description"))
-    new = p.filter("p_partkey % 2 = 0").groupBy("p_brand", "p_name").agg((F.count("*") * 10).alias("n"), F.min("p_type").alias("description"))
+    old = p.filter("p_size < 30").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"), F.max("p_type").alias("description"))
+    new = p.filter("p_size >= 20").groupBy("p_brand", "p_name").agg((F.count("*") * 10).alias("n"), F.min("p_type").alias("description"))
     return clean.upsert(old, new, ["p_brand", "p_name"])
 
 
 @query
 def keyed_update(spark, d):
     m = fx.meetings(spark, d)
-    new = m.filter("id like '%7'").select("id", F.upper("summary").alias("summary"), F.lit("x").alias("meeting_type"))
+    new = m.filter("meeting_type = 'committee'").select("id", F.upper("summary").alias("summary"), F.lit("x").alias("meeting_type"))
     return clean.keyed_update(m, new, "id", ["summary", "meeting_type"]).select("id", "summary", "meeting_type")
 
 
@@ -358,7 +357,7 @@ def page_route(spark, d):
 def heading_carry(spark, d):
     p = fx.table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?i)<(?:h1|p)>[^<]*"), F.lit(0))).alias("pos", "block"))
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.lower("block").startswith("<h1>"), F.substring("block", 5, 40))
+    head = F.when(F.lower("block").startswith("<h1>"), F.substring("block", F.lit(5), F.length("block")))
     return p.select("page_id", "pos", F.last(head, ignorenulls=True).over(w).alias("heading"), F.length("block").alias("n"))
 
 
@@ -389,7 +388,7 @@ def digits_normalise(spark, d):
 
 @query
 def utf16_length(spark, d):
-    return fx.table(spark, d, "benchmark").select("item_id", text.length_utf16(F.concat(F.substring("text", 1, 20), F.lit("𠮷野"))).alias("units"), F.length(F.concat(F.substring("text", 1, 20), F.lit("𠮷野"))).alias("points"))
+    return fx.table(spark, d, "benchmark").select("item_id", text.length_utf16(F.concat("text", F.lit("𠮷野"))).alias("units"), F.length(F.concat("text", F.lit("𠮷野"))).alias("points"))
 
 
 # dates and classes

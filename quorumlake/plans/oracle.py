@@ -20,8 +20,8 @@ _STMT = """stmt AS (SELECT conv_id::varchar || '-' || turn::varchar AS id, conv_
   CASE role WHEN 'assistant' THEN '部長' WHEN 'user' THEN '議員' END AS speaker_role, coalesce(text, '') AS content FROM conversations)"""
 _LIST = "SELECT m.id, m.title, m.held_on, u.prefecture, u.name AS municipality FROM meet m JOIN muni u ON m.municipality_code = u.code"
 _IDX = "idx AS (SELECT municipality_code, m.id AS meeting_id, held_on, row_number() OVER (PARTITION BY municipality_code ORDER BY held_on, m.id, pos) - 1 AS index, topic, relevance, left(digest, 120) AS digest_preview FROM meet m JOIN num d ON m.id = d.meeting_id)"
-_MEM = """mem AS (SELECT municipality_code, list_extract(string_split(topic, ' '), -1) AS canonical_name, 0 AS position, index AS member_index FROM idx WHERE index % 11 <> 5
-  UNION ALL SELECT municipality_code, 'extra', 1, index FROM idx WHERE index % 13 = 3)"""
+_MEM = """mem AS (SELECT municipality_code, list_extract(string_split(topic, ' '), -1) AS canonical_name, 0 AS position, index AS member_index FROM idx WHERE relevance = 'primary'
+  UNION ALL SELECT municipality_code, 'extra', 1, index FROM idx WHERE topic LIKE 'small%')"""
 _ORD = "o AS (SELECT o_orderkey, year(o_orderdate) + 20 AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)"
 _SQUEEZE = "regexp_replace({}, '[\\s\\x0B\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+', ' ', 'g')"
 _ENT = "replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -68,7 +68,7 @@ ORACLE: dict[str, str] = {
     "clusterer_rows": f"{_ALL}, {_IDX} SELECT list_extract(string_split(topic, ' '), -1) AS canonical_name, count(*) AS members, count(DISTINCT municipality_code) AS municipalities FROM idx GROUP BY 1",
     "prompt_lines": f"{_ALL}, {_IDX} SELECT municipality_code, index::varchar || chr(9) || topic || chr(9) || digest_preview AS line FROM idx",
     "statement_offsets": f"WITH {_STMT}, s AS (SELECT *, coalesce(sum(length(content) + 1) OVER (PARTITION BY meeting_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start_offset FROM stmt) SELECT meeting_id, position, start_offset, (start_offset + length(content))::bigint AS end_offset FROM s",
-    "speaker_runs": f"WITH {_STMT}, l AS (SELECT meeting_id, position, CASE WHEN row_number() OVER w > 1 AND lag(speaker_name) OVER w IS DISTINCT FROM speaker_name THEN 1 ELSE 0 END AS c FROM stmt WHERE length(content) >= 200 WINDOW w AS (PARTITION BY meeting_id ORDER BY position)) SELECT meeting_id, position, (sum(c) OVER (PARTITION BY meeting_id ORDER BY position))::bigint AS run FROM l",
+    "speaker_runs": f"WITH {_STMT}, l AS (SELECT meeting_id, position, CASE WHEN row_number() OVER w > 1 AND lag(speaker_name) OVER w IS DISTINCT FROM speaker_name THEN 1 ELSE 0 END AS c FROM stmt WINDOW w AS (PARTITION BY meeting_id ORDER BY position)) SELECT meeting_id, position, (sum(c) OVER (PARTITION BY meeting_id ORDER BY position))::bigint AS run FROM l",
     "chunk_statements": f"""WITH RECURSIVE {_STMT}, f AS (SELECT * FROM stmt WHERE kind <> 'question' AND length(trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(12288) || chr(160))) >= 5),
       l AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(speaker_name) OVER w IS DISTINCT FROM speaker_name THEN 1 ELSE 0 END AS c FROM f WINDOW w AS (PARTITION BY meeting_id ORDER BY position)),
       r AS (SELECT *, sum(c) OVER (PARTITION BY meeting_id ORDER BY position) AS run FROM l),
@@ -80,7 +80,7 @@ ORACLE: dict[str, str] = {
     "transcript": f"WITH {_STMT} SELECT meeting_id, string_agg('[' || kind || '] ' || coalesce(nullif(concat_ws('/', speaker_name, speaker_role), ''), '不明') || ': ' || content, chr(10) ORDER BY position) AS transcript FROM stmt GROUP BY 1",
     "carry_speaker": "WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'U' || turn::varchar END AS h FROM conversations), b AS (SELECT conv_id, turn, (count(h) OVER w)::bigint AS block, last_value(h IGNORE NULLS) OVER w AS under FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT * FROM b WHERE block > 0",
     "content_order": f"WITH {_STMT} SELECT meeting_id, position, (row_number() OVER (PARTITION BY meeting_id ORDER BY CASE WHEN position % 3 <> 1 THEN length(content) END ASC NULLS LAST, position))::int AS place FROM stmt",
-    "noise_flags": f"WITH {_STMT}, c AS (SELECT meeting_id, position, ['○','◆','△','','◎',''][(position % 6 + 1)::int] || left(content, 25) AS content FROM stmt) SELECT meeting_id, position, content LIKE '○%' OR content LIKE '△%' OR ((content LIKE '◆%' OR content LIKE '◎%') AND (length(content) < 20 OR (length(content) < 50 AND regexp_matches(content, '～[^～]{{1,30}}～')))) AS procedural, length(trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(12288) || chr(160))) < 12 AS short FROM c",
+    "noise_flags": f"WITH {_STMT}, c AS (SELECT meeting_id, position, ['○','◆','△','','◎',''][(position % 6 + 1)::int] || content AS content FROM stmt) SELECT meeting_id, position, content LIKE '○%' OR content LIKE '△%' OR ((content LIKE '◆%' OR content LIKE '◎%') AND (length(content) < 20 OR (length(content) < 50 AND regexp_matches(content, '～[^～]{{1,30}}～')))) AS procedural, length(trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(12288) || chr(160))) < 12 AS short FROM c",
     "first_wins": "SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
     "last_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
     "insert_ignore": """WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, strftime(ts, '%Y-%m-%d %H') AS hour, CASE WHEN event_type <> 'click' THEN (props->>'k')::int END AS k FROM events),
@@ -97,8 +97,8 @@ ORACLE: dict[str, str] = {
           CASE WHEN list_contains(seen_a, n.a) OR coalesce(list_contains(seen_b, n.b), false) THEN seen_a ELSE list_append(seen_a, n.a) END,
           CASE WHEN n.b IS NULL OR list_contains(seen_a, n.a) OR coalesce(list_contains(seen_b, n.b), false) THEN seen_b ELSE list_append(seen_b, n.b) END FROM walk w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
       SELECT n.id, n.user_id, n.a, n.b FROM n JOIN walk w ON n.id = w.id WHERE stays""",
-    "upsert_topics": "WITH old AS (SELECT p_brand, p_name, count(*) AS n, max(p_type) AS description FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2), new AS (SELECT p_brand, p_name, count(*) * 10 AS n, min(p_type) AS description FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2) SELECT p_brand, p_name, n, description FROM new UNION ALL SELECT p_brand, p_name, n, description FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.p_brand = old.p_brand AND new.p_name = old.p_name)",
-    "keyed_update": f"WITH {_MEET} SELECT id, CASE WHEN id LIKE '%7' THEN upper(summary) ELSE summary END AS summary, CASE WHEN id LIKE '%7' THEN 'x' ELSE meeting_type END AS meeting_type FROM meet",
+    "upsert_topics": "WITH old AS (SELECT p_brand, p_name, count(*) AS n, max(p_type) AS description FROM part WHERE p_size < 30 GROUP BY 1, 2), new AS (SELECT p_brand, p_name, count(*) * 10 AS n, min(p_type) AS description FROM part WHERE p_size >= 20 GROUP BY 1, 2) SELECT p_brand, p_name, n, description FROM new UNION ALL SELECT p_brand, p_name, n, description FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.p_brand = old.p_brand AND new.p_name = old.p_name)",
+    "keyed_update": f"WITH {_MEET} SELECT id, CASE WHEN meeting_type = 'committee' THEN upper(summary) ELSE summary END AS summary, CASE WHEN meeting_type = 'committee' THEN 'x' ELSE meeting_type END AS meeting_type FROM meet",
     "orphans_anti": "SELECT lpad(o_orderkey::varchar, 12, '0') AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey)",
     "dir_validation": "SELECT doc_id, source || '/' || lang AS dir, n_chars FROM documents WHERE source || '/' || lang NOT IN (SELECT source || '/' || lang FROM documents WHERE n_chars >= 12000)",
     "corrected_preferred": "SELECT doc_id, source, lang, n_chars FROM (SELECT *, max(CASE WHEN n_chars > 8000 THEN 1 ELSE 0 END) OVER (PARTITION BY source, lang) AS a FROM documents) WHERE a = 0 OR n_chars > 8000 OR doc_id % 10 = 0",
@@ -118,13 +118,13 @@ ORACLE: dict[str, str] = {
     "page_text": f"SELECT page_id, sha256({_STRIP}) AS text_hash FROM pages",
     "page_host": "WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages) SELECT page_id, host, CASE WHEN len(string_split(host, '.')) > 2 AND array_to_string(string_split(host, '.')[-2:], '.') IN ('dbsr.jp', 'kaigiroku.net', 'kensakusystem.jp', 'gijiroku.com') THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS group_key FROM h",
     "page_route": "WITH u AS (SELECT page_id, url || ['', '/tenant/a/', '/VOICES/x', '?h=dbsr.jp', '?h=kensakusystem.jp', '?h=kensakusystem.jp/a-vod/', '/g08v_search.asp'][(page_id % 7 + 1)::int] AS u FROM pages) SELECT page_id, CASE WHEN contains(u, 'ssp.kaigiroku.net') OR regexp_matches(u, '/tenant/[^/]+/') THEN 'discussnet_ssp' WHEN contains(u, 'dbsr.jp') THEN 'dbsearch' WHEN contains(u, 'kensakusystem.jp') AND NOT contains(u, '-vod/') THEN 'kensakusystem' WHEN contains(u, 'gijiroku.com') OR regexp_matches(u, '(?i)/VOICES/') OR regexp_matches(u, '(?i)g0[78]v_search\\.asp') THEN 'gijiroku_com' ELSE page_id::varchar END AS system FROM u",
-    "heading_carry": "WITH b AS (SELECT page_id, regexp_extract_all(html, '(?i)<(?:h1|p)>[^<]*') AS bs FROM pages), u AS (SELECT page_id, unnest(range(len(bs)))::int AS pos, bs FROM b) SELECT page_id, pos, last_value(CASE WHEN lower(bs[pos + 1]) LIKE '<h1>%' THEN substr(bs[pos + 1], 5, 40) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading, length(bs[pos + 1])::int AS n FROM u",
+    "heading_carry": "WITH b AS (SELECT page_id, regexp_extract_all(html, '(?i)<(?:h1|p)>[^<]*') AS bs FROM pages), u AS (SELECT page_id, unnest(range(len(bs)))::int AS pos, bs FROM b) SELECT page_id, pos, last_value(CASE WHEN lower(bs[pos + 1]) LIKE '<h1>%' THEN substr(bs[pos + 1], 5) END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading, length(bs[pos + 1])::int AS n FROM u",
     "content_hash": "SELECT doc_id, sha256(text) AS hash, sha256(doc_id::varchar || text) AS prefixed_hash FROM documents",
     "short_id": "SELECT doc_id, left(md5(text), 12) AS short_id, CASE WHEN doc_id % 3 <> 0 AND source <> '' THEN 'sys_' || source || '_' || doc_id::varchar END AS external_id FROM documents",
     "squeezed": f"SELECT doc_id, sha256(trim({_SQUEEZE.format('text')})) AS hash, len(list_filter(string_split({_SQUEEZE.format('text')}, ' '), lambda x: x <> ''))::int AS tokens FROM documents",
     "previews": "SELECT doc_id, left(text, 200) AS p200, CASE WHEN instr(text, 'the') > 0 THEN substr(text, greatest(1, instr(text, 'the') - 30)::bigint, least(instr(text, 'the') - 1, 30)::bigint) END AS before_the FROM documents",
     "digits_normalise": "SELECT doc_id, translate(n_chars::varchar, '0123456789', '０１２３４５６７８９') AS \"full\", doc_id::varchar || '号' AS half FROM documents",
-    "utf16_length": "SELECT item_id, (length(left(text, 20)) + 3)::int AS units, (length(left(text, 20)) + 2)::int AS points FROM benchmark",
+    "utf16_length": "SELECT item_id, (length(text) + 3)::int AS units, (length(text) + 2)::int AS points FROM benchmark",
     "era_date": f"WITH {_ORD} SELECT o_orderkey, y::varchar || '-' || lpad(m::varchar, 2, '0') || '-' || lpad(d::varchar, 2, '0') AS iso, try_cast(y::varchar || '-' || lpad(m::varchar, 2, '0') || '-' || lpad(d::varchar, 2, '0') AS date) AS day, y::int AS year FROM o",
     "sitting_date": f"WITH {_ORD} SELECT o_orderkey, y::varchar || '-' || lpad(m::varchar, 2, '0') || '-' || lpad(d::varchar, 2, '0') AS iso, d::int AS day FROM o",
     "filename_date": f"WITH {_ORD} SELECT o_orderkey, y::varchar || '-' || CASE WHEN m % 7 = 0 THEN '01' ELSE lpad((m % 7)::varchar, 2, '0') END || '-' || lpad(d::varchar, 2, '0') AS iso FROM o",

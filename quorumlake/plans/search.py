@@ -155,7 +155,7 @@ def meetings_with_topics(meetings: DataFrame, topics: Sequence[str], municipalit
 
 def keyword_list(text: Column) -> Column:
     """Keywords of a comma-joined parameter: trimmed, none empty, the first of equal ones kept, five at most."""
-    return F.slice(F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")), 1, 5)
+    return F.slice(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")), 1, 5)
 
 
 def audit_totals(meetings: DataFrame, code=None) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from urllib.parse import quote_from_bytes, urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, speakers, text
@@ -93,12 +93,33 @@ def file_text(df: DataFrame, strategies: Sequence[Callable[[bytes], str | None]]
     return df.withColumn(out, extract(column))
 
 
+def texts_side_by_side(df: DataFrame, strategies: dict[str, Callable[[bytes], str | None]], column: str = "content") -> DataFrame:
+    """df with a column for each strategy, holding its text of a binary file (null where it fails), all from one pass."""
+    names = list(strategies)
+
+    @F.pandas_udf(", ".join(f"{n} string" for n in names))
+    def extract(s: pd.Series) -> pd.DataFrame:
+        def one(f, raw):
+            try:
+                return None if raw is None else f(bytes(raw))
+            except Exception:  # noqa: BLE001  a broken file is a file without text
+                return None
+
+        return pd.DataFrame({n: s.map(lambda raw, f=f: one(f, raw)) for n, f in strategies.items()}, columns=names)
+
+    return df.withColumn("_texts", extract(column)).select("*", *[F.col(f"_texts.{n}").alias(n) for n in names]).drop("_texts")
+
+
+def links_in_order(links: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """place (from 1) of each link of a page by date, those without one last, then by its place on the page."""
+    w = Window.partitionBy(page_id).orderBy(F.asc_nulls_last("held_on"), "pos")
+    return links.withColumn("place", F.row_number().over(w))
+
+
 def dated_links(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Links under the dated heading that stands before them: page_id, pos, heading, href, label, held_on (of the label, else of the heading)."""
     block = "(?is)<h[1-6][^>]*>.*?</h[1-6]>|<a\\s[^>]*?href\\s*=\\s*[\"'][^\"']*[\"'][^>]*>.*?</a>"
     rows = pages.select(page_id, F.posexplode(F.regexp_extract_all(html, F.lit(block), F.lit(0))).alias("pos", "block"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(page_id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("heading", F.last(F.when(F.col("block").rlike("(?i)^<h[1-6]"), text.strip_tags("block")), ignorenulls=True).over(w))
     links = rows.filter(F.col("block").rlike("(?i)^<a")).withColumn("a", text.anchors("block")[0])

@@ -5,7 +5,10 @@ import decimal
 import duckdb
 import pytest
 
-from quorumlake.plans import catalogue, oracle
+from quorumlake.plans import catalogue, ingest, oracle, rules
+
+QUERIES = catalogue.QUERIES | ingest.QUERIES | rules.QUERIES
+ORACLE = oracle.ORACLE | ingest.ORACLE | rules.ORACLE
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -30,23 +33,24 @@ def rows(found, columns):
     return sorted(columns), sorted(tuple(value(r[i]) for i in order) for r in found)
 
 
-@pytest.mark.parametrize("name", catalogue.QUERIES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     got = rows([tuple(r) for r in df.collect()], df.columns)
-    if name in oracle.ORACLE:
-        r = duck.execute(oracle.ORACLE[name])
+    if name in ORACLE:
+        r = duck.execute(ORACLE[name])
         assert got == rows(r.fetchall(), [d[0] for d in r.description])
     else:
         assert got[1]
 
 
 def test_all_oracles_have_queries():
-    assert set(oracle.ORACLE) <= set(catalogue.QUERIES)
+    assert set(ORACLE) == set(QUERIES)
+    assert len(QUERIES) == len(catalogue.QUERIES) + len(ingest.QUERIES) + len(rules.QUERIES)
 
 
 def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(catalogue.QUERIES) <= set(entry.queries()) and set(oracle.ORACLE) <= set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
