@@ -39,8 +39,9 @@ DEALINGS = 6
 PIVOT_ROUNDS = 2
 #: The first round looks at one signature in so many.
 FIRST_OF = 8
-#: Bytes of shingles in a chunk of what is left apart.
+#: Bytes of shingles, and members, in a chunk of what is left apart.
 CHUNK_BYTES = 1_000_000
+CHUNK_ROWS = 150
 #: A signature is hot if one in so many members has it; so there are no more of them.
 HOT_SIGNS = 500
 _K1, _K2, _K3 = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -391,7 +392,7 @@ def link_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components that share a signature, directly or by way of others.
 
     Such members make clusters. Similar sets of a cluster are in one band of sizes or in adjacent ones; a band's members are
-    dealt to chunks of CHUNK_BYTES, and two chunks of one or of adjacent bands are compared within one task, which returns
+    dealt to chunks of CHUNK_BYTES and CHUNK_ROWS at most or about, and two chunks of one or of adjacent bands are compared within one task, which returns
     links only. A task holds two chunks, whatever a cluster's size.
     """
     least = groups.groupBy(F.col("sign").alias("s")).agg(F.min("vertex").alias("b"))
@@ -401,7 +402,7 @@ def link_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     band = F.size(F.filter(lows, lambda low: low <= F.col("n").cast("long")))
     rows = groups.select("vertex", "n", "common", "comp").distinct().join(labels, F.col("vertex") == F.col("v")).withColumn("band", band)
     rows = written(rows.select("vertex", "n", "common", "comp", "cluster", "band"), "jaccard-apart")
-    sizes = rows.groupBy(F.col("cluster").alias("c"), F.col("band").alias("in_band")).agg(F.ceil(F.sum("n") * 8 / CHUNK_BYTES).cast("int").alias("chunks"))
+    sizes = rows.groupBy(F.col("cluster").alias("c"), F.col("band").alias("in_band")).agg(F.greatest(F.ceil(F.sum("n") * 8 / CHUNK_BYTES), F.ceil(F.count("*") / CHUNK_ROWS)).cast("int").alias("chunks"))
     held = lambda shift, name: sizes.select(F.col("c").alias(f"{name}_c"), (F.col("in_band") + shift).alias(f"{name}_band"), F.col("chunks").alias(name))
     for shift, name in ((0, "own"), (-1, "above"), (1, "below")):
         told = held(shift, name)

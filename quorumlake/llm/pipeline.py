@@ -8,7 +8,7 @@ they hold; an empty table gives an empty one.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import dropped, scope, written
+from .storage import dropped, own_names, scope, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,16 +17,6 @@ def _text_key() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _own(columns: list[str], *names: str) -> list[str]:
-    """names, changed until none is among columns in any case."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their hosts' boilerplate lines.
 
@@ -46,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     from .jaccard import jaccard_rows
 
-    key, of, of_text = _own(docs.columns, "text_key", "of", "of_text")
+    key, of, of_text = own_names(docs.columns, "text_key", "of", "of_text")
     keyed = docs.withColumn(key, _text_key())
     rows = jaccard_rows(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("key")), 5, 80, ["key"])
     found = written(rows, "jaccard-found")
@@ -62,7 +52,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     from .suffixes import remove_repeats
 
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    *told, text = _own(docs.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    *told, text = own_names(docs.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     kept = remove_repeats(docs, 400, keep=others).toDF("doc_id", *told, text, *others)
     length = F.length(F.col(text)).cast("long")
     return kept.select(*["doc_id" if c == "doc_id" else F.col(text).alias("text") if c == "text" else length.alias(c) if c == "n_chars" else c for c in docs.columns])
@@ -75,7 +65,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from .mixing import mix_sources
 
-    key, of, of_source, of_text, copies, rows, turn = _own(docs.columns, "text_key", "of", "of_source", "of_text", "copies", "rows", "turn")
+    key, of, of_source, of_text, copies, rows, turn = own_names(docs.columns, "text_key", "of", "of_source", "of_text", "copies", "rows", "turn")
     keyed = docs.withColumn(key, _text_key())
     mixed = mix_sources(keyed.select("doc_id", "source", "text", F.col(key).alias("key")), extra=["key"])
     told = mixed.groupBy(F.col("doc_id").alias(of), F.col("source").alias(of_source), F.col("key").alias(of_text)).agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias(rows))

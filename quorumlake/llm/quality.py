@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches, written
+from .storage import own_names, small_batches, written
 from .textkernel import SPACE, WORD_BASES, Prefixes, Texts, covered, in_doc, mix, slice_hashes, steps, windows
 
 MIN_WORDS = 50
@@ -182,18 +182,19 @@ def clean_documents(docs: DataFrame, host: str = "source", share: float = 0.0, l
 
     A row's verdict depends on its host and text alone, and finds it by doc_id, host and text.
     """
-    same = docs.withColumn("_host", F.col(host).cast("string")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    judged = judged_rows(same.select("doc_id", "text", "_host", "_key"), "_host", share, least_docs, least_left, ["_host", "_key"])
-    good = judged.filter("kept").select(F.col("doc_id").alias("_id"), F.col("_host").alias("_of"), F.col("_key").alias("_text"), F.col("gone").alias("_gone")).dropDuplicates(["_id", "_of", "_text"])
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_host").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_text"))
     names = docs.columns
-    kept = same.join(good, on).select(*names, "_gone")
+    host_, key, of_id, of, of_text, gone_ = own_names(names, "_host", "_key", "_id", "_of", "_text", "_gone")
+    same = docs.withColumns({host_: F.col(host).cast("string"), key: F.xxhash64(F.coalesce("text", F.lit("")))})
+    judged = judged_rows(same.select("doc_id", "text", F.col(host_).alias("host"), F.col(key).alias("key")), "host", share, least_docs, least_left, ["host", "key"])
+    good = judged.filter("kept").select(F.col("doc_id").alias(of_id), F.col("host").alias(of), F.col("key").alias(of_text), F.col("gone").alias(gone_)).dropDuplicates([of_id, of, of_text])
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & F.col(host_).eqNullSafe(F.col(of)) & (F.col(key) == F.col(of_text))
+    kept = same.join(good, on).select(*names, gone_)
 
     def strip(batches):
         for batch in batches:
             for t in steps(batch.column("text")):
                 cut = batch.slice(t.rows.start, t.count)
-                gone = cut.column("_gone").to_pylist()
+                gone = cut.column(gone_).to_pylist()
                 columns = {c: cut.column(c) for c in names}
                 if any(gone):
                     columns["text"] = pa.array(without_lines(t, gone), cut.schema.field("text").type)

@@ -113,3 +113,13 @@ def batch_rows(spark: SparkSession, rows: int):
 def fit_partitions(df: DataFrame, minimum: int = 1) -> int:
     """Partitions for a shuffle of df's rows: spark.sql.shuffle.partitions, which the cluster's owner sizes."""
     return max(minimum, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def own_names(columns: list[str], *names: str) -> list[str]:
+    """names, changed until none is among columns in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

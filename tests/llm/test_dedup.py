@@ -25,7 +25,7 @@ def small_blocks(monkeypatch):
         monkeypatch.setattr(module, "RANGE_HASHES", 800)
     monkeypatch.setattr(blocks.deal, "__defaults__", (9000, None))
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 20000)
-    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 7000)
+    monkeypatch.setattr(jaccard, "CHUNK_ROWS", 7)
     monkeypatch.setattr(jaccard, "HOT_SIGNS", 30)
 
 
