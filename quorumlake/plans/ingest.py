@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..operators import runs
 from ..operators.cuts import new_folder
 from ..sources import ndjson
+from ..streaming import usage
 from . import fixtures as fx
+from . import oracle
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -180,3 +182,32 @@ def appended_summaries(spark, d):
     rows = m.select(F.col("id").alias("meetingId"), F.substring("municipality_code", 1, 1).alias("municipalityCode"), F.col("held_on").cast("string").alias("heldOn"), "summary")
     ndjson.append_summaries(rows, root)
     return spark.read.schema("meetingId string, summary string, year int").json(f"{root}/summaries").select(F.col("meetingId").alias("meeting_id"), "year", "summary")
+
+
+# streams
+
+def _events_stream(spark, d):
+    """The events' file as a stream: one file, or a folder of them."""
+    schema = fx.table(spark, d, "events").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(f"{d}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query(f"SELECT event_id, user_id::varchar AS user_id FROM ({oracle.ORACLE['rate_admission'].replace('SELECT event_id, admitted, remaining::int AS remaining FROM walk', 'SELECT event_id, user_id, admitted FROM walk')}) WHERE admitted")
+def usage_log(spark, d):
+    """Calls through the limiter as a stream with keyed state, and the log of those admitted, which a sink appends to."""
+    log, at = new_folder(spark, "usage"), new_folder(spark, "usage-at")
+    usage.record_usage(usage.admission_stream(_events_stream(spark, d), "user_id", "ts", "event_id", 86400, 2), log, at)
+    return spark.read.schema("event_id long, user_id string, ts timestamp").parquet(log).select("event_id", "user_id")
+
+
+@query(f"WITH {_M} SELECT lpad(place::varchar, 12, '0') AS meeting_id, 'model-1' AS model FROM m WHERE status = 'F' UNION ALL SELECT lpad(place::varchar, 12, '0'), 'model-2' FROM m WHERE status = 'F' AND meeting_type = '1-urgent'")
+def incremental_import(spark, d):
+    """Landed summaries by a stream that brings each file once, however often it is asked."""
+    out, at = new_folder(spark, "imported"), new_folder(spark, "imported-at")
+    source = f"{landed(spark, d)}/*/*/{ndjson.SUMMARIES}"
+    for _ in range(2):
+        usage.import_new_files(spark, source, "meetingId string, summaryModel string", at, lambda df, _: df.write.mode("append").parquet(out))
+    return spark.read.schema("meetingId string, summaryModel string").parquet(out).select(F.col("meetingId").alias("meeting_id"), F.col("summaryModel").alias("model"))

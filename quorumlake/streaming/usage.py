@@ -46,6 +46,14 @@ def admission_stream(events: DataFrame, key: str, ts: str, event_id: str, window
     return keyed.withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, out, "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def record_usage(verdicts: DataFrame, path: str, checkpoint: str):
+    """Appends the admitted events of a stream to the usage log under path; a rejected call leaves no event. Returns when what has come is written."""
+    kept = verdicts.filter("admitted").drop("admitted")
+    q = kept.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def import_new_files(spark: SparkSession, path: str, schema, checkpoint: str, sink: Callable[[DataFrame, int], None], file_format: str = "json"):
     """Bring what has landed since the last call to sink, each file once; the checkpoint is the marker of what was imported."""
     stream = spark.readStream.schema(schema).format(file_format).load(path)
