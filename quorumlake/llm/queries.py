@@ -87,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op5_jaccard": op5_jaccard, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_neighbours": op10_neighbours, "pipeline": pipeline}
-#: SQL for DuckDB. The other operators need checksums, tokenizers or iterations that it lacks; tests hold them against brute force.
+#: SQL for DuckDB, exact and by comparing everything. The other operators need tokenizers, iterations or approximations that it lacks; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op8_quality": """
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
@@ -105,4 +105,49 @@ s AS (SELECT d.doc_id, len(words)::bigint AS n_words, coalesce(list_sum(list_tra
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols, coalesce(n_dup_lines, 0)::bigint AS n_dup_lines, coalesce(n_repeat_words, 0)::bigint AS n_repeat_words,
   coalesce(removed, 0)::bigint AS n_boilerplate_words FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= 0.3 * n_words AS kept FROM s""",
+    "op1_suffixes": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM rep),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM runs UNION ALL SELECT d.doc_id, coalesce(max(z), 0) + 1, any_value(octet_length(b)) FROM d LEFT JOIN runs ON d.doc_id = runs.doc_id GROUP BY d.doc_id),
+kept AS (SELECT d.doc_id, string_agg(hex(array_slice(b, f, t)), '' ORDER BY f) FILTER (t >= f) AS k FROM d JOIN cuts ON d.doc_id = cuts.doc_id GROUP BY d.doc_id),
+gone AS (SELECT doc_id, sum(z - a + 1) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::bigint AS n_bytes, coalesce(n, 0)::bigint AS n_removed, coalesce(spans, 0)::bigint AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id""",
+    "op3_substrings": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM rep, range(0, 35) t(j)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op5_jaccard": """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM pairs JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * k >= 85 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::bigint AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.x""",
+    "op6_chat": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+n AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(lag(role) OVER w, 'start') AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, regexp_replace(text, '<(!*)\\|', '<!\\1|', 'g') AS e, replace(replace(regexp_replace(role, '<(!*)\\|', '<!\\1|', 'g'), '\\', '\\\\'), chr(10), '\\n') AS er,
+  (before, role) NOT IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS wrong FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(12 + length(er) + 1 + length(e) + 11)::bigint AS formatted_chars,
+  NOT bool_or(wrong) AND arg_max(role, k) = 'assistant' AS ok, arg_min('turn ' || k || ': ' || chr(39) || role || chr(39) || ' after ' || before, k) FILTER (wrong) AS error FROM f GROUP BY conv_id""",
+    "op9_sharding": """
+WITH c AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS codes),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+x AS (SELECT doc_id, octet_length(b)::bigint + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'), lambda p: ('0x' || p)::bigint)), lambda c, v: xor(c >> 8, codes[xor(c & 255, v) + 1])), 4294967295) AS text_crc32 FROM d, c),
+s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS total FROM x),
+p AS (SELECT *, least(7, floor((2 * start + size) * 8 / (2 * total)))::int AS shard FROM s)
+SELECT doc_id, size, text_crc32::bigint AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start, doc_id) - 1 AS slot, NULL::int AS grown_shard FROM p""",
 }
