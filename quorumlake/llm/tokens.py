@@ -16,13 +16,14 @@ so each is a part. No other part holds one: what case folding makes look like on
 """
 
 import re
+from itertools import chain
 
 import numpy as np
 
 from .textkernel import LOWER, SPACE, Texts, eights, slice_hashes, spans
 
 #: Parts that a worker remembers, in a table of twice as many places of 24 bytes; beyond that it starts anew. Longer parts are not kept.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 2_000_000
 LONGEST_KEPT = 256
 
 _LETTER = np.zeros(256, bool)
@@ -140,7 +141,7 @@ class PieceEncoder:
         self.parts += len(new)
         self.flat, self.bytes = _room(self.flat, self.used + total), _room(self.bytes, int(self.byte_ends[first]) + sum(map(len, new)))
         self.ends, self.byte_ends = _room(self.ends, self.parts + 1), _room(self.byte_ends, self.parts + 1)
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.ends[first + 1 : self.parts + 1] = self.used + np.cumsum(sizes)
         self.byte_ends[first + 1 : self.parts + 1] = self.byte_ends[first] + np.cumsum([len(x) for x in new])
         self.bytes[self.byte_ends[first] : self.byte_ends[self.parts]] = np.frombuffer(b"".join(new), np.uint8)
