@@ -80,13 +80,31 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, 10)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal import digest, find_personal
+
+    return digest(find_personal(_table(spark, sf_dir, "documents"), texts=False))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op5_jaccard": op5_jaccard, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_neighbours": op10_neighbours, "pipeline": pipeline}
+QUERIES = {"op1_suffixes": op1_suffixes, "op2_packing": op2_packing, "op3_substrings": op3_substrings, "op4_token_files": op4_token_files, "op5_jaccard": op5_jaccard, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_neighbours": op10_neighbours, "op11_divergence": op11_divergence, "op12_codes": op12_codes, "op13_personal": op13_personal, "pipeline": pipeline}
 #: SQL for DuckDB, exact and by comparing everything. The other operators need tokenizers, iterations or approximations that it lacks; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op8_quality": """
@@ -150,4 +168,60 @@ x AS (SELECT doc_id, octet_length(b)::bigint + 1 AS size, xor(list_reduce(list_p
 s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS total FROM x),
 p AS (SELECT *, least(7, floor((2 * start + size) * 8 / (2 * total)))::int AS shard FROM s)
 SELECT doc_id, size, text_crc32::bigint AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start, doc_id) - 1 AS slot, NULL::int AS grown_shard FROM p""",
+    "op11_divergence": """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN n ON g.lang = n.lang AND g.source = n.source AND kept.term = n.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::hugeint AS p FROM counts JOIN v USING (lang)),
+whole AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::hugeint AS q FROM whole JOIN v USING (lang)),
+dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (p - q)::bigint FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::int AS rank FROM found QUALIFY part = 'pair' OR rank <= 50""",
+    "op12_codes": """
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS k, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT k, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM e, range(16) t(p)),
+b0 AS (SELECT p, k AS entry, x AS c FROM parts WHERE k < 64),
+a1 AS (SELECT k, parts.p, x, arg_min(entry, (list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, entry)) AS entry FROM parts JOIN b0 ON parts.p = b0.p GROUP BY k, parts.p, x),
+s1 AS (SELECT p, entry, i, floor_div AS c FROM (SELECT p, entry, i, (sum(y) - ((sum(y) % count(*) + count(*)) % count(*))) // count(*) AS floor_div FROM (SELECT p, entry, unnest(x) AS y, unnest(range(len(x))) AS i FROM a1) GROUP BY p, entry, i)),
+b1 AS (SELECT b0.p, b0.entry, coalesce(m.c, b0.c) AS c FROM b0 LEFT JOIN (SELECT p, entry, list(c::bigint ORDER BY i) AS c FROM s1 GROUP BY p, entry) m ON b0.p = m.p AND b0.entry = m.entry),
+a2 AS (SELECT k, parts.p, x, arg_min(entry, (list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, entry)) AS entry FROM parts JOIN b1 ON parts.p = b1.p GROUP BY k, parts.p, x),
+s2 AS (SELECT p, entry, i, (sum(y) - ((sum(y) % count(*) + count(*)) % count(*))) // count(*) AS c FROM (SELECT p, entry, unnest(x) AS y, unnest(range(len(x))) AS i FROM a2) GROUP BY p, entry, i),
+b2 AS (SELECT b1.p, b1.entry, coalesce(m.c, b1.c) AS c FROM b1 LEFT JOIN (SELECT p, entry, list(c::bigint ORDER BY i) AS c FROM s2 GROUP BY p, entry) m ON b1.p = m.p AND b1.entry = m.entry),
+far AS (SELECT k, parts.p, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS d FROM parts JOIN b2 ON parts.p = b2.p),
+a3 AS (SELECT k, p, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM far GROUP BY k, p),
+coded AS (SELECT k, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::bigint AS error FROM a3 GROUP BY k)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) FROM b2) AS codebooks_sha256 FROM coded JOIN e USING (k)""",
+    "op13_personal": """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+rules(ord, kind, base, score, boost, malus, words, against, pattern) AS (VALUES
+  (1, 'email', true, 90, 10, 0, 'mail|email|contact|write|kontakt|correo', NULL, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+'),
+  (2, 'ip', true, 70, 20, 40, 'ip|host|server|addr|address|client', 'version|release|section|chapter', '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'),
+  (3, 'card', true, 80, 20, 0, 'card|cards|visa|mastercard|amex|credit|debit|carte|karte|kreditkarte|tarjeta', NULL, '[0-9]([\\x20-]?[0-9])+'),
+  (4, 'phone', true, 80, 20, 0, 'phone|telephone|tel|telefon|telefono|mobile|mobil|movil|cell|call|fax|handy|anruf|appel', NULL, '\\+[0-9][\\x20().0-9-]+[0-9]'),
+  (5, 'iban', false, 70, 30, 0, 'iban|bank|account|konto|compte|cuenta|bic|swift', NULL, '(?:NO)[0-9]{2}(?: ?[A-Z0-9]){11}|(?:BE)[0-9]{2}(?: ?[A-Z0-9]){12}|(?:DK|FI|FO|GL|NL)[0-9]{2}(?: ?[A-Z0-9]){14}|(?:MK|SI)[0-9]{2}(?: ?[A-Z0-9]){15}|(?:AT|BA|EE|KZ|LT|LU|XK)[0-9]{2}(?: ?[A-Z0-9]){16}|(?:CH|HR|LI|LV)[0-9]{2}(?: ?[A-Z0-9]){17}|(?:BG|BH|CR|DE|GB|GE|IE|ME|RS|VA)[0-9]{2}(?: ?[A-Z0-9]){18}|(?:AE|GI|IL|IQ|TL)[0-9]{2}(?: ?[A-Z0-9]){19}|(?:AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG)[0-9]{2}(?: ?[A-Z0-9]){20}|(?:PT)[0-9]{2}(?: ?[A-Z0-9]){21}|(?:IS|TR)[0-9]{2}(?: ?[A-Z0-9]){22}|(?:FR|GR|IT|MC|MR|SM)[0-9]{2}(?: ?[A-Z0-9]){23}|(?:AL|AZ|BY|CY|DO|GT|HU|LB|PL)[0-9]{2}(?: ?[A-Z0-9]){24}|(?:BR|EG|PS|QA|UA)[0-9]{2}(?: ?[A-Z0-9]){25}|(?:JO|KW|MU)[0-9]{2}(?: ?[A-Z0-9]){26}|(?:MT|SC)[0-9]{2}(?: ?[A-Z0-9]){27}|(?:LC)[0-9]{2}(?: ?[A-Z0-9]){28}'),
+  (6, 'card', false, 30, 50, 0, 'card|cards|visa|mastercard|amex|credit|debit|carte|karte|kreditkarte|tarjeta', NULL, '[0-9]([ ._/-]{0,2}[0-9])+'),
+  (7, 'ssn', false, 40, 50, 0, 'ssn|social security|security number', NULL, '[0-9]{3}-[0-9]{2}-[0-9]{4}'),
+  (8, 'phone', false, 30, 40, 0, 'phone|telephone|tel|telefon|telefono|mobile|mobil|movil|cell|call|fax|handy|anruf|appel', NULL, '[(]?[0-9]{2,5}[)]?([ ./-]{1,2}[0-9]{2,5}){1,4}')),
+f AS (SELECT id, text, rules.* EXCLUDE (pattern), regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS gaps FROM d, rules),
+m AS (SELECT * EXCLUDE (ms, gaps), unnest(ms) AS m, unnest(gaps[1 : len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM f WHERE len(ms) > 0),
+p AS (SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY id, ord ORDER BY i) - length(m))::bigint AS s FROM m),
+q AS (SELECT *, s + length(m) AS e, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS compact, string_split(m, '.') AS nums, string_split(m, '-') AS dashed,
+  translate(substr(text, greatest(0, s - 50)::bigint + 1, least(50, s)::bigint) || '|' || substr(text, (s + length(m) + 1)::bigint, 25), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS around FROM p),
+luhn AS (SELECT *, len(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(len(digits)), lambda k: CASE WHEN k % 2 = 0 THEN substr(digits, len(digits) - k, 1)::int ELSE (2 * substr(digits, len(digits) - k, 1)::int) // 10 + (2 * substr(digits, len(digits) - k, 1)::int) % 10 END)) % 10 = 0 AS is_card FROM q),
+ok AS (SELECT *, CASE ord WHEN 1 THEN true WHEN 2 THEN len(list_filter(nums, lambda x: length(ltrim(x, '0')) > 3 OR ('0' || right(x, 3))::int > 255)) = 0 WHEN 3 THEN is_card WHEN 6 THEN is_card WHEN 4 THEN len(digits) BETWEEN 9 AND 15
+  WHEN 5 THEN list_reduce(list_prepend(0, list_transform(string_split(substr(compact, 5) || substr(compact, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * (CASE WHEN v < 10 THEN 10 ELSE 100 END) + v) % 97) = 1
+  WHEN 7 THEN dashed[1] NOT IN ('000', '666') AND dashed[1] < '900' AND dashed[2] <> '00' AND dashed[3] <> '0000' WHEN 8 THEN len(digits) BETWEEN 7 AND 12 END AS fine,
+  score + CASE WHEN regexp_matches(around, '(^|[^a-z])(' || words || ')([^a-z]|$)') THEN boost ELSE 0 END - CASE WHEN against IS NOT NULL AND regexp_matches(around, '(^|[^a-z])(' || against || ')([^a-z]|$)') THEN malus ELSE 0 END AS total FROM luhn),
+accepted AS (SELECT * FROM ok WHERE fine AND (base OR (total >= 60 AND NOT regexp_matches(substr(text, s::bigint, CASE WHEN s > 0 THEN 1 ELSE 0 END), '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, (e + 1)::bigint, 1), '[A-Za-z0-9]')))),
+spans AS (SELECT id, ord, base, s, e, kind, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind) AS k FROM accepted a WHERE base OR NOT EXISTS (SELECT 1 FROM accepted b WHERE b.id = a.id AND b.ord < a.ord AND b.s < a.e AND a.s < b.e))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (ord = 1) AS n_email, count(*) FILTER (ord = 2) AS n_ip, count(*) FILTER (ord = 3) AS n_card, count(*) FILTER (ord = 4) AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (base), '')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e), '') AS spans
+FROM d LEFT JOIN spans USING (id) GROUP BY id""",
 }
