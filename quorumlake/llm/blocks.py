@@ -1,13 +1,13 @@
 """Blocks of documents, and exchanges in which every block sends a sorted list of hashes to ranges of the hash space.
 
-A block is some megabytes of documents, dealt by a hash of doc_id. It sends each distinct hash once, with a mark if it has
+A block is some megabytes of documents, dealt by a hash of doc_id and text, so that rows without a doc_id, or of one, are spread too. It sends each distinct hash once, with a mark if it has
 it twice or more; so a hash that millions of documents share reaches a range once for each block at most. A range answers
 each block about its own hashes only. Nothing passes through the driver or a single task, and no answer is broadcast.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, and hashes that meet in a range.
@@ -19,11 +19,19 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
 
 
+def block_of(doc_id: Column, text_key: Column, total: int, block_bytes: int) -> Column:
+    """The block of a row, of as many as total bytes make; text_key: as text_key()."""
+    return F.pmod(F.xxhash64(doc_id, text_key), F.lit(max(1, -(-total // block_bytes)))).cast("int")
+
+
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
 def deal(docs: DataFrame, total: int, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """(block, doc_id, text) of all rows, and the columns named in keep as _x0, _x1 and so on. A plan that uses it more than once shuffles the texts once."""
-    blocks = max(1, -(-total // block_bytes))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int").alias("block"), doc_id.alias("doc_id"), "text", *[F.col(x).alias(f"_x{i}") for i, x in enumerate(keep or [])])
+    return docs.select(block_of(doc_id, text_key(), total, block_bytes).alias("block"), doc_id.alias("doc_id"), "text", *[F.col(x).alias(f"_x{i}") for i, x in enumerate(keep or [])])
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

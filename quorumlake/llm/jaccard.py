@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, RANGE_HASHES, column, cut, deal, distinct, flags, member, packed, text_bytes, twice, unflagged, unpacked
+from .blocks import BLOCK_BYTES, RANGE_HASHES, block_of, column, cut, deal, distinct, flags, member, packed, text_bytes, text_key, twice, unflagged, unpacked
 from .components import components
 from .storage import batch_rows, dropped, small_batches, written
 from .textkernel import LOWER, Texts, mix, steps, windows
@@ -161,7 +161,7 @@ def _sent(rows: list[tuple]) -> pa.Table:
 
 
 def document_sets(docs: DataFrame, width: int, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, n_shingles, and h and h2 (hashes of the set; null for an empty one) of each row; extra: columns of docs to pass on, as _x0, _x1 and so on."""
+    """doc_id, text_key, n_shingles, and h and h2 (hashes of the set; null for an empty one) of each row; extra: columns of docs to pass on, as _x0, _x1 and so on."""
     small_batches(docs.sparkSession)
     extra = extra or []
 
@@ -170,20 +170,21 @@ def document_sets(docs: DataFrame, width: int, extra: list[str] | None = None) -
             for t in steps(batch.column("text")):
                 n, one, two = set_digests(*shingle_sets(t, width), t.count)
                 own = batch.slice(t.rows.start, t.count)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one, mask=n == 0), pa.array(two, mask=n == 0), *[own.column(x) for x in names]], names=["doc_id", "n_shingles", "h", "h2", *names])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_key"), pa.array(n.astype(np.int64)), pa.array(one, mask=n == 0), pa.array(two, mask=n == 0), *[own.column(x) for x in names]], names=["doc_id", "text_key", "n_shingles", "h", "h2", *names])
 
     names = [f"_x{i}" for i in range(len(extra))]
-    schema = "doc_id long, n_shingles long, h long, h2 long" + "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for x, c in zip(names, extra, strict=True))
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(x) for x, c in zip(names, extra, strict=True)])
+    schema = "doc_id long, text_key long, n_shingles long, h long, h2 long" + "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for x, c in zip(names, extra, strict=True))
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text", *[F.col(c).alias(x) for x, c in zip(names, extra, strict=True)])
     return taken.mapInArrow(sets, schema)
 
 
 def vertices(rows: DataFrame) -> DataFrame:
-    """(h, h2, vertex, doc_id) of each distinct set in rows, with the least doc_id that has it."""
-    firsts = written(rows.filter("h is not null").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id")), "jaccard-sets")
+    """(h, h2, vertex, doc_id, text_key) of each distinct set in rows, with the least doc_id that has it, and of its texts that of the least key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    firsts = written(rows.filter("h is not null").groupBy("h", "h2").agg(first).select("h", "h2", "first.doc_id", "first.text_key"), "jaccard-sets")
     shared = firsts.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("k")).filter("k > 1")  # of 10**10 sets, one or two
     joined = firsts.join(shared, firsts.h == shared.of, "left")
-    return joined.select("h", "h2", F.when(F.col("k").isNull(), F.col("h")).otherwise(F.xxhash64("h", "h2")).alias("vertex"), "doc_id")
+    return joined.select("h", "h2", F.when(F.col("k").isNull(), F.col("h")).otherwise(F.xxhash64("h", "h2")).alias("vertex"), "doc_id", "text_key")
 
 
 def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -197,8 +198,7 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
     total = text_bytes(docs)
     slices = max(1, -(-total // (10 * RANGE_HASHES)))
     dealt = deal(docs, total)
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    chosen = firsts.select(F.lit(-1).alias("slice"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id"), F.col("h"), F.col("h2"), F.col("vertex"), F.lit(None).cast("binary").alias("keys"))
+    chosen = firsts.select(F.lit(-1).alias("slice"), block_of(F.col("doc_id"), F.col("text_key"), total, BLOCK_BYTES).alias("block"), F.col("doc_id"), F.col("h"), F.col("h2"), F.col("vertex"), F.lit(None).cast("binary").alias("keys"))
 
     def own_sets(left: pa.Table, right: pa.Table):
         """For each step: sets of the block's chosen rows, as owners, shingles, sizes and vertices."""

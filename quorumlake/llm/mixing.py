@@ -15,7 +15,7 @@ Defined results: a null or empty text has size 0 and takes nothing. A null sourc
 A source without any words has target 0. Repeated rows are documents like others. An empty table gives no rows.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import positions
@@ -57,6 +57,11 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: float = CA
     return ranked.select("source", "source_size", F.least(F.col("most"), F.lit(level) * F.col("weight")).alias("target"))
 
 
+def _exact_sum(x: Column) -> Column:
+    """A sum of doubles that does not depend on their order: as decimals."""
+    return F.sum(x.cast("decimal(38,12)")).cast("double")
+
+
 def entropy_rates(sizes: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
     """(of, tilt) of each source (of), by Newton steps on the dual; tilt is null where all rates are cap, or all are 0. sizes: (source, size, n).
 
@@ -73,7 +78,7 @@ def entropy_rates(sizes: DataFrame, targets: DataFrame, cap: float = CAP) -> Dat
         for _ in range(STEPS_A_JOB):
             joined = state.join(sizes, sizes.source.eqNullSafe(state.of), "left")
             tokens = F.col("n") * F.col("size") * tilted
-            sums = joined.groupBy("of", "target", "tilt", "low", "high").agg(F.sum(tokens).alias("made"), F.sum(F.when(below, tokens * F.col("size")).otherwise(0.0)).alias("curve"))
+            sums = joined.groupBy("of", "target", "tilt", "low", "high").agg(_exact_sum(tokens).alias("made"), _exact_sum(F.when(below, tokens * F.col("size")).otherwise(0.0)).alias("curve"))
             sums = sums.withColumns({"low": F.when(F.col("made") <= F.col("target"), F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("made") >= F.col("target"), F.col("tilt")).otherwise(F.col("high"))})
             step = F.col("tilt") + F.log(F.try_divide("target", "made")) * F.try_divide("made", "curve")
             inside = step.isNotNull() & (F.col("low").isNull() | (step >= F.col("low"))) & (F.col("high").isNull() | (step <= F.col("high")))

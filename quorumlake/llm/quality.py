@@ -19,8 +19,8 @@ from .textkernel import SPACE, WORD_BASES, Prefixes, Texts, covered, in_doc, mix
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line of a host is boilerplate in more than this share of its distinct documents, and more than this many.
-LINE_SHARE = 0.25
+#: A line is boilerplate in a host if more than so many of its distinct documents hold it, whatever the host's size: authors
+#: quote a passage in a few documents, a template's line stands in as many as there are pages.
 LINE_DOCS = 20
 #: Share of a document's words that must be left without boilerplate.
 LEAST_LEFT = 0.3
@@ -128,19 +128,15 @@ def document_stats(docs: DataFrame, host: str = "source", extra: list[str] | Non
     return taken.mapInArrow(stats, STATS + "".join(f", _x{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(extra)))
 
 
-def judged_rows(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
+def judged_rows(docs: DataFrame, host: str = "source", least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
     """quality_rules, with gone: the hashes of a row's boilerplate lines, null where it has none.
 
-    A line counts in a host with more than least_docs distinct documents that hold it, and more than share of the host's.
-    Lines meet the frequent ones by host and line, so that no host's list is held in one row: without a share it grows with the host.
+    A line counts in a host with more than least_docs distinct documents that hold it. Lines meet the frequent ones by host and
+    line, so that no host's list, which grows with the host, is held in one row.
     """
     stats = written(document_stats(docs, host, extra), "quality")  # read more than once below
     lines = stats.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line", "l.words")
     counts = lines.select("host", "text_hash", "line").distinct().groupBy(F.col("host").alias("of_host"), F.col("line").alias("of_line")).agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
-    if share > 0:
-        texts = stats.select("host", "text_hash").distinct()
-        hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
-        counts = counts.join(hosts, counts.of_host.eqNullSafe(hosts.host)).filter(F.col("n") > share * F.col("docs"))
     common = written(counts.select("of_host", "of_line"), "quality-lines")
     found = lines.join(common, lines.host.eqNullSafe(common.of_host) & (lines.line == common.of_line)).select("host", "text_hash", "line", "words").distinct()
     found = found.groupBy(F.col("host").alias("in_host"), F.col("text_hash").alias("in_text")).agg(F.sum("words").cast("long").alias("removed"), F.collect_set("line").alias("gone"))
@@ -153,9 +149,9 @@ def judged_rows(docs: DataFrame, host: str = "source", share: float = LINE_SHARE
     ).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= least_left * F.col("n_words")))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT, extra: list[str] | None = None) -> DataFrame:
     """Each row's counts, base_failed, words in boilerplate lines (n_boilerplate_words) and verdict (kept); extra: columns of docs to pass on."""
-    return judged_rows(docs, host, share, least_docs, least_left, extra).drop("gone")
+    return judged_rows(docs, host, least_docs, least_left, extra).drop("gone")
 
 
 def without_lines(t: Texts, gone: list[list[int] | None]) -> list[str]:
@@ -177,7 +173,7 @@ def without_lines(t: Texts, gone: list[list[int] | None]) -> list[str]:
     return [x.decode("utf-8", "replace") for x in out]
 
 
-def clean_documents(docs: DataFrame, host: str = "source", share: float = 0.0, least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
+def clean_documents(docs: DataFrame, host: str = "source", least_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """The rows of docs that the rules keep, all columns, their texts without boilerplate lines; other lines stay byte by byte.
 
     A row's verdict depends on its host and text alone, and finds it by doc_id, host and text.
@@ -185,7 +181,7 @@ def clean_documents(docs: DataFrame, host: str = "source", share: float = 0.0, l
     names = docs.columns
     host_, key, of_id, of, of_text, gone_ = own_names(names, "_host", "_key", "_id", "_of", "_text", "_gone")
     same = docs.withColumns({host_: F.col(host).cast("string"), key: F.xxhash64(F.coalesce("text", F.lit("")))})
-    judged = judged_rows(same.select("doc_id", "text", F.col(host_).alias("host"), F.col(key).alias("key")), "host", share, least_docs, least_left, ["host", "key"])
+    judged = judged_rows(same.select("doc_id", "text", F.col(host_).alias("host"), F.col(key).alias("key")), "host", least_docs, least_left, ["host", "key"])
     good = judged.filter("kept").select(F.col("doc_id").alias(of_id), F.col("host").alias(of), F.col("key").alias(of_text), F.col("gone").alias(gone_)).dropDuplicates([of_id, of, of_text])
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & F.col(host_).eqNullSafe(F.col(of)) & (F.col(key) == F.col(of_text))
     kept = same.join(good, on).select(*names, gone_)

@@ -112,8 +112,7 @@ WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_ext
 l AS (SELECT doc_id, host, text, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS line FROM d),
 n AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS k,
   translate(array_to_string(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm FROM l),
-hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-common AS (SELECT n.host, norm FROM n JOIN hosts ON n.host IS NOT DISTINCT FROM hosts.host GROUP BY n.host, norm, texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.25 * texts),
+common AS (SELECT host, norm FROM n GROUP BY host, norm HAVING count(DISTINCT text) > 20),
 gone AS (SELECT doc_id, sum(k) AS removed FROM n JOIN common ON n.host IS NOT DISTINCT FROM common.host AND n.norm = common.norm GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
 u AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d),

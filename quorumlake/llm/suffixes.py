@@ -16,8 +16,10 @@ least hash is the window's anchor. Equal windows have equal anchors at equal pla
 An anchor with many distinct pieces (the rim of a passage that many documents share) would make its bucket large. Its pieces
 are cut into cells of CELL windows by the anchor's place in the window, and a cell goes to the bucket of its anchor, its
 number and the bytes that all of its windows have. Equal windows are in equal cells; pieces whose bytes differ outside the
-rim of a cell part ways. Cells are sorted and compared like other pieces: the number MANY_PIECES decides how much meets in a
-bucket, not what is found.
+rim of a cell part ways. Where the passage ends inside a cell's rim they do not: so blocks exchange the cells' keys as they
+did the anchors', and a cell with many distinct pieces is cut into cells of FINE windows by the same rule. Those of one key
+differ in FINE - 1 bytes at most, so that there are no more than 256 of them, however many documents share the passage.
+Cells are sorted and compared like other pieces: the number MANY_PIECES decides how much meets in a bucket, not what is found.
 
 Defined results: a null or empty text, and one shorter than the length, loses nothing. Equal rows repeat each other.
 Strings never cross documents. Bytes that are left may end inside a character of UTF-8; kept_text drops the remains of such
@@ -38,9 +40,11 @@ from .textkernel import BYTE_BASES, Prefixes, Rolling, Texts, mix, spans, steps
 
 LENGTH = 400
 GRAM = 64
-#: Distinct pieces of an anchor, over all blocks, beyond which they are cut into cells, and windows in a cell.
+#: Distinct pieces of an anchor, over all blocks, beyond which they are cut into cells (a multiple of FINE windows each).
 MANY_PIECES = 300
 CELL = 32
+#: Windows in what a cell with as many distinct pieces is cut into.
+FINE = 2
 #: Bits of a place in a text; the rest of 64 are those of a gram's hash, the same for every text.
 PLACE_BITS = 36
 #: Bytes of text for each bucket of pieces.
@@ -90,24 +94,35 @@ class Pieces:
         """A number for each piece, nearly always the same for the same bytes only: to count them."""
         return self.rolling.of(self.first, self.last + self.length) if len(self.first) else self.key
 
-    def only(self, repeated: np.ndarray, hot: np.ndarray) -> list[bytes]:
-        """Leaves pieces of repeated anchors, cut into cells where their anchor is hot. Returns their bytes."""
+    def _cells(self, some: np.ndarray, raw: bytes, size: int) -> tuple[np.ndarray, ...]:
+        """The pieces numbered by some, cut into cells of size windows: first and last window, anchor's place, and key."""
+        # windows from the first to the last have their anchor at places from high down to low
+        low, high = (self.place[some] - self.last[some]) // size, (self.place[some] - self.first[some]) // size
+        cell, of = spans(low, high), np.repeat(some, high - low + 1)
+        upper = self.place[of] - cell * size  # the last window of a whole cell
+        keys = [_digest(raw[b : b + self.length - size + 1] + k.to_bytes(8, "little") + c.to_bytes(8, "little"))[0] for b, k, c in zip(upper.tolist(), self.key[of].tolist(), cell.tolist(), strict=True)]
+        return np.maximum(self.first[of], upper - size + 1), np.minimum(self.last[of], upper), self.place[of], np.array(keys, np.uint64)
+
+    def cut(self, hot: np.ndarray, size: int, least: int = 0) -> None:
+        """Cuts the pieces from the number least on whose key is hot into cells, which go to the end; their number is told by own."""
+        some = least + np.flatnonzero(member(hot, self.key[least:]))
+        rest = np.delete(np.arange(len(self.key)), some)
+        cells = self._cells(some, self.t.data.tobytes(), size)
+        self.own = len(rest)
+        self.first, self.last, self.place, self.key = (np.append(x[rest], y) for x, y in zip((self.first, self.last, self.place, self.key), cells, strict=True))
+
+    def keep(self, repeated: np.ndarray, hot: np.ndarray) -> None:
+        """Leaves pieces of repeated anchors, cut into cells where their anchor is hot."""
         mine = np.flatnonzero(member(repeated, self.key))
-        cut_ = member(hot, self.key[mine])
-        whole, some = mine[~cut_], mine[cut_]
-        first, last, place, key = (x[whole] for x in (self.first, self.last, self.place, self.key))
+        self.first, self.last, self.place, self.key = (x[mine] for x in (self.first, self.last, self.place, self.key))
+        self.cut(hot, CELL)
+
+    def only(self, repeated: np.ndarray, hot: np.ndarray, hot_cells: np.ndarray) -> list[bytes]:
+        """Leaves pieces of repeated anchors, cut into cells where their anchor is hot, and those again where they are. Returns their bytes."""
+        self.keep(repeated, hot)
+        self.cut(hot_cells, FINE, self.own)
         raw = self.t.data.tobytes()
-        if len(some):
-            # windows from the first to the last have their anchor at places from high down to low
-            low, high = (self.place[some] - self.last[some]) // CELL, (self.place[some] - self.first[some]) // CELL
-            cell, of = spans(low, high), np.repeat(some, high - low + 1)
-            upper = self.place[of] - cell * CELL  # the last window of a whole cell
-            keys = [_digest(raw[b : b + self.length - CELL + 1] + k.to_bytes(8, "little") + c.to_bytes(8, "little"))[0] for b, k, c in zip(upper.tolist(), self.key[of].tolist(), cell.tolist(), strict=True)]
-            first = np.append(first, np.maximum(self.first[of], upper - CELL + 1))
-            last = np.append(last, np.minimum(self.last[of], upper))
-            place, key = np.append(place, self.place[of]), np.append(key, np.array(keys, np.uint64))
-        self.first, self.last, self.place, self.key = first, last, place, key
-        return [raw[a:b] for a, b in zip(first.tolist(), (last + self.length).tolist(), strict=True)]
+        return [raw[a:b] for a, b in zip(self.first.tolist(), (self.last + self.length).tolist(), strict=True)]
 
 
 def _digest(raw: bytes) -> tuple[int, int]:
@@ -302,12 +317,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gr
     keep = keep or []
     dealt = deal(docs, total, keep=keep)
 
-    def anchors(t: pa.Table) -> pa.Table:
-        block, found = column(t, "block")[0], []
-        for x in steps(t.column("text")):
-            p = Pieces(x, length, gram)
-            found.append(np.stack([p.key, p.kinds()]))
-        keys, one = np.concatenate(found, axis=1)
+    def counted(block: int, kind: int, found: list[np.ndarray]) -> pa.Table:
+        """A block's keys, which of them it has twice or more, and the number of distinct pieces of each; found: keys and pieces' numbers."""
+        keys, one = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
         if not len(keys):
             return _sent([])
         order, new = _rank_rows(keys, one)
@@ -317,10 +329,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gr
         different = np.add.reduceat(new.astype(np.int64), at)
         keys, marks = keys[at], total > 1
         places = cut(keys, slices)
-        return _sent([(0, i, block, packed(keys[a:b]), _raw(np.minimum(different[a:b], 65535), "<u2"), None, None, flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
+        return _sent([(kind, i, block, packed(keys[a:b]), _raw(np.minimum(different[a:b], 65535), "<u2"), None, None, flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
+
+    def anchors(t: pa.Table) -> pa.Table:
+        each = (Pieces(x, length, gram) for x in steps(t.column("text")))
+        return counted(column(t, "block")[0], 0, [np.stack([p.key, p.kinds()]) for p in each])
+
+    def cells(left: pa.Table, right: pa.Table) -> pa.Table:
+        (repeated, hot, _), found = _anchors(right), []
+        for x in steps(left.column("text")) if left.num_rows and len(hot) else ():
+            p = Pieces(x, length, gram)
+            p.keep(repeated, hot)
+            found.append(np.stack([p.key, p.kinds()])[:, p.own :])
+        return counted(column(left, "block")[0], 2, found) if found else _sent([])
 
     def meet(t: pa.Table) -> pa.Table:
-        blocks, part = column(t, "block"), column(t, "slice")[0]
+        kind, blocks, part = column(t, "kind")[0], column(t, "block"), column(t, "slice")[0]
         keys = [unpacked(x) for x in column(t, "a")]
         marks = [unflagged(x, len(k)) for x, k in zip(column(t, "marks"), keys, strict=True)]
         every = np.concatenate(keys)
@@ -331,22 +355,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gr
         hot = every[order][first][sums > many]
         rows = []
         for b, k in zip(blocks, keys, strict=True):
-            own = k[member(repeated, k)]
-            if len(own):
-                rows.append((0, part, b, packed(own), packed(own[member(hot, own)]), None, None, None))
+            own = k[member(repeated, k)] if kind == 0 else np.zeros(0, np.uint64)
+            crowded = k[member(hot, k)]
+            if len(own) or len(crowded):
+                rows.append((kind, part, b, packed(own), packed(crowded), None, None, None))
         return _sent(rows)
 
-    common = dealt.groupBy("block").applyInArrow(anchors, SENT).groupBy("slice").applyInArrow(meet, SENT)
+    told = dealt.groupBy("block").applyInArrow(anchors, SENT).groupBy("slice").applyInArrow(meet, SENT)
+    common = told.unionByName(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cells, SENT).groupBy("slice").applyInArrow(meet, SENT))
 
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _sent([])
-        block, (repeated, hot) = column(left, "block")[0], _anchors(right)
+        block, hot = column(left, "block")[0], _anchors(right)
         seen: dict[tuple, int] = {}
         rows, texts_ = [], []
         for x in steps(left.column("text")):
             p = Pieces(x, length, gram)
-            own = p.only(repeated, hot)
+            own = p.only(*hot)
             for raw, key, count, offset in zip(own, p.key.tolist(), (p.last - p.first + 1).tolist(), (p.place - p.first).tolist(), strict=True):
                 one, two = _digest(raw)
                 if (at := seen.get((one, two, key))) is None:
@@ -391,12 +417,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gr
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, done = [], 0
         ids = column(left, "doc_id") if left.num_rows else []
-        (repeated, hot), found = _anchors(right), _repeated(right)
+        hot, found = _anchors(right), _repeated(right)
         for x in steps(left.column("text")) if left.num_rows else ():
             gone = np.zeros(len(x.data) + 1, np.int32)
-            if len(repeated):
+            if len(hot[0]):
                 p = Pieces(x, length, gram)
-                one, two = _digests(p.only(repeated, hot))
+                one, two = _digests(p.only(*hot))
                 lo, hi = np.searchsorted(found[0], one), np.searchsorted(found[0], one, "right")
                 each, owner = spans(lo, hi - 1), np.repeat(np.arange(len(one)), hi - lo)
                 right_ = found[1][each] == two[owner]
@@ -425,11 +451,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, gr
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, RESULT)
 
 
-def _anchors(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A block's repeated anchors and those with very many pieces, sorted."""
-    rows = sorted((s, a, b) for k, s, a, b in zip(*[column(answers, c) for c in ("kind", "slice", "a", "b")], strict=True) if k == 0)
+def _anchors(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's repeated anchors, those with very many pieces, and the cells with very many, sorted."""
+    rows = sorted((k, s, a, b) for k, s, a, b in zip(*[column(answers, c) for c in ("kind", "slice", "a", "b")], strict=True) if k != 1)
     none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *[unpacked(a) for _, a, _ in rows]]), np.concatenate([none, *[unpacked(b) for _, _, b in rows]])
+    every = lambda kind, i: np.concatenate([none, *[unpacked(r[i]) for r in rows if r[0] == kind]])
+    return every(0, 2), every(0, 3), every(2, 3)
 
 
 def _repeated(answers: pa.Table) -> list[np.ndarray]:

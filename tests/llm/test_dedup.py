@@ -5,11 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quorumlake.llm import blocks, jaccard, substrings, suffixes
 from quorumlake.llm.components import components
-from quorumlake.llm.textkernel import BYTE_BASES, Prefixes
+from quorumlake.llm.textkernel import BYTE_BASES, Prefixes, steps
 
 from .data import SCHEMA, documents, repeated
 
@@ -85,6 +86,52 @@ def test_suffixes_against_brute_force(spark, length, gram, many):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize(("length", "gram", "cell"), [(60, 16, 8), (400, 64, 32)])
+def test_suffixes_with_all_cells_cut_again(spark, monkeypatch, length, gram, cell):
+    """Every anchor and every cell counts as hot: pieces of two windows give what whole ones do."""
+    rows = repeated(documents())
+    want = sorted(map(str, suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA), length, gram=gram).collect()))
+    monkeypatch.setattr(suffixes, "CELL", cell)
+    got = sorted(map(str, suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA), length, gram=gram, many=0).collect()))
+    assert got == want
+
+
+def test_a_passage_of_many_documents_makes_no_large_key():
+    """Documents that share a passage in different surroundings: the distinct pieces of a key stay few as they grow in number."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    own = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage = own(600)
+    largest = {}
+    for n in (500, 2000, 8000):
+        texts = [own(420) + passage + own(420) for _ in range(n)]
+        hot = hot_cells = None
+        for turn in range(3):  # anchors, cells, cells of FINE windows
+            kinds, times = defaultdict(set), Counter()
+            for t in steps(pa.array(texts)):
+                p = suffixes.Pieces(t, 400, 64)
+                if turn:
+                    p.only(repeated_keys, hot, hot_cells if turn == 2 else np.zeros(0, np.uint64))
+                for key, kind in zip(p.key.tolist(), p.kinds().tolist(), strict=True):
+                    kinds[key].add(kind)
+                    times[key] += 1
+            many = np.array(sorted(k for k, v in kinds.items() if len(v) > suffixes.MANY_PIECES), np.uint64)
+            if turn == 0:
+                repeated_keys, hot = np.array(sorted(k for k, v in times.items() if v > 1), np.uint64), many
+            hot_cells = many if turn == 1 else hot_cells
+        largest[n] = max(map(len, kinds.values()))
+    assert max(largest.values()) <= suffixes.MANY_PIECES, largest
+
+
+def test_rows_without_ids_are_dealt_to_many_blocks(spark):
+    rows = [(None if i % 2 else 7, f"text {i}", "en", "s", 0, 0, "", "") for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes = [r["count"] for r in blocks.deal(docs, 16_000, 1000).groupBy("block").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 60
+    got = [tuple(x) for x in jaccard.jaccard_join(docs, 4, 85).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, groups(rows, 4, 85)))
+
+
 def test_suffixes_keep_other_columns(spark):
     rows = documents()
     got = suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA), 60, gram=16, keep=["source", "size", "block"]).collect()
