@@ -54,6 +54,37 @@ def marked_header(c: Column | str) -> Column:
     )
 
 
+#: Fixed value: a header at the head of a text: marker, role, name in brackets, and a remark such as that someone stepped up.
+HEADER = f"^[{MARKERS}][^（\\n]*(?:（[^）]*）)?(?:〔[^〕]*〕)?{SPACE}*"
+
+
+def without_header(c: Column | str) -> Column:
+    """A text without the speaker's header at its head."""
+    return trim_all(F.regexp_replace(_col(c), HEADER, ""))
+
+
+def leading_title(c: Column | str) -> Column:
+    """The header at the head of a text, ◯role（name） or ◯role, as voice_title reads it; empty without one."""
+    return F.regexp_extract(_col(c), f"^([{MARKERS}][^（\\n]+?(?:（[^）]+?）)?){SPACE}", 1)
+
+
+def anchored_utterance(c: Column | str) -> Column:
+    """role, name, marker and content of a text that begins with ◎role（name）, ◎name role and two spaces, or ◎role; null for other texts and for headers without content."""
+    blank, mark = SPACE[1:-1], "[◎○◯●◆]"
+    forms = (f"^({mark}[^（\\n]*（[^）]*）){SPACE}*", f"^({mark}[^{blank}]+{SPACE}+[^{blank}]+){SPACE}{{2,}}", f"^({mark}[^{blank}（]+){SPACE}*")
+
+    def parts(x: Column) -> Column:
+        found = F.coalesce(*[F.when(x.rlike(p), F.struct(F.regexp_extract(x, p, 0).alias("all"), F.regexp_extract(x, p, 1).alias("head"))) for p in forms])
+        return F.struct(found["head"].alias("head"), trim_all(F.substring(x, F.length(found["all"]) + 1, F.length(x))).alias("content"))
+
+    def said(x: Column) -> Column:
+        head = marked_header(x["head"])
+        return F.when(x["content"] != "", F.struct(head["role"].alias("role"), head["name"].alias("name"), head["marker"].alias("marker"), x["content"].alias("content")))
+
+    # bound step by step, so that what a step reads is computed once
+    return F.transform(F.transform(F.array(_col(c)), parts), said)[0]
+
+
 def utterance(c: Column | str) -> Column:
     """role, name and content of an utterance that begins with its header: role（name君） or namerole, then a space.
 

@@ -1,10 +1,13 @@
 """Queries of functions and small operators: each over its whole tables, with its meaning in SQL beside it."""
 
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, shape, speakers, text
 from ..operators import replies, runs
-from ..sources import pages
+from ..sources import pages, services
 from . import fixtures as fx
 from . import search
 
@@ -270,14 +273,33 @@ def _role():
     return F.when(F.col("role") == "assistant", "総務部長").when(F.col("role") == "user", "山田議員").otherwise("議長")
 
 
-def _utterances(found):
-    return found.select("page_id", "position", "kind", "speaker_name", "speaker_role", "content", "content_hash", "start_offset")
+def _utterances(found, *more):
+    return found.select("page_id", "position", "kind", "speaker_name", "speaker_role", "content", "content_hash", "start_offset", *more)
+
+
+#: Layouts of a page by its number of turns: a turn with a nested list, in the markup of each generation, then what no layout reads.
+_LAYOUTS = (
+    """<li class="voice-block border" data-voice-no="{n}" data-voice-title="◯{who}（林君）">\n<ul><li>{n}</li></ul>\n<p class="voice__text textwrap">◯{who}（林君）〔登壇〕　{words}<br />&amp; so on</p><p class="voice__text">again</p></li>\n<li class="voice_block" data-voice-title="◯{who}"><p class="voice__text"> </p></li>\n""",
+    """<li>\n<div class="row voice__header hidden-print" role="button"><div class="col-md-9"><div class="voice__name"><span class="voice__number">{n}: </span>\n<span class="voice__title">◯{who}（林君）</span></div></div></div>
+<div class="voice__textwrap"><div class="row voice__text voice__text--print" id="c-{n}"><div><p class="js-textwrap-container">\n<span class="visible-print-block">{n}: </span>◯{who}（林君）{words}<br>&amp; so on\n</p></div></div></div></li>\n""",
+    """<div class="page-text__voice" id="VoiceNo{n}"><p class="page-text__text textwrap">\n<span class="page-text__number VoiceAnchor" data-voiceno="{n}">{n}</span>\n◯{who}（林君）　{words}<br/>&amp; so on\n</p></div>\n""",
+)
 
 
-@query(_FAMILY.format(shift=0, kind=_KIND, name="'林'", who=_ROLE, words="words", keep="true", hash="''"))
+@query(_FAMILY.format(shift=0, kind=_KIND, name="'林'", who=_ROLE, words="words || chr(10) || '& so on'", keep="true", hash="''").replace("start_offset FROM u", "start_offset, (count(*) OVER (PARTITION BY page_id) % 3)::int AS layout FROM u"))
 def family_voices(spark, d):
-    part = F.concat(F.lit('<p class="v" data-voice-title="◯'), _role(), F.lit('（林君）">'), "words", F.lit("<br></p>\n"))
-    return _utterances(pages.utterances(_page(_said(spark, d), part), pages.FAMILIES["dbsearch"]))
+    """Turns as pages of the three generations of markup, elements in elements, among scripts and other text."""
+    said = _said(spark, d).withColumn("layout", F.count("*").over(Window.partitionBy("conv_id")) % 3)
+    part = F.lit("")
+    for i, form in enumerate(_LAYOUTS):
+        pieces = re.split("({n}|{who}|{words})", form)
+        made = F.concat(*[{"{n}": F.col("turn").cast("string"), "{who}": _role(), "{words}": F.col("words")}.get(x, F.lit(x)) for x in pieces if x])
+        part = F.when(F.col("layout") == i, made).otherwise(part)
+    rows = _page(said, part).withColumn("body", F.concat(F.lit('<html><script>if (a<b) { x = "<p class=voice__text>no</p>" }</script><body><p>no<ul class="page-list">\n'), "body", F.lit("</ul><!-- <p class=page-text__text>no</p> --></body></html>")))
+    found = pages.utterances(rows, pages.FAMILIES["dbsearch"])
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("position")) - 1
+    layouts = said.select(F.col("conv_id").alias("page_id"), F.col("layout").cast("int").alias("layout")).distinct()
+    return _utterances(found.withColumn("position", place).join(layouts, "page_id"), "layout")
 
 
 @query(_FAMILY.format(shift=0, kind=_KIND, name="'林'", who=_ROLE, words="words", keep="role <> 'system'", hash="page_id || ':' || position || ':'").replace("sha256(page_id || ':' || position || ':' || content)", "sha256(page_id || ':' || position || content)"))
@@ -288,11 +310,73 @@ def family_schedules(spark, d):
     return _utterances(pages.utterances(rows, pages.FAMILIES["discussnet_ssp"]))
 
 
-@query(_FAMILY.format(shift=0, kind=_KIND, name="'林'", who=_ROLE, words="words", keep="true", hash="''"))
+def _mark():
+    return F.when(F.col("role") == "assistant", "◎").when(F.col("role") == "user", "◆").otherwise("○")
+
+
+@query(_FAMILY.format(shift=2, kind=_KIND, name="'林'", who=_ROLE, words="words", keep="true", hash="''"))
 def family_marked(spark, d):
-    mark = F.when(F.col("role") == "assistant", "◎").when(F.col("role") == "user", "◆").otherwise("○")
-    part = F.concat(F.lit("<b>"), mark, _role(), F.lit("（林君）</b>"), "words", F.lit("<br>"))
-    return _utterances(pages.utterances(_page(_said(spark, d), part), pages.FAMILIES["gijiroku_com"]))
+    """Pages of whole meetings with an anchor before each turn, after a roster; headings stand among them."""
+    part = F.concat(F.lit('<A NAME="HUID1'), "turn", F.lit('"></A>'), _mark(), _role(), F.lit("（林君）　"), "words", F.lit("<BR>\n"))
+    rows = _page(_said(spark, d), part).withColumn("body", F.concat(F.lit('<BODY>\n<A NAME="HUID100"></A>令和　６年定例会<BR><BR>出席議員<BR>\n'), "body", F.lit('<A NAME="HUID999"></A>△散会の宣告<BR>\n</BODY>')))
+    found = pages.utterances(rows, pages.FAMILIES["gijiroku_com"])
+    return _utterances(found)
+
+
+@query(_FAMILY.format(shift=1, kind="CASE role WHEN 'assistant' THEN 'answer' WHEN 'user' THEN 'question' ELSE 'remark' END", name="CASE role WHEN 'assistant' THEN '川田青星' ELSE '林' END", who="CASE role WHEN 'assistant' THEN '分科会部長' WHEN 'user' THEN '山田議員' ELSE '議長' END", words="words", keep="true", hash="''"))
+def family_sidebar(spark, d):
+    """Meetings that a sidebar lists, a landed page for each turn, joined in the sidebar's order."""
+    said = _said(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role"))).withColumn("huid", F.concat(F.lit("7"), F.col("place").cast("string")))
+    entry = lambda huid, label: F.concat(F.lit('<TR><TD><A NAME="'), huid, F.lit('"></A><A HREF="voiweb.exe?HUID='), huid, F.lit('"><B>'), label, F.lit("</B></A></TD></TR>\n"))
+    side = _page(said, entry(F.col("huid"), F.concat(_mark(), F.lit("林君")))).select(F.col("page_id"), F.concat(entry(F.lit("70"), F.lit(" (名簿) ")), "body", entry(F.lit("79999"), F.lit("△散会"))).alias("html"))
+    head = F.when(F.col("role") == "assistant", F.concat(F.lit("◎"), F.lit("川田青星　分科会部長　　"))).otherwise(F.concat(_mark(), _role(), F.lit("（林君）　")))
+    page = F.concat(F.lit('<HTML><BODY>林君<BR><A NAME="HUID'), "huid", F.lit('"></A>'), head, "words", F.lit("<BR>\n<FORM>◎部長（林君）　next</FORM></BODY></HTML>"))
+    landed = said.select(F.col("conv_id").alias("page_id"), "huid", page.alias("html"))
+    rosters = said.select(F.col("conv_id").alias("page_id"), F.lit("70").alias("huid"), F.lit('<A NAME="HUID70"></A>○議長（林君）　roster').alias("html")).distinct()
+    return _utterances(services.gijiroku_utterances(side, landed.unionByName(rosters), "page_id"))
+
+
+_TREE = """o AS (SELECT c_nationkey::varchar AS site, year(o_orderdate)::int - 1988 AS era, o_orderpriority AS body, o_orderdate::date AS day FROM orders JOIN customer ON o_custkey = c_custkey),
+m AS (SELECT DISTINCT site, day, CASE WHEN body = '5-LOW' THEN NULL ELSE body END AS body FROM o)"""
+
+
+@query(f"""WITH {_TREE}, w AS (SELECT site, day, min(CASE WHEN body IS NULL THEN '' WHEN body = '4-NOT SPECIFIED' THEN 'z' ELSE body END) AS first FROM m GROUP BY 1, 2)
+SELECT site, day AS held_on, CASE first WHEN '' THEN '' WHEN 'z' THEN '4-NOT SPECIFIED ' || month(day) || ' ' ELSE first || ' ' END || day AS title, 'H' || lpad((year(day) - 1988)::varchar, 2, '0') || strftime(day, '%m%d') || 'A' AS file FROM w""")
+def tree_meetings(spark, d):
+    """A tree of tabs from orders: years, then priorities, then for one of them months; meetings without a priority stand under their year."""
+    o, c = fx.table(spark, d, "orders"), fx.table(spark, d, "customer")
+    m = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").cast("string").alias("site"), F.concat(F.lit("平成 "), F.year("o_orderdate") - 1988, F.lit("年")).alias("tab"), F.col("o_orderpriority").alias("body"), F.col("o_orderdate").cast("date").alias("day")).distinct()
+    file = F.concat(F.lit("H"), F.lpad((F.year("day") - 1988).cast("string"), 2, "0"), F.date_format("day", "MMdd"), F.lit("A"))
+    tab = lambda x: F.concat(F.lit("<A HREF=\"javascript:document.viewtree.submit()\"onClick=\"document.viewtree.treedepth.value='"), x, F.lit("'\">tab</A>\n"))
+    link = F.concat(F.lit('<A HREF="/'), "site", F.lit('/cgi-bin3/ResultFrame.exe?Code=x&amp;fileName='), file, F.lit('&amp;startPos=0">minutes</A>\n'))
+    month = F.concat("body", F.lit(" "), F.month("day").cast("string"))
+    low, deep = F.col("body") == "5-LOW", F.col("body") == "4-NOT SPECIFIED"
+    page = lambda node, what, rows=m: rows.select("site", node.alias("node"), what.alias("part"))
+    parts = page(F.lit(None).cast("string"), tab(F.col("tab")))
+    # each page repeats the tabs above it; a body's tab is told from that of other years
+    body = F.concat("tab", F.lit("/"), "body")
+    for node, what, which in ((F.col("tab"), tab(F.col("tab")), None), (F.col("tab"), link, low), (F.col("tab"), tab(body), ~low), (body, link, ~low & ~deep), (body, tab(body), ~low), (body, tab(F.concat("tab", F.lit("/"), month)), deep), (F.concat("tab", F.lit("/"), month), link, deep)):
+        parts = parts.unionByName(page(node, what, m if which is None else m.filter(which)))
+    html = F.array_join(F.array_sort(F.collect_set("part")), "")
+    found = services.tree_meetings(parts.groupBy("site", "node").agg(html.alias("html")))
+    return found.select("site", F.col("held_on").cast("date").alias("held_on"), F.regexp_replace("title", "^平成 \\d+年/", "").alias("title"), "file")
+
+
+@query(_FAMILY.format(shift=1, kind=_KIND, name="'林'", who="CASE role WHEN 'assistant' THEN '部長' WHEN 'user' THEN '議員' ELSE '議長' END", words="words", keep="true", hash="''"))
+def family_frames(spark, d):
+    """Turns that a frame of speakers lists, by its form or by its links alone, each with a landed text."""
+    said = _said(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role"))).withColumn("position", (F.col("place") * 37).cast("string"))
+    forms = F.count("*").over(Window.partitionBy("conv_id")) % 2 == 0
+    said = said.withColumn("form", forms).withColumn("file", F.concat(F.lit("H"), F.lpad(F.col("conv_id").cast("string"), 6, "0")))
+    link = F.concat(F.lit('<A HREF="/x/cgi-bin3/r_TextFrame.exe?code/'), "file", F.lit("/"), "position", F.lit('/0//10/1" TARGET="TEXTW">'), _role(), F.lit("</A>\n"))
+    box = F.when(F.col("form"), F.concat(F.lit('<input type="checkbox" name="downloadPos" value="'), "position", F.lit('" >'))).otherwise("")
+    rows = _page(said, F.concat(box, link)).join(said.select(F.col("conv_id").alias("page_id"), "form", "file").distinct(), "page_id")
+    form = F.concat(F.lit('<FORM name="download" action="GetPerson.exe"><input type="hidden" name="Code" value="code"><input value="'), "file", F.lit('" type="hidden" name="fileName">'))
+    lists = rows.select("page_id", F.concat(F.when(F.col("form"), form).otherwise(""), F.lit('<A HREF="r_TextFrame.exe?code/'), "file", F.lit('/0/0">議事日程</A>'), "body").alias("html"))
+    head = F.when(F.col("role") == "assistant", "部長（林君）").when(F.col("role") == "user", "議員（林君）").otherwise("議長（林君）")
+    texts = said.select(F.lit("code").alias("code"), "file", "position", F.concat(F.when(F.col("place") == 1, "会議名\n").otherwise(""), F.lit("○"), head, F.lit("　"), F.regexp_replace("words", " ", "\n　")).alias("body"))
+    turns = services.speaker_positions(lists, "page_id")
+    return _utterances(pages.utterances(services.assembled_texts(turns, texts, "page_id"), pages.FAMILIES["kensakusystem"]))
 
 
 @query(_FAMILY.format(shift=1, kind=_KIND, name="CASE role WHEN 'assistant' THEN '林' WHEN 'user' THEN '山田' ELSE '林' END", who="CASE role WHEN 'assistant' THEN '部長' WHEN 'user' THEN '議員' ELSE '議長' END", words="words", keep="true", hash="''"))

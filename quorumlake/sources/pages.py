@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, speakers, text
-from ..operators.chunk import offsets
+from . import services
 
 
 def decoded(df: DataFrame, column: str = "content", encoding: str = "cp932", out: str = "body") -> DataFrame:
@@ -140,10 +140,8 @@ class Family:
 
     name: str
     meeting_type: str = "committee_first"
-    #: marked: split before markers; anchors: one piece a matched block; json: rows of (code, title, body)
+    #: marked: text split before markers; events: elements of three generations of markup; anchors: markup split at anchors; json: rows of (code, title, body)
     blocks: str = "marked"
-    pattern: str = ""
-    speaker: str = "utterance"
     kind: str = "tree"
     hash_prefix: bool = False
     squeeze: bool = True
@@ -151,47 +149,39 @@ class Family:
 
 #: The page families that many councils share, and the generic one for single sites.
 FAMILIES = {
-    "dbsearch": Family("dbsearch", "committee_first", "pattern", "(?is)<(?:p|div)[^>]*data-voice-title=\"([^\"]*)\"[^>]*>(.*?)</(?:p|div)>", "voice_title", "plain", squeeze=False),
-    "discussnet_ssp": Family("discussnet_ssp", "committee_first", "json", "", "schedule_title", "code", hash_prefix=True, squeeze=False),
-    "gijiroku_com": Family("gijiroku_com", "committee_first", "pattern", "(?is)<b>([◎○◯●◆][^<]*)</b>(.*?)(?=<b>[◎○◯●◆]|$)", "marked_header", "marked", squeeze=False),
+    "dbsearch": Family("dbsearch", "committee_first", "events", "plain"),
+    "discussnet_ssp": Family("discussnet_ssp", "committee_first", "json", "code", hash_prefix=True),
+    "gijiroku_com": Family("gijiroku_com", "committee_first", "anchors", "marked"),
     "kensakusystem": Family("kensakusystem", "committee_first_strict"),
     "custom": Family("custom", "committee_first_strict", kind="tree"),
 }
 
 
-def _kind(family: Family, role: Column, marker: Column, code: Column) -> Column:
-    return {"plain": classify.utterance_kind(role), "marked": classify.utterance_kind_marked(role, marker), "tree": classify.utterance_kind_tree(role), "code": classify.kind_by_code(code)}[family.kind]
-
-
 def utterances(pages: DataFrame, family: Family, key: str = "page_id", body: str = "body") -> DataFrame:
     """Utterances of pages of one family: key, position, kind, speaker_name, speaker_role, content, content_hash, start_offset, end_offset.
 
-    body: plain text for families split at markers, markup for those with a pattern, a JSON array of {code, title, body} for
-    the JSON family. Blocks without content go, and so do rows of the JSON family that are no utterances.
+    body: plain text for families split at markers, markup for those of events and anchors, a JSON array of {code, title, body}
+    for the JSON family. Blocks without content go, and so do rows of the JSON family that are no utterances.
     """
-    none = F.lit(None).cast("string")
+    if family.blocks == "events":
+        return services.dbsearch_utterances(pages, key, body)
+    if family.blocks == "anchors":
+        return services.gijiroku_page_utterances(pages, key, body)
     if family.blocks == "marked":
         rows = pages.select(key, F.posexplode(text.split_before(F.col(body))).alias("position", "block")).withColumn("block", text.trim_all("block"))
         rows = rows.filter(F.col("block").rlike(f"^[{text.MARKERS}]"))
         rows = rows.withColumn("u", speakers.utterance(F.regexp_replace("block", f"{text.SPACE}+", " ") if family.squeeze else F.col("block")))
-        rows = rows.select(key, "position", F.col("u.role").alias("speaker_role"), F.col("u.name").alias("speaker_name"), F.col("u.content").alias("content"), none.alias("marker"), F.lit(None).cast("int").alias("code"))
-    elif family.blocks == "pattern":
-        head, tail = [F.regexp_extract_all(F.col(body), F.lit(family.pattern), F.lit(i)) for i in (1, 2)]
-        rows = pages.select(key, F.posexplode(F.arrays_zip(head.alias("head"), tail.alias("tail"))).alias("position", "z"))
-        parse = {"voice_title": speakers.voice_title, "marked_header": speakers.marked_header}[family.speaker]
-        rows = rows.withColumn("s", parse(text.trim_all("z.head")))
-        marker = F.col("s.marker") if family.speaker == "marked_header" else none
-        rows = rows.select(key, "position", F.col("s.role").alias("speaker_role"), F.col("s.name").alias("speaker_name"), text.html_to_text("z.tail").alias("content"), marker.alias("marker"), F.lit(None).cast("int").alias("code"))
+        rows = rows.select(key, "position", F.col("u.role").alias("speaker_role"), F.col("u.name").alias("speaker_name"), F.col("u.content").alias("content"))
+        kind = classify.utterance_kind_tree("speaker_role")
     else:
         rows = pages.select(key, F.posexplode(F.from_json(body, "array<struct<code:int,title:string,body:string>>")).alias("position", "z"))
         rows = rows.withColumn("s", speakers.schedule_title("z.title"))
         said = text.strip_tags("z.body")
         said = text.trim_all(F.when(F.startswith(said, F.col("z.title")), F.substring(said, F.length("z.title") + 1, F.length(said))).otherwise(said))
-        rows = rows.select(key, "position", F.col("s.role").alias("speaker_role"), F.col("s.name").alias("speaker_name"), said.alias("content"), none.alias("marker"), F.col("z.code").alias("code"))
-    rows = rows.filter(F.coalesce("content", F.lit("")) != "").withColumn("kind", _kind(family, F.col("speaker_role"), F.col("marker"), F.col("code"))).filter("kind is not null")
-    rows = offsets(rows, key, ["position"])
+        rows = rows.select(key, "position", F.col("s.role").alias("speaker_role"), F.col("s.name").alias("speaker_name"), said.alias("content"), F.col("z.code").alias("code"))
+        kind = classify.kind_by_code("code")
     prefix = F.concat_ws(":", F.col(key).cast("string"), F.col("position").cast("string")) if family.hash_prefix else None
-    return rows.select(key, "position", "kind", "speaker_name", "speaker_role", "content", text.content_hash("content", prefix).alias("content_hash"), "start_offset", "end_offset")
+    return services.finished(rows, key, ["position"], kind, prefix)
 
 
 def lines_to_utterances(pages: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
