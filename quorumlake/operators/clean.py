@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cuts import cut
@@ -67,6 +67,51 @@ def upsert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*[F.coalesce(f"t.{k}", f"n.{k}").alias(k) for k in keys], *[F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in rest]).select(*target.columns)
 
 
+def _written_over(spark: SparkSession, path: str, rows: DataFrame, partition: str, touched: list) -> None:
+    """Writes rows as the touched partitions of a table; partitions that they leave empty go, all others stay as they are."""
+    rows = cut(rows)  # they come from the files that are replaced
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    left = {r[0] for r in rows.select(partition).distinct().collect()}  # a row for each touched partition, as in touched
+    for value in touched:
+        if value not in left:
+            jvm = spark.sparkContext._jvm
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value)) if value is not None else "__HIVE_DEFAULT_PARTITION__"
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _of(partition: str, values: list) -> Column:
+    """Rows of some partitions: a condition that prunes the scan."""
+    return F.col(partition).isin(*[v for v in values if v is not None]) | (F.col(partition).isNull() if None in values else F.lit(False))
+
+
+def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str) -> list:
+    """upsert() into a table of Parquet files by partition: only those that a new row comes to, or whose row it replaces, are read whole and written. Returns their values.
+
+    What holds the keys now is found by a scan of keys alone. Each partition is replaced as a whole; several are not replaced at one time.
+    """
+    table = spark.read.parquet(path)
+    new = cut(new.select(*table.columns))
+    held = table.select(*keys, partition).join(new.select(*keys), keys, "left_semi").select(partition)
+    touched = [r[0] for r in held.unionByName(new.select(partition)).distinct().collect()]  # a row for each partition that changes
+    if touched:
+        _written_over(spark, path, upsert(table.filter(_of(partition, touched)), new, keys).select(*table.columns), partition, touched)
+    return touched
+
+
+def update_into(spark: SparkSession, path: str, new: DataFrame, key: str, columns: list[str], partition: str) -> list:
+    """keyed_update() of a table of Parquet files by partition: only those with a row that changes are read whole and written. Returns their values."""
+    table = spark.read.parquet(path)
+    new = cut(new)
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_{c}"))
+    asked = new.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
+    changed = table.select(key, *columns, partition).join(asked, F.col(key) == F.col("_k")).filter(~reduce(lambda a, b: a & b, [same(c) for c in columns]))
+    touched = [r[0] for r in changed.select(partition).distinct().collect()]  # a row for each partition that changes
+    if touched:
+        _written_over(spark, path, keyed_update(table.filter(_of(partition, touched)), new, key, columns), partition, touched)
+    return touched
+
+
 def keyed_update(target: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """target with columns set from new (a row a key) where it has the key."""
     n = new.select(F.col(key).alias("_k"), F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in columns])

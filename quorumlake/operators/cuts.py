@@ -1,5 +1,7 @@
 """Lineage cuts for operators that go on in rounds, and a shared folder for landed files."""
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,5 +29,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder that no other run uses, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete_folders() -> None:
+    for spark, path in _FOLDERS:
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def state_of(spark: SparkSession, *paths: str) -> tuple:
+    """Names, sizes and times of the files of tables: differs if one of the tables has been written anew."""
+    conf, out = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(conf).listFiles(at, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        out.append(tuple(sorted(found)))
+    return tuple(out)
+
+
+def made_once(spark: SparkSession, kept: dict, name: str, tables: list[str], make) -> str:
+    """A folder that make(path) has written from tables, which are paths; made again when a table's files have changed. What reads the old one goes on with it."""
+    key = (spark.sparkContext.applicationId, name, *tables)
+    state = state_of(spark, *tables)
+    if kept.get(key, (None, None))[0] != state:
+        path = new_folder(spark, name)
+        make(path)
+        kept[key] = (state, path)
+    return kept[key][1]

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cuts import new_folder
+from ..operators.cuts import made_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_NESTED: dict[tuple[str, str], str] = {}
+_NESTED: dict = {}
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +55,10 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nested(), written once for the session as the table that a service keeps: ranges of dates in each file, so that a date filter reads few of them."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _NESTED:
-        path = new_folder(spark, "meetings")
-        nested(spark, sf_dir).repartitionByRange("held_on").sortWithinPartitions("held_on", "id").write.parquet(path)
-        _NESTED[at] = path
-    return spark.read.parquet(_NESTED[at])
+    """nested() as the table that a service keeps, written once for the session and again when a table that it is made of has changed: ranges of dates in each file, so that a date filter reads few of them."""
+    tables = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "part")]
+    path = made_once(spark, _NESTED, "meetings", tables, lambda path: nested(spark, sf_dir).repartitionByRange("held_on").sortWithinPartitions("held_on", "id").write.parquet(path))
+    return spark.read.parquet(path)
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Queries that go through landed files: folders of JSON lines with markers are written from the test tables, then read, checked and imported."""
 
+import contextlib
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import runs
-from ..operators.cuts import new_folder
+from ..operators import clean, runs
+from ..operators.cuts import made_once, new_folder
 from ..sources import ndjson
 from ..streaming import usage
 from . import fixtures as fx
@@ -23,7 +26,7 @@ def query(sql: str):
     return register
 
 
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict = {}
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -39,11 +42,13 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def landed(spark: SparkSession, d: str) -> str:
-    """The folder with all files, written once for the session. Folders with more open than closed meetings were cut short: they have no marker. Those of code 000007 were imported before."""
-    at = (spark.sparkContext.applicationId, d)
-    if at in _LANDED:
-        return _LANDED[at]
-    root, m = new_folder(spark, "landed"), _rows(spark, d)
+    """The folder with all files, written once for the session and again when a table that they are made of has changed."""
+    return made_once(spark, _LANDED, "landed", [f"{d}/{name}.parquet" for name in ("orders", "customer", "lineitem")], lambda root: _land(spark, d, root))
+
+
+def _land(spark: SparkSession, d: str, root: str) -> None:
+    """Folders with more open than closed meetings were cut short: they have no marker. Those of code 000007 were imported before."""
+    m = _rows(spark, d)
     line = lambda *c: F.to_json(F.struct(*c)).alias("line")
     ndjson.land(m.select("year", "code", "place", line("id", "municipalityCode", "title", "meetingType", "heldOn", "externalId", "status")), root, ndjson.MEETINGS)
     li = fx.table(spark, d, "lineitem")
@@ -63,8 +68,6 @@ def landed(spark: SparkSession, d: str) -> str:
     ndjson.mark_complete(root, folders)
     ndjson.mark_imported(root, folders.filter("code = '000007' and not truncated"))
     ndjson.mark_summaries_imported(root, folders.filter("code = '000003'"))
-    _LANDED[at] = root
-    return root
 
 
 _M = """m AS (SELECT year(o_orderdate)::varchar AS year, lpad(c_nationkey::varchar, 6, '0') AS code, o_orderkey AS place, lpad(o_custkey::varchar, 9, '0') AS muni,
@@ -184,30 +187,67 @@ def appended_summaries(spark, d):
     return spark.read.schema("meetingId string, summary string, year int").json(f"{root}/summaries").select(F.col("meetingId").alias("meeting_id"), "year", "summary")
 
 
+@query("""WITH old AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2), new AS (SELECT CASE WHEN p_size < 25 THEN p_brand ELSE 'Brand#new' END AS p_brand, p_name, p_size FROM part WHERE p_type LIKE '%BRASS' AND p_brand LIKE '%1'),
+last AS (SELECT p_brand, p_name, 100 + count(*) AS n FROM new GROUP BY 1, 2) SELECT p_brand, p_name, n FROM last UNION ALL SELECT p_brand, p_name, n FROM old WHERE NOT EXISTS (SELECT 1 FROM last WHERE last.p_brand = old.p_brand AND last.p_name = old.p_name)""")
+def upsert_written(spark, d):
+    """An upsert into a table by brand: brands without a new row keep their files."""
+    p, path = fx.table(spark, d, "part"), new_folder(spark, "topics")
+    p.groupBy("p_brand", "p_name").agg(F.count("*").alias("n")).write.partitionBy("p_brand").parquet(path)
+    new = p.filter(F.col("p_type").endswith("BRASS") & F.col("p_brand").endswith("1")).withColumn("p_brand", F.when(F.col("p_size") < 25, F.col("p_brand")).otherwise("Brand#new"))
+    clean.upsert_into(spark, path, new.groupBy("p_brand", "p_name").agg((F.count("*") + 100).alias("n")), ["p_brand", "p_name"], "p_brand")
+    return spark.read.parquet(path).select("p_brand", "p_name", "n")
+
+
+@query("""SELECT lpad(o_orderkey::varchar, 12, '0') AS id, year(o_orderdate)::int AS year, CASE WHEN o_orderstatus = 'P' AND year(o_orderdate) = 1995 THEN 'committee of 1995' WHEN o_orderkey % 5 <> 0 THEN 'Summary ' || o_orderpriority END AS summary FROM orders""")
+def update_written(spark, d):
+    """A keyed update of a table by year: years without a change keep their files."""
+    path = new_folder(spark, "updated")
+    m = fx.meetings(spark, d).select("id", F.year("held_on").alias("year"), "summary", "meeting_type")
+    m.select("id", "year", "summary").repartition("year").write.partitionBy("year").parquet(path)
+    new = m.filter("meeting_type = 'committee' and year = 1995").select("id", F.lit("committee of 1995").alias("summary"))
+    clean.update_into(spark, path, new, "id", ["summary"], "year")
+    return spark.read.parquet(path).select("id", "year", "summary")
+
+
+@query(f"WITH {_M} SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, year, line_no::int AS line_no FROM s WHERE year = '1995' AND code = '000004'")
+def year_statements(spark, d):
+    """Statements of one council and year, with their lines: no other folder is listed."""
+    return ndjson.read_statements(spark, landed(spark, d), [1995], ["000004"]).select("id", "year", "line_no")
+
+
 # streams
 
 def _events_stream(spark, d):
-    """The events' file as a stream: one file, or a folder of them."""
-    schema = fx.table(spark, d, "events").schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    reader = spark.readStream.schema(schema)
-    return reader.parquet(f"{d}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    """The events as a stream of files in no order of time, some files a trigger; a last event long after them lets all others be judged."""
+    events = fx.table(spark, d, "events")
+    path = new_folder(spark, "events")
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(path)
+    closing = events.agg((F.max("ts") + F.make_dt_interval(F.lit(100))).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"))
+    closing.withColumns({c: F.lit(None).cast(events.schema[c].dataType) for c in events.columns if c not in closing.columns}).select(*events.columns).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(path)
 
 
 @query(f"SELECT event_id, user_id::varchar AS user_id FROM ({oracle.ORACLE['rate_admission'].replace('SELECT event_id, admitted, remaining::int AS remaining FROM walk', 'SELECT event_id, user_id, admitted FROM walk')}) WHERE admitted")
 def usage_log(spark, d):
     """Calls through the limiter as a stream with keyed state, and the log of those admitted, which a sink appends to."""
     log, at = new_folder(spark, "usage"), new_folder(spark, "usage-at")
-    usage.record_usage(usage.admission_stream(_events_stream(spark, d), "user_id", "ts", "event_id", 86400, 2), log, at)
+    usage.record_usage(usage.admission_stream(_events_stream(spark, d), "user_id", "ts", "event_id", 86400, 2, "60 days"), log, at)
     return spark.read.schema("event_id long, user_id string, ts timestamp").parquet(log).select("event_id", "user_id")
 
 
 @query(f"WITH {_M} SELECT lpad(place::varchar, 12, '0') AS meeting_id, 'model-1' AS model FROM m WHERE status = 'F' UNION ALL SELECT lpad(place::varchar, 12, '0'), 'model-2' FROM m WHERE status = 'F' AND meeting_type = '1-urgent'")
 def incremental_import(spark, d):
-    """Landed summaries by a stream that brings each file once, however often it is asked."""
+    """Landed summaries by a stream that brings each file once, however often it is asked; its first run fails after the first batch was written."""
     out, at = new_folder(spark, "imported"), new_folder(spark, "imported-at")
     source = f"{landed(spark, d)}/*/*/{ndjson.SUMMARIES}"
+    bring, sink = lambda to: usage.import_new_files(spark, source, "meetingId string, summaryModel string", at, to), usage.once(out)
+
+    def stopped(df, number):
+        sink(df, number)
+        raise OSError("stopped after the write")
+
+    with contextlib.suppress(StreamingQueryException):
+        bring(stopped)
     for _ in range(2):
-        usage.import_new_files(spark, source, "meetingId string, summaryModel string", at, lambda df, _: df.write.mode("append").parquet(out))
-    return spark.read.schema("meetingId string, summaryModel string").parquet(out).select(F.col("meetingId").alias("meeting_id"), F.col("summaryModel").alias("model"))
+        bring(sink)
+    return usage.committed(spark, out, "meetingId string, summaryModel string").select(F.col("meetingId").alias("meeting_id"), F.col("summaryModel").alias("model"))

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, shape, speakers, text
+from ..functions import classify, dates, shape, speakers, tables, text
 from ..operators import replies, runs
 from ..sources import pages, services
 from . import fixtures as fx
@@ -336,6 +336,26 @@ def family_sidebar(spark, d):
     return _utterances(services.gijiroku_utterances(side, landed.unionByName(rosters), "page_id"))
 
 
+@query(_FAMILY.format(shift=0, kind="NULL", name="'林'", who=_ROLE, words="words", keep="true", hash="''").replace("kind, speaker_name", "speaker_name").replace("content, sha256('' || content) AS content_hash,", "content,").replace("NULL AS kind, ", ""))
+def utterances_in_sql(spark, d):
+    """Landed pieces of meetings through the table function, one call with the family's name."""
+    tables.register(spark)
+    said = _said(spark, d).select(F.col("conv_id").alias("page_id"), F.struct("turn", "role").alias("place"), F.concat(_mark(), _role(), F.lit("（林君）　"), "words", F.lit("<BR>\n")).alias("piece"))
+    headings = said.groupBy("page_id").agg(F.max("place").alias("place")).select("page_id", "place", F.lit("△散会の宣告").alias("piece"))
+    found = spark.sql("SELECT * FROM family_utterances(TABLE(SELECT page_id, place, piece FROM {pieces}), 'gijiroku_com')", pieces=said.unionByName(headings))
+    return found.select("page_id", "position", F.col("name").alias("speaker_name"), F.col("role").alias("speaker_role"), "content", "start_offset")
+
+
+@query(f"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>|<a\\s[^>]*?href\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>')) AS block, generate_subscripts(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>|<a\\s[^>]*?href\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>'), 1) AS k FROM pages),
+t AS (SELECT page_id, k, block, regexp_matches(block, '(?i)^<a') AS link, trim(regexp_replace({_NAMED.format(_untag("block"))}, '\\s+', ' ', 'g')) AS said FROM b),
+h AS (SELECT *, last_value(CASE WHEN NOT link THEN said END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM t)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::int AS pos, regexp_extract(block, '(?is)href\\s*=\\s*["'']([^"'']*)', 1) AS href, said AS label, heading FROM h WHERE link""")
+def links_in_sql(spark, d):
+    """Links of pages through the table function, called laterally."""
+    tables.register(spark)
+    return spark.sql("SELECT p.page_id, l.pos, l.href, l.label, l.heading FROM {pages} p, LATERAL page_links(p.html) l", pages=fx.table(spark, d, "pages"))
+
+
 _TREE = """o AS (SELECT c_nationkey::varchar AS site, year(o_orderdate)::int - 1988 AS era, o_orderpriority AS body, o_orderdate::date AS day FROM orders JOIN customer ON o_custkey = c_custkey),
 m AS (SELECT DISTINCT site, day, CASE WHEN body = '5-LOW' THEN NULL ELSE body END AS body FROM o)"""
 

@@ -1,7 +1,7 @@
 """Newline-delimited JSON in {root}/{year}/{code}/ folders: discovery, markers, readers, writers, integrity.
 
-Readers keep line numbers, which splits of a file lose: a file is one row of text, exploded with its positions. Files of one
-folder are some megabytes; folders spread over tasks.
+Files are read in byte ranges, as Spark's text reader splits them, whatever their size. Line numbers follow from prefix sums
+of the ranges' lines. Only the folders of the years and councils that are asked for are listed.
 """
 
 import json
@@ -9,11 +9,12 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import clean
+from ..operators.cuts import cut
 
 MEETINGS, STATEMENTS, SUMMARIES = "meetings.ndjson", "statements.ndjson", "summaries.ndjson"
 COMPLETE, SUMMARIES_COMPLETE = "_complete", "_summaries_complete"
@@ -26,10 +27,34 @@ def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return raw.select("path", F.regexp_extract("path", _PLACE, 1).alias("year"), F.regexp_extract("path", _PLACE, 2).alias("code"), F.col("content").cast("string").alias("body")).filter("year <> ''")
 
 
-def lines(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """path, year, code, line_no (from 1) and line, blank ones included, but for what follows the last line end."""
-    f = _files(spark, root, name).withColumn("body", F.regexp_replace("body", "\\r?\\n$", ""))
-    return f.filter("body <> ''").select("path", "year", "code", F.posexplode(F.split("body", "\\r?\\n")).alias("pos", "line")).select("path", "year", "code", (F.col("pos") + 1).alias("line_no"), "line")
+#: Ranges of files whose numbers of lines are sent to all tasks, at most; beyond that they are joined by a shuffle.
+BROADCAST_RANGES = 200_000
+
+
+def _glob(root: str, name: str, years: list | None, codes: list[str] | None) -> str:
+    some = lambda given, every: every if not given else f"{{{','.join(map(str, given))}}}" if len(given) > 1 else str(given[0])
+    return f"{root}/{some(years, '[0-9][0-9][0-9][0-9]')}/{some(codes, '*')}/{name}"
+
+
+def lines(spark: SparkSession, root: str, name: str, years: list | None = None, codes: list[str] | None = None) -> DataFrame:
+    """path, year, code, line_no (from 1) and line of the files of that name, of some years and codes if given; blank lines included, but for what follows the last line end.
+
+    A range's lines are consecutive in its task. How many there are, and with which number the first one stands in the task,
+    is found by a first pass that returns a row for each range; the lines themselves are not shuffled.
+    """
+    path = _glob(root, name, years, codes)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not (at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []):
+        return spark.createDataFrame([], "path string, year string, code string, line_no int, line string")
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"), "value")
+    ranges = raw.groupBy(F.col("path").alias("of"), F.col("range").alias("of_range")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = cut(ranges.withColumn("before", before))
+    told = F.broadcast(ranges) if ranges.count() <= BROADCAST_RANGES else ranges
+    rows = raw.join(told, (F.col("path") == F.col("of")) & (F.col("range") == F.col("of_range")))
+    number = (F.col("at") - F.col("first") + F.col("before") + 1).cast("int")
+    return rows.select("path", F.regexp_extract("path", _PLACE, 1).alias("year"), F.regexp_extract("path", _PLACE, 2).alias("code"), number.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def _parsed(rows: DataFrame, schema) -> DataFrame:
@@ -42,8 +67,8 @@ def read_meetings(spark: SparkSession, root: str) -> DataFrame:
     return _parsed(lines(spark, root, MEETINGS), schemas.MEETING_LINE)
 
 
-def read_statements(spark: SparkSession, root: str) -> DataFrame:
-    return _parsed(lines(spark, root, STATEMENTS).filter(F.trim("line") != ""), schemas.STATEMENT_LINE)
+def read_statements(spark: SparkSession, root: str, years: list | None = None, codes: list[str] | None = None) -> DataFrame:
+    return _parsed(lines(spark, root, STATEMENTS, years, codes).filter(F.trim("line") != ""), schemas.STATEMENT_LINE)
 
 
 def read_summaries(spark: SparkSession, root: str) -> DataFrame:
@@ -195,12 +220,19 @@ def import_summaries(spark: SparkSession, root: str, meetings: DataFrame, codes:
 
 
 def statements_of(spark: SparkSession, root: str, meeting_id: str, year: int) -> DataFrame:
-    """A meeting's statements from the year it was held in, else from the first other year's folder that has any; by offset, null offsets last."""
-    rows = read_statements(spark, root).filter(F.col("meetingId") == meeting_id)
-    rows = rows.withColumn("rank", F.when(F.col("year") == str(year), 0).otherwise(1))
-    best = rows.agg(F.min(F.struct("rank", "year", "path")).alias("b"))  # one row
-    kept = rows.join(F.broadcast(best), F.col("path") == F.col("b.path")).drop("b", "rank")
-    return kept.orderBy(F.asc_nulls_last("startOffset"), "line_no")
+    """A meeting's statements from the year it was held in, else from the first other year's folder that has any; by offset, null offsets last.
+
+    The year's folders alone are listed and read, unless they hold none of the meeting's.
+    """
+    own = read_statements(spark, root, [year]).filter(F.col("meetingId") == meeting_id)
+    others = sorted({y for y, _, _ in _listed(spark, root, STATEMENTS)} - {str(year)}) if own.isEmpty() else []
+    for other in others:
+        found = read_statements(spark, root, [other]).filter(F.col("meetingId") == meeting_id)
+        if not found.isEmpty():
+            own = found
+            break
+    first = own.agg(F.min("path").alias("first"))  # one row
+    return own.join(F.broadcast(first), F.col("path") == F.col("first")).drop("first").orderBy(F.asc_nulls_last("startOffset"), "line_no")
 
 
 def integrity(spark: SparkSession, root: str) -> DataFrame:
