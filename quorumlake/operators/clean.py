@@ -2,10 +2,12 @@
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cuts import cut
+from .graph import connected
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -21,13 +23,45 @@ def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def insert_ignore(new: DataFrame, target: DataFrame | None, keys: list[list[str]], order: list[Column]) -> DataFrame:
+def _one_by_one(rows: DataFrame, keys: list[list[str]], whole: list[Column], most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that an insert adds, rows of groups that are too large): groups of rows that keys connect, each decided in order by one task; so few rows that they make no large group are one group."""
+    if rows.count() <= most:
+        placed = rows.withColumns({"least": F.lit(0), "size": F.lit(0)})
+    else:
+        links = None
+        for key, full in zip(keys, whole, strict=True):
+            held = rows.filter(full).select(F.to_json(F.struct(*key)).alias("k"), "_id")
+            star = held.join(held.groupBy("k").agg(F.min("_id").alias("b")), "k").select(F.col("_id").alias("a"), "b")
+            links = star if links is None else links.unionByName(star)
+        groups = connected(links)
+        sizes = groups.groupBy("least").agg(F.count("*").alias("size"))
+        placed = cut(rows.join(groups.join(sizes, "least"), F.col("_id") == F.col("v"), "left").drop("v"))
+    small = placed.filter(F.col("size") <= most)
+    taken = [F.when(full, F.to_json(F.struct(*key))).alias(f"k{i}") for i, (key, full) in enumerate(zip(keys, whole, strict=True))]
+    asked = small.select("least", "_id", F.row_number().over(Window.partitionBy("least").orderBy("_at")).alias("turn"), *taken)
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        group, seen, stays = group.sort_values("turn"), set(), []
+        for row, *own in zip(group["_id"], *[group[f"k{i}"] for i in range(len(keys))], strict=True):
+            own = {(i, k) for i, k in enumerate(own) if k is not None}
+            if not own & seen:
+                seen |= own
+                stays.append(row)
+        return pd.DataFrame({"stays": pd.Series(stays, dtype="int64")})
+
+    stays = asked.groupBy("least").applyInPandas(decide, "stays long")
+    free = placed.filter(F.col("size").isNull()).select(*rows.columns)
+    return free.unionByName(small.join(stays, F.col("_id") == F.col("stays")).select(*rows.columns)), placed.filter(F.col("size") > most).select(*rows.columns)
+
+
+def insert_ignore(new: DataFrame, target: DataFrame | None, keys: list[list[str]], order: list[Column], rounds: int = 3, group_rows: int = 100_000) -> DataFrame:
     """Rows of new that an insert which ignores conflicts would add, row by row in order; a key with a null in it never conflicts.
 
     A row goes if any of its keys is in the target or is that of a row that was added before it; a row that goes blocks
     none. Rounds find the same: a row that comes first under all of its keys is added, and the rows that share a key with
-    it go; then the next ones come first. Each round is an aggregation by key, so that no key's rows meet in one task, and
-    there are as many rounds as the longest chain of rows of which each one's going lets the next stay.
+    it go; then the next ones come first. Each round is an aggregation by key, so that no key's rows meet in one task. Few
+    rounds decide most rows. What is left then are chains, of which each row's going lets the next stay: they are connected
+    into groups, and a group of group_rows rows at most is decided in order by one task. Larger ones go on by rounds.
     """
     names = new.columns
     whole = [reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]) for key in keys]
@@ -35,9 +69,17 @@ def insert_ignore(new: DataFrame, target: DataFrame | None, keys: list[list[str]
     for key in keys if target is not None else ():
         left = left.join(target.select(*key).distinct(), key, "left_anti").select(*names)
     # rows equal in order get places of their own, fixed by the cut
-    left = cut(left.withColumn("_at", F.struct(*order, F.monotonically_increasing_id())))
+    left = left.withColumn("_id", F.monotonically_increasing_id())
+    left = cut(left.withColumn("_at", F.struct(*order, "_id")))
     added = None
+    turn = 0
     while not left.isEmpty():
+        if turn == rounds:
+            stays, left = _one_by_one(left, keys, whole, group_rows)
+            added = stays.select(*names) if added is None else added.unionByName(stays.select(*names))
+            turn += 1
+            continue
+        turn += 1
         marked = left
         for i, (key, full) in enumerate(zip(keys, whole, strict=True)):
             firsts = left.filter(full).groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)]).agg(F.min("_at").alias(f"_f{i}"))
@@ -47,10 +89,10 @@ def insert_ignore(new: DataFrame, target: DataFrame | None, keys: list[list[str]
         marked = cut(marked.withColumn("_stays", reduce(lambda a, b: a & b, first)))
         stays = marked.filter("_stays").select(*names)
         added = stays if added is None else added.unionByName(stays)
-        left = marked.filter("not _stays").select(*names, "_at")
+        left = marked.filter("not _stays").select(*names, "_id", "_at")
         for key, full in zip(keys, whole, strict=True):
             left = left.join(stays.filter(full).select(*key), key, "left_anti")
-        left = cut(left.select(*names, "_at"))
+        left = cut(left.select(*names, "_id", "_at"))
     return new.limit(0) if added is None else added
 
 

@@ -24,7 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder."""
+    """df computed once, as a table in the shared folder: what reads it knows its size, however many rounds came before."""
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder, in its partitions and their order."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .cuts import cut
+from .cuts import placed
 
 #: Events in a segment of the time line, about: what one task streams through.
 SEGMENT_EVENTS = 50_000
@@ -63,7 +63,7 @@ def admission(df: DataFrame, key: str, ts: str, order: str, window_s: int, most:
     segments = max(1, min(1 + us.count() // segment_events, 100_000))
     by = ["_key", "_us", order, *rest]
     dealt = us.repartitionByRange(segments, *by).sortWithinPartitions(*by)
-    dealt = cut(dealt) if segments > 1 else dealt
+    dealt = placed(dealt) if segments > 1 else dealt
 
     def judged(logs: dict[int, tuple], only: set[int] | None = None):
         """Each batch of a segment with its verdicts, and the log at the segment's end."""

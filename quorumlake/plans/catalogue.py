@@ -1,12 +1,13 @@
 """Registered queries: each operator over its whole tables. Their SQL twins are in oracle.py under the same names."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, speakers, text
-from ..operators import chunk, clean, limits, runs, topics
+from ..operators import chunk, clean, grams, limits, runs, topics
 from . import fixtures as fx
 from . import search
 
@@ -87,6 +88,23 @@ def search_topics_wildcard(spark, d):
     return search.search_topics(fx.with_digests(spark, d), "s_all%bolt", limit=50)
 
 
+@query
+def search_topics_indexed(spark, d):
+    """search_topics on the blocks that the postings leave."""
+    pattern = text.like_pattern("Large Gear")
+    return search.search_topics(grams.pruned(spark, fx.indexed_digests(spark, d), pattern), "Large Gear", date_from="1996-01-01", limit=30)
+
+
+@query
+def documents_with(spark, d):
+    """Documents with a passage, in any case, read from the blocks that have all its runs of three characters."""
+    found = []
+    for words in ("general public license", "permission is hereby granted", "c", "l%cense _y"):
+        pattern = text.like_pattern(words)
+        found.append(grams.pruned(spark, fx.indexed_documents(spark, d), pattern).filter(F.col("text").ilike(pattern)).select(F.lit(words).alias("words"), "doc_id", "source"))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query
 def timeline_topic(spark, d):
     found = search.timeline_topic(fx.with_digests(spark, d), fx.municipalities(spark, d), "Blue Bolt", date_from="1996-03-01", limit=100)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import grams
 from ..operators.cuts import made_once
 
 
@@ -61,6 +62,32 @@ def with_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of a block of the indexed tables.
+BLOCK_ROWS = 500
+
+
+def indexed_digests(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the searches' table in blocks of dates, with postings of its topics, digests and summaries."""
+    tables = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "part")]
+
+    def write(path: str) -> None:
+        m = with_digests(spark, sf_dir)
+        texts = [F.col("summary"), *[F.concat_ws("\x00", F.col(f"topic_digests.{field}")) for field in ("topic", "digest")]]
+        grams.write_blocks(m, path, ["held_on", "id"], texts, 1 + m.count() // BLOCK_ROWS)
+
+    return made_once(spark, _NESTED, "indexed", tables, write)
+
+
+def indexed_documents(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the documents in blocks of ids, with postings of their texts."""
+
+    def write(path: str) -> None:
+        d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+        grams.write_blocks(d, path, ["doc_id"], [F.col("text")], 1 + d.count() // 200)
+
+    return made_once(spark, _NESTED, "indexed-documents", [f"{sf_dir}/documents.parquet"], write)
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances from conversations: a turn is a statement; users have a name, the system neither name nor role."""
     c = table(spark, sf_dir, "conversations")

@@ -51,6 +51,8 @@ ORACLE: dict[str, str] = {
     "list_municipalities_tokens": f"WITH {_MUNI} SELECT code AS id, code, name, prefecture, base_url, population, 0 AS meeting_count, NULL::varchar AS system_type_description FROM muni WHERE (name LIKE '%NATION_1%' OR prefecture LIKE '%NATION_1%' OR base_url LIKE '%NATION_1%') AND (name LIKE '%machinery%' OR prefecture LIKE '%machinery%' OR base_url LIKE '%machinery%') ORDER BY prefecture, code LIMIT 100",
     "list_municipalities_total": f"WITH {_MUNI} SELECT count(*) AS total FROM muni WHERE (name LIKE '%NATION_1%' OR prefecture LIKE '%NATION_1%' OR base_url LIKE '%NATION_1%') AND (name LIKE '%machinery%' OR prefecture LIKE '%machinery%' OR base_url LIKE '%machinery%')",
     "search_topics": f"{_ALL} SELECT m.id AS meeting_id, title, held_on::varchar AS held_on, meeting_type, topic AS matched_topic, relevance, left(digest, 200) AS digest_preview FROM meet m JOIN num d ON m.id = d.meeting_id WHERE (topic ILIKE '%gear%' OR digest ILIKE '%gear%' OR summary ILIKE '%gear%') AND held_on >= DATE '1996-01-01' ORDER BY m.held_on DESC, m.id DESC, pos LIMIT 30",
+    "search_topics_indexed": f"{_ALL} SELECT m.id AS meeting_id, title, held_on::varchar AS held_on, meeting_type, topic AS matched_topic, relevance, left(digest, 200) AS digest_preview FROM meet m JOIN num d ON m.id = d.meeting_id WHERE (topic ILIKE '%large gear%' OR digest ILIKE '%large gear%' OR summary ILIKE '%large gear%') AND held_on >= DATE '1996-01-01' ORDER BY m.held_on DESC, m.id DESC, pos LIMIT 30",
+    "documents_with": "SELECT words, doc_id, source FROM documents, (VALUES ('general public license'), ('permission is hereby granted'), ('c'), ('l%cense _y')) v(words) WHERE text ILIKE '%' || words || '%'",
     "search_topics_summary_only": f"{_ALL} SELECT m.id AS meeting_id, title, held_on::varchar AS held_on, meeting_type, topic AS matched_topic, relevance, left(digest, 200) AS digest_preview FROM meet m JOIN num d ON m.id = d.meeting_id WHERE (topic ILIKE '%summary 2-high%' OR digest ILIKE '%summary 2-high%' OR summary ILIKE '%summary 2-high%') AND held_on <= DATE '1998-12-31' ORDER BY m.held_on DESC, m.id DESC, pos LIMIT 100",
     "search_topics_wildcard": f"{_ALL} SELECT m.id AS meeting_id, title, held_on::varchar AS held_on, meeting_type, topic AS matched_topic, relevance, left(digest, 200) AS digest_preview FROM meet m JOIN num d ON m.id = d.meeting_id WHERE (topic ILIKE '%s_all%bolt%' OR digest ILIKE '%s_all%bolt%' OR summary ILIKE '%s_all%bolt%') ORDER BY m.held_on DESC, m.id DESC, pos LIMIT 50",
     "timeline_topic": f"{_ALL}, top AS (SELECT m.*, u.name AS municipality_name, u.prefecture FROM meet m JOIN muni u ON m.municipality_code = u.code WHERE held_on >= DATE '1996-03-01' AND EXISTS (SELECT 1 FROM num d WHERE d.meeting_id = m.id AND (topic ILIKE '%blue bolt%' OR digest ILIKE '%blue bolt%')) ORDER BY held_on, id LIMIT 100) SELECT t.id AS meeting_id, title, t.held_on::varchar AS held_on, meeting_type, source_url, municipality_code, municipality_name, prefecture, (row_number() OVER (PARTITION BY t.id ORDER BY pos) - 1)::int AS pos, topic, relevance, digest, speakers FROM top t JOIN num d ON d.meeting_id = t.id WHERE contains(lower(topic), 'blue bolt') OR contains(lower(digest), 'blue bolt')",

@@ -9,7 +9,8 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quorumlake import schemas
-from quorumlake.operators import chunk, clean, limits, topics
+from quorumlake.functions import text
+from quorumlake.operators import chunk, clean, grams, graph, limits, topics
 from quorumlake.plans import search
 from quorumlake.sources import ndjson, pages
 from quorumlake.streaming import usage
@@ -106,6 +107,60 @@ def test_insert_ignore_exact_against_loop(spark):
     assert got == want
 
 
+def test_insert_ignore_of_a_long_chain(spark):
+    """Each row shares a key with the next: every second one stays, found without a round for each."""
+    n = 10_000
+    rows = spark.range(n).select("id", F.expr("id div 2").alias("a"), F.expr("(id + 1) div 2").alias("b"))
+    got = sorted(r.id for r in clean.insert_ignore(rows.repartition(4), None, [["a"], ["b"]], [F.col("id")]).collect())
+    assert got == list(range(0, n, 2))
+
+
+def test_insert_ignore_by_groups_and_by_rounds(spark):
+    """Groups decided at once, and groups that are too large for that, against a loop."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, *range(40)]), rng.randrange(60)) for i in range(150)] + [(150 + i, 1000 + i // 2, 1000 + (i + 1) // 2) for i in range(30)]
+    want, seen = [], set()
+    for i, a, b in rows:
+        own = {("b", b), *([("a", a)] if a is not None else [])}
+        if not own & seen:
+            seen |= own
+            want.append(i)
+    df = spark.createDataFrame(rows, "id long, a long, b long")
+    for rounds, most in ((0, 1000), (0, 3), (1, 5), (2, 0)):
+        assert sorted(r.id for r in clean.insert_ignore(df, None, [["a"], ["b"]], [F.col("id")], rounds, most).collect()) == want, (rounds, most)
+
+
+def test_connected_groups(spark):
+    """Paths with numbers in and out of order, stars and rings, in few rounds."""
+    rng = random.Random(7)
+    links, groups = [], []
+    for base, order in ((0, list(range(200))), (1000, rng.sample(range(200), 200))):
+        links += [(base + a, base + b) for a, b in zip(order, order[1:], strict=False)]
+        groups.append({base + x for x in order})
+    links += [(2000, 2000 + i) for i in range(1, 9)] + [(3001, 3002), (3002, 3003), (3003, 3001), (3001, 3001)]
+    groups += [set(range(2000, 2009)), {3001, 3002, 3003}]
+    got = {r.v: r.least for r in graph.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {v: min(g) for g in groups for v in g}
+
+
+def test_substring_index(spark, tmp_path):
+    """Fewer blocks are read, and the rows are those of a search of the whole table."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeéÉ漢😀") for _ in range(rng.randrange(1, 9)))
+    rows = [(i, None if i % 50 == 3 else " ".join(word() for _ in range(rng.randrange(0, 12))), "x%_\\y" if i == 77 else None) for i in range(400)]
+    df, path = spark.createDataFrame(rows, "id long, t string, u string"), str(tmp_path / "index")
+    grams.write_blocks(df, path, ["id"], [F.col("t"), F.col("u")], 20, 5)
+    read = []
+    for words in ("ab", "abc", "ABCD", "é漢", "É漢a", "😀😀", "a%b", "abc%dea", "c_d", "x\\%\\_", "nowhere", "", "%", rows[9][1][:12]):
+        pattern = text.like_pattern(words)
+        hit = F.coalesce(F.col("t").ilike(pattern), F.lit(False)) | F.coalesce(F.col("u").ilike(pattern), F.lit(False))
+        some = grams.pruned(spark, path, pattern, buckets=5)
+        assert sorted(r.id for r in some.filter(hit).collect()) == sorted(r.id for r in df.filter(hit).collect()), words
+        read.append(some.select(F.input_file_name()).distinct().count())
+    assert read[0] == 20 and min(read) == 0 and sorted(read)[4] < 10
+    assert grams.literal_runs("%ab\\%c_d%") == ["ab%c", "d"]
+
+
 def test_upsert_and_update(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, None)], "k string, n int, d string")
     new = spark.createDataFrame([("b", None, "y"), ("c", 3, "z")], "k string, n int, d string")
