@@ -61,6 +61,12 @@ def western_date(c: Column | str) -> Column:
     return F.when(c.rlike(p), _iso(*[F.regexp_extract(c, p, i) for i in (1, 2, 3)]))
 
 
+def listed_date(c: Column | str) -> Column:
+    """The first ISO date of a text, else its first date in years, months and days."""
+    c, p = _col(c), "(\\d{4})年(\\d{1,2})月(\\d{1,2})日"
+    return F.coalesce(_found(c, "(\\d{4}-\\d{2}-\\d{2})", 1), F.when(c.rlike(p), _iso(*[F.regexp_extract(c, p, i) for i in (1, 2, 3)])))
+
+
 def sitting_date(c: Column | str) -> Column:
     """The date of a sitting in a list of members, by seven rules of falling precision; the first that finds one wins.
 

@@ -195,6 +195,13 @@ def retry_delay_ms_of(message: str) -> int | None:
     return None if found is None else math.ceil(Decimal(found[0]) * found[1])
 
 
+def tenant_id(c: Column | str) -> Column:
+    """The tenant's number in a service's script: as it is assigned, else the last one of a hidden field; fields in comments come before."""
+    c = _col(c)
+    fields = F.regexp_extract_all(c, F.lit("tenant_id[\"']\\s+value=[\"'](\\d+)[\"']"), F.lit(1))
+    return F.coalesce(F.nullif(F.regexp_extract(c, "tenant_id\\s*=\\s*(\\d+)", 1), F.lit("")), F.try_element_at(fields, F.lit(-1))).try_cast("int")
+
+
 def jsonp_body(c: Column | str) -> Column:
     """The JSON inside callback(…); the text itself if it is not wrapped."""
     inner = F.regexp_extract(_col(c), "(?s)^\\s*[\\w$.]+\\s*\\((.*)\\)\\s*;?\\s*$", 1)

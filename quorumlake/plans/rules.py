@@ -356,6 +356,21 @@ def links_in_sql(spark, d):
     return spark.sql("SELECT p.page_id, l.pos, l.href, l.label, l.heading FROM {pages} p, LATERAL page_links(p.html) l", pages=fx.table(spark, d, "pages"))
 
 
+_LINK = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"''][^\"'']*[\"''][^>]*>.*?</a>"
+
+
+@query(f"""WITH d AS (SELECT page_id, lower(html) AS low, html || ' 2024-0' || (page_id % 9 + 1) || '-15 ' AS html FROM pages),
+b AS (SELECT page_id, html, unnest(regexp_extract_all(html, '{_LINK}')) AS m, unnest(string_split_regex(html, '{_LINK}')[1 : len(regexp_extract_all(html, '{_LINK}'))]) AS gap, unnest(range(len(regexp_extract_all(html, '{_LINK}')))) AS pos FROM d),
+p AS (SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY page_id ORDER BY pos))::bigint AS e FROM b),
+a AS (SELECT *, substr(html, e + 1, 300) AS after FROM p)
+SELECT page_id, pos::int AS pos, regexp_extract(m, '(?is)href\\s*=\\s*["'']([^"'']*)', 1) AS href, coalesce(nullif(regexp_extract(after, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), ''), nullif(regexp_replace(regexp_extract(after, '[0-9]{{4}}年[0-9]{{1,2}}月[0-9]{{1,2}}日'), '([0-9]+)年([0-9]+)月([0-9]+)日', '\\1-\\2-\\3'), '')) AS held_on FROM a""")
+def links_with_dates(spark, d):
+    """Links with the date that stands behind them; each page ends with one, which its last links reach."""
+    p = fx.table(spark, d, "pages")
+    html = F.concat("html", F.lit(" 2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-15 "))
+    return services.links_with_dates(p.select("page_id", html.alias("html"))).select("page_id", "pos", "href", "held_on")
+
+
 _TREE = """o AS (SELECT c_nationkey::varchar AS site, year(o_orderdate)::int - 1988 AS era, o_orderpriority AS body, o_orderdate::date AS day FROM orders JOIN customer ON o_custkey = c_custkey),
 m AS (SELECT DISTINCT site, day, CASE WHEN body = '5-LOW' THEN NULL ELSE body END AS body FROM o)"""
 

@@ -61,6 +61,14 @@ def dbsearch_utterances(pages: DataFrame, key: str = "page_id", html: str = "htm
     return finished(rows, key, ["position"], classify.utterance_kind("speaker_role"))
 
 
+def links_with_dates(pages: DataFrame, key: str = "page_id", html: str = "html", window: int = 300) -> DataFrame:
+    """key, pos, href, label and held_on of a page's links: the first ISO date, else the first date in years, months and days, among the characters after a link."""
+    link = f"(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>(?=(.{{0,{window}}}))"
+    href, label, after = [F.regexp_extract_all(html, F.lit(link), F.lit(i)) for i in (1, 2, 3)]
+    rows = pages.select(key, F.posexplode(F.arrays_zip(href.alias("href"), label.alias("label"), after.alias("after"))).alias("pos", "x"))
+    return rows.select(key, "pos", "x.href", text.squeeze(F.regexp_replace("x.label", "<[^>]+>", "")).alias("label"), dates.listed_date("x.after").alias("held_on"))
+
+
 # gijiroku_com
 
 _ANCHOR = "(?i)<A\\s+NAME=\"HUID\\d+\">\\s*</A>"

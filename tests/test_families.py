@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from quorumlake.functions import tables
+from quorumlake.functions import tables, text
 from quorumlake.sources import markup, pages, services
 
 
@@ -120,6 +120,20 @@ def test_speakers_frames(spark):
     assert said(pages.utterances(body, pages.FAMILIES["kensakusystem"])) == [("remark", "議長", "林", "では。", 0, 3), ("answer", "市長", "森", "はい。", 4, 7)]
 
 
+def test_dates_behind_links(spark):
+    html = "<a href='a'>第<b>1</b>号</a><div class=date>開催日：2025年1月9日</div><a href='b'>2</a><span>x 2024-12-24</span> 2023年1月1日<a href=c>3</a>" + "x" * 296 + "2022-02-02"
+    got = services.links_with_dates(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).collect()
+    assert [(r.pos, r.href, r.label, r.held_on) for r in got] == [(0, "a", "第1号", "2024-12-24"), (1, "b", "2", "2024-12-24")]
+    near = services.links_with_dates(spark.createDataFrame([(1, "<a href='a'>1</a><p>2025年1月9日</p>")], "page_id int, html string"))
+    assert near.first().held_on == "2025-01-09"
+
+
+def test_tenant_numbers(spark):
+    scripts = ["dnp.params.tenant_id = 89", "// <input name=\"tenant_id\" value=\"1\">\ndocument.write('<input name=\"tenant_id\" value=\"396\">');", "none", None]
+    df = spark.createDataFrame([(x,) for x in scripts], "s string")
+    assert [r[0] for r in df.select(text.tenant_id("s")).collect()] == [89, 396, None, None]
+
+
 def test_table_functions(spark):
     tables.register(spark)
     pieces = spark.createDataFrame([("b", 2, "○議長（林君）　では。<BR>"), ("a", 1, "◆川田青　委員　　はい。"), ("b", 1, "△開会"), ("b", 3, "◎市長　答えます。"), ("b", 4, None)], "meeting string, place int, piece string")
