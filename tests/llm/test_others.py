@@ -363,6 +363,25 @@ def test_stages_keep_other_columns_whatever_their_names(spark, tmp_path):
         assert all(r[5] is None or r[5] == f"a{r[0]}" for r in got)
 
 
+def test_packing_stage_with_nulls_and_other_columns(spark, tmp_path):
+    """Null ids, null texts, repeated rows and columns of the stage's own names: each row's ids, cut into pieces."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(*r[:5], "x", i, "y") for i, r in enumerate(repeated(documents(n=30)))] + [(None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, start int, ids string")
+    want = Counter()
+    for r in rows:
+        ids = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        start = 0
+        for n in binary_lengths(len(ids), 4096):
+            want[r[0], start, n, np.array(ids[start : start + n], "<u4").tobytes()] += 1
+            start += n
+    assert Counter((p.doc_id, p.start, p.length, bytes(p.ids)) for p in pipeline.packing(spark, docs, str(tmp_path)).collect()) == want
+    assert pipeline.packing(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_near_duplicates_without_or_with_equal_doc_ids(spark, tmp_path):
     """Of each group one row stays, whatever its doc_id: brute-force groups of the rows, with nulls and ids of several texts among them."""
     from .test_dedup import groups
@@ -396,5 +415,5 @@ def test_registered():
     import corpus_pipeline
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert [f for _, f in corpus_pipeline.STAGES] == [pipeline.quality, pipeline.near_duplicates, pipeline.repeated_strings, pipeline.mixing, pipeline.packing]
