@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, dates, shape, speakers, tables, text
 from ..operators import replies, runs
-from ..sources import pages, services
+from ..sources import pages, pdf, services
 from . import fixtures as fx
 from . import search
 
@@ -123,6 +123,34 @@ def decoded_text(spark, d):
     return pages.decoded(rows, encoding="utf-16-le").select("doc_id", F.sha2("body", 256).alias("hash"))
 
 
+_KANA = "array_to_string(list_transform(string_split(regexp_replace(lower({}), '[^a-z]', '', 'g'), ''), lambda c: {}), '')"
+
+
+def _kana_bytes(c):
+    """The letters of a text as hiragana in Shift_JIS, a for the first."""
+    letters = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]", ""), ""), lambda x: x != "")
+    return F.unhex(F.array_join(F.transform(letters, lambda x: F.concat(F.lit("82"), F.hex(F.ascii(x) + 62))), ""))
+
+
+@query("SELECT page_id, sha256(" + _KANA.format("html", "chr(ascii(c) - 97 + 12353)") + ") AS hash FROM pages")
+def decoded_shift_jis(spark, d):
+    """Whole pages whose letters are kana of two bytes."""
+    rows = fx.table(spark, d, "pages").select("page_id", _kana_bytes(F.col("html")).alias("content"))
+    return pages.decoded(rows).select("page_id", F.sha2("body", 256).alias("hash"))
+
+
+@query("SELECT page_id, " + _KANA.format("url", "'%82%' || printf('%02X', ascii(c) + 62)") + " || ',' || " + _KANA.format("substr(url, 8)", "'%82%' || printf('%02X', ascii(c) + 62)") + " AS places FROM pages")
+def tree_places(spark, d):
+    """Places in trees of Shift_JIS pages: even pages have the older form, and one of the newer, which then counts for nothing."""
+    p = fx.table(spark, d, "pages").withColumns({"long": _kana_bytes(F.col("url")), "short": _kana_bytes(F.col("url").substr(8, 10_000))})
+    old, new = F.lit("<a onclick=\"document.viewtree.treedepth.value='"), F.lit('<a data-depth="')
+    link = lambda form, close, c: F.concat(form.cast("binary"), c, F.lit(f"{close}\">x</a>" if close == "'" else '">x</a>').cast("binary"))
+    older = F.concat(link(new, '"', F.lit("z").cast("binary")), link(old, "'", F.col("long")), link(old, "'", F.lit("").cast("binary")), link(old, "'", F.col("short")))
+    newer = F.concat(link(new, '"', F.col("long")), link(new, '"', F.col("short")))
+    rows = p.select("page_id", F.when(F.col("page_id") % 2 == 0, older).otherwise(newer).alias("raw"))
+    return rows.select("page_id", F.array_join(pages.tree_places("raw"), ",").alias("places"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' of ' || p_type ELSE upper(p_name) || chr(10) || p_type || ' of ' || p_brand END AS body, CASE WHEN p_partkey % 2 = 1 THEN upper(p_name) || chr(10) || p_type || ' of ' || p_brand END AS layer FROM part")
 def file_texts(spark, d):
     """Old office files and PDF files in one table: the strategy that finds text wins; the PDF's own text stands beside it."""
@@ -135,6 +163,28 @@ def file_texts(spark, d):
     return both.select("p_partkey", "body", F.nullif("layer", F.lit("")).alias("layer"))
 
 
+_SHOWN = "regexp_replace(lower({}), '[^a-z]', '', 'g')"
+_AS_KANA = "array_to_string(list_transform(string_split({}, ''), lambda c: chr(ascii(c) - 97 + 12353)), '')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_AS_KANA.format(_SHOWN.format('p_name'))} AS name, {_AS_KANA.format(_SHOWN.format('p_type'))} AS kind, {_AS_KANA.format(_SHOWN.format('p_type || p_name'))} AS maker, p_brand FROM part)
+SELECT p_partkey, name || chr(10) || kind || chr(10) || maker || chr(10) || p_brand AS in_order, name || '  ' || maker || chr(10) || kind || '  ' || p_brand AS in_layout FROM t""")
+def pdf_layouts(spark, d):
+    """PDF files with two columns in a font of its own codes, told by its table, and a plain one: both orders of their text from one pass."""
+    codes = lambda c: F.array_join(F.transform(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]", ""), ""), lambda x: x != ""), lambda x: F.concat(F.lit("00"), F.lpad(F.hex(F.ascii(x) - 96), 2, "0"))), "")
+    table = "begincmap\n1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange\n2 beginbfrange\n<0001> <000D> <3041>\n<000E> <000F> [<304E> <304F>]\nendbfrange\n11 beginbfchar\n" + "".join(f"<{i:04X}> <{0x3040 + i:04X}>\n" for i in range(16, 27)) + "endbfchar\nendcmap"
+    content = F.concat(
+        F.lit("BT /F1 10 Tf 50 700 Td <"), codes("p_name"), F.lit("> Tj 0 -20 Td <"), codes("p_type"), F.lit("> Tj ET\nBT /F1 10 Tf 1 0 0 1 300 700 Tm <"), codes(F.concat("p_type", "p_name")),
+        F.lit("> Tj /F2 10 Tf 20 TL T* [("), F.regexp_replace("p_brand", "#.*", ""), F.lit(") -20 (#) ("), F.regexp_replace("p_brand", ".*#", ""), F.lit(")] TJ ET"),
+    )
+    body = F.concat(
+        F.lit("%PDF-1.5\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 5 0 R /F2 7 0 R >> >> >>\nendobj\n3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>\nendobj\n4 0 obj\n<< >>\nstream\n"), content,
+        F.lit(f"\nendstream\nendobj\n5 0 obj\n<< /Type /Font /Subtype /Type0 /ToUnicode 6 0 R >>\nendobj\n6 0 obj\n<< >>\nstream\n{table}\nendstream\nendobj\n7 0 obj\n<< /Type /Font /Subtype /Type1 >>\nendobj\n"),
+    )
+    rows = fx.table(spark, d, "part").select("p_partkey", body.cast("binary").alias("content"))
+    return pages.texts_side_by_side(rows, {"in_order": pdf.text_in_order, "in_layout": pdf.text_in_layout}).drop("content")
+
+
 # shapes
 
 @query("SELECT o_orderkey, 'of ' || o_orderpriority || '|B & c' AS headings, 'one <b>' || o_orderkey || '</b>|' || chr(10) || 'two' AS bodies FROM orders")

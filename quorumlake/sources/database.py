@@ -1,8 +1,15 @@
-"""Tables of the service's database, by JDBC."""
+"""Tables of the service's database, by JDBC: reads in ranges of a column, imports that leave out taken keys, updates by key."""
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from ..operators import clean
+
+#: Rows that go to the database at once.
+BATCH = 500
 
 
 @dataclass(frozen=True)
@@ -28,10 +35,17 @@ def parse_url(url: str) -> Address:
     return Address(host, int(port) if port.isdigit() and int(port) else 5432, (name or "postgres").split("?")[0], user, password)
 
 
+def _connection(url: str) -> dict[str, str]:
+    """Options of a connection; a jdbc: address is taken as it stands, for other databases."""
+    if url.startswith("jdbc:"):
+        return {"url": url}
+    a = parse_url(url)
+    return {"url": f"{a.jdbc}?prepareThreshold=0", "user": a.user, "password": a.password, "driver": "org.postgresql.Driver"}
+
+
 def reader_options(url: str, table: str, partition: tuple[str, object, object, int] | None = None) -> dict[str, str]:
     """Options of a JDBC read: partition (column, lower, upper, parts) reads ranges of a column side by side; statements are not prepared on the server."""
-    a = parse_url(url)
-    out = {"url": f"{a.jdbc}?prepareThreshold=0", "dbtable": table, "user": a.user, "password": a.password, "driver": "org.postgresql.Driver", "fetchsize": "10000"}
+    out = _connection(url) | {"dbtable": table, "fetchsize": "10000"}
     if partition:
         column, lower, upper, parts = partition
         out |= {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(parts)}
@@ -41,3 +55,72 @@ def reader_options(url: str, table: str, partition: tuple[str, object, object, i
 def read_table(spark: SparkSession, url: str, table: str, partition: tuple[str, object, object, int] | None = None) -> DataFrame:
     """A table as a DataFrame; filters and columns go down to the database. Needs the driver's jar on the classpath."""
     return spark.read.format("jdbc").options(**reader_options(url, table, partition)).load()
+
+
+def _execute(spark: SparkSession, url: str, statements: Sequence[str]) -> list[int]:
+    """Runs statements in one transaction, and returns how many rows each one changed."""
+    options, jvm = _connection(url), spark.sparkContext._jvm
+    if "driver" in options:
+        jvm.java.lang.Class.forName(options["driver"])
+    manager = jvm.java.sql.DriverManager
+    c = manager.getConnection(options["url"], options["user"], options["password"]) if "user" in options else manager.getConnection(options["url"])
+    try:
+        c.setAutoCommit(False)
+        s = c.createStatement()
+        changed = [s.executeUpdate(x) for x in statements]
+        c.commit()
+        return changed
+    except Exception:
+        c.rollback()
+        raise
+    finally:
+        c.close()
+
+
+def _through_stage(rows: DataFrame, url: str, table: str, statement, batch: int, parts: int) -> int:
+    """Writes rows in batches into a stage with the table's own types, runs statement(stage) in one transaction, and drops the stage.
+
+    The tasks write to the stage alone: one that runs twice leaves rows twice there, which the statement passes over, and a
+    job that fails leaves the table as it was.
+    """
+    spark, stage = rows.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
+    options = _connection(url)
+    if "driver" in options:  # texts become jsonb, dates or enums as the stage's columns say
+        options["url"] += "&stringtype=unspecified"
+    _execute(spark, url, [f"CREATE TABLE {stage} AS SELECT {_names(rows.columns)} FROM {table} WITH NO DATA"])
+    try:
+        rows.write.format("jdbc").options(**options, dbtable=stage, batchsize=str(batch), numPartitions=str(parts)).mode("append").save()
+        return _execute(spark, url, [statement(stage)])[0]
+    finally:
+        _execute(spark, url, [f"DROP TABLE {stage}"])
+
+
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f'"{c}"' for c in columns)
+
+
+def insert_ignore_into(rows: DataFrame, url: str, table: str, keys: Sequence[Sequence[str]], order: Sequence[Column], batch: int = BATCH, parts: int = 8) -> int:
+    """Adds rows whose keys are free to a table, the first in order of those that collide, and returns how many went in.
+
+    A key with a null in it collides with nothing. Columns are named as in the database; parts bounds the connections. Of
+    the table only the columns of the keys are read. Keys that are taken meanwhile are looked at again by the statement.
+    """
+    chosen = clean.insert_ignore(rows, read_table(rows.sparkSession, url, table), [list(k) for k in keys], list(order))
+    same = lambda key: " AND ".join(f't."{c}" = s."{c}"' for c in key)
+    free = " AND ".join(f"NOT EXISTS (SELECT 1 FROM {table} t WHERE {same(key)})" for key in keys)
+    names = _names(rows.columns)
+    return _through_stage(chosen, url, table, lambda stage: f"INSERT INTO {table} ({names}) SELECT DISTINCT {names} FROM {stage} s WHERE {free}", batch, parts)
+
+
+def update_in(rows: DataFrame, url: str, table: str, key: str, columns: Sequence[str], batch: int = BATCH, parts: int = 8) -> int:
+    """Sets columns of a table's rows by key, and returns how many rows were changed; keys that it has not are passed over.
+
+    rows has one row for a key, as `clean.last_wins` leaves it.
+    """
+
+    def statement(stage: str) -> str:
+        same = f'FROM {stage} s WHERE s."{key}" = {table}."{key}"'
+        sets = ", ".join(f'"{c}" = (SELECT DISTINCT s."{c}" {same})' for c in columns)
+        return f"UPDATE {table} SET {sets} WHERE EXISTS (SELECT 1 {same})"
+
+    return _through_stage(rows.select(key, *columns), url, table, statement, batch, parts)

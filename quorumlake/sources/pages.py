@@ -44,6 +44,32 @@ def percent_encoded(df: DataFrame, column: str, encoding: str = "cp932", out: st
     return df.withColumn(out, encode(column))
 
 
+#: What stands before a tree's place in a page's bytes, and the byte that ends it; the first form that is found holds.
+TREE_PLACES = (("document.viewtree.treedepth.value='", "'"), ('data-depth="', '"'))
+
+
+def percent_bytes(raw: Column | str) -> Column:
+    """Every byte of a binary column as %XX."""
+    return F.regexp_replace(F.hex(raw), "(..)", "%$1")
+
+
+def tree_places(raw: Column | str, forms: Sequence[tuple[str, str]] = TREE_PLACES) -> Column:
+    """The bytes of a Shift_JIS page between a form's start and its closing byte, percent-encoded, by the first form that gives any.
+
+    Characters of two bytes are passed over whole, so that their second byte closes nothing; empty values are left out.
+    """
+    c = F.decode(raw, "ISO-8859-1")  # a character for each byte
+    lead = "\\x{81}-\\x{9f}\\x{e0}-\\x{fc}"
+    found = []
+    for start, close in forms:
+        value = f"\\Q{start}\\E([^{close}{lead}]*+(?:[{lead}](?s:.)[^{close}{lead}]*+)*+){close}"
+        found.append(F.filter(F.regexp_extract_all(c, F.lit(value), F.lit(1)), lambda x: x != ""))
+    places = found[-1]
+    for f in reversed(found[:-1]):
+        places = F.when(F.size(f) > 0, f).otherwise(places)
+    return F.transform(places, lambda x: percent_bytes(F.encode(x, "ISO-8859-1")))
+
+
 def doc_text(raw: bytes) -> str:
     """Printable runs of UTF-16 text in an old office file, a line each."""
     found = re.findall(rb"(?:[\x20-\x7e\r\n\t]\x00|[\x00-\xff][\x30-\x9f\xff]){4,}", raw)
