@@ -98,6 +98,25 @@ def embeddings(df: DataFrame, client: Callable[[list[str]], list[list[float]]],
     return df.withColumn(out, embed(text))
 
 
+def gram_vectors(df: DataFrame, key: str, text: str, size: int = 256, n: int = 3, out: str = "embedding") -> DataFrame:
+    """key and a unit vector of each text without a model: runs of n characters, lower-cased, are counted in slots by hash.
+
+    Texts alike in their wording lie near each other by cosine. Whole texts count; those shorter than n are one run, and null
+    or empty ones have vectors of nothing but zeros. key tells rows apart. The runs stream through a partial count by slot, so
+    that at most size rows of a text are shuffled for each task it lies in.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1)))
+    runs = df.select(F.col(key).alias("_key"), low.alias("_low")).filter("_low <> ''")
+    runs = runs.select("_key", "_low", F.explode(starts).alias("_at"))
+    slot = F.conv(F.substring(F.md5(F.substring("_low", F.col("_at"), F.lit(n))), 1, 8), 16, 10).cast("long") % size
+    counts = runs.groupBy("_key", slot.cast("int").alias("_slot")).agg(F.count("*").alias("_n"))
+    held = counts.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_n"))).alias("_counts"), F.sqrt(F.sum(F.col("_n") * F.col("_n")).cast("double")).alias("_length"))
+    value = lambda i: F.coalesce(F.try_element_at("_counts", i) / F.col("_length"), F.lit(0.0))
+    joined = df.select(F.col(key)).join(held, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias(out))
+
+
 def result_summary(result: Column | str) -> Column:
     """A tool's JSON result in a few words: the number of rows, an error, a meeting, else its first 120 characters."""
     c = F.col(result) if isinstance(result, str) else result

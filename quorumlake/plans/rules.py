@@ -185,6 +185,51 @@ def pdf_layouts(spark, d):
     return pages.texts_side_by_side(rows, {"in_order": pdf.text_in_order, "in_layout": pdf.text_in_layout}).drop("content")
 
 
+# the rules above over the whole texts of pages and documents
+
+_LATIN, _KANAS = "abcdefghijklmnopqrstuvwxyz", "ぁあぃいぅうぇえぉおかがきぎくぐけげこごさざしじすずせぜ"
+
+
+@query("SELECT page_id, sha256(" + _NAMED.format("html") + ") AS hash FROM pages")
+def entities_in_pages(spark, d):
+    """Pages in which every e and every r is a numbered reference, beside the named ones that they have."""
+    said = F.replace(F.replace("html", F.lit("e"), F.lit("&#101;")), F.lit("r"), F.lit("&#114;"))
+    return fx.table(spark, d, "pages").select("page_id", F.sha2(shape.decoded_entities(said), 256).alias("hash"))
+
+
+_SPACED = "([ぁ-ぜ])[ 　]+([ぁ-ぜ])"
+
+
+@query(f"WITH k AS (SELECT doc_id, translate(lower(text), '{_LATIN}', '{_KANAS}') AS t FROM documents) SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '{_SPACED}', '\\1\\2', 'g'), '{_SPACED}', '\\1\\2', 'g')) AS hash FROM k")
+def despaced_documents(spark, d):
+    """Documents in kana, with their own spaces, punctuation and accented letters."""
+    kana = F.translate(F.lower("text"), _LATIN, _KANAS)
+    return fx.table(spark, d, "documents").select("doc_id", F.sha2(text.despace_cjk(kana), 256).alias("hash"))
+
+
+_LINK = "'(?is)<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>'"
+
+
+@query(f"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, {_LINK}, 1)) AS href, unnest(regexp_extract_all(html, {_LINK}, 2)) AS label FROM pages),
+r AS (SELECT page_id, href, replace(replace(replace(label, 'th', '会議録'), 'an', '【表紙】'), 'er', '一般質問') AS a, replace(replace(href, 're', 'minutes'), 'on', 'agenda') AS h FROM h)
+SELECT page_id, href, a AS label, NOT regexp_matches(a, '【表紙】|【議事日程】') AND NOT regexp_matches(h, 'frontcover|hyoushi|agenda|nittei') AND (regexp_matches(a, '【会議録】|一般質問|委員会|^[0-9]+\\.') OR regexp_matches(h, 'minutes|kaigiroku')) AS minutes FROM r""")
+def minutes_links_in_pages(spark, d):
+    """All links of pages, with syllables of their labels and addresses replaced by the words that the rule looks for."""
+    links = fx.table(spark, d, "pages").select("page_id", F.explode(text.anchors("html")).alias("a")).select("page_id", "a.href", "a.label")
+    put = lambda c, *pairs: F.replace(put(c, *pairs[:-1]), F.lit(pairs[-1][0]), F.lit(pairs[-1][1])) if pairs else F.col(c)
+    links = links.select("page_id", "href", put("label", ("th", "会議録"), ("an", "【表紙】"), ("er", "一般質問")).alias("label"), put("href", ("re", "minutes"), ("on", "agenda")).alias("h"))
+    return links.select("page_id", "href", "label", shape.is_minutes_link("label", "h").alias("minutes"))
+
+
+@query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text <> ''), g AS (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM t),
+c AS (SELECT doc_id, ('0x' || substr(md5(substr(t, i, 3)), 1, 8))::bigint % 256 AS slot, count(*) AS n FROM g GROUP BY 1, 2), l AS (SELECT doc_id, sqrt(sum(n * n)::double) AS l FROM c GROUP BY 1)
+SELECT c.doc_id, slot::int AS slot, round(n / l, 9) AS value FROM c JOIN l ON c.doc_id = l.doc_id""")
+def gram_vectors(spark, d):
+    """Vectors of all documents that need no model, one row for each slot that is not zero."""
+    rows = replies.gram_vectors(fx.table(spark, d, "documents"), "doc_id", "text")
+    return rows.select("doc_id", F.posexplode("embedding").alias("slot", "value")).filter("value <> 0").select("doc_id", "slot", F.round("value", 9).alias("value"))
+
+
 # shapes
 
 @query("SELECT o_orderkey, 'of ' || o_orderpriority || '|B & c' AS headings, 'one <b>' || o_orderkey || '</b>|' || chr(10) || 'two' AS bodies FROM orders")

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quorumlake.operators import replies
 from quorumlake.sources import database, pages, pdf
 
 FONT = b"begincodespacerange <00> <FF> endcodespacerange 1 beginbfchar <01> <4F1A> endbfchar 1 beginbfrange <02> <03> <8B70> endbfrange"
@@ -104,3 +105,13 @@ def test_failed_write_leaves_table_and_no_stage(spark, url):
         database.insert_ignore_into(long, url, "meetings", [["id"]], ["id"])
     assert database.read_table(spark, url, "meetings").count() == before
     assert database.read_table(spark, url, "(SELECT tablename FROM sys.systables WHERE tabletype = 'T') x").count() == 1
+
+
+def test_gram_vectors_of_odd_texts(spark):
+    rows = spark.createDataFrame([(1, "The Minutes"), (2, "the minutes"), (3, ""), (4, None), (5, "ab"), (None, "other words"), (7, "the minute")], "id long, text string")
+    found = {r.id: r.embedding for r in replies.gram_vectors(rows, "id", "text", size=64).collect()}
+    near = lambda a, b: sum(x * y for x, y in zip(found[a], found[b], strict=True))
+    assert len(found) == 7 and all(len(v) == 64 for v in found.values())
+    assert found[1] == found[2] and not any(found[3]) and not any(found[4])
+    assert abs(near(1, 1) - 1) < 1e-9 and abs(near(None, None) - 1) < 1e-9 and sorted(found[5])[-1] == 1
+    assert near(1, 7) > 0.9 > near(1, None)
