@@ -102,12 +102,17 @@ def gram_vectors(df: DataFrame, key: str, text: str, size: int = 256, n: int = 3
     """key and a unit vector of each text without a model: runs of n characters, lower-cased, are counted in slots by hash.
 
     Texts alike in their wording lie near each other by cosine. Whole texts count; those shorter than n are one run, and null
-    or empty ones have vectors of nothing but zeros. key tells rows apart. The runs stream through a partial count by slot, so
-    that at most size rows of a text are shuffled for each task it lies in.
+    or empty ones have vectors of nothing but zeros. key tells rows apart. A text is cut into blocks, each with the n - 1
+    characters that follow it, so that a run is found in a few steps however long the text is. The runs stream through a
+    partial count by slot: at most size rows of a text are shuffled for each task it lies in.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1)))
+    cut = F.lit(f"(?s)(.{{1,128}})(?=(.{{0,{n - 1}}}))")
+    blocks = F.arrays_zip(F.regexp_extract_all("_low", cut, F.lit(1)).alias("own"), F.regexp_extract_all("_low", cut, F.lit(2)).alias("next"))
     runs = df.select(F.col(key).alias("_key"), low.alias("_low")).filter("_low <> ''")
+    runs = runs.select("_key", F.inline(blocks), (F.length("_low") < n).alias("_short"))
+    runs = runs.select("_key", F.concat("own", "next").alias("_low"), "_short").filter(F.col("_short") | (F.length("_low") >= n))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1)))
     runs = runs.select("_key", "_low", F.explode(starts).alias("_at"))
     slot = F.conv(F.substring(F.md5(F.substring("_low", F.col("_at"), F.lit(n))), 1, 8), 16, 10).cast("long") % size
     counts = runs.groupBy("_key", slot.cast("int").alias("_slot")).agg(F.count("*").alias("_n"))

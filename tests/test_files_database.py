@@ -1,5 +1,6 @@
 """PDF files, bytes of Shift_JIS pages, and tables of a database that is in memory."""
 
+import hashlib
 import zlib
 
 import pytest
@@ -115,3 +116,12 @@ def test_gram_vectors_of_odd_texts(spark):
     assert found[1] == found[2] and not any(found[3]) and not any(found[4])
     assert abs(near(1, 1) - 1) < 1e-9 and abs(near(None, None) - 1) < 1e-9 and sorted(found[5])[-1] == 1
     assert near(1, 7) > 0.9 > near(1, None)
+    # over several blocks: as a count of all runs says, line ends and long texts included
+    long = "".join(chr(97 + i * i % 23) + "\n" * (i % 50 == 0) for i in range(3000))
+    texts = {i: long[:i] for i in (1, 2, 3, 127, 128, 129, 130, 131, 256, 257, 3000)}
+    found = replies.gram_vectors(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", "text", size=32)
+    for r in found.collect():
+        counts = [0] * 32
+        for i in range(max(1, r.id - 2)):
+            counts[int(hashlib.md5(texts[r.id][i : i + 3].encode()).hexdigest()[:8], 16) % 32] += 1
+        assert r.embedding == pytest.approx([c / sum(x * x for x in counts) ** 0.5 for c in counts])
