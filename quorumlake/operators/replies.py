@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import retry_delay_ms_of
 
-#: Fixed value: errors after which a call is worth repeating.
-RETRYABLE = re.compile(r"\b(429|500|502|503|504|UNAVAILABLE|RESOURCE_EXHAUSTED|INTERNAL|ETIMEDOUT|ECONNRESET|ECONNREFUSED|ENOTFOUND|socket hang up)\b|timed?\s*out|timeout|fetch failed", re.IGNORECASE)
+#: Fixed value: errors after which a call is worth repeating. A number with a fraction is an amount, such as a delay, and no status.
+RETRYABLE = re.compile(r"(?<![0-9]\.)\b(?:429|500|502|503|504)\b(?!\.[0-9])|\b(UNAVAILABLE|RESOURCE_EXHAUSTED|INTERNAL|ETIMEDOUT|ECONNRESET|ECONNREFUSED|ENOTFOUND|socket hang up)\b|timed?\s*out|timeout|fetch failed", re.IGNORECASE)
 RELEVANCES = ("primary", "secondary")
 
 

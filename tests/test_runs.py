@@ -134,3 +134,10 @@ def test_shapes_of_odd_texts(spark):
     assert got == ["", "", "短い行\n短い行\nこれは文です。", "「x」y", None]
     s = spark.createDataFrame([("no heading",), ("<h3>a</h3>",)], "t string").select(shape.sections("t").alias("s")).collect()
     assert [[tuple(x) for x in r.s] for r in s] == [[], [("a", "")]]
+
+
+def test_amounts_are_no_status(spark):
+    said = ["Please retry in 503.25s", "Please retry in 429.00ms", "retry in 7.500s", "no 500.", "429", "error 503: busy", "code=502,", "UNAVAILABLE", "1503"]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, said string").select("i", replies.is_retryable("said").alias("again")).orderBy("i")
+    assert [r.again for r in df.collect()] == [False, False, False, True, True, True, True, True, False]
+    assert [bool(replies.RETRYABLE.search(s)) for s in said] == [False, False, False, True, True, True, True, True, False]
