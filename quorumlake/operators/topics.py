@@ -3,7 +3,10 @@
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +26,62 @@ def prompt_line() -> Column:
     return F.concat_ws("\t", F.col("index").cast("string"), "topic", F.regexp_replace("digest_preview", f"{SPACE}+", " "))
 
 
-def cluster_with(refs: DataFrame, clusterer: Callable[[pd.DataFrame], pd.DataFrame], municipality: str = "municipality_code") -> DataFrame:
-    """Clusters that a clusterer makes of each municipality's digests: a row for each member.
+def of_many(clusterer: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Marks a clusterer that takes several whole municipalities at once, told apart by a column group that it hands on."""
+    clusterer.of_many = True
+    return clusterer
 
-    clusterer: takes the columns index, topic and digest_preview of one municipality (the model's prompt; its size bounds a
-    call) and returns canonical_name, description, position and member_index. A model's client belongs in it.
-    """
-    schema = f"{municipality} string, canonical_name string, description string, position long, member_index long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = clusterer(pdf.sort_values("index")[["index", "topic", "digest_preview"]])
-        return out.assign(**{municipality: pdf[municipality].iloc[0]})[[c.split()[0] for c in schema.split(", ")]]
+#: Digests that a clusterer of many takes at once, or those of one municipality that has more.
+MANY = 200_000
 
-    return refs.groupBy(municipality).applyInPandas(run, schema)
 
+def cluster_with(refs: DataFrame, clusterer: Callable[[pd.DataFrame], pd.DataFrame], municipality: str = "municipality_code") -> DataFrame:
+    """Clusters that a clusterer makes of each municipality's digests: a row for each member.
 
+    clusterer: takes the columns index, topic and digest_preview of one municipality (the model's prompt; its size bounds a
+    call) and returns canonical_name, description, position and member_index. A model's client belongs in it. One marked by
+    of_many takes a batch of municipalities in a call, as very many small ones would cost a call each.
+    """
+    kind = refs.schema[municipality].dataType.simpleString()
+    schema = f"{municipality} {kind}, canonical_name string, description string, position long, member_index long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    many = getattr(clusterer, "of_many", False)
+
+    def run(batches):
+        for batch in batches:
+            held, digests = batch.column(0), batch.column(1)
+            ends = np.cumsum(np.append(0, pc.list_value_length(digests).to_numpy(zero_copy_only=False)))
+            flat = pa.Table.from_batches([pa.RecordBatch.from_struct_array(digests.flatten())])
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + MANY, "right")) - 1) if many else first + 1
+                pdf = flat.slice(ends[first], ends[last] - ends[first]).to_pandas()
+                if many:
+                    pdf["group"] = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
+                out = clusterer(pdf)
+                group = pa.array(out["group"] if many else np.full(len(out), first), pa.int64())
+                rest = [pa.array(out[c], kind) for c, kind in zip(names[1:], (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([held.take(group), *rest], names=names)
+                first = last
+
+    grouped = refs.groupBy(municipality).agg(F.array_sort(F.collect_list(F.struct("index", "topic", "digest_preview"))).alias("digests"))
+    return grouped.mapInArrow(run, schema)
+
+
+@of_many
 def normalising_clusterer(pdf: pd.DataFrame) -> pd.DataFrame:
     """The clusterer that needs no model: topics equal in their last word are one cluster, named by that word."""
-    name = pdf["topic"].map(lambda s: re.split(r"\s+", s.strip())[-1])
-    return pd.DataFrame({"canonical_name": name, "description": "", "position": name.rank(method="dense").astype("int64") - 1, "member_index": pdf["index"]})
+    topics, which = np.unique(pdf["topic"].to_numpy(dtype=object), return_inverse=True)
+    last = np.array([re.split(r"\s+", s.strip())[-1] for s in topics.tolist()], dtype=object)
+    words, word = np.unique(last, return_inverse=True)
+    word = word[which] if len(words) else np.zeros(0, np.int64)
+    group = pdf["group"].to_numpy() if "group" in pdf else np.zeros(len(pdf), np.int64)
+    # a word's place among those of its municipality
+    pairs, pair = np.unique(group * (len(words) + 1) + word, return_inverse=True)
+    of = pairs // (len(words) + 1)
+    place = np.arange(len(pairs)) - np.searchsorted(of, of)
+    return pd.DataFrame({"canonical_name": words[word], "description": "", "position": place[pair].astype("int64"), "member_index": pdf["index"].to_numpy(), "group": group})
 
 
 def missing(refs: DataFrame, members: DataFrame, municipality: str = "municipality_code") -> DataFrame:
