@@ -1,10 +1,10 @@
 """Queries that go through landed files: folders of JSON lines with markers are written from the test tables, then read, checked and imported."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, runs
-from ..operators.cuts import made_once, new_folder
+from ..operators.cuts import cut, made_once, new_folder
 from ..sources import ndjson
 from ..streaming import usage
 from . import fixtures as fx
@@ -24,44 +24,74 @@ def query(sql: str):
 
 
 _LANDED: dict = {}
+_FILES: set[tuple[str, str]] = set()
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    """Meetings to land: each in the folder of its year and of its municipality's nation."""
+    """Meetings to land: each in the folder of its year and of its municipality's nation. What their lines say is made from these columns when they lie in order."""
     o, c = fx.table(spark, d, "orders"), fx.table(spark, d, "customer")
+    folder = [F.year("o_orderdate").cast("string").alias("year"), F.lpad(F.col("c_nationkey").cast("string"), 6, "0").alias("code")]
+    return o.join(c, o.o_custkey == c.c_custkey).select(*folder, F.col("o_orderkey").alias("place"), "o_custkey", "o_orderdate", "o_orderpriority", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+
+
+def _said() -> tuple[Column, Column, Column, Column]:
+    """Municipality, id, title and external id of a meeting, from the columns of _rows."""
     muni, month = F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.date_format("o_orderdate", "yyyy-MM")
-    return o.join(c, o.o_custkey == c.c_custkey).select(
-        F.year("o_orderdate").cast("string").alias("year"), F.lpad(F.col("c_nationkey").cast("string"), 6, "0").alias("code"), F.col("o_orderkey").alias("place"),
-        F.concat_ws("-", muni, month).alias("id"), muni.alias("municipalityCode"), F.concat(F.lit("Meeting of "), month).alias("title"), F.lower("o_orderpriority").alias("meetingType"),
-        F.when(F.col("o_totalprice") <= 499900, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("heldOn"),
-        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("externalId"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"),
-    )
+    return muni, F.concat_ws("-", muni, month), F.concat(F.lit("Meeting of "), month), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+
+
+def landed(spark: SparkSession, d: str, *names: str) -> str:
+    """The folder with files of those names (none given: all) and all markers, each written once for the session and again when a table that they are made of has changed."""
+    root = made_once(spark, _LANDED, "landed", [f"{d}/{name}.parquet" for name in ("orders", "customer", "lineitem")], lambda root: _mark(spark, d, root))
+    for name in names or _LANDS:
+        if (root, name) not in _FILES:
+            _LANDS[name](spark, d, root)
+            _FILES.add((root, name))
+    return root
+
+
+def _line(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
 
 
-def landed(spark: SparkSession, d: str) -> str:
-    """The folder with all files, written once for the session and again when a table that they are made of has changed."""
-    return made_once(spark, _LANDED, "landed", [f"{d}/{name}.parquet" for name in ("orders", "customer", "lineitem")], lambda root: _land(spark, d, root))
+def _land_meetings(spark: SparkSession, d: str, root: str) -> None:
+    muni, id_, title, external = _said()
+    held = F.when(F.col("price") <= 499900, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    ndjson.land(_rows(spark, d), root, ndjson.MEETINGS, _line(id=id_, municipalityCode=muni, title=title, meetingType=F.lower("o_orderpriority"), heldOn=held, externalId=external, status=F.col("status")))
 
 
-def _land(spark: SparkSession, d: str, root: str) -> None:
+def _land_statements(spark: SparkSession, d: str, root: str) -> None:
+    li, m = fx.table(spark, d, "lineitem"), _rows(spark, d).select("year", "code", F.col("place").alias("meeting"), "o_custkey", "o_orderdate")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    said = li.join(m, li.l_orderkey == m.meeting).select("year", "code", F.struct(*keys).alias("place"), "l_quantity", "o_custkey", "o_orderdate")
+    at = lambda name: F.col(f"place.{name}")
+    ndjson.land(said, root, ndjson.STATEMENTS, _line(
+        id=F.concat_ws("-", *[at(k).cast("string") for k in keys[:4]]), meetingId=F.when(at("l_extendedprice") > 99, _said()[1]),
+        content=F.concat(F.lit("said of "), at("l_partkey").cast("string")), startOffset=F.when(F.col("l_quantity") < 25, at("l_linenumber") * 10).cast("int"),
+    ))
+
+
+def _land_summaries(spark: SparkSession, d: str, root: str) -> None:
+    """Summaries of closed meetings, two of each urgent one."""
+    _, _, title, external = _said()
+    n = F.explode(F.when(F.lower("o_orderpriority") == "1-urgent", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    closed = _rows(spark, d).filter("status = 'F'").withColumn("n", n).withColumn("place", F.struct("place", "n")).drop("n")
+    n, none = F.col("place.n").cast("string"), F.array().cast("array<struct<topic:string,relevance:string,digest:string,speakers:array<string>>>")
+    digest = F.array(F.struct(F.lower(external).alias("topic"), F.lit("primary").alias("relevance"), title.alias("digest"), F.array(F.lit("S")).alias("speakers")))
+    ndjson.land(closed, root, ndjson.SUMMARIES, _line(
+        meetingId=F.lpad(F.col("place.place").cast("string"), 12, "0"), summary=F.when(F.col("price") <= 499900, F.concat(F.lit("summary "), n, F.lit(" of "), title)).otherwise(""),
+        topicDigests=F.when(external.isNotNull(), digest).otherwise(none), summaryModel=F.concat(F.lit("model-"), n), summaryGeneratedAt=F.lit("2024-05-01T00:00:00"),
+    ))
+
+
+_LANDS = {ndjson.MEETINGS: _land_meetings, ndjson.STATEMENTS: _land_statements, ndjson.SUMMARIES: _land_summaries}
+
+
+def _mark(spark: SparkSession, d: str, root: str) -> None:
     """Folders with more open than closed meetings were cut short: they have no marker. Those of code 000007 were imported before."""
-    m = _rows(spark, d)
-    line = lambda *c: F.to_json(F.struct(*c)).alias("line")
-    ndjson.land(m.select("year", "code", "place", line("id", "municipalityCode", "title", "meetingType", "heldOn", "externalId", "status")), root, ndjson.MEETINGS)
-    li = fx.table(spark, d, "lineitem")
-    said = li.join(m, li.l_orderkey == m.place).select(
-        "year", "code", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("place"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("sid"),
-        F.when(F.col("l_extendedprice") > 99, F.col("id")).alias("mid"), F.when(F.col("l_quantity") < 25, F.col("l_linenumber") * 10).cast("int").alias("start"), F.concat(F.lit("said of "), F.col("l_partkey").cast("string")).alias("content"),
-    )
-    ndjson.land(said.select("year", "code", "place", line(F.col("sid").alias("id"), F.col("mid").alias("meetingId"), "content", F.col("start").alias("startOffset"))), root, ndjson.STATEMENTS)
-    digest = F.array(F.struct(F.lower("externalId").alias("topic"), F.lit("primary").alias("relevance"), F.col("title").alias("digest"), F.array(F.lit("S")).alias("speakers")))
-    one = lambda n: line(F.lpad(F.col("place").cast("string"), 12, "0").alias("meetingId"), F.when(F.col("price") <= 499900, F.concat(F.lit(f"summary {n} of "), "title")).otherwise("").alias("summary"), F.when(F.col("externalId").isNotNull(), digest).otherwise(F.array().cast("array<struct<topic:string,relevance:string,digest:string,speakers:array<string>>>")).alias("topicDigests"), F.lit(f"model-{n}").alias("summaryModel"), F.lit("2024-05-01T00:00:00").alias("summaryGeneratedAt"))
-    closed = m.filter("status = 'F'")
-    twice = closed.filter("meetingType = '1-urgent'")
-    ndjson.land(closed.select("year", "code", F.struct("place", F.lit(1).alias("n")).alias("place"), one(1)).unionByName(twice.select("year", "code", F.struct("place", F.lit(2).alias("n")).alias("place"), one(2))), root, ndjson.SUMMARIES)
-    lines = said.groupBy("year", "code").agg(F.count("*").cast("int").alias("statements"))
-    folders = m.groupBy("year", "code").agg(F.count("*").cast("int").alias("meetings"), (F.count_if(F.col("status") == "O") > F.count_if(F.col("status") == "F")).alias("truncated"))
-    folders = folders.join(lines, ["year", "code"], "left").fillna(0, ["statements"])
+    m, said = _rows(spark, d), fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("of")).agg(F.count("*").alias("k"))
+    counts = [F.count("*").cast("int").alias("meetings"), (F.count_if(F.col("status") == "O") > F.count_if(F.col("status") == "F")).alias("truncated"), F.coalesce(F.sum("k"), F.lit(0)).cast("int").alias("statements")]
+    folders = cut(m.join(said, m.place == said.of, "left").groupBy("year", "code").agg(*counts))
     ndjson.mark_complete(root, folders)
     ndjson.mark_imported(root, folders.filter("code = '000007' and not truncated"))
     ndjson.mark_summaries_imported(root, folders.filter("code = '000003'"))
@@ -78,7 +108,7 @@ s AS (SELECT year, code, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_exten
 
 @query(f"WITH {_M} SELECT year, code FROM f WHERE NOT truncated AND code <> '000007'")
 def import_targets(spark, d):
-    return ndjson.import_targets(spark, landed(spark, d))
+    return ndjson.import_targets(spark, landed(spark, d, ndjson.MEETINGS))
 
 
 @query(f"""WITH RECURSIVE {_M}, g AS (SELECT m.*, row_number() OVER (PARTITION BY muni ORDER BY m.year, m.code, place) AS k FROM m JOIN f ON m.year = f.year AND m.code = f.code WHERE NOT truncated AND ok AND m.code <> '000007'),
@@ -88,12 +118,12 @@ walk AS (SELECT muni, k, true AS stays, [id] AS ids, CASE WHEN external_id IS NU
     CASE WHEN list_contains(ids, g.id) OR coalesce(list_contains(exts, g.external_id), false) OR g.external_id IS NULL THEN exts ELSE list_append(exts, g.external_id) END FROM walk w JOIN g ON g.muni = w.muni AND g.k = w.k + 1)
 SELECT id, g.muni AS municipality_code, title, meeting_type, held_on, external_id FROM g JOIN walk w ON g.muni = w.muni AND g.k = w.k WHERE stays""")
 def import_meetings(spark, d):
-    return ndjson.import_meetings(spark, landed(spark, d))[0].select("id", "municipality_code", "title", "meeting_type", "held_on", "external_id")
+    return ndjson.import_meetings(spark, landed(spark, d, ndjson.MEETINGS))[0].select("id", "municipality_code", "title", "meeting_type", "held_on", "external_id")
 
 
 @query(f"WITH {_M} SELECT year, code, ok FROM f WHERE NOT truncated AND code <> '000007'")
 def import_outcome(spark, d):
-    return ndjson.import_meetings(spark, landed(spark, d))[1]
+    return ndjson.import_meetings(spark, landed(spark, d, ndjson.MEETINGS))[1]
 
 
 @query(f"""WITH {_M}, z AS (SELECT year, code, place, 1 AS n, title, external_id, price FROM m WHERE status = 'F' UNION ALL SELECT year, code, place, 2, title, external_id, price FROM m WHERE status = 'F' AND meeting_type = '1-urgent'),
@@ -103,7 +133,7 @@ SELECT lpad(o_orderkey::varchar, 12, '0') AS id, CASE WHEN place IS NOT NULL THE
 def import_summaries(spark, d):
     none = F.lit(None)
     m = fx.meetings(spark, d).withColumns({"topic_digests": none.cast("array<struct<topic:string,relevance:string,digest:string,speakers:array<string>>>"), "summary_generated_at": none.cast("timestamp_ntz"), "summary_model": none.cast("string")})
-    return ndjson.import_summaries(spark, landed(spark, d), m)[0].select("id", "summary", "summary_model", F.size("topic_digests").alias("topics"))
+    return ndjson.import_summaries(spark, landed(spark, d, ndjson.SUMMARIES), m)[0].select("id", "summary", "summary_model", F.size("topic_digests").alias("topics"))
 
 
 @query(f"""WITH {_M}, b AS (SELECT year, code, min(line_no) AS n FROM s WHERE mid IS NULL GROUP BY 1, 2), x AS (SELECT year, code FROM s GROUP BY 1, 2),
@@ -112,7 +142,7 @@ r AS (SELECT f.year, f.code, CASE WHEN truncated THEN 'no completion marker' WHE
   FROM f LEFT JOIN x ON f.year = x.year AND f.code = x.code LEFT JOIN b ON f.year = b.year AND f.code = b.code LEFT JOIN q ON f.year = q.year AND f.code = q.code)
 SELECT year, code, reason IS NULL AS complete, reason FROM r""")
 def integrity(spark, d):
-    return ndjson.integrity(spark, landed(spark, d))
+    return ndjson.integrity(spark, landed(spark, d, ndjson.MEETINGS, ndjson.STATEMENTS))
 
 
 @query(f"WITH {_M}, n AS (SELECT year, code, count(*) AS k FROM s GROUP BY 1, 2) SELECT f.year, f.code, f.code = '000007' AS imported, meetings::int AS meetings, coalesce(k, 0)::int AS statements FROM f LEFT JOIN n ON f.year = n.year AND f.code = n.code WHERE NOT truncated")
@@ -122,18 +152,18 @@ def markers(spark, d):
 
 @query(f"WITH {_M} SELECT DISTINCT year, code FROM m WHERE status = 'F' AND code <> '000003'")
 def summary_targets(spark, d):
-    return ndjson.summary_targets(spark, landed(spark, d))
+    return ndjson.summary_targets(spark, landed(spark, d, ndjson.SUMMARIES))
 
 
 @query(f"WITH {_M} SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, mid AS meeting_id, (row_number() OVER (PARTITION BY mid ORDER BY start ASC NULLS LAST, year, code, line_no))::int AS place FROM s")
 def statements_in_order(spark, d):
-    rows = ndjson.read_statements(spark, landed(spark, d)).withColumn("line_no", F.struct("year", "code", "line_no"))
+    rows = ndjson.read_statements(spark, landed(spark, d, ndjson.STATEMENTS)).withColumn("line_no", F.struct("year", "code", "line_no"))
     return runs.statement_order(rows, "meetingId", "startOffset").select("id", F.col("meetingId").alias("meeting_id"), "place")
 
 
 @query(f"WITH {_M}, n AS (SELECT year, code, count(*) AS k FROM s GROUP BY 1, 2) SELECT sum(meetings)::bigint AS meetings, sum(coalesce(k, 0))::bigint AS statements, sum(CASE WHEN truncated THEN 1 ELSE 0 END)::bigint AS skipped, count(*) AS folders FROM f LEFT JOIN n ON f.year = n.year AND f.code = n.code")
 def run_totals(spark, d):
-    root = landed(spark, d)
+    root = landed(spark, d, ndjson.MEETINGS, ndjson.STATEMENTS)
     count = lambda name, out: ndjson.lines(spark, root, name).groupBy("year", "code").agg(F.count("*").alias(out))
     done = ndjson.markers(spark, root).select("year", "code", F.lit(0).alias("no"))
     folders = count(ndjson.MEETINGS, "meetings").join(count(ndjson.STATEMENTS, "statements"), ["year", "code"], "left").join(done, ["year", "code"], "left")
@@ -209,7 +239,7 @@ def update_written(spark, d):
 @query(f"WITH {_M} SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, year, line_no::int AS line_no FROM s WHERE year = '1995' AND code = '000004'")
 def year_statements(spark, d):
     """Statements of one council and year, with their lines: no other folder is listed."""
-    return ndjson.read_statements(spark, landed(spark, d), [1995], ["000004"]).select("id", "year", "line_no")
+    return ndjson.read_statements(spark, landed(spark, d, ndjson.STATEMENTS), [1995], ["000004"]).select("id", "year", "line_no")
 
 
 # streams
@@ -236,7 +266,7 @@ def usage_log(spark, d):
 def incremental_import(spark, d):
     """Landed summaries by a stream that brings each file once, however often it is asked; its first run delivers each batch twice, as after a failure."""
     out, at = new_folder(spark, "imported"), new_folder(spark, "imported-at")
-    source = f"{landed(spark, d)}/*/*/{ndjson.SUMMARIES}"
+    source = f"{landed(spark, d, ndjson.SUMMARIES)}/*/*/{ndjson.SUMMARIES}"
     sink = usage.once(out)
 
     def twice(df, number):

@@ -9,7 +9,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -150,14 +150,19 @@ def mark_summaries_imported(root: str, folders: DataFrame) -> None:
     _write_all(folders.sparkSession, [(f"{root}/{r.year}/{r.code}/{SUMMARIES_COMPLETE}", json.dumps({"summariesImported": True, "importedAt": _now()}) + "\n") for r in folders.select("year", "code").collect()])
 
 
-def land(rows: DataFrame, root: str, name: str) -> None:
-    """Writes the lines of rows (year, code, place, line) as {root}/{year}/{code}/{name}, in order of place, one file a folder.
+def land(rows: DataFrame, root: str, name: str, line: Column | None = None) -> None:
+    """Writes the lines of rows (year, code, place and what line is made of; none: a column line) as {root}/{year}/{code}/{name}, in order of place, one file a folder.
 
-    Spark writes a part for each folder; the parts then get their names, which moves no data.
+    Spark writes a part for each folder; the parts then get their names, which moves no data. Lines are made after the sort,
+    so that their texts are neither shuffled nor sorted. Folders are told by bytes: where a write is partitioned by strings,
+    Spark replaces the sort by one of its own, of whole lines and by folder alone; so it does where a folder is a constant,
+    to which nothing of the place is therefore added.
     """
     spark, staged = rows.sparkSession, f"{root}/_staged-{uuid.uuid4().hex}"
-    dealt = rows.repartition("year", "code").sortWithinPartitions("year", "code", "place")
-    dealt.select("year", "code", "line").write.partitionBy("year", "code").text(staged)
+    nothing = F.substring(F.xxhash64("place").cast("string"), 1, 0)
+    folders = {c: F.concat(F.col(c), nothing).cast("binary") for c in ("year", "code")}
+    dealt = rows.withColumns(folders).repartition("year", "code").sortWithinPartitions("year", "code", "place")
+    dealt.select("year", "code", (F.col("line") if line is None else line).alias("line")).write.partitionBy("year", "code").text(staged)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
