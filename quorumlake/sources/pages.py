@@ -131,7 +131,7 @@ def texts_side_by_side(df: DataFrame, strategies: dict[str, Callable[[bytes], st
             except Exception:  # noqa: BLE001  a broken file is a file without text
                 return None
 
-        return pd.DataFrame({n: s.map(lambda raw, f=f: one(f, raw)) for n, f in strategies.items()}, columns=names)
+        return pd.DataFrame([[one(f, raw) for f in strategies.values()] for raw in s], columns=names)  # file by file
 
     return df.withColumn("_texts", extract(column)).select("*", *[F.col(f"_texts.{n}").alias(n) for n in names]).drop("_texts")
 
