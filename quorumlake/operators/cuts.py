@@ -77,3 +77,14 @@ def made_once(spark: SparkSession, kept: dict, name: str, tables: list[str], mak
         make(path)
         kept[key] = (state, path)
     return kept[key][1]
+
+
+#: Rows in an Arrow batch of steps that take whole texts or files.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows in an Arrow batch of this session from now on; a smaller number that is set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, speakers, text
+from ..operators.cuts import small_batches
 from . import services
 
 
 def decoded(df: DataFrame, column: str = "content", encoding: str = "cp932", out: str = "body") -> DataFrame:
     """df with the text of a binary column in a named encoding (cp932 for Shift_JIS, euc_jp), what cannot be read replaced."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def decode(s: pd.Series) -> pd.Series:
