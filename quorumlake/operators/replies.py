@@ -3,17 +3,23 @@
 A client is a plain function, passed in and called inside tasks; without a service, a function that needs none takes its place.
 """
 
+import hashlib
 import random
 import re
 import time
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .. import schemas
 from ..functions.text import retry_delay_ms_of
+from . import grams
+from .cuts import small_batches
 
 #: Fixed value: errors after which a call is worth repeating. A number with a fraction is an amount, such as a delay, and no status.
 RETRYABLE = re.compile(r"(?<![0-9]\.)\b(?:429|500|502|503|504)\b(?!\.[0-9])|\b(UNAVAILABLE|RESOURCE_EXHAUSTED|INTERNAL|ETIMEDOUT|ECONNRESET|ECONNREFUSED|ENOTFOUND|socket hang up)\b|timed?\s*out|timeout|fetch failed", re.IGNORECASE)
@@ -102,24 +108,39 @@ def gram_vectors(df: DataFrame, key: str, text: str, size: int = 256, n: int = 3
     """key and a unit vector of each text without a model: runs of n characters, lower-cased, are counted in slots by hash.
 
     Texts alike in their wording lie near each other by cosine. Whole texts count; those shorter than n are one run, and null
-    or empty ones have vectors of nothing but zeros. key tells rows apart. A text is cut into blocks, each with the n - 1
-    characters that follow it, so that a run is found in a few steps however long the text is. The runs stream through a
-    partial count by slot: at most size rows of a text are shuffled for each task it lies in.
+    or empty ones have vectors of nothing but zeros. key tells rows apart. A row's vector is made in its task, some texts at
+    a time, a long one in pieces; nothing is shuffled, and each distinct run of a task is hashed once.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    cut = F.lit(f"(?s)(.{{1,128}})(?=(.{{0,{n - 1}}}))")
-    blocks = F.arrays_zip(F.regexp_extract_all("_low", cut, F.lit(1)).alias("own"), F.regexp_extract_all("_low", cut, F.lit(2)).alias("next"))
-    runs = df.select(F.col(key).alias("_key"), low.alias("_low")).filter("_low <> ''")
-    runs = runs.select("_key", F.inline(blocks), (F.length("_low") < n).alias("_short"))
-    runs = runs.select("_key", F.concat("own", "next").alias("_low"), "_short").filter(F.col("_short") | (F.length("_low") >= n))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1)))
-    runs = runs.select("_key", "_low", F.explode(starts).alias("_at"))
-    slot = F.conv(F.substring(F.md5(F.substring("_low", F.col("_at"), F.lit(n))), 1, 8), 16, 10).cast("long") % size
-    counts = runs.groupBy("_key", slot.cast("int").alias("_slot")).agg(F.count("*").alias("_n"))
-    held = counts.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_n"))).alias("_counts"), F.sqrt(F.sum(F.col("_n") * F.col("_n")).cast("double")).alias("_length"))
-    value = lambda i: F.coalesce(F.try_element_at("_counts", i) / F.col("_length"), F.lit(0.0))
-    joined = df.select(F.col(key)).join(held, F.col(key).eqNullSafe(F.col("_key")), "left")
-    return joined.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias(out))
+    small_batches(df.sparkSession)
+    own = df.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_low"))
+    known: dict[str, int] = {}
+
+    def slot(run: str) -> int:
+        if run not in known:
+            if len(known) > 1_000_000:
+                known.clear()
+            known[run] = int(hashlib.md5(run.encode(), usedforsecurity=False).hexdigest()[:8], 16) % size
+        return known[run]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            counts = np.zeros(len(texts) * size, np.int64)
+            for joined, owner, at, runs in grams.runs(texts, n):
+                _, first, which = np.unique(runs, return_index=True, return_inverse=True)
+                slots = np.array([slot(joined[i : i + n]) for i in at[first].tolist()], np.int64)
+                found, times = np.unique(owner * size + slots[which], return_counts=True) if len(at) else (np.zeros(0, np.int64),) * 2
+                counts[found] += times
+            for i, t in enumerate(texts):
+                if 0 < len(t) < n:
+                    counts[i * size + slot(t)] += 1
+            counts = counts.reshape(-1, size)
+            length = np.sqrt((counts * counts).sum(axis=1).astype(np.float64))
+            values = np.divide(counts, length[:, None], out=np.zeros(counts.shape), where=length[:, None] > 0)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * size, pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, out])
+
+    return own.mapInArrow(run, StructType([own.schema[key], StructField(out, ArrayType(DoubleType()))]))
 
 
 def result_summary(result: Column | str) -> Column:
