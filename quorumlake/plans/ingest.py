@@ -191,7 +191,7 @@ SELECT sha256(muni || '|' || o_orderkey || '|' || day || '|' || title) AS id, le
 LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
 def written_scrape(spark, d):
     o, li = fx.table(spark, d, "orders"), fx.table(spark, d, "lineitem")
-    said = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("a"))
+    said = li.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("a"))
     nothing = F.lit(None).cast("string")
     statement = lambda x: F.struct(F.lit("remark").alias("kind"), nothing.alias("speaker_name"), nothing.alias("speaker_role"), F.concat(F.lit("said of "), x["l_partkey"].cast("string")).alias("content"), F.sha2(x["l_partkey"].cast("string"), 256).alias("content_hash"), x["l_linenumber"].cast("int").alias("start_offset"), x["l_linenumber"].cast("int").alias("end_offset"))
     m = o.join(said, o.o_orderkey == said.l_orderkey, "left").select(

@@ -268,7 +268,7 @@ def integrity(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_scrape(meetings: DataFrame, root: str, by: str = "code") -> None:
-    """Meetings (with an array of statements) as two sets of JSON lines under year=/code= folders (by "year": year= ones alone, for very many councils); ids follow from natural keys, so that a rerun writes the same."""
+    """Meetings (with an array of statements) as two sets of JSON lines under year=/code= folders (by "year": year= ones alone, for very many councils); ids follow from natural keys, so that a rerun writes the same. The files are compressed, as most of a line is hashes and names."""
     key = F.concat_ws("|", "municipality_code", "external_id", "held_on", "title")
     m = meetings.withColumn("id", F.sha2(key, 256)).withColumn("year", F.substring(F.col("held_on").cast("string"), 1, 4)).withColumn("code", F.col("municipality_code"))
     head = m.select("year", "code", "id", F.col("municipality_code").alias("municipalityCode"), "title", F.col("meeting_type").alias("meetingType"), F.col("held_on").cast("string").alias("heldOn"), F.col("source_url").alias("sourceUrl"), F.col("external_id").alias("externalId"), F.lit("processed").alias("status"))
@@ -276,7 +276,7 @@ def write_scrape(meetings: DataFrame, root: str, by: str = "code") -> None:
     said = said.select("year", "code", F.sha2(F.concat_ws("|", "meetingId", F.col("pos").cast("string")), 256).alias("id"), "meetingId", "s.kind", F.col("s.speaker_name").alias("speakerName"), F.col("s.speaker_role").alias("speakerRole"), "s.content", F.col("s.content_hash").alias("contentHash"), F.col("s.start_offset").alias("startOffset"), F.col("s.end_offset").alias("endOffset"))
     folders = ["year", "code"] if by == "code" else ["year"]
     for rows, name in ((head, "meetings"), (said, "statements")):
-        (rows if by == "code" else rows.drop("code")).write.mode("append").partitionBy(*folders).json(f"{root}/{name}")
+        (rows if by == "code" else rows.drop("code")).write.mode("append").partitionBy(*folders).json(f"{root}/{name}", compression="gzip")
 
 
 def append_summaries(summaries: DataFrame, root: str) -> None:
