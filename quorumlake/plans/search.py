@@ -172,8 +172,13 @@ def audit_patterns(meetings: DataFrame, patterns: Sequence[str] = PROCEDURAL_PAT
     rows = rows.select(F.col("id").alias("meeting_id"), "held_on", F.posexplode("topic_digests").alias("pos", "d"))
     folded = F.concat(F.lower("d.topic"), F.lit("\x00"), F.lower("d.digest"))
     hits = rows.withColumn("pattern", F.explode(F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(folded, F.lower(p)))))
-    w = Window.partitionBy("pattern").orderBy(F.desc("held_on"), F.desc("meeting_id"), "pos")
-    top = hits.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)
+    # a day's place follows from the counts of the days after it, so that only a pattern's hits of one day meet in a task
+    after = Window.partitionBy("of").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = hits.groupBy(F.col("pattern").alias("of"), F.col("held_on").alias("day")).agg(F.count("*").alias("k"))
+    days = days.withColumn("before", F.coalesce(F.sum("k").over(after), F.lit(0))).filter(F.col("before") < limit).drop("k")
+    near = hits.join(F.broadcast(days), (F.col("pattern") == F.col("of")) & F.col("held_on").eqNullSafe(F.col("day")))
+    w = Window.partitionBy("pattern", "held_on").orderBy(F.desc("meeting_id"), "pos")
+    top = near.withColumn("n", (F.col("before") + F.row_number().over(w)).cast("int")).filter(F.col("n") <= limit)
     return top.select("pattern", "n", "meeting_id", F.col("held_on").cast("string").alias("held_on"), F.col("d.topic").alias("topic"), left(F.col("d.digest"), 160).alias("preview"))
 
 

@@ -56,3 +56,62 @@ def test_lines_are_made_after_the_sort(spark, tmp_path):
     ndjson.land(rows, str(tmp_path), ndjson.MEETINGS, F.to_json(F.struct("place")))
     got = [x for x in (tmp_path / "2024/c1" / ndjson.MEETINGS).read_text().split("\n") if x]
     assert got == [f'{{"place":{-i}}}' for i in range(2998, -1, -3)]
+
+
+def test_small_tables_are_dealt_to_many_tasks(spark):
+    """A table of one small file must not make one task of what costs much for each row."""
+    from quorumlake.plans import rules
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("pdf_layouts", "merged_pages", "file_texts"):
+            assert rules.QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 3, name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_blocks_of_an_index_are_bounded():
+    assert fixtures.blocks_of(499) == 1 and fixtures.blocks_of(5000) == 11 and fixtures.blocks_of(60_000_000) == fixtures.MAX_BLOCKS
+
+
+def test_runs_of_long_texts_are_whole(monkeypatch):
+    from quorumlake.operators import grams
+
+    monkeypatch.setattr(grams, "CHARS", 5)
+    texts = ["", "ab", "abc", "a𠮷bc" * 9, "ÿ" * 4]
+    for n in (1, 3, 5):
+        got = sorted((int(o), joined[i : i + n]) for joined, owner, at, _ in grams.runs(texts, n) for o, i in zip(owner, at.tolist(), strict=True))
+        assert got == sorted((k, t[i : i + n]) for k, t in enumerate(texts) for i in range(len(t) - n + 1))
+
+
+def test_vectors_shuffle_nothing(spark):
+    from quorumlake.operators import replies
+
+    df = spark.createDataFrame([(1, "abcab"), (2, None), (3, "é")], "id long, text string")
+    found = replies.gram_vectors(df, "id", "text", size=16)
+    assert "Exchange" not in plan(found)
+    got = {r.id: r.embedding for r in found.collect()}
+    assert len(got[1]) == 16 and abs(sum(x * x for x in got[1]) - 1) < 1e-12 and not any(got[2]) and sum(got[3]) == 1
+
+
+def test_patterns_meet_by_day(spark):
+    """Ranks run on over days, ties of the limit's day are cut in order, and no task gets all hits of a pattern."""
+    from quorumlake.plans import search
+
+    days = ["2024-01-03", "2024-01-03", "2024-01-02", "2024-01-01", None, "2024-01-02"]
+    rows = [(f"m{i}", d, [("tax a", "x", "d", []), ("tax b", "x", "d", [])]) for i, d in enumerate(days)]
+    m = spark.createDataFrame(rows, "id string, held_on string, topic_digests array<struct<topic:string,relevance:string,digest:string,speakers:array<string>>>").withColumn("held_on", F.col("held_on").cast("date"))
+    for limit in (1, 3, 7, 11, 50):
+        found = search.audit_patterns(m, ["TAX"], limit=limit)
+        got = [(r.n, r.meeting_id, r.topic) for r in sorted(found.collect(), key=lambda r: r.n)]
+        want = [(f"m{i}", f"tax {x}") for i in (1, 0, 5, 2, 3, 4) for x in "ab"]
+        assert got == [(k + 1, *x) for k, x in enumerate(want[:limit])]
+    assert "Window [(before" not in plan(found) and not [x for x in plan(found).split("\n") if "Window [row_number" in x and "held_on" not in x.split("],")[-2]]
+
+
+def test_whole_texts_come_in_small_batches(spark):
+    from quorumlake.sources import pages
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages.decoded(spark.createDataFrame([(bytearray(b"a"),)], "content binary"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
