@@ -42,6 +42,8 @@ FIRST_OF = 8
 #: Bytes of shingles, and members, in a chunk of what is left apart.
 CHUNK_BYTES = 1_000_000
 CHUNK_ROWS = 150
+#: Bits of exchanged signatures beyond those that number them all.
+SPARE_BITS = 14
 #: A signature is hot if one in so many members has it; so there are no more of them.
 HOT_SIGNS = 500
 _K1, _K2, _K3 = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -153,6 +155,7 @@ def signatures(of: np.ndarray, keys: np.ndarray, size: np.ndarray, bands: Bands)
 
 _SENT = {"slice": pa.int32(), "block": pa.int32(), "keys": pa.binary(), "marks": pa.binary()}
 SENT = "slice int, block int, keys binary, marks binary"
+FOUND = "block int, vertex long, n long, signs array<long>, shingles binary"
 SETS = "vertex long, n long, signs array<long>, shingles binary, common long"
 
 
@@ -188,7 +191,7 @@ def vertices(rows: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
-    """SETS of each vertex that shares a signature with another one and may be similar to one.
+    """SETS of each vertex that shares a signature with another one and may be similar to one, written.
 
     signs: the signatures that others share; common: the shingles that other candidates have too, or a few more. A similar
     set holds percent / 100 of a set's shingles at least, and no shingle that only this one has. Copies with changes of
@@ -218,6 +221,9 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
             if mine.any():
                 yield new[of[some]], keys[some], n[mine], vertex[mine]
 
+    # bits of a signature that blocks exchange: so many that few sets share one by chance, which costs their rows and no more
+    sign_bits = min(64, (total // 6).bit_length() + SPARE_BITS)
+
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _sent([])
@@ -225,64 +231,65 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
         found = [signatures(of, keys, n, bands)[1] for of, keys, n, _ in own_sets(left, right)]
         if not found:
             return _sent([])
-        keys = np.sort(np.concatenate(found))
+        keys = np.sort(np.concatenate(found)) >> np.uint64(64 - sign_bits)
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         marks, keys = np.diff(np.append(at, len(keys))) > 1, keys[at]
-        places, block = cut(keys, slices), column(left, "block")[0]
+        places, block = cut(keys, slices, sign_bits), column(left, "block")[0]
         return _sent([(i, block, packed(keys[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
 
+    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The chosen sets that share a signature, with their shared signatures."""
+        out, bands = [], Bands(percent)
+        if left.num_rows and right.num_rows:
+            answers = sorted((s, k) for s, k in zip(column(right, "slice"), column(right, "keys"), strict=True) if s >= 0)
+            shared, block = np.concatenate([np.zeros(0, np.uint64), *[unpacked(k) for _, k in answers]]), column(left, "block")[0]
+            for of, keys, n, digest in own_sets(left, right) if len(shared) else ():
+                owner, sign = signatures(of, keys, n, bands)
+                hit = member(shared, sign >> np.uint64(64 - sign_bits))
+                owner, sign = owner[hit], sign[hit]
+                order = np.argsort(owner, kind="stable")
+                owner, sign = owner[order], sign[order]
+                ends, signs = np.searchsorted(of, np.arange(len(n) + 1)), np.searchsorted(owner, np.arange(len(n) + 1))
+                out += [(block, int(digest[i]), int(n[i]), np.unique(sign[signs[i] : signs[i + 1]]).view(np.int64), keys[ends[i] : ends[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(signs)).tolist()]
+        return _sets(out, FOUND)
+
     bits = min(60, max(16, (total // 6).bit_length() + 5))
 
-    def candidates(left: pa.Table, right: pa.Table):
-        """For each step: the chosen sets that share a signature: owners, shingles, sizes, vertices, and their shared signatures by owner."""
-        bands = Bands(percent)
-        answers = sorted((s, k) for s, k in zip(column(right, "slice"), column(right, "keys"), strict=True) if 0 <= s < slices)
-        shared = np.concatenate([np.zeros(0, np.uint64), *[unpacked(k) for _, k in answers]])
-        for of, keys, n, digest in own_sets(left, right) if len(shared) else ():
-            owner, sign = signatures(of, keys, n, bands)
-            hit = member(shared, sign)
-            owner, sign = owner[hit], sign[hit]
-            order = np.argsort(owner, kind="stable")
-            yield of, keys, n, digest, owner[order], sign[order]
-
-    def sketch(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _sent([])
-        found = [np.zeros(0, np.uint64)]
-        for of, keys, n, _, owner, _ in candidates(left, right):
-            some = np.zeros(len(n), bool)
-            some[owner] = True
-            found.append(keys[some[of]] >> np.uint64(64 - bits))
-        cells, marks = distinct(np.concatenate(found))
-        places, block = cut(cells, slices, bits), column(left, "block")[0]
-        return _sent([(slices + i, block, packed(cells[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
+    def cells_of(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(column(t, "shingles")), np.uint64) >> np.uint64(64 - bits)
+
+    def sketch(t: pa.Table) -> pa.Table:
+        cells, marks = distinct(cells_of(t))
+        places, block = cut(cells, slices, bits), column(t, "block")[0]
+        return _sent([(i, block, packed(cells[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            answers = sorted((s, k) for s, k in zip(column(right, "slice"), column(right, "keys"), strict=True) if s >= slices)
-            cells = np.concatenate([np.zeros(0, np.uint64), *[unpacked(k) for _, k in answers]])
-            for of, keys, n, digest, owner, sign in candidates(left, right) if len(cells) else ():
-                common = np.bincount(of[member(cells, keys >> np.uint64(64 - bits))], minlength=len(n))
-                ends = np.searchsorted(of, np.arange(len(n) + 1))
-                signs = np.searchsorted(owner, np.arange(len(n) + 1))
-                for i in np.flatnonzero((100 * common >= percent * n) & (np.diff(signs) > 0)).tolist():
-                    out.append((int(digest[i]), int(n[i]), np.unique(sign[signs[i] : signs[i + 1]]).view(np.int64), keys[ends[i] : ends[i + 1]].tobytes(), int(common[i])))
-        return _sets(out)
+        if not left.num_rows or not right.num_rows:
+            return _sets([], SETS)
+        answers = sorted(zip(column(right, "slice"), column(right, "keys"), strict=True))
+        n = left.column("n").to_numpy()
+        owner = np.repeat(np.arange(len(n)), n)
+        common = np.bincount(owner[member(np.concatenate([unpacked(k) for _, k in answers]), cells_of(left))], minlength=len(n))
+        whole = left.drop_columns(["block"]).append_column("common", pa.array(common, pa.int64()))
+        return whole.filter(pa.array(100 * common >= percent * n))
 
     none = F.lit(None).cast("long")
     full = lambda df: df.select("slice", "block", *[none.alias(x) for x in ("doc_id", "h", "h2", "vertex")], "keys")
     pairs = lambda told: dealt.groupBy("block").cogroup(told.groupBy("block"))
     met = lambda df: df.groupBy("slice").applyInArrow(_meet, SENT)
-    told = chosen.unionByName(full(met(pairs(chosen).applyInArrow(send, SENT))))
-    told = told.unionByName(full(met(pairs(told).applyInArrow(sketch, SENT))))
-    return pairs(told).applyInArrow(emit, SETS)
+    # texts are dealt anew after what blocks exchange is let go, and let go themselves before what is found is dealt
+    told = written(met(pairs(chosen).applyInArrow(send, SENT)), "jaccard-shared")
+    found = written(pairs(chosen.unionByName(full(told))).applyInArrow(candidates, FOUND), "jaccard-candidates")
+    dropped(told)
+    by_block = found.groupBy("block")
+    sets = written(by_block.cogroup(met(by_block.applyInArrow(sketch, SENT)).groupBy("block")).applyInArrow(emit, SETS), "jaccard-sets")
+    dropped(found)
+    return sets
 
 
-def _sets(rows: list[tuple]) -> pa.Table:
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
-    names = ("vertex", "n", "signs", "shingles", "common")
-    return pa.table({k: pa.array([r[i] for r in rows], types[i]) for i, k in enumerate(names)})
+def _sets(rows: list[tuple], schema: str) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+    return pa.table({k: pa.array([r[i] for r in rows], types[kind]) for i, (k, kind) in enumerate(c.split() for c in schema.split(", "))})
 
 
 def _meet(t: pa.Table) -> pa.Table:
@@ -324,7 +331,7 @@ def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80, extra: list
     extra = extra or []
     rows = written(document_sets(docs, width, extra), "jaccard-rows")
     firsts = written(vertices(rows), "jaccard-firsts")
-    sets = written(candidate_sets(docs, firsts, width, percent), "jaccard-sets")
+    sets = candidate_sets(docs, firsts, width, percent)
     members = sets.select(F.explode("signs").alias("sign"), "vertex", F.col("n").cast("int").alias("n"), F.col("common").cast("int").alias("common"))
     links, made = link_members(members, sets, percent)
     labels = components(links)
