@@ -343,14 +343,21 @@ def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80, extra: list
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component", *[F.col(f"_x{i}").alias(x) for i, x in enumerate(extra)])
 
 
-def _with_sign(members: DataFrame, told: DataFrame, total: int, on=None) -> DataFrame:
-    """members joined with what is told of their signature: told has a row for each (s), and held, its number of members."""
-    hot = F.broadcast(told.filter(F.col("held") * HOT_SIGNS > total))  # HOT_SIGNS rows at most
-    rest = told.filter(F.col("held") * HOT_SIGNS <= total)
+def _hot(members: DataFrame) -> list[int]:
+    """Signatures that so many of members have that one task should not get them all: HOT_SIGNS of them at most."""
+    total = members.count()
+    held = members.groupBy("sign").agg(F.count("*").alias("held"))
+    return [r.sign for r in held.filter(F.col("held") * HOT_SIGNS > total).select("sign").collect()]
+
+
+def _with_sign(members: DataFrame, told: DataFrame, hot: list[int], on=None) -> DataFrame:
+    """members joined with what is told of their signature: told has a row for each (s); hot: as _hot()."""
     same = F.col("sign") == F.col("s")
     same = same if on is None else same & on
-    cold = members.join(hot.select(F.col("s").alias("hot_sign")), F.col("sign") == F.col("hot_sign"), "left_anti")
-    return members.join(hot, same).unionByName(cold.join(rest, same))
+    if not hot:
+        return members.join(told, same)
+    crowded = members.filter(F.col("sign").isin(hot)).join(F.broadcast(told.filter(F.col("s").isin(hot))), same)
+    return crowded.unionByName(members.filter(~F.col("sign").isin(hot)).join(told.filter(~F.col("s").isin(hot)), same))
 
 
 def link_members(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -368,8 +375,8 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     groups = members.filter(F.pmod("sign", F.lit(FIRST_OF)) == 0).withColumn("comp", F.col("vertex"))
     for turn in range(PIVOT_ROUNDS):
         first = F.col("n") - F.col("common") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
-        pivots = groups.groupBy(F.col("sign").alias("s")).agg(F.min(F.struct(first.alias("turn"), *own)).alias("p"), F.count("*").alias("held"))
-        pairs = _with_sign(groups, pivots, groups.count(), (F.col("comp") != F.col("p.comp")) & fits)
+        pivots = groups.groupBy(F.col("sign").alias("s")).agg(F.min(F.struct(first.alias("turn"), *own)).alias("p"))
+        pairs = _with_sign(groups, pivots, _hot(groups), (F.col("comp") != F.col("p.comp")) & fits)
         pairs = pairs.select(F.greatest("vertex", "p.vertex").alias("a"), F.least("vertex", "p.vertex").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -382,10 +389,10 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
         labels = components(links)
         named = left.join(labels, left.vertex == labels.v, "left").select("sign", "vertex", "n", "common", F.coalesce("comp", "vertex").alias("comp"))
         # members that could link with a member as small as their signature's least, and signatures of which two components are left
-        stats = lambda df: df.groupBy(F.col("sign").alias("s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.count("*").alias("held")).filter("lo <> hi")
-        could = _with_sign(named, stats(named).select("s", "least", "held"), left.count(), (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least")))
+        stats = lambda df: df.groupBy(F.col("sign").alias("s")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo <> hi")
+        could = _with_sign(named, stats(named).select("s", "least"), _hot(left), (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least")))
         could = written(could.select(*named.columns), "jaccard-could")
-        groups = written(_with_sign(could, stats(could).select("s", "held"), could.count()).select(*named.columns), "jaccard-groups")
+        groups = written(_with_sign(could, stats(could).select("s"), _hot(could)).select(*named.columns), "jaccard-groups")
         dropped(could)
         made.append(groups)
         if not groups.limit(1).count():

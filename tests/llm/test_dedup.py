@@ -208,6 +208,18 @@ def test_jaccard_lets_texts_go_before_what_is_found_is_dealt(spark, monkeypatch)
     assert "shingles" in plans[2] and not re.search(r"\btext\b", plans[2])
 
 
+def test_hot_signatures_meet_their_pivot_without_an_anti_join(spark):
+    """Their rows grow with a group's size, are found whole, and no join has more rows than members."""
+    for size in (40, 80):
+        members = spark.createDataFrame([(sign, v) for v in range(size) for sign in (1, 2, 100 + v)], "sign long, vertex long")
+        told = members.groupBy(F.col("sign").alias("s")).agg(F.min("vertex").alias("least"))
+        hot = jaccard._hot(members)
+        assert sorted(hot) == [1, 2]
+        found = jaccard._with_sign(members, told, hot)
+        assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.sign, r.vertex, r.least) for r in found.collect()) == sorted((sign, v, v if sign > 2 else 0) for v in range(size) for sign in (1, 2, 100 + v))
+
+
 def test_jaccard_families_of_changed_copies(spark):
     """Copies at all distances around the threshold, more of them than pivots reach."""
     rng = random.Random(9)
