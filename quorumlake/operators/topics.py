@@ -16,10 +16,26 @@ PREVIEW = 120
 
 
 def topic_index(meetings: DataFrame, municipality: str = "municipality_code", id_col: str = "id") -> DataFrame:
-    """Digests of each municipality numbered from 0, meetings by date and id, digests in their order."""
-    rows = meetings.select(municipality, F.col(id_col).alias("meeting_id"), "held_on", F.posexplode("topic_digests").alias("pos", "d"))
-    w = Window.partitionBy(municipality).orderBy("held_on", "meeting_id", "pos")
-    return rows.select(municipality, "meeting_id", "held_on", (F.row_number().over(w) - 1).cast("long").alias("index"), F.col("d.topic").alias("topic"), F.col("d.relevance").alias("relevance"), left(F.col("d.digest"), PREVIEW).alias("digest_preview"))
+    """Digests of each municipality numbered from 0, meetings by date and id, digests in their order.
+
+    Meetings are dealt and sorted, with their digests as arrays of the columns that are asked for, and digests become rows
+    after that: a digest's number is that of the digests of the meetings before, and its place. Rows of one date and id are
+    numbered by place first.
+    """
+    digests = F.col("topic_digests")
+    of = lambda value: F.transform(digests, value)
+    arrays = {"_topics": of(lambda d: d["topic"]), "_relevances": of(lambda d: d["relevance"]), "_previews": of(lambda d: left(d["digest"], PREVIEW))}
+    rows = meetings.filter(F.size(digests) > 0).select(municipality, F.col(id_col).alias("meeting_id"), "held_on", F.size(digests).cast("long").alias("_size"), *[c.alias(k) for k, c in arrays.items()])
+    w = Window.partitionBy(municipality).orderBy("held_on", "meeting_id")
+    peers = F.collect_list("_size").over(w.rangeBetween(Window.currentRow, Window.currentRow))  # one, where ids are of one meeting each
+    told = rows.withColumns({"_peers": peers, "_until": F.sum("_size").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_turn": F.row_number().over(w) - F.rank().over(w)})
+    each = told.withColumn("_pos", F.explode(F.sequence(F.lit(0), (F.col("_size") - 1).cast("int"))))
+    summed = lambda sizes, value: F.aggregate(sizes, F.lit(0).cast("long"), lambda x, n: x + value(n))
+    before = F.col("_until") - summed(F.col("_peers"), lambda n: n - F.least(n, F.col("_pos").cast("long")))
+    earlier = summed(F.slice("_peers", 1, F.col("_turn")), lambda n: F.when(n > F.col("_pos"), 1).otherwise(0).cast("long"))
+    index = F.when(F.size("_peers") == 1, F.col("_until") - F.col("_size") + F.col("_pos")).otherwise(before + earlier)
+    at = lambda name: F.get(F.col(name), F.col("_pos"))
+    return each.select(municipality, "meeting_id", "held_on", index.alias("index"), at("_topics").alias("topic"), at("_relevances").alias("relevance"), at("_previews").alias("digest_preview"))
 
 
 def prompt_line() -> Column:

@@ -151,9 +151,12 @@ def topic_index(spark, d):
 
 def _members(spark, d):
     refs = topics.topic_index(fx.with_digests(spark, d))
-    members = refs.filter(F.col("relevance") == "primary").select("municipality_code", F.element_at(F.split("topic", " "), -1).alias("canonical_name"), F.lit("").alias("description"), F.lit(0).cast("long").alias("position"), F.col("index").alias("member_index"))
-    twice = refs.filter(F.col("topic").startswith("small")).select("municipality_code", F.lit("extra").alias("canonical_name"), F.lit("").alias("description"), F.lit(1).cast("long").alias("position"), F.col("index").alias("member_index"))
-    return refs, members.unionByName(twice)
+    member = lambda name, position: F.struct(name.alias("canonical_name"), F.lit("").alias("description"), F.lit(position).cast("long").alias("position"))
+    named = F.when(F.col("relevance") == "primary", member(F.element_at(F.split("topic", " "), -1), 0))
+    extra = F.when(F.col("topic").startswith("small"), member(F.lit("extra"), 1))
+    # one pass over the index, which stays dealt by municipality
+    members = refs.select("municipality_code", F.col("index").alias("member_index"), F.explode(F.array_compact(F.array(named, extra))).alias("m"))
+    return refs, members.select("municipality_code", "m.*", "member_index")
 
 
 @query
