@@ -46,6 +46,8 @@ CHUNK_ROWS = 150
 SPARE_BITS = 14
 #: A signature is hot if one in so many members has it; so there are no more of them.
 HOT_SIGNS = 500
+#: Kinds of rows that a block gets: the sets chosen to stand for a vertex, and answers about signatures and shingles.
+CHOSEN, SIGNS, CELLS = 0, 1, 2
 _K1, _K2, _K3 = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -196,16 +198,17 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
     signs: the signatures that others share; common: the shingles that other candidates have too, or a few more. A similar
     set holds percent / 100 of a set's shingles at least, and no shingle that only this one has. Copies with changes of
     their own, too many to be similar, and documents that share a passage, share signatures with each other; counting the
-    candidates' shingles in a sketch, which may overestimate, lets them go before they are compared. firsts: as vertices().
+    candidates' shingles in a sketch, which may overestimate, lets them go before they are compared. Most go so before any
+    shingles are written; what these had in common with the rest is then counted no more. firsts: as vertices().
     """
     total = text_bytes(docs)
     slices = max(1, -(-total // (10 * RANGE_HASHES)))
     dealt = deal(docs, total)
-    chosen = firsts.select(F.lit(-1).alias("slice"), block_of(F.col("doc_id"), F.col("text_key"), total, BLOCK_BYTES).alias("block"), F.col("doc_id"), F.col("h"), F.col("h2"), F.col("vertex"), F.lit(None).cast("binary").alias("keys"))
+    chosen = firsts.select(F.lit(CHOSEN).alias("kind"), F.lit(-1).alias("slice"), block_of(F.col("doc_id"), F.col("text_key"), total, BLOCK_BYTES).alias("block"), F.col("doc_id"), F.col("h"), F.col("h2"), F.col("vertex"), F.lit(None).cast("binary").alias("keys"))
 
     def own_sets(left: pa.Table, right: pa.Table):
         """For each step: sets of the block's chosen rows, as owners, shingles, sizes and vertices."""
-        rows = {x[:3]: x[3] for x in zip(*[column(right, x) for x in ("doc_id", "h", "h2", "vertex", "slice")], strict=True) if x[4] == -1}
+        rows = {x[:3]: x[3] for x in zip(*[column(right, x) for x in ("doc_id", "h", "h2", "vertex", "kind")], strict=True) if x[4] == CHOSEN}
         doc_ids, done = column(left, "doc_id"), 0
         for t in steps(left.column("text")):
             of, keys, more = shingle_sets(t, width)
@@ -237,31 +240,53 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
         places, block = cut(keys, slices, sign_bits), column(left, "block")[0]
         return _sent([(i, block, packed(keys[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
 
-    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The chosen sets that share a signature, with their shared signatures."""
-        out, bands = [], Bands(percent)
-        if left.num_rows and right.num_rows:
-            answers = sorted((s, k) for s, k in zip(column(right, "slice"), column(right, "keys"), strict=True) if s >= 0)
-            shared, block = np.concatenate([np.zeros(0, np.uint64), *[unpacked(k) for _, k in answers]]), column(left, "block")[0]
-            for of, keys, n, digest in own_sets(left, right) if len(shared) else ():
-                owner, sign = signatures(of, keys, n, bands)
-                hit = member(shared, sign >> np.uint64(64 - sign_bits))
-                owner, sign = owner[hit], sign[hit]
-                order = np.argsort(owner, kind="stable")
-                owner, sign = owner[order], sign[order]
-                ends, signs = np.searchsorted(of, np.arange(len(n) + 1)), np.searchsorted(owner, np.arange(len(n) + 1))
-                out += [(block, int(digest[i]), int(n[i]), np.unique(sign[signs[i] : signs[i + 1]]).view(np.int64), keys[ends[i] : ends[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(signs)).tolist()]
-        return _sets(out, FOUND)
+    def told_of(right: pa.Table, kind: int) -> np.ndarray:
+        """What a block has been told of its hashes, sorted."""
+        answers = sorted((s, x) for k, s, x in zip(*[column(right, c) for c in ("kind", "slice", "keys")], strict=True) if k == kind)
+        return np.concatenate([np.zeros(0, np.uint64), *[unpacked(x) for _, x in answers]])
+
+    def sharing(left: pa.Table, right: pa.Table):
+        """The chosen sets of each step, and by owner the signatures that others share."""
+        shared, bands = told_of(right, SIGNS), Bands(percent)
+        for of, keys, n, vertex in own_sets(left, right) if left.num_rows and len(shared) else ():
+            owner, sign = signatures(of, keys, n, bands)
+            hit = member(shared, sign >> np.uint64(64 - sign_bits))
+            yield of, keys, n, vertex, owner[hit], sign[hit]
 
     bits = min(60, max(16, (total // 6).bit_length() + 5))
 
-    def cells_of(t: pa.Table) -> np.ndarray:
-        return np.frombuffer(b"".join(column(t, "shingles")), np.uint64) >> np.uint64(64 - bits)
+    def sketched(keys: np.ndarray, block: int) -> pa.Table:
+        cells, marks = distinct(keys >> np.uint64(64 - bits))
+        places = cut(cells, slices, bits)
+        return _sent([(i, block, packed(cells[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
+
+    def first_sketch(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        for of, keys, n, _, owner, _ in sharing(left, right):
+            some = np.zeros(len(n), bool)
+            some[owner] = True
+            found.append(keys[some[of]])
+        return sketched(np.concatenate(found), column(left, "block")[0]) if found else _sent([])
+
+    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The chosen sets that share a signature, with their shared signatures, if others that do have enough of their shingles."""
+        out, cells = [], told_of(right, CELLS)
+        block = column(left, "block")[0] if left.num_rows else None
+        for of, keys, n, vertex, owner, sign in sharing(left, right):
+            common = np.bincount(of[member(cells, keys >> np.uint64(64 - bits))], minlength=len(n))
+            some = 100 * common >= percent * n
+            owner, sign = owner[some[owner]], sign[some[owner]]
+            order = np.argsort(owner, kind="stable")
+            owner, sign = owner[order], sign[order]
+            ends, signs = np.searchsorted(of, np.arange(len(n) + 1)), np.searchsorted(owner, np.arange(len(n) + 1))
+            out += [(block, int(vertex[i]), int(n[i]), np.unique(sign[signs[i] : signs[i + 1]]).view(np.int64), keys[ends[i] : ends[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(signs)).tolist()]
+        return _sets(out, FOUND)
+
+    def keys_of(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(column(t, "shingles")), np.uint64)
 
     def sketch(t: pa.Table) -> pa.Table:
-        cells, marks = distinct(cells_of(t))
-        places, block = cut(cells, slices, bits), column(t, "block")[0]
-        return _sent([(i, block, packed(cells[a:b]), flags(marks[a:b])) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if b > a])
+        return sketched(keys_of(t), column(t, "block")[0])
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -269,18 +294,21 @@ def candidate_sets(docs: DataFrame, firsts: DataFrame, width: int, percent: int)
         answers = sorted(zip(column(right, "slice"), column(right, "keys"), strict=True))
         n = left.column("n").to_numpy()
         owner = np.repeat(np.arange(len(n)), n)
-        common = np.bincount(owner[member(np.concatenate([unpacked(k) for _, k in answers]), cells_of(left))], minlength=len(n))
+        common = np.bincount(owner[member(np.concatenate([unpacked(k) for _, k in answers]), keys_of(left) >> np.uint64(64 - bits))], minlength=len(n))
         whole = left.drop_columns(["block"]).append_column("common", pa.array(common, pa.int64()))
         return whole.filter(pa.array(100 * common >= percent * n))
 
     none = F.lit(None).cast("long")
-    full = lambda df: df.select("slice", "block", *[none.alias(x) for x in ("doc_id", "h", "h2", "vertex")], "keys")
+    full = lambda df, kind: df.select(F.lit(kind).alias("kind"), "slice", "block", *[none.alias(x) for x in ("doc_id", "h", "h2", "vertex")], "keys")
     pairs = lambda told: dealt.groupBy("block").cogroup(told.groupBy("block"))
     met = lambda df: df.groupBy("slice").applyInArrow(_meet, SENT)
-    # texts are dealt anew after what blocks exchange is let go, and let go themselves before what is found is dealt
+    # texts are dealt anew after what blocks exchange is let go, and let go themselves before what is found is dealt; sets
+    # that share a signature are many more than those that may be similar, and are made anew in place of being kept
     told = written(met(pairs(chosen).applyInArrow(send, SENT)), "jaccard-shared")
-    found = written(pairs(chosen.unionByName(full(told))).applyInArrow(candidates, FOUND), "jaccard-candidates")
-    dropped(told)
+    asked = chosen.unionByName(full(told, SIGNS))
+    cells = written(met(pairs(asked).applyInArrow(first_sketch, SENT)), "jaccard-cells")
+    found = written(pairs(asked.unionByName(full(cells, CELLS))).applyInArrow(candidates, FOUND), "jaccard-candidates")
+    dropped(told, cells)
     by_block = found.groupBy("block")
     sets = written(by_block.cogroup(met(by_block.applyInArrow(sketch, SENT)).groupBy("block")).applyInArrow(emit, SETS), "jaccard-sets")
     dropped(found)

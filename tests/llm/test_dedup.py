@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlake.llm import blocks, jaccard, substrings, suffixes
+from quorumlake.llm import blocks, jaccard, storage, substrings, suffixes
 from quorumlake.llm.components import components
 from quorumlake.llm.textkernel import BYTE_BASES, Prefixes, steps
 
@@ -208,6 +209,39 @@ def test_jaccard_lets_texts_go_before_what_is_found_is_dealt(spark, monkeypatch)
     assert "shingles" in plans[2] and not re.search(r"\btext\b", plans[2])
 
 
+def test_sets_that_share_signatures_alone_are_not_written(spark, monkeypatch):
+    """Documents that share a passage and no more share signatures; their shingles are let go before a table holds them."""
+    held, write = {}, jaccard.written
+
+    def spy(df, name):
+        out = write(df, name)
+        if name == "jaccard-candidates":
+            held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spy)
+    passage = [f"w{i}" for i in range(60)]
+    apart = [(i, " ".join(passage + [f"own{i}_{j}" for j in range(40)]), "en", "s", 0, 0, "", "") for i in range(30)]
+    near = [(30 + i, " ".join(f"x{j}" for j in range(90 + i)), "en", "s", 0, 0, "", "") for i in range(2)]
+    got = sorted(tuple(x) for x in jaccard.jaccard_join(spark.createDataFrame(apart + near, SCHEMA), 2, 85).collect())
+    assert got == sorted(groups(apart + near, 2, 85)) and got[-1][2] == 30
+    assert held == {"jaccard-candidates": 2}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for i in range(found.size()) if (name := found.apply(i).toString()).startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(name)
+    table = storage.written(spark.range(1000).repartition(3, "id").groupBy("id").count(), "few")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 1000 and spark.conf.get(name) == was
+
+
 def test_hot_signatures_meet_their_pivot_without_an_anti_join(spark):
     """Their rows grow with a group's size, are found whole, and no join has more rows than members."""
     for size in (40, 80):
