@@ -68,31 +68,31 @@ def insert_ignore(new: DataFrame, target: DataFrame | None, keys: list[list[str]
     left = new
     for key in keys if target is not None else ():
         left = left.join(target.select(*key).distinct(), key, "left_anti").select(*names)
-    # rows equal in order get places of their own, fixed by the cut
-    left = left.withColumn("_id", F.monotonically_increasing_id())
-    left = cut(left.withColumn("_at", F.struct(*order, "_id")))
+    # rows equal in order get places of their own, fixed by the cut; the place is made of columns that rows have already, so that no table or shuffle of rows holds it
+    left, at = cut(left.withColumn("_id", F.monotonically_increasing_id())), F.struct(*order, "_id")
     added = None
     turn = 0
     while not left.isEmpty():
         if turn == rounds:
-            stays, left = _one_by_one(left, keys, whole, group_rows)
+            stays, left = _one_by_one(left.withColumn("_at", at), keys, whole, group_rows)
+            left = left.drop("_at")
             added = stays.select(*names) if added is None else added.unionByName(stays.select(*names))
             turn += 1
             continue
         turn += 1
         marked = left
         for i, (key, full) in enumerate(zip(keys, whole, strict=True)):
-            firsts = left.filter(full).groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)]).agg(F.min("_at").alias(f"_f{i}"))
+            firsts = left.filter(full).groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)]).agg(F.min_by("_id", at).alias(f"_f{i}"))
             same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{j}") for j, k in enumerate(key)])
             marked = marked.join(firsts, same, "left").drop(*[f"_k{j}" for j in range(len(key))])
-        first = [F.col(f"_f{i}").isNull() | (F.col("_at") == F.col(f"_f{i}")) for i in range(len(keys))]
-        marked = cut(marked.withColumn("_stays", reduce(lambda a, b: a & b, first)))
+        first = [F.col(f"_f{i}").isNull() | (F.col("_id") == F.col(f"_f{i}")) for i in range(len(keys))]
+        marked = cut(marked.select(*names, "_id", reduce(lambda a, b: a & b, first).alias("_stays")))
         stays = marked.filter("_stays").select(*names)
         added = stays if added is None else added.unionByName(stays)
-        left = marked.filter("not _stays").select(*names, "_id", "_at")
+        left = marked.filter("not _stays").select(*names, "_id")
         for key, full in zip(keys, whole, strict=True):
             left = left.join(stays.filter(full).select(*key), key, "left_anti")
-        left = cut(left.select(*names, "_id", "_at"))
+        left = cut(left.select(*names, "_id"))
     return new.limit(0) if added is None else added
 
 

@@ -200,11 +200,13 @@ def import_meetings(spark: SparkSession, root: str, target: DataFrame | None = N
     id, or municipality and external id, is taken is left out.
     """
     targets = import_targets(spark, root, codes, skip_imported)
-    rows = read_meetings(spark, root).join(targets, ["year", "code"], "left_semi")
-    key = F.concat_ws("/", "year", "code")
-    good = clean.passing_groups(rows.withColumn("dir", key), "dir", clean.meeting_line_valid())
-    named = good.select("year", "code", "line_no", "id", F.col("municipalityCode").alias("municipality_code"), "title", F.col("meetingType").alias("meeting_type"), F.col("heldOn").cast("date").alias("held_on"), F.col("sourceUrl").alias("source_url"), F.col("externalId").alias("external_id"))
-    added = clean.insert_ignore(named, target, [["id"], ["municipality_code", "external_id"]], [F.col("year"), F.col("code"), F.col("line_no")]).drop("year", "code", "line_no")
+    # folders are numbered in their order, a row for each: a line's place is one number, in place of its folder's names
+    folders = cut(targets.withColumn("folder", F.row_number().over(Window.orderBy("year", "code"))))
+    rows = read_meetings(spark, root).join(F.broadcast(folders), ["year", "code"])
+    good = clean.passing_groups(rows, "folder", clean.meeting_line_valid())
+    place = F.col("folder").cast("long") * (1 << 32) + F.col("line_no")
+    named = good.select(place.alias("place"), "id", F.col("municipalityCode").alias("municipality_code"), "title", F.col("meetingType").alias("meeting_type"), F.col("heldOn").cast("date").alias("held_on"), F.col("sourceUrl").alias("source_url"), F.col("externalId").alias("external_id"))
+    added = clean.insert_ignore(named, target, [["id"], ["municipality_code", "external_id"]], [F.col("place")]).drop("place")
     verdict = rows.groupBy("year", "code").agg(F.bool_and(F.coalesce(clean.meeting_line_valid(), F.lit(False))).alias("ok"))
     return added, verdict
 
