@@ -16,7 +16,7 @@ those that have not joined the others' component go on to another pivot, and wha
 within bands of sizes, in chunks of bounded bytes. Sets too many of whose shingles no other candidate has are left out
 before. So a group of copies costs about its size, and components are exact. Pairs meet as sketches first, of some two
 bits for each shingle: a bit that only one of two sets has is a shingle that the other lacks. Only pairs that have few
-such bits meet as sets of shingles, since sets that share signatures by chance make more pairs than the similar ones. A signature that many sets share meets its
+such bits meet as sets of shingles: sets that share a signature and are not similar may make more pairs than similar ones. A signature that many sets share meets its
 pivot by a broadcast of such signatures' pivots, of which there are HOT_SIGNS at most, so that no task gets all its members.
 
 Defined results: a null text or one without words has an empty set and links with nothing. Fewer words than a shingle make
